@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that Python looks at together. An Arrow batch can hold ten thousand long texts; words of all of them at once would not fit.
@@ -105,6 +105,11 @@ def in_fold(doc_id, folds: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds)
 
 
+def hashed_share(*columns) -> Column:
+    """A number from 0 to 1 by hash of the columns, to thin rows alike wherever they stand."""
+    return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double")) / F.lit(float(1 << 53))
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component) of every node in edges (a, b); component is the smallest id reachable.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallbase.llm.common import Rows, WordMemo, in_fold, segments, text_slices
+from recallbase.llm.common import Rows, WordMemo, hashed_share, in_fold, segments, text_slices
 
 #: Bound of the training sample: texts of a language, and characters of a text.
 SAMPLE, SAMPLE_CHARS = 400, 20_000
@@ -181,9 +181,12 @@ def train(counts: dict[str, Counter], pieces: list[bytes], rounds: int = 4) -> M
 
 def fit(docs: DataFrame, pieces: list[bytes], fold_of: int = 4, held_fold: int = 2) -> Model | None:
     """The model from texts with a language outside the held fold; None if there are none."""
-    near = Window.partitionBy("lang").orderBy("_order", "doc_id", "text")
     usable = docs.where((in_fold("doc_id", fold_of) != held_fold) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    few = usable.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("_order")).withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= SAMPLE)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("_rows"))
+    # Thinned by hash to about twice the sample before texts are shuffled. sizes: a row per language, of which the model holds a column each.
+    few = usable.select("lang", "doc_id", "text", hashed_share("doc_id").alias("_order")).join(F.broadcast(sizes), "lang").where(F.col("_order") * F.col("_rows") <= 2.0 * SAMPLE)
+    near = Window.partitionBy("lang").orderBy("_order", "doc_id", "text")
+    few = few.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= SAMPLE)
     counts: dict[str, Counter] = {}
     for r in few.select("lang", "text").toLocalIterator():
         counts.setdefault(r.lang, Counter()).update(r.text.lower().split())

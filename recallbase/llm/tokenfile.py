@@ -6,7 +6,7 @@ frame in the public seekable layout, with the compressed size, plain size and lo
 reader takes the seek table from the end, then only the frames that hold what it wants, and checks each of them.
 
 Nulls and ties: a null text counts as empty; a null doc_id sorts first and comes back null; rows that repeat a doc_id
-are all kept, in the order of their texts. Extra columns are ignored. An empty table gives no rows.
+are all kept, in the order of their texts' hashes. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -142,7 +142,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             files.move(draft, name)
             yield pa.RecordBatch.from_pydict({"file": [part], "path": [name], "n_docs": [len(writer.index)], "n_ids": [writer.n_ids]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    keys = (F.col("doc_id").asc_nulls_first(), F.col("_h").asc())  # texts themselves would go to the driver in the sample of keys
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_h")
     return cut(ordered.mapInArrow(encode, "file long, path string, n_docs long, n_ids long"))
 
 

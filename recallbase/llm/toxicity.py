@@ -11,7 +11,8 @@ are held by their worst windows only. The texts are at most SAMPLE labelled rows
 of at most SAMPLE_CHARS characters each. Scoring covers every row and the whole of each text.
 
 Nulls and ties: null and empty texts have one empty window, whose score is that of no evidence; null labels and labels
-without a document are not learned from; a doc_id labelled twice counts twice. Without any usable labels of both kinds
+without a document are not learned from; a doc_id that is
+labelled again alike counts once, one with both labels as two rows. Without any usable labels of both kinds
 every score is 0. Extra columns are ignored.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallbase.llm.common import Rows, WordMemo, in_fold, ragged, segments, text_slices
+from recallbase.llm.common import Rows, WordMemo, cut, hashed_share, in_fold, ragged, segments, text_slices
 
 #: Bound of the training sample: rows, and characters of a row.
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
@@ -187,10 +188,12 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held_fold: int = 1) -> Model | None:
     """The model from labelled rows outside the held fold; None if one of the two labels is missing."""
-    usable = labels.where((in_fold("doc_id", fold_of) != held_fold) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), "toxic")
+    usable = labels.where((in_fold("doc_id", fold_of) != held_fold) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id"), "toxic").agg(hashed_share("doc_id").alias("_order"))
+    share = min(1.0, 2.0 * SAMPLE / max(1, usable.count()))  # about twice the sample goes to all tasks as ids
+    few = F.broadcast(usable.where(F.col("_order") <= share))
     rows = (
-        docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(usable, F.col("doc_id") == F.col("_id"))
-        .select("text", "toxic", F.xxhash64("doc_id").alias("_order"), "doc_id").orderBy("_order", "doc_id", "text", "toxic").limit(SAMPLE).collect()
+        docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(few, F.col("doc_id") == F.col("_id"))
+        .select("text", "toxic", "_order", "doc_id").orderBy("_order", "doc_id", "text", "toxic").limit(SAMPLE).collect()
     )
     labelled = np.array([r.toxic for r in rows], np.int64)
     return train([r.text for r in rows], labelled) if len(set(labelled.tolist())) == 2 else None
@@ -233,7 +236,5 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold_of:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Rows of docs below the threshold. Rows are dropped by doc_id; those of null doc_id stay."""
-    from recallbase.llm.common import cut
-
     bad = cut(predict(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct())
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
