@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The 64-bit FNV-1a offset and prime.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -34,19 +35,19 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a_hex(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def hnsw_level(text: pd.Series) -> pd.Series:
     """Level of an id in a layered graph: floor(-ln U) of its hash, 32 at most."""
     h = np.array([fnv1a((t or "").encode()) for t in text], np.uint64)
     return pd.Series(np.minimum(np.floor(-np.log(_unit(_mix(h)))), 32).astype(np.int32))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def vector_fingerprint(vector: pd.Series) -> pd.Series:
     """First 12 bytes of the SHA-256 of a vector's little-endian floats, in hexadecimal."""
     return vector.map(lambda v: None if v is None else hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest()[:24])
@@ -55,7 +56,7 @@ def vector_fingerprint(vector: pd.Series) -> pd.Series:
 def rendezvous(shards: Sequence[str], weights: Sequence[float]):
     """A column function key -> shard: the largest weight / -ln(U(hash(key, shard))). A new shard only takes keys to itself."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def pick(key: pd.Series) -> pd.Series:
         h = np.array([[fnv1a(f"{k}\x00{s}".encode()) for s in shards] for k in key], np.uint64).reshape(len(key), len(shards))
         score = np.asarray(weights) / -np.log(_unit(_mix(h)))

@@ -131,10 +131,10 @@ def chunk_words(text: Column, words: int = 160, over: int = 30, most: int = 24)
 
 def html_to_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags taken out, block ends as line breaks, common entities resolved, blanks collapsed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
+    out = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<(/p|/div|/li|/h[1-6]|/tr|br ?/?)>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"</p>|</h[1-3]>", "\n\n"), r"</div>|</li>|<br ?/?>", "\n")
+    out = F.regexp_replace(out, r"<[^>]*>", " ")
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return clean_text(out)

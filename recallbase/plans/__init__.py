@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("search_queries", "ops_queries", "life_queries", "rule_queries")
+MODULES: tuple[str, ...] = ("search_queries", "ops_queries", "life_queries", "rule_queries", "source_queries", "stream_queries")
 
 
 def load():
