@@ -25,11 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, so that a lost executor costs a read and nothing is computed twice."""
+#: Rows of numbers in a file of a checkpoint, at least, where their count is known.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, so that a lost executor costs a read and nothing is computed twice.
+
+    rows: about how many there are, where known; then small tables aren't spread over a file per shuffle partition.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
+    if rows is not None:
+        df = df.coalesce(max(context.defaultParallelism, rows // FILE_ROWS))
     return df.checkpoint(eager=True)
 
 
@@ -118,6 +127,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     checkpoint. Self loops keep lone nodes. Empty edges give no rows.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct())
+    size = e.count()  # no round makes more edges than there were
     nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
     e = e.where("a <> b")
     seen = None
@@ -127,7 +137,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
-        e = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct())
+        e = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct(), size)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if state[0] == state[2] and not e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
             break

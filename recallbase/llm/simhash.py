@@ -169,10 +169,11 @@ def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
 
 def linked(points: DataFrame, radius: int = 4) -> DataFrame:
     """(fp, component) of distinct fingerprints: the smallest fp, as a signed long, that links of at most `radius` bits reach. Lone ones are left out."""
-    masks = _masks(points.count(), radius)
+    n = points.count()
+    masks = _masks(n, radius)
     keyed = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "part"))
     sizes = keyed.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = cut(keyed.join(sizes, ["mask", "part"]).withColumn("trees", F.ceil(F.col("n") / F.lit(TREE)).cast("long")).withColumn("tree", F.pmod(F.xxhash64("fp", "mask"), "trees")))
+    keyed = cut(keyed.join(sizes, ["mask", "part"]).withColumn("trees", F.ceil(F.col("n") / F.lit(TREE)).cast("long")).withColumn("tree", F.pmod(F.xxhash64("fp", "mask"), "trees")), n * len(masks))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -184,12 +185,12 @@ def linked(points: DataFrame, radius: int = 4) -> DataFrame:
                 out = []
         yield _links(out)
 
-    first = cut(_dealt(keyed, "fp").mapInArrow(within, "a long, b long").distinct())
+    first = cut(_dealt(keyed, "fp").mapInArrow(within, "a long, b long").distinct(), n * len(masks))
     known = components(first)
     large = keyed.where("trees > 1")
     if large.limit(1).count() == 0:
         return known.select(F.col("id").alias("fp"), "component")
-    placed = cut(large.join(known.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    placed = cut(large.join(known.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), n * len(masks))
     heads = placed.groupBy("mask", "part", "component").agg(F.count("*").alias("n")).groupBy("mask", "part").agg(F.max_by("component", F.struct("n", "component")).alias("head"))
     asks = placed.join(heads, ["mask", "part"]).where("component <> head").select("mask", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), "fp", F.lit(1).alias("asks"))
 
@@ -208,7 +209,7 @@ def linked(points: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id that links reach, itself included) of every row."""
     found = cut(fingerprints(docs, shingle))
-    points = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    points = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")), found.count())
     joined = points.join(linked(points.select("fp"), radius), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(names, "component").select("fp", "component_id")
