@@ -130,3 +130,31 @@ def token_estimate(text: Column) -> Column:
 def risk_class(nodes: Column, components: Column, routes: Column, services: Column) -> Column:
     """Risk of a change by what it reaches."""
     return F.when((services > 1) | (components > 2) | (routes > 4) | (nodes >= 120), "high").when((services > 0) | (components > 1) | (routes > 0) | (nodes >= 35), "medium").otherwise("low")
+
+
+def policy_confidence(base: Column, trust: Column) -> Column:
+    """A source's trust times the base confidence, which is 1 where unset."""
+    return clamp(unset(base, 1.0) * trust, 0.0, 1.0)
+
+
+def auto_reward(question_answer: Column, alignment: Column) -> Column:
+    """Reward of an answer: its similarity to the question, and the mean positive similarity of what it was based on (null: none)."""
+    return clamp((0.7 * question_answer + 0.3 * F.coalesce(alignment, question_answer) - 0.10) / 0.80, -1.0, 1.0)
+
+
+def retry_minutes(interval: Column, errors: Column) -> Column:
+    """Minutes until a goal is tried again: doubled with each error, five times at most, a day at most."""
+    return F.least(F.lit(1440), F.greatest(F.lit(1), (interval * F.pow(F.lit(2.0), F.least(errors, F.lit(5)))).cast("int")))
+
+
+def evidence_allowances(lengths: Column, budget: int) -> Column:
+    """Characters that each text may take of a budget: what is left over the texts that are left, in order; what one doesn't need goes to the next."""
+    n = F.size(lengths)
+    start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        share = F.floor(F.greatest(s["left"], F.lit(0)) / (n - F.size(s["out"]))).cast("int")
+        take = F.least(x.cast("int"), share)
+        return F.struct((s["left"] - take).alias("left"), F.concat(s["out"], F.array(take)).alias("out"))
+
+    return F.aggregate(lengths, start, step, lambda s: s["out"])

@@ -129,13 +129,20 @@ def chunk_words(text: Column, words: int = 160, over: int = 30, most: int = 24)
     return F.when(F.size(parts) > 0, made).otherwise(strings())
 
 
+#: Entities that pages hold, & last.
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»",
+    "&bdquo;": "„", "&ldquo;": "“", "&rdquo;": "”", "&euro;": "€", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ntilde;": "ñ", "&amp;": "&",
+}
+
+
 def html_to_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags taken out, block ends as line breaks, common entities resolved, blanks collapsed."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"</p>|</h[1-3]>", "\n\n"), r"</div>|</li>|<br ?/?>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, plain in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return clean_text(out)
 
@@ -280,3 +287,150 @@ def material_relevant(anchors: Column, text: Column) -> Column:
         .when(F.size(numbers) > 0, (exact > 0) & ((F.size(lexical) == 0) | (near > 0)))
         .when(F.size(lexical) <= 1, near == F.size(lexical)).otherwise(near >= 2)
     )
+
+
+def embedding_prompt(text: Column, profile: str, title: Column | None = None) -> Column:
+    """What an embedder is given: a query, or with a title a document. Only one profile adds prefixes."""
+    t = F.trim(text)
+    if profile != "embeddinggemma":
+        return text if title is None else F.concat_ws("\n", title, text)
+    if title is None:
+        return F.concat(F.lit("task: search result | query: "), t)
+    name = F.when(F.trim(F.coalesce(title, F.lit(""))) == "", "none").otherwise(F.trim(title))
+    return F.concat(F.lit("title: "), name, F.lit(" | text: "), t)
+
+
+def find_replace(text: Column, find: str, replace: str, regex: bool = False, case_sensitive: bool = False) -> Column:
+    """All places replaced: of a literal, with or without regard to case, or of a regular expression (whose groups are $1, $2 ..)."""
+    import re
+
+    if not find:
+        return text
+    if regex:
+        return F.regexp_replace(text, find if case_sensitive else f"(?iu){find}", replace)
+    if case_sensitive:
+        return F.replace(text, F.lit(find), F.lit(replace))
+    return F.regexp_replace(text, f"(?iu){re.escape(find)}", replace.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def distinct_folded(values: Column, without: Sequence[str] = ()) -> Column:
+    """Trimmed values, each once without regard to case in its first spelling, in order, without blanks and those to be left out."""
+    gone = F.array(*[F.lit(v.strip().lower()) for v in without]).cast("array<string>")
+    kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: (v != "") & ~F.array_contains(gone, F.lower(v)))
+    low = F.transform(kept, F.lower)
+    return F.filter(kept, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
+def valid_domain(domain: Column) -> Column:
+    """The domain in its plain form, null if it is none: labels of letters, digits and inner dashes, two at least."""
+    d = F.regexp_replace(F.regexp_replace(F.lower(F.trim(domain)), r"^\*\.", ""), r"\.$", "")
+    return F.when(d.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$"), d)
+
+
+#: Words that make a query about the process and not about its subject, and subject words that say nothing.
+META_PHRASES = ("strongest negative evidence", "corrective task", "next cycle", "scheduler", "research plan", "review the strongest", "observe predict evaluate learn")
+EMPTY_SUBJECT = (
+    "diese", "dieser", "soll", "system", "autonom", "informationen", "information", "sammle", "neuen", "neue", "über", "about", "with", "from", "that", "this", "target",
+    "research", "wissen", "hochwertige", "quellengebundene",
+)
+_EDGE = r"""^[.,:;!?()\[\]{}"'/_-]+|[.,:;!?()\[\]{}"'/_-]+$"""
+
+
+def query_useful(query: Column, subject: Column) -> Column:
+    """May a query be asked? It isn't about the process, and holds a word of its subject, if that has any."""
+    q, s = F.lower(F.trim(query)), F.lower(F.trim(F.coalesce(subject, F.lit(""))))
+    words = F.filter(F.transform(F.split(s, r"\s+"), lambda t: F.regexp_replace(t, _EDGE, "")), lambda t: (F.length(t) >= 3) & ~t.isin(*EMPTY_SUBJECT))
+    meta = F.lit(False)
+    for phrase in META_PHRASES:
+        meta = meta | q.contains(phrase)
+    return (F.octet_length(q) >= 3) & ~meta & ((s == "") | F.exists(words, lambda t: q.contains(t)))
+
+
+#: Description words that no query needs.
+QUERY_STOP = (
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einer", "und", "oder", "mit", "für", "von", "zum", "zur", "zu", "nach", "bei", "auf", "erstelle", "erstellen",
+    "recherchiere", "suche", "sammle", "informationen", "information", "deutschsprachigen", "deutschsprachig", "wissensartikel", "support", "hochwertigen", "hochwertiger", "sichere",
+    "typische", "geeignete", "bevorzuge", "offizielle", "technisch", "belastbare", "quellen", "keine", "keinen", "allgemeinen", "ohne", "direkten", "bezug", "themen", "the", "and",
+    "for", "with", "from", "about", "create", "research", "find", "article",
+)
+
+
+def research_queries(title: Column, description: Column, site: Column, most: int) -> Column:
+    """Queries for a goal: its title, the title at a preferred site, the title with up to four telling words of the description; without a title its first words."""
+    canon = lambda t: F.regexp_replace(F.lower(F.trim(t)), r"[-_/.:]", "")
+    bare = lambda c: F.transform(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda t: F.regexp_replace(t, _EDGE, ""))
+    t = F.trim(F.coalesce(title, F.lit("")))
+    seen = F.transform(bare(F.lower(t)), canon)
+    words = F.filter(bare(description), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*QUERY_STOP) & ~F.lower(w).contains("wissensartikel") & ~F.array_contains(seen, canon(w)))
+    keys = F.transform(words, canon)
+    extras = F.slice(F.filter(words, lambda w, i: F.array_position(keys, canon(w)) == i + 1), 1, 4)
+    longer = F.trim(F.concat_ws(" ", t, F.array_join(extras, " ")))
+    parts = F.array(
+        F.when(t != "", t), F.when((t != "") & site.isNotNull(), F.concat(t, F.lit(" site:"), site)), F.when((F.size(extras) > 0) & (F.lower(longer) != F.lower(t)), longer),
+        F.when((t == "") & (F.size(extras) == 0), F.array_join(F.slice(F.split(F.trim(description), r"\s+"), 1, 8), " ")),
+    )
+    return F.array_distinct(F.slice(F.filter(parts, lambda p: p.isNotNull() & (p != "")), 1, most))
+
+
+#: What makes a statement an instruction.
+ACTION_MARKS = (
+    "führen sie", "verwenden sie", "prüfen sie", "stellen sie sicher", "setzen sie", "aktivieren sie", "deaktivieren sie", "empfohlen", "sollte", "muss", "befehl", "command", "upgrade",
+    "backup", "`", "/restorehealth", "/scannow",
+)
+
+
+def actionable(text: Column) -> Column:
+    out = F.lit(False)
+    for mark in ACTION_MARKS:
+        out = out | F.lower(text).contains(mark)
+    return out
+
+
+def statements(text: Column, most: int) -> Column:
+    """array(struct(text, actionable)) of a draft's lines of 28 characters or more, list marks taken off, each once without regard to case."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^[#*\-0-9. )\t]+", ""), r"\s+", " ")))
+    long = F.filter(lines, lambda x: F.length(x) >= 28)
+    low = F.transform(long, F.lower)
+    once = F.slice(F.filter(long, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
+    return F.transform(once, lambda x: F.struct(x.alias("text"), actionable(x).alias("actionable")))
+
+
+def any_time(text: Column) -> Column:
+    """A time in one of the forms that records come in, else null."""
+    t = F.trim(text)
+    zoned = F.try_to_timestamp(t)
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"), zoned)
+
+
+def repair_escapes(raw: Column) -> Column:
+    """JSON text with every backslash that begins no legal escape doubled."""
+    return F.regexp_replace(raw, r'(?<!\\)((?:\\\\)*)\\(?!["\\/bfnrt]|u[0-9A-Fa-f]{4})', r"$1\\\\")
+
+
+def useful_tokens(query: Column) -> Column:
+    """The first six words of five bytes or more, or that begin with 0x, punctuation taken off, sorted and distinct without regard to case."""
+    words = F.transform(F.split(F.trim(F.coalesce(query, F.lit(""))), r"\s+"), lambda t: F.regexp_replace(t, r"""^[.,;:!?()\[\]{}"']+|[.,;:!?()\[\]{}"']+$""", ""))
+    fit = F.slice(F.filter(words, lambda t: (F.octet_length(t) >= 5) | ((F.octet_length(t) >= 3) & F.lower(t).startswith("0x"))), 1, 6)
+    return F.array_sort(distinct_folded(fit))
+
+
+def render(template: Column, values: dict[str, Column]) -> Column:
+    """The template with every {{name}} replaced."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def claim_preview(text: Column) -> Column:
+    """The beginning up to the first sentence end from character 61 to 260, else an excerpt of 260."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    head = F.regexp_extract(flat, r"^(.{60,259}?[.!?])", 1)
+    return F.when(head != "", head).otherwise(excerpt(flat, 260))
+
+
+def summary_lines(texts: Column, heading: str = "Consolidated memory:", most: int = 320) -> Column:
+    """A heading and a line per distinct text, white space collapsed, cut to `most` characters."""
+    flat = F.array_distinct(F.filter(F.transform(texts, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != ""))
+    lines = F.transform(flat, lambda t: F.concat(F.lit("- "), F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…"))).otherwise(t)))
+    return F.array_join(F.concat(F.array(F.lit(heading)), lines), "\n")

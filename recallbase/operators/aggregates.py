@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallbase.operators.shared import small
+
 #: Upper bounds in seconds of the request histogram.
 DURATIONS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
 
@@ -60,7 +62,7 @@ def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
     prices: model, input, cached, output, embedding, long_from, long_input, long_cached, long_output (per million; 0 is unset). Models without a price are left out.
     """
-    p = usage.join(F.broadcast(prices.limit(10_000)), "model")
+    p = usage.join(small(prices), "model")
     long = (F.col("long_from") > 0) & (F.col("input_tokens") > F.col("long_from"))
     rate = lambda name: F.when(long & (F.col(f"long_{name}") > 0), F.col(f"long_{name}")).otherwise(F.col(name))
     cached = F.when(rate("cached") == 0, rate("input")).otherwise(rate("cached"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallbase.operators.shared import small
+
 TERMINAL = ("done", "completed", "failed", "error", "canceled")
 
 
@@ -32,7 +34,7 @@ def claims(jobs: DataFrame, workers: DataFrame) -> DataFrame:
     """For each worker (worker, resource) the queued job that it would claim: highest priority, then oldest, then least id. One candidate per resource is enough, so a few rows are joined."""
     order = Window.partitionBy("resource").orderBy(F.desc("priority"), "created_at", "id")
     first = jobs.where("status = 'queued'").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("resource", "id", "priority", "created_at")
-    return workers.join(F.broadcast(first.limit(10_000)), "resource")
+    return workers.join(small(first), "resource")
 
 
 def dependency_state(jobs: DataFrame, dependencies: DataFrame) -> DataFrame:

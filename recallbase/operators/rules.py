@@ -138,3 +138,117 @@ def publication_gate(evidence: Column, sources: Column, corroborations: Column,
 
 def auto_reply_approval(enabled: Column, categories: Column, allowed: Sequence[int], faq: Column, allow_uncategorised: bool) -> Column:
     return decide([("auto_reply_disabled", enabled), ("no_category", F.lit(allow_uncategorised) | (F.size(categories) > 0)), ("category_not_allowed", (F.size(categories) == 0) | F.arrays_overlap(categories, F.array(*[F.lit(a) for a in allowed]).cast("array<bigint>"))), ("not_an_faq", faq)], "approved")
+
+
+#: Escalation actions in the order in which they are carried out.
+ACTION_ORDER = ("assign_security_team", "link_major_incident", "assign_second_level", "raise_priority", "notify_service_owner", "request_manager_review")
+
+
+def escalation_actions(actions: Column) -> Column:
+    """The first three distinct actions (trimmed, lower case, without `none`) in the fixed order, unknown ones last by name."""
+    clean = F.filter(F.array_distinct(F.transform(actions, lambda a: F.lower(F.trim(a)))), lambda a: (a != "") & (a != "none"))
+    order = F.array(*[F.lit(a) for a in ACTION_ORDER])
+    ranked = F.array_sort(F.transform(F.slice(clean, 1, 3), lambda a: F.struct(F.when(F.array_position(order, a) > 0, F.array_position(order, a)).otherwise(F.lit(100)).cast("int").alias("n"), a.alias("a"))))
+    return F.transform(ranked, lambda r: r["a"])
+
+
+def reason_codes(codes: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(codes, lambda c: F.lower(F.trim(c))), lambda c: c != ""))
+
+
+def unsupported_reasons(codes: Column, evidence: dict[str, Column]) -> Column:
+    """Reasons that the evidence contradicts; reasons that no evidence column is named after are left alone."""
+    bad = F.array(*[F.when(~F.coalesce(held, F.lit(False)), F.lit(name)) for name, held in evidence.items()])
+    return F.filter(reason_codes(codes), lambda c: F.array_contains(F.filter(bad, lambda b: b.isNotNull()), c))
+
+
+#: Signals that take precedence over a model's reasons, in order; each is put before those already there.
+PRECEDENCE = ("organization_affected", "site_affected", "multiple_users_affected", "workaround_available", "no_workaround", "business_deadline", "security_incident_suspected", "data_loss_possible")
+
+
+def reconcile_reasons(reasons: Column, signals: Column) -> Column:
+    """At most three reasons after the signals of the text had their say; without any, `insufficient_information`."""
+    own = reason_codes(reasons)
+    own = F.when(F.size(signals) > 0, F.array_remove(own, "insufficient_information")).otherwise(own)
+    first = F.filter(F.array(*[F.lit(c) for c in reversed(PRECEDENCE)]), lambda c: F.array_contains(signals, c) & ~F.array_contains(own, c))
+    both = F.concat(first, own)
+    lacking = (F.size(both) == 0) | F.array_contains(both, "insufficient_information")
+    return F.when(lacking, F.array(F.lit("insufficient_information"))).otherwise(F.slice(both, 1, 3))
+
+
+def reconciled_scope(scope: Column, signals: Column) -> Column:
+    has = lambda c: F.array_contains(signals, c)
+    return (
+        F.when(has("organization_affected"), "organization").when(has("site_affected"), F.when(scope == "organization", scope).otherwise("site"))
+        .when(has("multiple_users_affected"), F.when(scope.isin("organization", "site"), scope).otherwise("multiple_users")).otherwise(scope)
+    )
+
+
+def trend_text(title: Column, evaluation: Column, progress: Column) -> Column:
+    """A sentence on where a goal is heading."""
+    trend = F.when(evaluation >= 0.35, "positive").when(evaluation <= -0.35, "at risk").otherwise("uncertain")
+    return F.format_string('Current evidence indicates a %s trajectory for "%s" (score %.2f, progress %.0f%%).', trend, title, evaluation, progress * 100)
+
+
+def version_processed(outcome: Column, error: Column, trigger: Column, version: Column) -> Column:
+    """Did a run settle a ticket's version? Not if it failed, was scheduled or knows no version."""
+    return ~((outcome == "error") | (error != "") | (F.lower(trigger) == "scheduled_escalation")) & (version != "")
+
+
+#: Beginnings of failures that another attempt would repeat.
+DETERMINISTIC_FAILURES = (
+    "staging synthesis ", "invalid staging synthesis ", "staging article too ", "staging answer too ", "invalid expanded staging ", "claim verification ", "staging source authority ",
+    "staging evidence diversity ", "no active, goal-relevant ", "staging quality gate ",
+)
+
+
+def deterministic_failure(message: Column) -> Column:
+    m = F.lower(F.trim(message))
+    out = m.contains("source-unverified identifiers")
+    for head in DETERMINISTIC_FAILURES:
+        out = out | m.startswith(head)
+    return out
+
+
+def article_bounds(text: Column, answer: Column, text_range: tuple[int, int], answer_range: tuple[int, int]) -> Column:
+    """What is wrong with the lengths of an article and its answer; null if nothing is."""
+    t, a = F.length(F.trim(F.coalesce(text, F.lit("")))), F.length(F.trim(F.coalesce(answer, F.lit(""))))
+    return F.when(t < text_range[0], "article too short").when(t > text_range[1], "article too long").when(a < answer_range[0], "answer too short").when(a > answer_range[1], "answer too long")
+
+
+def status_reply_kind(kind: Column, status: Column) -> Column:
+    """`maintenance`, `incident` or null, for which there is no fixed reply."""
+    k, s = F.lower(kind), F.lower(F.trim(status))
+    return F.when((k == "maintenance") | (s == "maintenance"), "maintenance").when((k == "pinned_incident") | s.isin("down", "pending", "incident"), "incident")
+
+
+def auto_reply_approval(enabled: bool, allow_uncategorized: bool, categories: Column, article: Column, allowed: Sequence[int], allowed_articles: Sequence[int]) -> Column:
+    """struct(approved, reason) of an article by the categories of its source."""
+    says = lambda ok, why: F.struct(F.lit(ok).alias("approved"), F.lit(why).alias("reason"))
+    if not enabled:
+        return says(False, "auto_reply_disabled")
+    hit = F.arrays_overlap(categories, F.array(*[F.lit(int(c)) for c in allowed]).cast("array<bigint>")) if allowed else F.lit(False)
+    bare = says(False, "article_without_category") if not allow_uncategorized else F.when(article.isin(*allowed_articles), says(True, "uncategorized_article_approved")).otherwise(says(False, "uncategorized_article_not_whitelisted"))
+    return F.when(F.size(categories) == 0, bare).when(hit, says(True, "auto_reply_approved")).otherwise(says(False, "category_not_whitelisted" if allowed else "auto_reply_whitelist_empty"))
+
+
+#: Words of a category's name and what tickets of it are about.
+CATEGORY_HINTS = (
+    (("active directory", "entra", "identity", "benutzerkonto", "account"), ("Benutzerkonto", "Anmeldung / Login", "Konto gesperrt", "Passwort", "Domänenkonto", "Gruppen und Berechtigungen", "Authentifizierung")),
+    (("druck", "printer"), ("Drucker", "Drucken nicht möglich", "Druckwarteschlange", "Netzwerkdrucker", "Toner", "Papierstau")),
+    (("vpn",), ("VPN-Verbindung", "Remote Access", "Gateway", "GlobalProtect", "Tunnel", "Verbindungsaufbau")),
+    (("mail", "outlook", "exchange"), ("E-Mail", "Outlook", "Postfach", "E-Mail Versand und Empfang", "Exchange")),
+    (("netz", "network", "wlan", "wifi"), ("Netzwerk", "LAN", "WLAN", "Keine Verbindung", "DNS", "IP-Adresse")),
+    (("hardware", "client", "arbeitsplatz"), ("Arbeitsplatzgerät", "Notebook", "PC", "Dockingstation", "Peripherie")),
+)
+
+
+def category_hints(name: Column) -> Column:
+    """Hints of all rules that a category's name meets, distinct in order."""
+    low, parts = F.lower(name), []
+    for marks, hints in CATEGORY_HINTS:
+        met = F.lit(False)
+        for mark in marks:
+            met = met | low.contains(mark)
+        parts.append(F.when(met, F.array(*[F.lit(h) for h in hints])).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*parts))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,6 +24,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df to be sent to all tasks if it has at most `most` rows, else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def in_blocks(queries: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], size: int = 4096) -> DataFrame:
+    """The union of work(block) over a stated set of queries, in blocks of about `size` rows at most, each to be sent to all tasks."""
+    n = queries.count()
+    blocks = 1 if n <= size else -(-2 * n // size)
+    if blocks == 1:
+        return work(F.broadcast(queries))
+    place = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.union, [work(F.broadcast(queries.where(place == b))) for b in range(blocks)])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df read back from a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
+from recallbase.operators.shared import in_blocks
 
 #: Most query vectors that are sent to all rows at once.
 QUERY_BLOCK = 4096
@@ -80,13 +81,14 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0,
 def search(queries: DataFrame, memories: DataFrame, k: int = 8, least: float = 0.35, allowed: Column | None = None) -> DataFrame:
     """Explainable search: query_id, id, similarity, the factors, score, rank, candidate_source, for searchable memories of the query's dimension.
 
-    queries (query_id, vector) is a stated set of few rows and is broadcast; `allowed` narrows the memories before the ranking.
+    queries (query_id, vector) is a stated set, which meets the memories in blocks; `allowed` narrows the memories before the ranking.
     """
     rows = memories.where(X.searchable(F.col("status")))
     if allowed is not None:
         rows = rows.where(allowed)
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("q_vector")).limit(QUERY_BLOCK))
-    pairs = rows.join(q, F.size("vector") == F.size("q_vector")).where("id <> query_id").withColumn("similarity", X.cosine(F.col("q_vector"), F.col("vector")))
+    q = queries.select("query_id", F.col("vector").alias("q_vector"))
+    pairs = in_blocks(q, "query_id", lambda block: rows.join(block, F.size("vector") == F.size("q_vector")).where("id <> query_id"), QUERY_BLOCK)
+    pairs = pairs.withColumn("similarity", X.cosine(F.col("q_vector"), F.col("vector")))
     scored = pairs.where(F.col("similarity") >= least).select(
         "query_id", "id", "similarity", (0.75 + 0.25 * F.col("salience")).alias("salience_factor"), X.type_weight(F.col("memory_type")).alias("type_weight"), (0.85 + 0.15 * X.unset(F.col("confidence"), 1.0)).alias("confidence_factor"),
     )

@@ -40,13 +40,13 @@ def m06(spark, sf_dir):
     return L.corroborate(views.memory(spark, sf_dir), e).select("id", F.round("confidence", 9).alias("confidence"), F.round("salience", 9).alias("salience"), "sources")
 
 
-@query("m07_reinforce_edges", """WITH RECURSIVE e AS (SELECT least(user_id % 40, event_id % 37) AS a, greatest(user_id % 40, event_id % 37) + 1 AS b, event_id, event_id // 400 AS at_day, value / 500e0 AS delta FROM events WHERE event_id % 4 = 0),
+@query("m07_reinforce_edges", """WITH RECURSIVE e AS (SELECT least(user_id % 40, event_id % 37) AS a, greatest(user_id % 40, event_id % 37) + 1 AS b, event_id, event_id // 400 AS at_day, value / 500e0 AS delta FROM events),
   n AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY at_day, delta) AS k FROM e),
   f AS (SELECT a, b, k, CAST(at_day AS DOUBLE) AS d, greatest(-1e0, least(1e0, delta)) AS w FROM n WHERE k = 1
     UNION ALL SELECT n.a, n.b, n.k, CAST(n.at_day AS DOUBLE), greatest(-1e0, least(1e0, f.w * pow(0.98e0, n.at_day - f.d) + n.delta)) FROM f JOIN n ON n.a = f.a AND n.b = f.b AND n.k = f.k + 1)
   SELECT a, b, round(arg_max(w, k), 6) AS weight, max(k) AS activations FROM f GROUP BY a, b""")
 def m07(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.least(F.expr("user_id % 40"), F.expr("event_id % 37")).alias("a"), (F.greatest(F.expr("user_id % 40"), F.expr("event_id % 37")) + 1).alias("b"), F.expr("event_id div 400").alias("at_day"), (F.col("value") / 500).alias("delta"))
+    e = table(spark, sf_dir, "events").select(F.least(F.expr("user_id % 40"), F.expr("event_id % 37")).alias("a"), (F.greatest(F.expr("user_id % 40"), F.expr("event_id % 37")) + 1).alias("b"), F.expr("event_id div 400").alias("at_day"), (F.col("value") / 500).alias("delta"))
     return L.reinforce(e, 0.02, 1.0).select("a", "b", F.round("weight", 6).alias("weight"), F.col("activations").cast("long").alias("activations"))
 
 

@@ -9,6 +9,7 @@ from recallbase.functions import exprs as X
 from recallbase.functions import text as T
 from recallbase.operators import aggregates as A
 from recallbase.operators import jobs as J
+from recallbase.operators.shared import in_blocks
 from recallbase.plans import views
 from recallbase.plans.registry import query
 from recallbase.plans.views import sql
@@ -100,8 +101,8 @@ def a16(spark, sf_dir):
   SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1e0 ELSE 0e0 END), 9) AS recall_at_k, round(avg(CASE WHEN rank <= 5 THEN 1e0 / rank ELSE 0e0 END), 9) AS mrr FROM e""")
 def a17(spark, sf_dir):
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    cases = F.broadcast(b.select(F.col("item_id").alias("case_id"), F.col("text").alias("wanted")).limit(4096))  # a stated set of cases
-    hits = d.join(cases, F.col("text").contains(F.col("wanted"))).select("case_id", "doc_id", F.length("text").alias("size"))
+    cases = b.select(F.col("item_id").alias("case_id"), F.col("text").alias("wanted"))  # a stated set
+    hits = in_blocks(cases, "case_id", lambda block: d.join(block, F.col("text").contains(F.col("wanted")))).select("case_id", "doc_id", F.length("text").alias("size"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("size", "doc_id"))).where("doc_id % 2 = 0").groupBy("case_id").agg(F.min("rank").alias("rank"))
     out = A.reciprocal_rank(b.select(F.col("item_id").alias("case_id")).join(ranked, "case_id", "left"), 5)
     return out.select("cases", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("mrr", 9).alias("mrr"))

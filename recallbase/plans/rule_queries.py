@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recallbase.functions import exprs as X
 from recallbase.functions import text as T
 from recallbase.operators import rules as R
+from recallbase.operators.shared import small
 from recallbase.plans import views
 from recallbase.plans.registry import query
 from recallbase.plans.views import sql
@@ -166,7 +167,7 @@ def delta(old, new):
 def d05(spark, sf_dir):
     old = table(spark, sf_dir, "documents").select("doc_id", "source")
     new = table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(F.col("page_id").alias("doc_id"), F.lit("src1").alias("source"))
-    replaced = old.join(F.broadcast(new.select("source").distinct().limit(10_000)), "source", "left_anti").unionByName(new)
+    replaced = old.join(small(new.select("source").distinct()), "source", "left_anti").unionByName(new)
     return replaced.groupBy("source").agg(F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recallbase.functions import exprs as X
 from recallbase.functions import text as T
 from recallbase.operators import vectors as V
+from recallbase.operators.shared import in_blocks
 from recallbase.plans import views
 from recallbase.plans.registry import query
 from recallbase.plans.views import sql
@@ -15,12 +16,12 @@ from recallbase.plans.views import sql
 _SEARCH = """scored AS (SELECT q.id AS query_id, m.id, m.source, list_dot_product(q.vector, m.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(m.vector, m.vector))) AS similarity,
     0.75e0 + 0.25e0 * m.salience AS salience_factor, CASE m.memory_type WHEN 'episodic' THEN 1e0 WHEN 'semantic' THEN 1.15e0 WHEN 'procedural' THEN 1.20e0 ELSE 0.85e0 END AS type_weight,
     0.85e0 + 0.15e0 * CASE WHEN m.confidence > 0 THEN m.confidence ELSE 1e0 END AS confidence_factor
-    FROM memory q JOIN memory m ON m.id <> q.id WHERE q.id < 10 AND m.status IN ('active', 'conflicted')),
+    FROM memory q JOIN memory m ON m.id <> q.id WHERE q.id % 50 = 0 AND m.status IN ('active', 'conflicted')),
   ranked AS (SELECT *, similarity * salience_factor * type_weight * confidence_factor AS score FROM scored WHERE similarity >= 0.05e0)"""
 
 
 def _queries(memory):
-    return memory.where("id < 10").select(F.col("id").alias("query_id"), "vector")
+    return memory.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
 @query("v03_vector_search", sql(_SEARCH + """, top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM ranked)
@@ -87,13 +88,15 @@ def v18(spark, sf_dir):
     return e.select("vec_id", F.round(X.dot(F.col("embedding"), F.col("embedding")), 9).alias("norm2"), F.size("embedding").cast("long").alias("dim"), F.round(F.element_at(X.l2_normalize(F.col("embedding")), 1), 9).alias("first"))
 
 
-@query("v17_nearest_centroid", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), c AS (SELECT vec_id AS i, x AS y FROM v WHERE vec_id < 8),
+@query("v17_nearest_centroid", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT label, unnest(generate_series(1, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+  c AS (SELECT label AS i, list(x ORDER BY pos) AS y FROM (SELECT label, pos, avg(x) AS x FROM p GROUP BY label, pos) GROUP BY label),
   d AS (SELECT vec_id, i, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c)
   SELECT vec_id, CAST(arg_min(i, d) AS INTEGER) AS cell FROM d GROUP BY vec_id""")
 def v17(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    centers = [list(r.embedding) for r in e.where("vec_id < 8").orderBy("vec_id").collect()]
-    return e.select("vec_id", V.nearest_centroid(F.col("embedding"), centers).alias("cell"))
+    centers = V.centroids(e.withColumnRenamed("embedding", "vector"), "label").orderBy("label").collect()  # a row per class
+    place = V.nearest_centroid(F.col("embedding"), [list(r.vector) for r in centers])
+    return e.select("vec_id", F.element_at(F.array(*[F.lit(r.label) for r in centers]), place + 1).cast("int").alias("cell"))
 
 
 @query("v24_index_build_policy", sql("""SELECT memory_type, count(*) AS records, count(*) >= 20 AND (sum(CASE WHEN status = 'archived' THEN 1 ELSE 0 END) = 0 OR max(access_count) > 10) AS build FROM memory GROUP BY memory_type""", "memory"))
@@ -158,25 +161,25 @@ def c01(spark, sf_dir):
     return d.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.sha2(F.array_join("t", " "), 256).alias("joined"))
 
 
-@query("x10_token_f1", f"""WITH b AS (SELECT item_id, list_distinct({_tok('text')}) AS q FROM benchmark WHERE item_id % 5 = 0), d AS (SELECT doc_id, list_distinct({_tok('text')}) AS t FROM documents),
+@query("x10_token_f1", f"""WITH b AS (SELECT item_id, list_distinct({_tok('text')}) AS q FROM benchmark WHERE item_id % 50 = 0), d AS (SELECT doc_id, list_distinct({_tok('text')}) AS t FROM documents),
   p AS (SELECT item_id, doc_id, CAST(len(list_intersect(q, t)) AS DOUBLE) AS c, len(q) AS nq, len(t) AS nt FROM b, d)
   SELECT item_id, doc_id, round(2 * (c / nq) * (c / nt) / (c / nq + c / nt), 9) AS f1, round(c / nq, 9) AS overlap FROM p WHERE c / nq >= 0.5e0""")
 def x10(spark, sf_dir):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 5 = 0").select("item_id", T.tokens(F.col("text")).alias("q"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 50 = 0").select("item_id", T.tokens(F.col("text")).alias("q"))
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    p = d.join(F.broadcast(b.limit(V.QUERY_BLOCK)))  # a stated set of queries, against all rows
+    p = in_blocks(b, "item_id", d.join)  # the stated queries, against all rows
     return p.select("item_id", "doc_id", F.round(T.token_f1(F.col("q"), F.col("t")), 9).alias("f1"), F.round(T.overlap(F.col("q"), F.col("t")), 9).alias("overlap")).where("overlap >= 0.5")
 
 
-@query("x17_candidate_selection", f"""WITH b AS (SELECT item_id, list_distinct({_tok('text')}) AS q FROM benchmark WHERE item_id % 5 = 0), d AS (SELECT doc_id, list_distinct({_tok('text')}) AS t FROM documents),
+@query("x17_candidate_selection", f"""WITH b AS (SELECT item_id, list_distinct({_tok('text')}) AS q FROM benchmark WHERE item_id % 50 = 0), d AS (SELECT doc_id, list_distinct({_tok('text')}) AS t FROM documents),
   s AS (SELECT item_id, doc_id, round(CAST(len(list_intersect(q, t)) AS DOUBLE) / len(q), 9) AS score FROM b, d),
   r AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS best, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
   SELECT item_id, doc_id, score, rank, CASE WHEN best >= 0.3e0 AND score >= greatest(0.3e0, best - 0.4e0) AND rank <= 5 THEN 'sent_to_ai' WHEN score < 0.3e0 THEN 'below_retrieval_floor'
     WHEN score < greatest(0.3e0, best - 0.4e0) THEN 'outside_candidate_gap' WHEN rank > 5 THEN 'max_candidates_reached' ELSE 'not_selected' END AS reason FROM r WHERE rank <= 12""")
 def x17(spark, sf_dir):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 5 = 0").select("item_id", T.tokens(F.col("text")).alias("q"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 50 = 0").select("item_id", T.tokens(F.col("text")).alias("q"))
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    hits = d.join(F.broadcast(b.limit(V.QUERY_BLOCK))).select("item_id", "doc_id", F.round(T.overlap(F.col("q"), F.col("t")), 9).alias("score"))
+    hits = in_blocks(b, "item_id", d.join).select("item_id", "doc_id", F.round(T.overlap(F.col("q"), F.col("t")), 9).alias("score"))
     return select_candidates(hits, "item_id", most=5, floor=0.3, gap=0.4, audit=12)
 
 
@@ -218,14 +221,15 @@ def x20(spark, sf_dir):
 
 
 @query("x15_category_shortlist", sql("""w AS (SELECT ticket_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{Nd}]+'), lambda t: length(t) >= 3)) AS word FROM ticket),
-  c AS (SELECT p_partkey AS category_id, lower(p_name) AS name FROM part WHERE p_partkey <= 40),
+  c AS (SELECT min(p_partkey) AS category_id, lower(p_name) AS name FROM part GROUP BY lower(p_name)),
   s AS (SELECT ticket_id, category_id, count(*) AS score FROM w JOIN c ON contains(c.name, w.word) GROUP BY ticket_id, category_id),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, category_id) AS INTEGER) AS rank FROM s)
   SELECT ticket_id, category_id, score, rank FROM r WHERE rank <= 5""", "ticket"))
 def x15(spark, sf_dir):
     words = views.ticket(spark, sf_dir).select("ticket_id", F.explode(F.filter(T.research_words(F.col("content")), lambda t: F.length(t) >= 3)).alias("word"))
-    cats = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 40").select(F.col("p_partkey").alias("category_id"), F.lower("p_name").alias("name"))
+    cats = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("category_id"))
     per = words.groupBy("ticket_id", "word").agg(F.count("*").alias("n"))
-    score = per.join(F.broadcast(cats), F.col("name").contains(F.col("word"))).groupBy("ticket_id", "category_id").agg(F.sum("n").alias("score"))
+    met = in_blocks(cats, "category_id", lambda block: per.join(block, F.col("name").contains(F.col("word"))))
+    score = met.groupBy("ticket_id", "category_id").agg(F.sum("n").alias("score"))
     w = Window.partitionBy("ticket_id").orderBy(F.desc("score"), "category_id")
     return score.withColumn("rank", F.row_number().over(w)).where("rank <= 5")

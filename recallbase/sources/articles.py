@@ -72,8 +72,8 @@ def category_map(raw: Column) -> Column:
 
 def scan(spark: SparkSession, folder: str, per_file: bool = False) -> DataFrame:
     """path and raw of every article below a folder: a line of a .json file each, or the whole file."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", per_file)
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    return reader.text(folder, wholetext=per_file).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
 def decode(articles: DataFrame, sources: Sequence[str], mapping: Column, mode: str = "keep", ignore: Sequence[str] = ()) -> DataFrame:
