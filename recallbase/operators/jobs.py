@@ -60,3 +60,15 @@ def reserve_budget(requests: DataFrame, limit: float) -> DataFrame:
     day = F.date_trunc("day", F.col("created_at"))
     spent = F.sum("cost").over(Window.partitionBy(day).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0))
     return requests.withColumn("spent", spent).withColumn("granted", F.col("spent") <= limit)
+
+
+def retried(jobs: DataFrame) -> DataFrame:
+    """Failed and canceled jobs back in the queue with no attempts."""
+    again = F.col("status").isin("failed", "canceled")
+    return jobs.withColumns({"status": F.when(again, "queued").otherwise(F.col("status")), "attempts": F.when(again, 0).otherwise(F.col("attempts"))})
+
+
+def compacted(jobs: DataFrame) -> DataFrame:
+    """Jobs without the payloads of relink jobs that are done."""
+    settled = (F.col("status") == "done") & (F.col("type") == "vector.relink")
+    return jobs.withColumn("payload_bytes", F.when(~settled, F.col("payload_bytes")))

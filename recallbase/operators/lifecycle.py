@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
+from recallbase.operators.shared import cut
 
 
 def with_defaults(new: DataFrame) -> DataFrame:
@@ -41,37 +41,38 @@ def conflict_outcome(new_version: Column, old_version: Column, new_text: Column,
     )
 
 
+#: Scores are compared in billionths, a gap of this many or more decides.
+GAP = 150_000_000
+
+
 def resolve_conflicts(memories: DataFrame) -> DataFrame:
-    """id, new_status, conflict_group after replaying all memories of each truth key in order of version, time and id.
+    """id, new_status, conflict_group as if all memories of each truth key were added in order of version, time and id, each met by all before it.
 
-    A row that meets a newer version is superseded, whatever came before, so only rows of a key's newest version need the
-    replay, which is ordered and keyed. Archived rows keep their status and are met by nobody. Rows without a key are left out.
+    A row that meets a newer version is superseded, whatever came before, so only a key's newest version needs a look. There
+    the last later row of the same text, or of a score that isn't 0.15 lower, decides a row's status; that row comes from
+    running maxima over the key's scores. A row without such a later one is decided by the rows before it; each of these
+    rows scores 0.15 less than the one before, so a key has a handful. Archived rows keep their status and are met by nobody.
+    Rows without a key are left out.
     """
-    rows = memories.select("id", F.lower(F.trim("truth_key")).alias("key"), "version", "created_at", "status", F.sha2(F.lower(F.trim("text")), 256).alias("text_hash"), X.knowledge_score(F.col("confidence"), F.col("reward"), F.col("salience")).alias("score"))
-    rows = rows.where("key <> ''")
-    live = rows.where("status <> 'archived'")
-    newest = live.groupBy("key").agg(F.max("version").alias("newest"))
-    placed = live.join(newest, "key")
+    score = X.knowledge_score(F.col("confidence"), F.col("reward"), F.col("salience"))
+    rows = memories.select("id", F.lower(F.trim("truth_key")).alias("key"), "version", "created_at", "status", F.sha2(F.lower(F.trim("text")), 256).alias("text_hash"), F.round(score * 1e9).cast("long").alias("score")).where("key <> ''")
+    live = rows.where("status <> 'archived'").withColumn("newest", F.max("version").over(Window.partitionBy("key")))
+    own = Window.partitionBy("key").orderBy("score")
+    me = F.struct("n", "text_hash", "score")
+    top = live.where("version = newest").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("created_at", "id")))
+    top = top.withColumn("last", F.greatest(F.max(me).over(own.rangeBetween(1 - GAP, Window.unboundedFollowing)), F.max(me).over(Window.partitionBy("key", "text_hash"))))
+    alike = F.count("*").over(Window.partitionBy("key", "text_hash").orderBy("score").rangeBetween(1 - GAP, GAP - 1))
+    top = top.withColumn("contested", F.count("*").over(own.rangeBetween(1 - GAP, GAP - 1)) > alike)
+    by_later = F.when((F.col("last.text_hash") == F.col("text_hash")) | (F.col("last.score") - F.col("score") >= GAP), "superseded").otherwise("conflicted")
+    survivors = top.where("last.n = n").select("id", "key", "n", "text_hash", "score")
+    before = top.select("key", F.col("n").alias("n_j"), F.col("text_hash").alias("text_j"), F.col("score").alias("score_j"))
+    met = survivors.join(before, "key").where((F.col("n_j") < F.col("n")) & (F.col("text_j") != F.col("text_hash")) & (F.col("score") - F.col("score_j") < GAP))
+    by_before = met.groupBy("id").agg(F.max_by(F.when(F.col("score") - F.col("score_j") > -GAP, "conflicted").otherwise("superseded"), F.col("n_j")).alias("by_before"))
+    decided = top.join(by_before, "id", "left").select(
+        "id", F.when(F.col("last.n") > F.col("n"), by_later).otherwise(F.coalesce("by_before", "status")).alias("new_status"), F.when(F.col("contested"), F.concat(F.lit("conflict:"), "key")).alias("conflict_group"),
+    )
     plain = lambda df, status: df.select("id", status.alias("new_status"), F.lit(None).cast("string").alias("conflict_group"))
-
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)
-        status, group, texts, scores = part["status"].tolist(), [None] * len(part), part["text_hash"].tolist(), part["score"].tolist()
-        name = "conflict:" + part["key"].iloc[0]
-        for i in range(len(part)):
-            for j in range(i):
-                gap = scores[i] - scores[j]
-                if texts[i] == texts[j] or gap >= 0.15:
-                    status[j] = "superseded"
-                elif gap > -0.15:
-                    status[i] = status[j] = "conflicted"
-                    group[i] = group[j] = name
-                else:
-                    status[i] = "superseded"
-        return pd.DataFrame({"id": part["id"], "new_status": status, "conflict_group": group})
-
-    replayed = placed.where("version = newest").groupBy("key").applyInPandas(replay, "id long, new_status string, conflict_group string")
-    return replayed.unionByName(plain(placed.where("version < newest"), F.lit("superseded"))).unionByName(plain(rows.where("status = 'archived'"), F.col("status")))
+    return decided.unionByName(plain(live.where("version < newest"), F.lit("superseded"))).unionByName(plain(rows.where("status = 'archived'"), F.col("status")))
 
 
 def resolve_manually(memories: DataFrame, key: str, winner: int) -> DataFrame:
@@ -92,15 +93,18 @@ def corroborate(memories: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def reinforce(events: DataFrame, daily_decay: float, most: float) -> DataFrame:
-    """a, b, weight, activations of edges after their events (a, b, at_day, delta) in order: decay since the last one, add, clamp.
+    """a, b, weight, activations of edges after their events (a, b, at_day, delta) in order of day and delta: decay since the last day, add, clamp.
 
-    Clamping makes the order matter: an ordered fold over each edge's own events.
+    Clamping makes the order matter. Within a day what is taken away comes first and what is added last, so two sums stand for
+    a day's events, however many; the fold over an edge's days is what is left.
     """
-    ordered = events.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("at_day", "delta"))).alias("e"))
+    lost, won = F.sum(F.least(F.col("delta"), F.lit(0.0))), F.sum(F.greatest(F.col("delta"), F.lit(0.0)))
+    days = events.groupBy("a", "b", "at_day").agg(lost.alias("lost"), won.alias("won"), F.count("*").alias("n"))
+    ordered = days.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("at_day", "lost", "won"))).alias("e"), F.sum("n").alias("activations"))
     keep = max(0.0, 1.0 - daily_decay)
     start = F.struct(F.lit(0.0).alias("w"), F.col("e")[0]["at_day"].cast("double").alias("d"))
-    step = lambda s, x: F.struct(F.greatest(F.lit(-most), F.least(F.lit(most), s["w"] * F.pow(F.lit(keep), x["at_day"] - s["d"]) + x["delta"])).alias("w"), x["at_day"].cast("double").alias("d"))
-    return ordered.select("a", "b", F.aggregate("e", start, step)["w"].alias("weight"), F.size("e").alias("activations"))
+    step = lambda s, x: F.struct(F.least(F.lit(most), F.greatest(F.lit(-most), s["w"] * F.pow(F.lit(keep), x["at_day"] - s["d"]) + x["lost"]) + x["won"]).alias("w"), x["at_day"].cast("double").alias("d"))
+    return ordered.select("a", "b", F.aggregate("e", start, step)["w"].alias("weight"), "activations")
 
 
 def edge_evidence(events: DataFrame, most: float) -> DataFrame:
@@ -169,33 +173,32 @@ def fold_log(log: DataFrame, key: str, revision: str, deleted: str, after: Colum
 
 
 def consolidate(memories: DataFrame, neighbours: DataFrame, least: int, most: int) -> DataFrame:
-    """(cluster, id): seeds by access count, then age; each takes up to `most` of its unused neighbours (a, b, similarity), most similar first; clusters under `least` are dropped.
+    """(cluster, id): seeds by access count, then age, then id; each takes its most similar unused neighbours (a, b, similarity) up to `most` in all; clusters under `least` are dropped and their members stay free.
 
-    Greedy and in order, so each connected piece of the neighbour graph is worked on alone, in one group.
+    The greedy order only matters between seeds that are at most two links apart. So each round takes all seeds at once that
+    come first among those, which gives the clusters of the plain order; a round is joins and minima, cut by a checkpoint.
     """
-    from recallbase.operators.graph import connected
-
-    edges = neighbours.select("a", "b")
-    piece = connected(memories.select("id"), edges)
-    nodes = memories.select("id", "access_count", "created_at").join(piece, "id").groupBy("component").agg(F.sort_array(F.collect_list(F.struct(-F.col("access_count"), "created_at", "id"))).alias("seeds"))
-    links = neighbours.join(piece.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.collect_list(F.struct("a", "b", "similarity")).alias("links"))
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for seeds, links in zip(batch["seeds"], batch["links"], strict=True):
-                near: dict[int, list] = {}
-                for e in links if links is not None else []:
-                    near.setdefault(e["a"], []).append((-e["similarity"], e["b"]))
-                    near.setdefault(e["b"], []).append((-e["similarity"], e["a"]))
-                used: set[int] = set()
-                for s in seeds:
-                    if s["id"] in used:
-                        continue
-                    cluster = [s["id"], *[b for _, b in sorted(near.get(s["id"], [])) if b not in used and b != s["id"]]][:most]
-                    if len(cluster) >= least:
-                        used.update(cluster)
-                        out += [(s["id"], b) for b in cluster]
-            yield pd.DataFrame(out, columns=["cluster", "id"])
-
-    return nodes.join(links, "component").select("seeds", "links").mapInPandas(greedy, "cluster long, id long")
+    rank = F.struct((-F.col("access_count")).alias("uses"), "created_at", "id")
+    nodes = cut(memories.select("id", rank.alias("rank")).dropDuplicates(["id"]).withColumn("tried", F.lit(False)))
+    both = neighbours.select("a", "b", "similarity").union(neighbours.select("b", "a", "similarity")).where("a <> b").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    ids = nodes.select("id")
+    links = cut(both.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi"))
+    found: list[DataFrame] = []
+    nodes = cut(nodes.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi")) if least > 1 else nodes
+    while nodes.where("not tried").limit(1).count():
+        waiting = nodes.where("not tried").select("id", "rank")
+        near = links.join(waiting.select(F.col("id").alias("b"), "rank"), "b").groupBy(F.col("a").alias("id")).agg(F.min("rank").alias("near"))
+        first = nodes.join(near, "id", "left").select("id", F.least(F.when(~F.col("tried"), F.col("rank")), "near").alias("first"))
+        second = links.join(first.select(F.col("id").alias("b"), "first"), "b").groupBy(F.col("a").alias("id")).agg(F.min("first").alias("second"))
+        ready = waiting.join(first, "id").join(second, "id", "left").where((F.col("rank") == F.col("first")) & (F.col("second").isNull() | (F.col("rank") <= F.col("second")))).select("id")
+        ready = cut(ready)
+        taken = links.join(ready.withColumnRenamed("id", "a"), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+        near_first = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+        taken = taken.withColumn("_n", F.row_number().over(near_first)).where(F.col("_n") < most).select(F.col("a").alias("cluster"), F.col("b").alias("id"))
+        every = ready.select(F.col("id").alias("cluster"), "id").unionByName(taken)
+        large = every.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
+        made = cut(every.join(large, "cluster", "left_semi"))
+        found.append(made)
+        left = nodes.join(made.select("id"), "id", "left_anti").join(ready.withColumn("_now", F.lit(True)), "id", "left")
+        nodes = cut(left.select("id", "rank", (F.col("tried") | F.coalesce("_now", F.lit(False))).alias("tried")))
+    return reduce(DataFrame.unionByName, found) if found else memories.select(F.col("id").alias("cluster"), "id").limit(0)

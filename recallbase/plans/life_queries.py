@@ -18,10 +18,10 @@ _UTILITY = f"0.30e0 * exp(-greatest({_AGE}, 0e0) / 30) + 0.20e0 * least(1e0, ln(
 _NOW = "2024-02-15 00:00:00"
 
 
-@query("m04_conflict_resolution", sql("""r AS (SELECT id, lower(truth_key) AS key, version, created_at, status, sha256(lower(trim(text))) AS h, 0.55e0 * confidence + 0.25e0 * least(greatest((reward + 1) / 2, 0e0), 1e0) + 0.20e0 * least(greatest(salience / 2, 0e0), 1e0) AS score FROM memory),
+@query("m04_conflict_resolution", sql("""r AS (SELECT id, lower(truth_key) AS key, version, created_at, status, sha256(lower(trim(text))) AS h, CAST(round((0.55e0 * confidence + 0.25e0 * least(greatest((reward + 1) / 2, 0e0), 1e0) + 0.20e0 * least(greatest(salience / 2, 0e0), 1e0)) * 1e9) AS BIGINT) AS score FROM memory),
   live AS (SELECT *, max(version) OVER (PARTITION BY key) AS newest FROM r WHERE status <> 'archived'), top AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at, id) AS n FROM live WHERE version = newest),
-  later AS (SELECT j.id, arg_max(CASE WHEN i.h = j.h OR i.score - j.score >= 0.15e0 THEN 'superseded' ELSE 'conflicted' END, i.n) AS s FROM top j JOIN top i ON i.key = j.key AND i.n > j.n WHERE i.h = j.h OR i.score - j.score > -0.15e0 GROUP BY j.id),
-  own AS (SELECT i.id, arg_max(CASE WHEN i.score - j.score > -0.15e0 THEN 'conflicted' ELSE 'superseded' END, j.n) AS s FROM top i JOIN top j ON i.key = j.key AND j.n < i.n WHERE NOT (i.h = j.h OR i.score - j.score >= 0.15e0) GROUP BY i.id)
+  later AS (SELECT j.id, arg_max(CASE WHEN i.h = j.h OR i.score - j.score >= 150000000 THEN 'superseded' ELSE 'conflicted' END, i.n) AS s FROM top j JOIN top i ON i.key = j.key AND i.n > j.n WHERE i.h = j.h OR i.score - j.score > -150000000 GROUP BY j.id),
+  own AS (SELECT i.id, arg_max(CASE WHEN i.score - j.score > -150000000 THEN 'conflicted' ELSE 'superseded' END, j.n) AS s FROM top i JOIN top j ON i.key = j.key AND j.n < i.n WHERE NOT (i.h = j.h OR i.score - j.score >= 150000000) GROUP BY i.id)
   SELECT t.id, coalesce(l.s, o.s, t.status) AS new_status FROM top t LEFT JOIN later l ON l.id = t.id LEFT JOIN own o ON o.id = t.id UNION ALL SELECT id, 'superseded' FROM live WHERE version < newest UNION ALL SELECT id, status FROM r WHERE status = 'archived'""", "memory"))
 def m04(spark, sf_dir):
     return L.resolve_conflicts(views.memory(spark, sf_dir)).select("id", "new_status")
