@@ -37,9 +37,12 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    if rows is not None:
-        df = df.coalesce(max(context.defaultParallelism, rows // FILE_ROWS))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else in_files(df, rows)).checkpoint(eager=True)
+
+
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of about `rows` light rows in no more partitions than hold FILE_ROWS each, or than there are cores."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // FILE_ROWS))
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallbase.llm.common import cut
+from recallbase.llm.common import cut, in_files
 
 #: Fixed values, the base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,11 +76,13 @@ def _joined(spans: Column) -> Column:
 
 
 def _with_live(scanned: DataFrame, owners: DataFrame) -> DataFrame:
-    """scanned (cut) and `live`: its spans whose value fewer than COPIED owners have."""
-    rows = scanned.withColumn("_row", F.monotonically_increasing_id())
-    candidates = rows.where(F.size("spans") > 0).select("_row", F.explode("spans").alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
+    """scanned (cut) and `live`: its spans whose value fewer than COPIED owners have. Only rows with spans are shuffled."""
+    none = F.array().cast(_SPAN)
+    rows = scanned.where(F.size("spans") > 0).withColumn("_row", F.monotonically_increasing_id())
+    candidates = rows.select("_row", F.explode("spans").alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
     live = candidates.join(owners.where(F.col("owners") < COPIED), "value_hash").groupBy("_row").agg(F.array_sort(F.collect_set("s")).alias("live"))
-    return rows.join(live, "_row", "left").withColumn("live", F.coalesce("live", F.array().cast(_SPAN))).drop("_row")
+    found = rows.join(live, "_row", "left").withColumn("live", F.coalesce("live", none)).drop("_row")
+    return scanned.where(F.size("spans") == 0).withColumn("live", none).unionByName(found)
 
 
 def _reported() -> Column:
@@ -91,7 +93,7 @@ def _reported() -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, live_spans of every row."""
     scanned = cut(scan(docs))
-    rows = _with_live(scanned, ownership(scanned))
+    rows = in_files(_with_live(scanned, ownership(scanned)), scanned.count())
     base = F.filter("spans", lambda s: s["kind"] != "opaque")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return rows.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(_reported()).alias("spans"), _joined(F.col("live")).alias("live_spans"))
