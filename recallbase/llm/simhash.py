@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallbase.llm.common import components, cut, text_slices
+from recallbase.llm.common import components, cut, in_files, text_slices
 
 #: Fingerprints in one tree, at most about.
 TREE = 4096
@@ -213,4 +213,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     joined = points.join(linked(points.select("fp"), radius), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(names, "component").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = in_files(found.join(named, "fp"), found.count())
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
