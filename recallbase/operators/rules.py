@@ -136,10 +136,6 @@ def publication_gate(evidence: Column, sources: Column, corroborations: Column,
     return decide([("insufficient_evidence", evidence >= least[0]), ("insufficient_sources", sources >= least[1]), ("insufficient_corroboration", corroborations >= least[2]), ("no_authoritative_source", authoritative >= least[3]), ("no_new_information", new)], "publish")
 
 
-def auto_reply_approval(enabled: Column, categories: Column, allowed: Sequence[int], faq: Column, allow_uncategorised: bool) -> Column:
-    return decide([("auto_reply_disabled", enabled), ("no_category", F.lit(allow_uncategorised) | (F.size(categories) > 0)), ("category_not_allowed", (F.size(categories) == 0) | F.arrays_overlap(categories, F.array(*[F.lit(a) for a in allowed]).cast("array<bigint>"))), ("not_an_faq", faq)], "approved")
-
-
 #: Escalation actions in the order in which they are carried out.
 ACTION_ORDER = ("assign_security_team", "link_major_incident", "assign_second_level", "raise_priority", "notify_service_owner", "request_manager_review")
 
