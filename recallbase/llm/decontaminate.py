@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallbase.llm.common import cut, text_slices
+from recallbase.llm.common import text_slices
 
 #: Words of a seed; neighbouring n-grams of which one is a seed; words of items in a block.
 SEED, WINDOW, BLOCK_WORDS = 4, 3, 1_000_000
@@ -173,42 +173,57 @@ def _seeds(items: list[np.ndarray], counts: dict[int, int]) -> tuple[np.ndarray,
     return np.array(h, np.uint64), np.array(k, np.int64), np.array(i, np.int64)
 
 
+class Matcher:
+    """A block of items with its seeds: finds the items that texts hold copies of."""
+
+    def __init__(self, docs: DataFrame, block: list[tuple[int, np.ndarray]]):
+        self.ids, self.items = [i for i, _ in block], [w for _, w in block]
+        hashes, owners, places = _seeds(self.items, _counts(docs, np.concatenate([grams(w) for w in self.items])))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners, self.places = hashes[order], owners[order], places[order]
+
+    def open(self) -> Matcher:
+        """With the look-up tables that a task needs."""
+        self.lookup = Lookup(self.hashes)
+        self.first = np.searchsorted(self.hashes, self.lookup.keys)
+        self.count = np.diff(np.append(self.first, len(self.hashes)))
+        return self
+
+    def find(self, texts: pa.Array, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """(row, item_id, score, first word, end word) of the best alignment of each text and item that scores `least` or more."""
+        words, begins = hashed_words(texts)
+        at, key = self.lookup.find(grams(words))
+        doc = np.searchsorted(begins, at, side="right") - 1
+        whole = at + SEED <= begins[doc + 1]  # no n-gram across two documents
+        at, key, doc = at[whole], key[whole], doc[whole]
+        each = self.count[key]
+        rows = np.repeat(self.first[key] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        at, doc = np.repeat(at, each), np.repeat(doc, each)
+        for d, lo, hi in zip(*_runs(doc), strict=True):
+            text = words[begins[d] : begins[d + 1]]
+            best: dict[int, tuple[float, int, int]] = {}
+            for item, a, b in _spans(self.items, at[lo:hi] - begins[d], self.owners[rows[lo:hi]], self.places[rows[lo:hi]], len(text)):
+                score, end = align(self.items[item], text[a:b])
+                score /= SAME * len(self.items[item])
+                if score >= least and score > best.get(item, (0.0,))[0]:
+                    best[item] = (score, a, a + end)
+            for item, found in sorted(best.items()):
+                yield d, self.ids[item], *found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
     """doc_id, item_id, score (0 to 1), first_word, end_word for each document and item whose best alignment scores `least` or more."""
     found = []
     for block in _blocks(benchmark):
-        ids, items = [i for i, _ in block], [w for _, w in block]
-        hashes, owners, places = _seeds(items, _counts(docs, np.concatenate([grams(w) for w in items])))
-        order = np.argsort(hashes, kind="stable")
-        hashes, owners, places = hashes[order], owners[order], places[order]
+        matcher = Matcher(docs, block)
 
-        def scan(batches: Iterator[pa.RecordBatch], ids=ids, items=items, hashes=hashes, owners=owners, places=places) -> Iterator[pa.RecordBatch]:
-            lookup = Lookup(hashes)
-            first = np.searchsorted(hashes, lookup.keys)
-            count = np.diff(np.append(first, len(hashes)))
+        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            m = matcher.open()
             for batch in text_slices(batches, "text"):
-                words, begins = hashed_words(batch.column("text"))
-                at, key = lookup.find(grams(words))
-                doc = np.searchsorted(begins, at, side="right") - 1
-                whole = at + SEED <= begins[doc + 1]  # no n-gram across two documents
-                at, key, doc = at[whole], key[whole], doc[whole]
-                each = count[key]
-                rows = np.repeat(first[key] - np.cumsum(each) + each, each) + np.arange(each.sum())
-                at, doc = np.repeat(at, each), np.repeat(doc, each)
-                out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "score", "first_word", "end_word")}
                 doc_ids = batch.column("doc_id")
-                for d, lo, hi in zip(*_runs(doc), strict=True):
-                    text = words[begins[d] : begins[d + 1]]
-                    best: dict[int, tuple[float, int, int]] = {}
-                    for item, a, b in _spans(items, at[lo:hi] - begins[d], owners[rows[lo:hi]], places[rows[lo:hi]], len(text)):
-                        score, end = align(items[item], text[a:b])
-                        score /= SAME * len(items[item])
-                        if score >= least and score > best.get(item, (0.0,))[0]:
-                            best[item] = (score, a, a + end)
-                    for item, values in sorted(best.items()):
-                        for name, v in zip(out, (doc_ids[int(d)].as_py(), ids[item], *values), strict=True):
-                            out[name].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["item_id"], pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["first_word"], pa.int64()), pa.array(out["end_word"], pa.int64())], names=list(out))
+                rows = [(doc_ids[d].as_py(), *rest) for d, *rest in m.find(batch.column("text"), least)]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
         found.append(docs.select("doc_id", "text").mapInArrow(scan, _SCHEMA))
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], _SCHEMA)
@@ -226,6 +241,17 @@ def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
-    """docs without the documents found. Rows of null doc_id can't be named by a finding and stay."""
-    bad = cut(contaminated(docs, benchmark, least).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows found. Each row is judged by its own text, where it is; no text is shuffled."""
+    out = docs
+    for block in _blocks(benchmark):
+        matcher = Matcher(docs, block)
+
+        def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            m = matcher.open()
+            for batch in text_slices(batches, "text"):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[found[0] for found in m.find(batch.column("text"), least)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(scan, docs.schema)
+    return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallbase.llm.common import Rows, WordMemo, cut, hashed_share, in_fold, ragged, segments, text_slices
+from recallbase.llm.common import Rows, WordMemo, hashed_share, in_fold, ragged, segments, text_slices
 
 #: Bound of the training sample: rows, and characters of a row.
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
@@ -199,31 +199,38 @@ def fit(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held_fold: int = 1
     return train([r.text for r in rows], labelled) if len(set(labelled.tolist())) == 2 else None
 
 
+def _scorer(model: Model | None):
+    """A function of texts -> scores that remembers the words it has met."""
+    if model is None:
+        return lambda texts: np.zeros(len(texts))
+    table = Rows(2)
+
+    def learn(words: list[str], fresh: bool) -> None:
+        if fresh:
+            table.clear()
+        if words:
+            sub, n = subwords(words)
+            table.add(np.stack([np.add.reduceat(model.weight[sub], segments(n)[:-1]), n], 1))
+
+    memo = WordMemo(learn)
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        lists = [words_of(t) for t in texts]
+        rows = memo.rows([w for ws in lists for w in ws])  # may make the table grow
+        values = table.data[rows]
+        return model.score(_worst(values[:, 0], values[:, 1], [len(ws) for ws in lists], model.bias)[0])
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (0 to 1) of every row, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table = Rows(2)
-
-        def learn(words: list[str], fresh: bool) -> None:
-            if fresh:
-                table.clear()
-            if words:
-                sub, n = subwords(words)
-                table.add(np.stack([np.add.reduceat(model.weight[sub], segments(n)[:-1]), n], 1))
-
-        memo = WordMemo(learn)
+        scores = _scorer(shared.value)
         for batch in text_slices(batches, "text"):
-            if model is None:
-                found = np.zeros(batch.num_rows)
-            else:
-                lists = [words_of(t) for t in batch.column("text").to_pylist()]
-                rows = memo.rows([w for ws in lists for w in ws])
-                values = table.data[rows]
-                found = model.score(_worst(values[:, 0], values[:, 1], [len(ws) for ws in lists], model.bias)[0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores(batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
 
@@ -235,6 +242,12 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold_of:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Rows of docs below the threshold. Rows are dropped by doc_id; those of null doc_id stay."""
-    bad = cut(predict(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of docs whose score is below the threshold. Each row is judged by its own text, where it is; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(shared.value)
+        for batch in text_slices(batches, "text"):
+            yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
