@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
 from recallbase.functions import text as T
+from recallbase.operators.shared import cut
 
 #: Most rows of a table of matches that is sent to all tasks; a larger one is joined by a shuffle.
 SMALL = 200_000
@@ -48,7 +49,10 @@ def similar_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     first, runs = (lambda c: F.substring(c, 1, 3)), (lambda c: F.explode(_grams(F.col(c))))
     one = long_terms.select("term", first("term").alias("g")).join(long_tokens.select("token", runs("token").alias("g")), "g")
     two = long_terms.select("term", runs("term").alias("g")).join(long_tokens.select("token", first("token").alias("g")), "g")
-    pairs = one.select("term", "token").union(two.select("term", "token")).where("term <> token").distinct()
+    # Most pairs of a common run go by their first five bytes, before anything is computed for them.
+    head = lambda w: F.substring(F.col(w), F.lit(1), F.when(F.octet_length(w) == F.length(w), 5).otherwise(3))
+    close = (F.col("term") != F.col("token")) & (F.col("token").contains(head("term")) | F.col("term").contains(head("token")))
+    pairs = one.select("term", "token").where(close).union(two.select("term", "token").where(close)).distinct()
     scored = pairs.select("term", "token", T.token_similarity(F.col("term"), F.col("token")).alias("similarity")).where("similarity > 0")
     return equal.unionByName(scored)
 
@@ -56,7 +60,7 @@ def similar_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def coverage(query_terms: DataFrame, tokens: DataFrame, matches: DataFrame, *keys: str) -> DataFrame:
     """(query_id, keys, value): mean over a query's terms, with repeats, of the best similarity to a token. query_terms: (query_id, terms, an array); tokens: (keys, token), distinct."""
     n = query_terms.where(F.size("terms") > 0).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).groupBy("query_id", "n", "term").agg(F.count("*").alias("times"))
-    best = tokens.join(_if_small(matches), "token").groupBy(*keys, "term").agg(F.max("similarity").alias("best"))
+    best = tokens.join(matches, "token").groupBy(*keys, "term").agg(F.max("similarity").alias("best"))
     return best.join(_if_small(n), "term").groupBy("query_id", *keys).agg(F.least(F.lit(1.0), F.sum(F.col("best") * F.col("times")) / F.first("n")).alias("value"))
 
 
@@ -92,24 +96,25 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, categories: DataF
     parts = q.select("query_id", F.col("chunk").alias("part"), T.tokens(F.col("chunk")).alias("tokens"))
     q_text = queries.select("query_id", "text", head.alias("head"), T.token_list(F.col("text")).alias("terms"))
     q_head = q_text.select("query_id", T.token_list(F.col("head")).alias("terms"))
-    whole = F.concat_ws(" ", "title", "text")
+    # Token sets are needed several times; taking texts apart costs more than reading them back.
+    words_of = cut(docs.select("id", "title", T.tokens(F.col("title")).alias("title_tokens"), T.tokens(F.concat_ws(" ", "title", "text")).alias("tokens")))
 
     # Chunks of documents against chunks of queries.
     chunks = docs.select("id", F.posexplode(T.chunk_words(F.col("text"), words, over)).alias("chunk_no", "chunk")).select("id", "chunk_no", T.tokens(F.col("chunk")).alias("tokens"))
     semantic = set_f1(parts, chunks, "id", "chunk_no").groupBy("query_id", "id").agg(F.max("value").alias("value"))
     # Titles.
-    titled = docs.where(F.trim(F.coalesce("title", F.lit(""))) != "").select("id", "title", T.tokens(F.col("title")).alias("tokens"))
+    titled = words_of.where(F.trim(F.coalesce("title", F.lit(""))) != "").select("id", "title", F.col("title_tokens").alias("tokens"))
     title_tokens = titled.select("id", F.explode("tokens").alias("token"))
-    doc_tokens = docs.select("id", F.explode(T.tokens(whole)).alias("token"))
+    doc_tokens = words_of.select("id", F.explode("tokens").alias("token"))
     terms = q_text.select(F.explode("terms").alias("term")).union(q_head.select(F.explode("terms"))).distinct()
-    matches = similar_words(terms, doc_tokens.select("token").distinct())
+    matches = _if_small(cut(similar_words(terms, doc_tokens.select("token").distinct())))
     head_f1 = set_f1(q_head.select("query_id", F.lit("").alias("part"), F.array_distinct("terms").alias("tokens")), titled.select("id", "tokens"), "id")
     head_cover = coverage(q_head, title_tokens, matches, "id")
     normal = titled.select("title", T.normalized(F.col("title")).alias("t")).distinct()
     within = normal.join(_if_small(q_text.select("query_id", T.normalized(F.col("head")).alias("h")))).where((F.col("t") == F.col("h")) | F.col("t").contains(F.col("h")) | F.col("h").contains(F.col("t")))
     named = titled.select("id", "title").join(within.select("query_id", "title"), "title").select("query_id", "id", F.lit(1.0).alias("value"))
     # The whole text, words alike.
-    text_f1 = set_f1(q_text.select("query_id", F.lit("").alias("part"), F.array_distinct("terms").alias("tokens")), docs.select("id", T.tokens(whole).alias("tokens")), "id")
+    text_f1 = set_f1(q_text.select("query_id", F.lit("").alias("part"), F.array_distinct("terms").alias("tokens")), words_of.select("id", "tokens"), "id")
     text_cover = coverage(q_text, doc_tokens, matches, "id")
     keyword = phrases(queries, docs.select("id", F.explode("keywords").alias("phrase")), "id")
     found = [(semantic, "semantic"), (head_f1, "title"), (head_cover, "title"), (named, "title"), (text_f1, "lexical"), (text_cover, "lexical"), (head_cover, "lexical"), (keyword, "lexical"), (keyword, "keyword")]
