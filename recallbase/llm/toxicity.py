@@ -142,11 +142,12 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 5, rate: fl
         for k in range(0, len(order), 4096):
             pick = order[k : k + 4096]
             a, e, y = chosen[0][pick], chosen[1][pick], chosen[2][pick]
-            w = flat[ragged(a, e - a)]
-            number = np.add.reduceat(per_word[w], segments(e - a)[:-1])
-            rows_in = sub[ragged(sub_at[w], per_word[w])]
-            cuts = segments(number)[:-1]
-            mean = np.add.reduceat(emb[rows_in], cuts) / number[:, None].astype(np.float32)
+            # Each distinct word of the batch is summed once, and its gradient spread over its subwords once.
+            w, place = np.unique(flat[ragged(a, e - a)], return_inverse=True)
+            rows_in, cuts = sub[ragged(sub_at[w], per_word[w])], segments(e - a)[:-1]
+            of_word = np.add.reduceat(emb[rows_in], segments(per_word[w])[:-1])
+            number = np.add.reduceat(per_word[w][place], cuts)
+            mean = np.add.reduceat(of_word[place], cuts) / number[:, None].astype(np.float32)
             logits = mean @ out + b
             logits -= logits.max(1, keepdims=True)
             p = np.exp(logits)
@@ -155,9 +156,10 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 5, rate: fl
             p *= balance[pick][:, None]
             d_out, d_b = mean.T @ p, p.sum(0)
             d_mean = (p @ out.T) / number[:, None].astype(np.float32)
-            spread = np.repeat(np.arange(len(y)), number)
+            spread, owner = np.repeat(np.arange(len(y)), e - a), np.repeat(np.arange(len(w)), per_word[w])
+            d_word = np.stack([np.bincount(place, d_mean[spread, c], len(w)) for c in range(WIDTH)], 1)
             used, at = np.unique(rows_in, return_inverse=True)
-            d_emb = np.stack([np.bincount(at, d_mean[spread, c], len(used)) for c in range(WIDTH)], 1).astype(np.float32)
+            d_emb = np.stack([np.bincount(at, d_word[owner, c], len(used)) for c in range(WIDTH)], 1).astype(np.float32)
             g_emb[used] += (d_emb**2).mean(1, keepdims=True)
             emb[used] -= rate * d_emb / np.sqrt(g_emb[used])
             g_out += d_out**2
