@@ -1,22 +1,26 @@
 """Benchmark decontamination: rare n-gram seeds find test items in documents, Smith-Waterman alignment scores them.
 
-Words are runs of letters, digits and non-ASCII characters of the lower-cased text. All n-grams of the items are counted
-over the whole corpus; in every window of WINDOW neighbouring n-grams of an item the rarest one is its seed, so each
-run of SEED + WINDOW - 1 words that a document shares with an item holds a seed, however common its words. Around the
-seeds that lie on about one diagonal the document is aligned with the item, locally, and the score is divided by that
-of a full match.
+Words are runs of letters, digits and non-ASCII characters of the lower-cased text. Seeds are pairs of neighbouring
+words of an item. An alignment of n item words that scores `least` or more has lost at most 2 n (1 - least) pairs: a
+word put in costs 1 of 2 n and breaks one pair, a word changed or left out costs 3 and breaks two. What is left (`_needed`)
+lies within n (3 - 2 least) words of the document. So a part of a document is aligned with an item where it holds that
+many seeds so close together, and no alignment that scores `least` is missed, however the copy was edited and whatever
+else the corpus holds. Items too short for a pair to be sure to remain take their single words as seeds, likewise. Of
+the pairs counted over the whole corpus the commonest are left out, as many as the count leaves room for (SPARE).
+The score is divided by that of a full match.
 
 The items are the query set. They are read in blocks of at most BLOCK_WORDS words, and each block meets all documents
 in a scan of its own, in which only counts of n-grams are shuffled. So what a task holds of them is bounded, and no
 document is moved.
 
-Nulls and ties: null and empty texts match nothing, on either side; items of fewer than SEED words have no seed and are
+Nulls and ties: null and empty texts match nothing, on either side; items of fewer than LEAST_WORDS words are
 never found. Each row is looked at alone, so repeated documents give repeated rows and repeated items a row each.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from recallbase.llm.common import text_slices
 
-#: Words of a seed; neighbouring n-grams of which one is a seed; words of items in a block.
-SEED, WINDOW, BLOCK_WORDS = 4, 3, 1_000_000
+#: Words of an item, at least; seeds that must lie together where an item has as many, the commonest beyond are left out; words of items in a block; seed hits looked at together.
+LEAST_WORDS, SPARE, BLOCK_WORDS, HITS = 4, 3, 1_000_000, 2_000_000
 #: Alignment: score of an equal word, of an unequal pair, of a word left out.
 SAME, OTHER, GAP = 2.0, -1.0, -1.0
 _WORD = np.zeros(256, bool)
@@ -67,7 +71,7 @@ def _powers(n: int) -> np.ndarray:
         return np.cumprod(np.full(n, _BASE, np.uint64))
 
 
-def grams(words: np.ndarray, n: int = SEED) -> np.ndarray:
+def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n-gram that begins at each word; the last n - 1 words have none."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
@@ -113,20 +117,10 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _spans(items: list[np.ndarray], hits_at: np.ndarray, owners: np.ndarray, places: np.ndarray, n_words: int) -> Iterator[tuple[int, int, int]]:
-    """(item, first word, end word) of the parts of a document around seeds of an item that lie near one another."""
-    order = np.lexsort((hits_at, owners))
-    k = 0
-    while k < len(order):
-        item, length = int(owners[order[k]]), len(items[owners[order[k]]])
-        margin = 4 + length // 4
-        lo = hits_at[order[k]] - places[order[k]] - margin
-        hi = hits_at[order[k]] - places[order[k]] + length + margin
-        k += 1
-        while k < len(order) and owners[order[k]] == item and hits_at[order[k]] - places[order[k]] - margin <= hi:
-            hi = max(hi, hits_at[order[k]] - places[order[k]] + length + margin)
-            k += 1
-        yield item, max(0, int(lo)), min(n_words, int(hi))
+def _needed(n: int, least: float) -> tuple[int, int]:
+    """Words of a seed of an item of n words, and how many of its seeds every alignment that scores `least` keeps."""
+    pairs = n - 1 - math.floor(2 * n * (1 - least) + 1e-9)
+    return (2, pairs) if pairs > 0 else (1, max(1, n - math.floor(n * (1 - least) + 1e-9)))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -134,7 +128,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     block, held = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = hashed_words(pa.array([row.text]))[0]
-        if len(words) < SEED:
+        if len(words) < LEAST_WORDS:
             continue
         if held and held + len(words) > BLOCK_WORDS:
             yield block
@@ -145,83 +139,124 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
-def _counts(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
-    """How often the block's n-grams occur in all documents."""
+def _counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
+    """How often the block's n-grams, by their number of words, occur in all documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(keys)
-        total = np.zeros(len(lookup.keys), np.int64)
+        lookups = {size: Lookup(k) for size, k in keys.items()}
+        totals = {size: np.zeros(len(x.keys), np.int64) for size, x in lookups.items()}
         for batch in text_slices(batches, "text"):
             words, _ = hashed_words(batch.column("text"))
-            total += np.bincount(lookup.find(grams(words))[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lookup.keys[seen].view(np.int64)), pa.array(total[seen])], names=["h", "n"])
-
-    rows = docs.select("text").mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return {int(r.h) & (1 << 64) - 1: r.n for r in rows.toLocalIterator()}
+            for size, lookup in lookups.items():
+                totals[size] += np.bincount(lookup.find(grams(words, size))[1], minlength=len(lookup.keys))
+        for size, total in totals.items():
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), size, np.int32)), pa.array(lookups[size].keys[seen].view(np.int64)), pa.array(total[seen])], names=["size", "h", "n"])
+
+    rows = docs.select("text").mapInArrow(scan, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
+    return {(r["size"], int(r.h) & (1 << 64) - 1): r.n for r in rows.toLocalIterator()}
+
+
+class Seeds:
+    """Seeds of one number of words: finds the parts of documents that hold enough seeds of an item."""
+
+    def __init__(self, size: int, items: list[np.ndarray], owners: list[int], counts: dict[tuple[int, int], int], least: float):
+        self.size = size
+        self.asked, self.reach = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+        pairs = set()
+        for k in owners:
+            own, n = grams(items[k], size).tolist(), len(items[k])
+            keep = _needed(n, least)[1]
+            self.asked[k] = asked = max(min(keep, SPARE), (keep + 1) // 2)
+            self.reach[k] = math.floor(n * (3 - 2 * least) + 1e-9)
+            rare = sorted(range(len(own)), key=lambda i: (counts.get((size, own[i]), 0), own[i], i))
+            pairs |= {(own[i], k) for i in rare[: len(own) - keep + asked]}
+        h, k = zip(*sorted(pairs), strict=True)
+        self.hashes, self.owners = np.array(h, np.uint64), np.array(k, np.int64)
+
+    def open(self) -> None:
+        self.lookup = Lookup(self.hashes)
+        self.first = np.searchsorted(self.hashes, self.lookup.keys)
+        self.count = np.diff(np.append(self.first, len(self.hashes)))
 
+    def parts(self, words: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word, end word) of the parts that may hold an alignment."""
+        at, key = self.lookup.find(grams(words, self.size))
+        doc = np.searchsorted(begins, at, side="right") - 1
+        whole = at + self.size <= begins[doc + 1]  # no n-gram across two documents
+        at, key, doc = at[whole], key[whole], doc[whole]
+        each = self.count[key]
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        edges = starts[1:][np.diff((np.cumsum(each) - each)[starts] // HITS) != 0]
+        for a, b in zip([0, *edges], [*edges, len(at)], strict=True):
+            yield from self._together(at[a:b], key[a:b], doc[a:b], begins)
 
-def _seeds(items: list[np.ndarray], counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, item, place) of every seed."""
-    out = []
-    for k, words in enumerate(items):
-        own = grams(words)
-        rank = [(counts.get(int(h), 0), int(h)) for h in own]
-        chosen = {min(range(i, min(i + WINDOW, len(own))), key=rank.__getitem__) for i in range(max(1, len(own) - WINDOW + 1))}
-        out += [(int(own[i]), k, i) for i in sorted(chosen)]
-    h, k, i = zip(*out, strict=True)
-    return np.array(h, np.uint64), np.array(k, np.int64), np.array(i, np.int64)
+    def _together(self, at: np.ndarray, key: np.ndarray, doc: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        each = self.count[key]
+        item = self.owners[np.repeat(self.first[key] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        at, doc = np.repeat(at, each), np.repeat(doc, each)
+        order = np.lexsort((at, item, doc))
+        at, item, doc = at[order], item[order], doc[order]
+        last = np.arange(len(at)) + self.asked[item] - 1
+        j = np.flatnonzero(last < len(at))
+        last = last[j]
+        j = j[(item[last] == item[j]) & (doc[last] == doc[j]) & (at[last] - at[j] <= self.reach[item[j]] - self.size)]
+        if not len(j):
+            return
+        last = j + self.asked[item[j]] - 1
+        lo = np.maximum(at[last] + self.size - self.reach[item[j]], begins[doc[j]]) - begins[doc[j]]
+        hi = np.minimum(at[j] + self.reach[item[j]], begins[doc[j] + 1]) - begins[doc[j]]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(item[j]) != 0) | (np.diff(doc[j]) != 0) | (lo[1:] > hi[:-1])]))
+        end = np.append(new[1:], len(j)) - 1
+        yield from zip(doc[j][new].tolist(), item[j][new].tolist(), lo[new].tolist(), hi[end].tolist(), strict=True)
 
 
 class Matcher:
     """A block of items with its seeds: finds the items that texts hold copies of."""
 
-    def __init__(self, docs: DataFrame, block: list[tuple[int, np.ndarray]]):
-        self.ids, self.items = [i for i, _ in block], [w for _, w in block]
-        hashes, owners, places = _seeds(self.items, _counts(docs, np.concatenate([grams(w) for w in self.items])))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners, self.places = hashes[order], owners[order], places[order]
+    def __init__(self, docs: DataFrame, block: list[tuple[int, np.ndarray]], least: float):
+        self.ids, self.items, self.least = [i for i, _ in block], [w for _, w in block], least
+        by_size: dict[int, list[int]] = {}
+        for k, words in enumerate(self.items):
+            by_size.setdefault(_needed(len(words), least)[0], []).append(k)
+        counts = _counts(docs, {size: np.concatenate([grams(self.items[k], size) for k in owners]) for size, owners in by_size.items()})
+        self.seeds = [Seeds(size, self.items, owners, counts, least) for size, owners in by_size.items()]
 
     def open(self) -> Matcher:
         """With the look-up tables that a task needs."""
-        self.lookup = Lookup(self.hashes)
-        self.first = np.searchsorted(self.hashes, self.lookup.keys)
-        self.count = np.diff(np.append(self.first, len(self.hashes)))
+        for seeds in self.seeds:
+            seeds.open()
         return self
 
-    def find(self, texts: pa.Array, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+    def find(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item_id, score, first word, end word) of the best alignment of each text and item that scores `least` or more."""
         words, begins = hashed_words(texts)
-        at, key = self.lookup.find(grams(words))
-        doc = np.searchsorted(begins, at, side="right") - 1
-        whole = at + SEED <= begins[doc + 1]  # no n-gram across two documents
-        at, key, doc = at[whole], key[whole], doc[whole]
-        each = self.count[key]
-        rows = np.repeat(self.first[key] - np.cumsum(each) + each, each) + np.arange(each.sum())
-        at, doc = np.repeat(at, each), np.repeat(doc, each)
-        for d, lo, hi in zip(*_runs(doc), strict=True):
-            text = words[begins[d] : begins[d + 1]]
-            best: dict[int, tuple[float, int, int]] = {}
-            for item, a, b in _spans(self.items, at[lo:hi] - begins[d], self.owners[rows[lo:hi]], self.places[rows[lo:hi]], len(text)):
-                score, end = align(self.items[item], text[a:b])
-                score /= SAME * len(self.items[item])
-                if score >= least and score > best.get(item, (0.0,))[0]:
-                    best[item] = (score, a, a + end)
-            for item, found in sorted(best.items()):
-                yield d, self.ids[item], *found
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for seeds in self.seeds:
+            for d, k, lo, hi in seeds.parts(words, begins):
+                known = best.get((d, k), (0.0,))[0]
+                if known == 1.0:
+                    continue
+                item, part = self.items[k], words[begins[d] + lo : begins[d] + hi]
+                score, end = align(item, part)
+                share = score / (SAME * len(item))
+                if share >= self.least and share > known:
+                    best[d, k] = (share, lo + end - align(item[::-1], part[:end][::-1])[1], lo + end)
+        for (d, k), found in sorted(best.items()):
+            yield d, self.ids[k], *found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
     """doc_id, item_id, score (0 to 1), first_word, end_word for each document and item whose best alignment scores `least` or more."""
     found = []
     for block in _blocks(benchmark):
-        matcher = Matcher(docs, block)
+        matcher = Matcher(docs, block, least)
 
         def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher.open()
             for batch in text_slices(batches, "text"):
                 doc_ids = batch.column("doc_id")
-                rows = [(doc_ids[d].as_py(), *rest) for d, *rest in m.find(batch.column("text"), least)]
+                rows = [(doc_ids[d].as_py(), *rest) for d, *rest in m.find(batch.column("text"))]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -232,25 +267,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> D
 _SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long"
 
 
-def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """Value, start and end of each run of equal values."""
-    if not len(values):
-        return [], [], []
-    edge = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
-    return values[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist()
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
     """docs without the rows found. Each row is judged by its own text, where it is; no text is shuffled."""
     out = docs
     for block in _blocks(benchmark):
-        matcher = Matcher(docs, block)
+        matcher = Matcher(docs, block, least)
 
         def scan(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher.open()
             for batch in text_slices(batches, "text"):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[found[0] for found in m.find(batch.column("text"), least)]] = False
+                keep[[found[0] for found in m.find(batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(scan, docs.schema)

@@ -91,3 +91,34 @@ def test_odd_rows_and_empty_tables(spark, odd, odd_rows, empty):
     assert found == sorted([(i, 4) for i in (0, 0, 1, 2, 50)] * 2)
     assert D.contaminated(empty, bench).count() == 0 and D.contaminated(odd, bench.limit(0)).count() == 0
     assert D.clean(odd, bench).count() == len(odd_rows) - 5
+
+
+def regular(item, step, put_in=False):
+    """The item with every step-th word replaced, or a word put in after every step-th."""
+    out = []
+    for i, w in enumerate(item.split(), 1):
+        out += ([w, f"new{i}"] if put_in else [f"new{i}"]) if i % step == 0 else [w]
+    return " ".join(out)
+
+
+def test_regular_edits_are_found_as_by_brute_force(spark):
+    rng = random.Random(8)
+    items = [words(rng, n) for n in (4, 5, 6, 8, 15, 20, 30, 60, 120)]
+    texts = []
+    for item in items:
+        for edit in ((4, False), (5, False), (6, False), (2, True), (3, True), (1, True)):
+            texts.append(f"{words(rng, 40)} {regular(item, *edit)} {words(rng, 30)}")
+    texts += [f"{words(rng, 9)} {item} {words(rng, 9)}" for item in items[::2] for _ in range(2)]  # exact copies elsewhere make intact n-grams the commoner ones
+    want = {}
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            share = plain_alignment(list(numbers([item])), list(numbers([t]))) / (D.SAME * len(item.split()))
+            if share >= 0.6:
+                want[d, k] = share
+    df = spark.createDataFrame([doc_row(i, t) for i, t in enumerate(texts)], DOC)
+    rows = D.contaminated(df, spark.createDataFrame([(k, t, 1.0, 2) for k, t in enumerate(items)], ITEM)).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == want
+    assert all((6 * k + e, k) in want for k in range(4, 9) for e in range(5))
+    for r in rows:
+        part = numbers([texts[r.doc_id]])[r.first_word : r.end_word]
+        assert plain_alignment(list(numbers([items[r.item_id]])), list(part)) / (D.SAME * len(items[r.item_id].split())) == r.score
