@@ -13,8 +13,9 @@ The items are the query set. They are read in blocks of at most BLOCK_WORDS word
 in a scan of its own, in which only counts of n-grams are shuffled. So what a task holds of them is bounded, and no
 document is moved.
 
-Nulls and ties: null and empty texts match nothing, on either side; items of fewer than LEAST_WORDS words are
-never found. Each row is looked at alone, so repeated documents give repeated rows and repeated items a row each.
+Nulls and ties: null and empty texts match nothing, on either side; neither do items
+without words. Text in scripts without spaces is one word up to the next blank or mark, so of such items only whole runs
+are found. Each row is looked at alone, so repeated documents give repeated rows and repeated items a row each.
 Extra columns are ignored.
 """
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from recallbase.llm.common import text_slices
 
-#: Words of an item, at least; seeds that must lie together where an item has as many, the commonest beyond are left out; words of items in a block; seed hits looked at together.
-LEAST_WORDS, SPARE, BLOCK_WORDS, HITS = 4, 3, 1_000_000, 2_000_000
+#: Seeds that must lie together where an item has as many, the commonest beyond are left out; words of items in a block; seed hits looked at together.
+SPARE, BLOCK_WORDS, HITS = 3, 1_000_000, 2_000_000
 #: Alignment: score of an equal word, of an unequal pair, of a word left out.
 SAME, OTHER, GAP = 2.0, -1.0, -1.0
 _WORD = np.zeros(256, bool)
@@ -128,7 +129,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     block, held = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = hashed_words(pa.array([row.text]))[0]
-        if len(words) < LEAST_WORDS:
+        if not len(words):
             continue
         if held and held + len(words) > BLOCK_WORDS:
             yield block

@@ -122,3 +122,13 @@ def test_regular_edits_are_found_as_by_brute_force(spark):
     for r in rows:
         part = numbers([texts[r.doc_id]])[r.first_word : r.end_word]
         assert plain_alignment(list(numbers([items[r.item_id]])), list(part)) / (D.SAME * len(items[r.item_id].split())) == r.score
+
+
+def test_items_of_one_to_three_words_are_found(spark):
+    items = ["Xylophon", "zwei Wörter", "three short words"]
+    texts = ["a xylophon, here", "zwei wörter", "zwei andere wörter", "some THREE short words more", "three other words", "zwei", "short words", "nothing of it"]
+    df = spark.createDataFrame([doc_row(i, t) for i, t in enumerate(texts)], DOC)
+    bench = spark.createDataFrame([(k, t, 1.0, 2) for k, t in enumerate(items)], ITEM)
+    found = {(r.doc_id, r.item_id): r.score for r in D.contaminated(df, bench).collect()}
+    assert found == {(0, 0): 1.0, (1, 1): 1.0, (2, 1): 0.75, (3, 2): 1.0, (6, 2): 4 / 6}
+    assert {r.doc_id for r in D.clean(df, bench).select("doc_id").collect()} == {4, 5, 7}
