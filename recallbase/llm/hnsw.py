@@ -2,7 +2,9 @@
 
 Distinct vectors are dealt by hash into shards of about SHARD. Each shard's graph has layers: a vector is in layer l with
 chance FAN^-l, by its hash. In every layer a vector's nearest candidates, found by blocked products, are thinned by the
-usual rule (a candidate nearer to a chosen neighbour than to the vector is passed over) and linked both ways. A shard is
+usual rule (a candidate nearer to a chosen neighbour than to the vector is passed over) and linked both ways. Nearest is
+by inner product, as in the search, which leads to the long vectors that win by it; a few more links go to the nearest by
+angle, which keep vectors together that no long one leads to. A shard is
 one stored row: ids, vectors and, for every layer, its members and their neighbours, flat. A search walks greedily down
 the layers and then widens in the lowest one with a beam of BEAM.
 
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from recallbase.llm.common import cut
 
-#: Distinct vectors of a shard, about; links of a vector (twice as many in the lowest layer); candidates; beam; layer thinning; queries of a block.
-SHARD, LINKS, CANDIDATES, BEAM, FAN, QUERY_BLOCK = 4096, 16, 64, 128, 16, 8192
+#: Distinct vectors of a shard, about; links of a vector by inner product, by angle, both ways at most; candidates; beam; layer thinning; queries of a block.
+SHARD, LINKS, BY_ANGLE, WIDTH, CANDIDATES, BEAM, FAN, QUERY_BLOCK = 4096, 16, 8, 32, 64, 128, 16, 8192
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -88,14 +90,20 @@ def _both_ways(chosen: np.ndarray, most: int) -> np.ndarray:
 
 def build(vectors: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Layers from the lowest up: (members, neighbours as rows of the shard, -1 for none)."""
-    unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
-    sim = unit @ unit.T
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     level = np.floor(-np.log((hashes.astype(np.uint64) >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54) / np.log(FAN)).astype(np.int64)
+    parts = [np.flatnonzero(level >= lv).astype(np.int32) for lv in range(int(level.max()) + 1 if len(level) else 0)]
+
+    def chosen(scale: np.ndarray, links: int) -> list[np.ndarray]:
+        scaled = (vectors / scale).astype(np.float32)
+        sim = scaled @ scaled.T
+        return [_thin(sim, members, links) for members in parts]
+
     layers = []
-    for lv in range(int(level.max()) + 1 if len(level) else 0):
-        members = np.flatnonzero(level >= lv).astype(np.int32)
-        most = LINKS * (2 if lv == 0 else 1)
-        links = _both_ways(_thin(sim, members, LINKS), most) if len(members) > 1 else np.full((len(members), most), -1, np.int32)
+    for members, product, angle in zip(parts, chosen(norms.max(initial=0.0), LINKS), chosen(norms, BY_ANGLE), strict=True):
+        own = np.concatenate([product, np.where((angle[:, :, None] == product[:, None, :]).any(2), -1, angle)], 1)
+        own = np.take_along_axis(own, np.argsort(own < 0, axis=1, kind="stable"), 1)
+        links = _both_ways(own, WIDTH)
         layers.append((members, np.where(links >= 0, members[links], -1).astype(np.int32)))
     return layers
 
@@ -170,10 +178,9 @@ def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.
     vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
     members, links = np.frombuffer(row["members"], np.int32), np.frombuffer(row["links"], np.int32)
     layers, m, k = [], 0, 0
-    for lv, size in enumerate(np.frombuffer(row["sizes"], np.int32).tolist()):
-        width = LINKS * (2 if lv == 0 else 1)
-        layers.append((members[m : m + size], links[k : k + size * width].reshape(size, width)))
-        m, k = m + size, k + size * width
+    for size in np.frombuffer(row["sizes"], np.int32).tolist():
+        layers.append((members[m : m + size], links[k : k + size * WIDTH].reshape(size, WIDTH)))
+        m, k = m + size, k + size * WIDTH
     return vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int32), layers
 
 

@@ -96,3 +96,32 @@ def test_index_holds_every_point(spark, monkeypatch):
     for r in shards:
         _, _, _, layers = hnsw._load(r)
         assert len(layers[0][0]) == r["n"] and all((links < r["n"]).all() for _, links in layers)
+
+
+@pytest.mark.parametrize("sigma", [0.3, 0.6, 1.0])
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_of_vectors_of_varied_norms(sigma, clusters):
+    rng = np.random.default_rng(9)
+    n, dim = 4000, 64
+    vectors = rng.normal(size=(n, dim))
+    if clusters:
+        vectors = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)] + 0.4 * vectors
+    vectors *= rng.lognormal(0, sigma, (n, 1)) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    layers = hnsw.build(vectors, rng.integers(-(2**63), 2**63 - 1, n))
+    asked = vectors[::20]
+    rows, _ = hnsw.search(asked, vectors, layers)
+    products = asked @ vectors.T
+    best = np.argsort(-products, axis=1)[:, :20]
+    assert np.mean([len(set(rows[i, :20].tolist()) & set(best[i].tolist())) / 20 for i in range(len(asked))]) >= 0.95
+
+
+def test_recall_over_shards_of_varied_norms(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 1000)
+    rng = np.random.default_rng(10)
+    vectors = rng.normal(size=(30, 32))[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 32))
+    vectors *= rng.lognormal(0, 1.0, (3000, 1))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
+    got = found(spark.createDataFrame([(i, v, 1, 2, 3.0, "x") for i, v in rows], VEC))
+    want = brute(rows, 20, 20)
+    exact(got, rows)
+    assert set(got) == set(want) and recall(got, want) >= 0.95
