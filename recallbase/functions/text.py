@@ -120,12 +120,12 @@ def context_relevance(a: Column, b: Column) -> Column:
     return F.when(small > 0, F.least(F.lit(1.0), share + bonus)).otherwise(0.0)
 
 
-def chunk_words(text: Column, words: int = 160, over: int = 30, most: int = 24) -> Column:
-    """Windows of words, each `over` words into the one before; the last ends with the text."""
+def chunk_words(text: Column, words: int = 160, over: int = 30, most: int | None = None) -> Column:
+    """Windows of words, each `over` words into the one before; the last ends with the text. With `most`, no more than the first so many."""
     step = words - (over if 0 <= over < words else 0)
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
     n = F.when(F.size(parts) <= words, F.lit(1)).otherwise(F.ceil((F.size(parts) - words) / F.lit(step)).cast("int") + 1)
-    made = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1), lambda i: F.array_join(F.slice(parts, i * step + 1, F.lit(words)), " "))
+    made = F.transform(F.sequence(F.lit(0), (n if most is None else F.least(n, F.lit(most))) - 1), lambda i: F.array_join(F.slice(parts, i * step + 1, F.lit(words)), " "))
     return F.when(F.size(parts) > 0, made).otherwise(strings())
 
 

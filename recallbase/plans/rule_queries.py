@@ -193,7 +193,8 @@ def d08(spark, sf_dir):
 @query("c06_word_chunks", r"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM documents), n AS (SELECT doc_id, w, least(24, CASE WHEN len(w) <= 160 THEN 1 ELSE CAST(ceil((len(w) - 160) / 130e0) AS INTEGER) + 1 END) AS n FROM p WHERE len(w) > 0),
   c AS (SELECT doc_id, unnest(list_transform(generate_series(0, n - 1), lambda i: array_to_string(w[i * 130 + 1 : i * 130 + 160], ' '))) AS chunk FROM n) SELECT doc_id, count(*) AS chunks, sum(length(chunk)) AS chars, min(md5(chunk)) AS least FROM c GROUP BY doc_id""")
 def c06(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunk_words(F.col("text"))).alias("chunk"))
+    """The first 24 chunks of a text, as the SQL has it."""
+    c = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunk_words(F.col("text"), most=24)).alias("chunk"))
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.min(F.md5("chunk")).alias("least"))
 
 

@@ -134,3 +134,13 @@ def test_context_relevance(spark):
     rows = [("Drucker im Büro", "drucker"), ("a", "b"), ("VPN-Tunnel down", "vpn-tunnel wartung"), ("x", ""), ("Netz netz netz", "Netz")]
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(T.context_relevance(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([1.0, 0.0, 0.5, 0.0, 1.0])
+
+
+def test_chunks_reach_the_end_of_long_texts(spark):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (3150, 3151, 20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert {r.id: r.c for r in df.select("id", T.chunk_words(F.col("text")).alias("c")).collect()} == {i: chunks(t) for i, t in enumerate(texts)}
+    assert [len(r.c) for r in df.select(T.chunk_words(F.col("text"), most=24).alias("c")).collect()] == [24, 24, 24]
+    docs = df.select("id", F.lit("").alias("title"), F.concat("text", F.lit(" netzwerkdrucker toner")).alias("text"), F.array().cast("array<string>").alias("keywords"), F.array(F.lit(0)).alias("categories"))
+    hits = H.hybrid_search(spark.createDataFrame([(0, "netzwerkdrucker toner")], "query_id int, text string"), docs, 5).collect()
+    assert len(hits) == 3 and all(r.semantic > 0 for r in hits)
