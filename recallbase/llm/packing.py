@@ -118,6 +118,20 @@ class Bins:
             if self.items[target]:
                 stuck.add(target)
 
+    @staticmethod
+    def _gifts(own: list[tuple[int, int]]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+        """What a sequence can give: (length, documents), each document and then each pair, once for each length that comes of it."""
+        kinds: dict[int, list[tuple[int, int]]] = {}
+        for x in reversed(own):
+            kinds.setdefault(x[0], []).append(x)
+        yield from ((length, (same[0],)) for length, same in kinds.items())
+        told, lengths = set(), list(kinds)[::-1]
+        for i, a in enumerate(lengths):
+            for b in lengths[i:]:
+                if a + b not in told and (a != b or len(kinds[a]) > 1):
+                    told.add(a + b)
+                    yield a + b, (kinds[a][0], kinds[b][-1])
+
     def _step(self, target: int, others: list[int]) -> bool:
         own = self.items[target]
         for x in reversed(own):
@@ -126,15 +140,12 @@ class Bins:
                 self.take(target, x)
                 self.put(b, x)
                 return True
-        pairs = [((x[0], (x,))) for x in reversed(own)] + [(x[0] + y[0], (x, y)) for i, x in enumerate(own) for y in own[i + 1 : i + 33]]
-        for total, given in pairs:
-            for b in others:
-                gap = self.size - self.fill[b]
-                if not gap or self.fill[b] < self.fill[target]:
-                    continue
-                k = bisect.bisect_left(self.items[b], (total - gap, -1))
-                if k < len(self.items[b]) and self.items[b][k][0] < total:
-                    back = self.items[b][k]
+        able = [(b, self.size - self.fill[b], self.items[b]) for b in others if self.size > self.fill[b] >= self.fill[target]]
+        for total, given in self._gifts(own):
+            for b, gap, held in able:
+                k = bisect.bisect_left(held, (total - gap, -1))
+                if k < len(held) and held[k][0] < total:
+                    back = held[k]
                     self.take(b, back)
                     for x in given:
                         self.take(target, x)

@@ -1,13 +1,19 @@
 """Token ids of whole texts by the tokenizers library, with each distinct word encoded once per worker.
 
-Both public tokenizers cut a text into words before merging, and a single space or line break between two visible
-characters always ends a word. Texts of Latin-1 characters, single spaces and single line breaks are therefore cut
-there; other texts are given to the library as they are. Either way the ids are the library's for the whole text.
+Both public tokenizers cut a text into words before merging. The byte-level one keeps one space before a word, so a
+single space between two characters that aren't white space always begins a word; the other drops white space, so any run
+of blanks and line breaks parts two words. Texts are cut there, whatever else they hold, and the words of all texts are
+looked up together. Texts that hold one of the tokenizer's added tokens are given to the library as they are. Either way
+the ids are the library's for the whole text, added tokens that stand in a text included.
+
+Most words are letters with some punctuation behind, which both tokenizers part from the letters: their two parts go
+straight to the library's model, past its normalising and its cutting; all other words go through the whole of it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -15,11 +21,13 @@ from recallbase.llm.common import Rows, WordMemo, ragged, segments
 
 _VISIBLE = bytes(range(0x21, 0x7F)) + bytes(range(0xA1, 0x100))
 _PLAIN = _VISIBLE + b" \n"
-#: Between words that are encoded together: a character with an id of its own, which no such word holds.
-_MARK = "^"
+#: Where a text can be cut: before a single space between two characters that no version of Unicode takes for white space; blanks and line breaks.
+_SPACE, _BLANKS = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])"), re.compile(r"[ \t\n\r]+")
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 def _plain(text: str) -> bool:
+    """Latin-1 with single spaces and line breaks between visible characters only."""
     try:
         raw = text.encode("latin-1")
     except UnicodeEncodeError:
@@ -29,50 +37,74 @@ def _plain(text: str) -> bool:
     return not (raw[:1] in b" \n" or raw[-1:] in b" \n" or b"  " in raw or b"\n " in raw or b" \n" in raw or b"\n\n" in raw)
 
 
+def byte_letters() -> dict[int, str]:
+    """What stands for each byte in a byte-level vocabulary: visible Latin-1 bytes stand for themselves, the rest for 256, 257, .. in turn."""
+    hidden = [b for b in range(256) if b not in _VISIBLE or b == 0xAD]
+    return {b: chr(b) for b in range(256)} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of texts. byte_level: a word keeps the space before it, and a line break has an id; else white space has none."""
+    """Ids of texts. byte_level: a word keeps the space before it, and a line break has an id; else white space has none and case is dropped."""
 
     def __init__(self, path: str, byte_level: bool, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        self.bpe = self.tool.model
         self.byte_level = byte_level
+        self.added = re.compile("|".join(map(re.escape, sorted((t.content for t in self.tool.get_added_tokens_decoder().values()), key=len, reverse=True))) or r"(?!)")
         self.flat, self.spans = Rows(dtype=np.uint32), Rows(2, dtype=np.int64)
         self.memo = WordMemo(self._learn, limit)
-        self.mark = "\n" if byte_level else f" {_MARK} "
-        self.stop = "\n" if byte_level else _MARK
-        ids = self._whole(["a" + self.mark + "b", "a", "b"])
-        if len(ids[0]) != len(ids[1]) + len(ids[2]) + 1:
-            raise ValueError(f"the mark between words must be one id in {path}")
-        self.mark_id = ids[0][len(ids[1])]
+        self.letters = byte_letters()
+        self.tails: dict[str, list[int]] = {"": []}
+        self.line = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, run: str) -> list[int]:
+        """Ids of letters or of punctuation, which the tokenizer would not cut."""
+        run = run if self.byte_level else run.lower()
+        if not run.isascii() or self.byte_level:
+            run = run.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.bpe.tokenize(run)]
+
     def _learn(self, words: list[str], fresh: bool) -> None:
         if fresh:
             self.flat.clear()
             self.spans.clear()
-        lines = np.array([self.byte_level and w[:1] == "\n" for w in words], bool)
-        bare = [w[1:] if w[:1] == "\n" else " " + w for w in words] if self.byte_level else words
-        joint = [i for i, w in enumerate(bare) if self.stop not in w and w.strip()]
-        rest = [i for i in range(len(words)) if self.stop in bare[i] or not bare[i].strip()]
-        groups = [joint[i : i + 512] for i in range(0, len(joint), 512)]
-        ids = self._whole([self.mark + self.mark.join(bare[i] for i in g) for g in groups])
-        alone = self._whole([bare[i] for i in rest])
-        flat = np.array([x for row in ids for x in row] + [x for row in alone for x in (self.mark_id, *row)], np.uint32)
-        spans = np.zeros((len(words), 2), np.int64)
-        n = sum(map(len, ids))
-        marks = np.flatnonzero(flat[:n] == self.mark_id)
-        spans[joint, 0], spans[joint, 1] = marks, np.diff(marks, append=n)
-        sizes = np.array([len(row) + 1 for row in alone], np.int64)
-        spans[rest, 0], spans[rest, 1] = n + segments(sizes)[:-1], sizes
-        spans[~lines] += (1, -1)  # the mark before a word is a line's own line break, or nobody's
-        spans[:, 0] += self.flat.n
-        self.spans.add(spans)
-        self.flat.add(flat)
+        rows: list[list[int] | None] = []
+        rest: list[int] = []
+        before, tails, model = " " if self.byte_level else "", self.tails, self._model
+        for i, w in enumerate(words):
+            core = w.rstrip(_TAIL)
+            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+                tail = w[len(core) :]
+                if tail not in tails:
+                    tails[tail] = model(tail)
+                rows.append(model(before + core) + tails[tail])
+            else:
+                rest.append(i)
+                rows.append(None)
+        if len(tails) > 10_000:
+            tails.clear()
+            tails[""] = []
+        starts = [words[i][:1] == "\n" and self.byte_level for i in rest]
+        found = self._whole([words[i][1:] if line else before + words[i] for i, line in zip(rest, starts, strict=True)])
+        for i, line, ids in zip(rest, starts, found, strict=True):
+            rows[i] = self.line + ids if line else ids
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.spans.add(np.stack([self.flat.n + segments(sizes)[:-1], sizes], 1))
+        self.flat.add(np.array([x for row in rows for x in row], np.uint32))
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text; byte_level: one that isn't preceded by a space begins with a line break, whose id comes first."""
+        if not self.byte_level:
+            return [w for w in _BLANKS.split(text) if w]
+        parts = text.replace("\n", " \n").split(" ") if _plain(text) else _SPACE.split(text)
+        parts[0] = "\n" + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
@@ -82,23 +114,22 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, np.uint32)
-            elif _plain(text):
-                parts = text.replace("\n", " \n").split(" ") if self.byte_level else text.split()
-                if self.byte_level:
-                    parts[0] = "\n" + parts[0]
+            elif self.added.search(text):
+                whole.append(i)
+            else:
+                parts = self._words(text)
                 words += parts
                 counts.append(len(parts))
                 cut.append(i)
-            else:
-                whole.append(i)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = np.array(ids, np.uint32)
         if cut:
             spans = self.spans_of(words)
             ids = self.flat.data[ragged(spans[:, 0], spans[:, 1])]
             ends = segments(spans[:, 1])[segments(np.array(counts))]
+            skip = len(self.line) if self.byte_level else 0  # the line break that marks the first word isn't the text's
             for i, a, b in zip(cut, ends, ends[1:], strict=False):
-                out[i] = ids[a + self.byte_level : b]
+                out[i] = ids[a + skip : b]
         return out  # type: ignore[return-value]
 
     def spans_of(self, words: list[str]) -> np.ndarray:

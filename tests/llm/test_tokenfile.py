@@ -71,7 +71,6 @@ def test_files_without_ids_or_documents():
 
 def test_round_trip_of_odd_rows(spark, odd, odd_rows, empty):
     tool = Tokenizer.from_file(BYTE)
-    tool.encode_special_tokens = True
     got = tokenfile.tokenize_to_files(odd, BYTE, 2).collect()
     want = sorted((-99 if r[0] is None else r[0], len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for r in odd_rows for ids in [tool.encode(r[1] or "", add_special_tokens=False).ids])
     assert sorted((-99 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
