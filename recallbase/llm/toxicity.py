@@ -7,29 +7,30 @@ window, through a logistic curve fitted on the training texts. For a window the
 number per subword, so a word needs two numbers (sum and count), which workers remember.
 
 Training: the worst window of a text speaks for it, so first all windows carry the label of their text, then toxic texts
-are held by their worst windows only. The texts are at most SAMPLE labelled rows, those with the smallest hash of doc_id,
-of at most SAMPLE_CHARS characters each. Scoring covers every row and the whole of each text.
-
-Nulls and ties: null and empty texts have one empty window, whose score is that of no evidence; null labels and labels
-without a document are not learned from; a doc_id that is
-labelled again alike counts once, one with both labels as two rows. Without any usable labels of both kinds
-every score is 0. Extra columns are ignored.
+are held by their worst windows only. It runs in one task, on at most SAMPLE labelled documents of each label, those with
+the smallest hash of doc_id: texts of at most SAMPLE_CHARS characters, and where these are too few, the first SAMPLE_CHARS
+characters of longer ones. Scoring covers every row and the whole of each text.
+
+Nulls and ties: null and empty texts have one empty window, whose score is that of no evidence; null labels, labels
+without a document and documents without a word are not learned from; a doc_id that is labelled again alike counts once,
+one with both labels twice, and of several documents with one doc_id the shorter kind, then the smallest text is learned
+from. Without documents of both labels to learn from, every score is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallbase.llm.common import Rows, WordMemo, hashed_share, in_fold, ragged, segments, text_slices
 
-#: Bound of the training sample: rows, and characters of a row.
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000
+#: Bound of the training sample: documents of a label, and characters of a document.
+SAMPLE, SAMPLE_CHARS = 2_000, 20_000
 #: Rows of the embedding, its width, words of a window, n-gram sizes.
 BUCKETS, WIDTH, WORDS, SIZES = 1 << 17, 8, 8, (3, 4, 5)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -103,12 +104,20 @@ def _worst(sums: np.ndarray, counts: np.ndarray, n_words: list[int], bias: float
     return out, which
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 5, rate: float = 0.5) -> Model:
-    """Fits embedding and softmax by Adagrad over windows, in a fixed order."""
-    word_lists = [words_of(t) for t in texts]
+def train(texts: Iterable[str | None], labels: np.ndarray, epochs: int = 5, rate: float = 0.5) -> Model | None:
+    """Fits embedding and softmax by Adagrad over windows, in a fixed order. Texts without words are left out; None where no text of one of the labels is left."""
     known: dict[str, int] = {}
-    rows = [np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int64, len(ws)) for ws in word_lists]
+    rows, kept = [], []
+    for text, label in zip(texts, labels.tolist(), strict=True):  # words are numbered as they come, so that no list of them all is held
+        words = words_of(text)
+        if words:
+            rows.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            kept.append(label)
+    labels = np.array(kept, np.int64)
+    if len(set(kept)) < 2:
+        return None
     sub, per_word = subwords(list(known))
+    known.clear()
     sub_at = segments(per_word)[:-1]
     rng = np.random.default_rng(7)
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
@@ -116,9 +125,9 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 5, rate: fl
     b = np.zeros(2, np.float32)
     g_emb, g_out, g_b = np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(out, 1e-6), np.full_like(b, 1e-6)
     n_words = [len(r) for r in rows]
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    flat = np.concatenate(rows)
     base = segments(np.array(n_words))[:-1]
-    spans = [(windows(n)[0] + s, windows(n)[1] + s, np.full(len(windows(n)[0]), y)) for n, s, y in zip(n_words, base, labels, strict=True) if n]
+    spans = [(windows(n)[0] + s, windows(n)[1] + s, np.full(len(windows(n)[0]), y)) for n, s, y in zip(n_words, base, labels, strict=True)]
     all_windows = tuple(np.concatenate(x) for x in zip(*spans, strict=True))
     clean = all_windows[2] == 0
     for epoch in range(epochs):
@@ -129,7 +138,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 5, rate: fl
             total, number = np.concatenate([[0], np.cumsum(word_sum[flat])]), np.concatenate([[0], np.cumsum(per_word[flat])])
             parts = []
             for n, s, y in zip(n_words, base, labels, strict=True):
-                if n and y:
+                if y:
                     a, e = windows(n)
                     odds = (total[s + e] - total[s + a]) / (number[s + e] - number[s + a])
                     top = np.argsort(-odds, kind="stable")[:2]
@@ -167,7 +176,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 5, rate: fl
             g_b += d_b**2
             b -= 0.1 * rate * d_b / np.sqrt(g_b)
     weight, bias = (emb @ (out[:, 1] - out[:, 0])).astype(np.float64), float(b[1] - b[0])
-    word_sum = np.add.reduceat(weight[sub], sub_at) if len(sub) else np.zeros(0)
+    word_sum = np.add.reduceat(weight[sub], sub_at)
     worst, _ = _worst(word_sum[flat], per_word[flat], n_words, bias)
     slope, shift = _curve(worst, labels)
     return Model(weight, bias, slope, shift)
@@ -188,17 +197,36 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / spread), float(beta[1] - beta[0] * mean / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held_fold: int = 1) -> Model | None:
-    """The model from labelled rows outside the held fold; None if one of the two labels is missing."""
+_MODEL = "weight binary, bias double, slope double, shift double"
+
+
+def sample(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held_fold: int = 1) -> DataFrame:
+    """_id, toxic, _order, text of the documents to learn from: labelled, outside the held fold, at most SAMPLE of each label."""
     usable = labels.where((in_fold("doc_id", fold_of) != held_fold) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id"), "toxic").agg(hashed_share("doc_id").alias("_order"))
-    share = min(1.0, 2.0 * SAMPLE / max(1, usable.count()))  # about twice the sample goes to all tasks as ids
+    sizes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}  # two rows
+    # About twice the sample of each label goes to all tasks as ids.
+    share = F.when(F.col("toxic") == 1, min(1.0, 2.0 * SAMPLE / sizes.get(1, 1))).otherwise(min(1.0, 2.0 * SAMPLE / sizes.get(0, 1)))
     few = F.broadcast(usable.where(F.col("_order") <= share))
-    rows = (
-        docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(few, F.col("doc_id") == F.col("_id"))
-        .select("text", "toxic", "_order", "doc_id").orderBy("_order", "doc_id", "text", "toxic").limit(SAMPLE).collect()
-    )
-    labelled = np.array([r.toxic for r in rows], np.int64)
-    return train([r.text for r in rows], labelled) if len(set(labelled.tolist())) == 2 else None
+    least = F.min(F.struct((F.length("text") > SAMPLE_CHARS).alias("long"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))).alias("t")
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(r"\S")).join(few, F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic", "_order").agg(least)
+    near = Window.partitionBy("toxic").orderBy("t.long", "_order", "_id")
+    return rows.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= SAMPLE).select("_id", "toxic", "_order", "t.text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held_fold: int = 1) -> Model | None:
+    """The model from labelled rows outside the held fold; None if one of the two labels is missing. Learned in one task from the sample; the driver gets the weights."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        if table.num_rows:
+            table = table.sort_by([("_order", "ascending"), ("_id", "ascending"), ("toxic", "ascending")])
+            found = train((t.as_py() for t in table.column("text")), table.column("toxic").to_numpy().astype(np.int64))
+            if found is not None:
+                yield pa.RecordBatch.from_pydict({"weight": [found.weight.tobytes()], "bias": [found.bias], "slope": [found.slope], "shift": [found.shift]})
+
+    drawn = sample(docs, labels, fold_of, held_fold).select("_id", F.col("toxic").cast("long").alias("toxic"), "_order", "text")
+    found = drawn.repartition(1).mapInArrow(learn, _MODEL).collect()
+    return Model(np.frombuffer(found[0].weight, np.float64), found[0].bias, found[0].slope, found[0].shift) if found else None
 
 
 def _scorer(model: Model | None):

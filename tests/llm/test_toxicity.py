@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from recallbase.llm import toxicity as X
 
@@ -76,3 +77,52 @@ def test_odd_rows_and_empty_tables(spark, odd, odd_rows, empty):
     assert len(empties) == 1
     assert X.predict(empty, labels).count() == 0
     assert X.keep_clean(odd, labels).columns == odd.columns
+
+
+def test_labels_without_words_give_no_model():
+    assert X.train(["", " "], np.array([0, 1])) is None
+    assert X.train(["hello world there", ""], np.array([0, 1])) is None
+    assert X.train([], np.array([], np.int64)) is None
+
+
+def plain_score(model, text):
+    """The forward pass as it is described: for each window the mean of its subwords' weights, the worst through the curve."""
+    ws = [w for i, w in enumerate(text.lower().split()) if i == 0 or w != text.lower().split()[i - 1]]
+    best = None
+    for at in range(0, max(1, len(ws) - X.WORDS // 2), X.WORDS // 2):
+        weights = [model.weight[i] for w in ws[at : at + X.WORDS] for i in X.subwords([w])[0]]
+        odds = model.bias + (sum(weights) / len(weights) if weights else 0.0)
+        best = odds if best is None else max(best, odds)
+    return 1 / (1 + np.exp(-(model.slope * best + model.shift)))
+
+
+def test_scores_equal_a_plain_forward_pass(spark, odd, odd_rows):
+    rng = random.Random(8)
+    texts = [words(rng, rng.randint(1, 60)) + (" blorgface" if i % 4 == 0 else "") for i in range(300)]
+    model = X.train(texts, np.array([int(i % 4 == 0) for i in range(300)]))
+    rows = [*odd_rows, *(doc_row(1000 + i, t) for i, t in enumerate(texts[:40])), doc_row(2000, "blorgface " * 9 + texts[1])]
+    got = {}
+    for r in X.score(spark.createDataFrame(rows, DOC), model).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    want = {}
+    for r in rows:
+        if len(r[1] or "") < 20_000:
+            want.setdefault(r[0], []).append(plain_score(model, r[1] or ""))
+    for k, scores in want.items():
+        if len(scores) == len(got[k]):
+            assert np.allclose(sorted(scores), sorted(got[k]), atol=1e-9)
+
+
+def test_a_rare_label_is_sampled_for_itself(spark):
+    """One toxic document in two thousand, and one label whose documents are all too long."""
+    rng = random.Random(9)
+    rows = [doc_row(3 * i, words(rng, 12) + (" blorgface zunkwit" if i % 2000 == 0 else "")) for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(r[0], int("blorgface" in r[1])) for r in rows], "doc_id long, toxic int")
+    drawn = {r.toxic: r.n for r in X.sample(docs, labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    outside = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & (F.col("toxic") == 1)).count()
+    assert drawn[1] == outside > 0 and drawn[0] == X.SAMPLE
+    long = spark.createDataFrame([doc_row(0, "bad " * 20_000), doc_row(3, "good words"), doc_row(6, "other words")], DOC)
+    one = spark.createDataFrame([(0, 1), (3, 0), (6, 0)], "doc_id long, toxic int")
+    drawn = X.sample(long, one, held_fold=9).collect()
+    assert sorted(r.toxic for r in drawn) == [0, 0, 1] and max(len(r.text) for r in drawn) == X.SAMPLE_CHARS
