@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,10 +26,14 @@ def strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row. A column that stands in the body of a lambda function would be computed again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def token_list(text: Column) -> Column:
     """Lower-cased runs of letters and digits of three characters or more that are no stop words, in order, with repeats."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
-    return F.filter(parts, lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS))
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nd}]{3,}"), F.lit(0)), lambda t: ~t.isin(*STOPWORDS))
 
 
 def tokens(text: Column) -> Column:
@@ -73,12 +77,12 @@ def stem(token: Column) -> Column:
     return out
 
 
-def token_similarity(a: Column, b: Column) -> Column:
-    """1 for equal tokens; less for one within the other, a common stem, a stem within the other, or a long common beginning; else 0. Lengths are in bytes."""
+def token_similarity(a: Column, b: Column, stem_a: Column | None = None, stem_b: Column | None = None) -> Column:
+    """1 for equal tokens; less for one within the other, a common stem, a stem within the other, or a long common beginning; else 0. Lengths are in bytes. Stems that are at hand save taking them again."""
     la, lb = F.octet_length(a), F.octet_length(b)
     short, long = F.least(la, lb), F.greatest(la, lb)
     within = F.when(la <= lb, b.contains(a)).otherwise(a.contains(b))
-    sa, sb = stem(a), stem(b)
+    sa, sb = stem(a) if stem_a is None else stem_a, stem(b) if stem_b is None else stem_b
     stems_within = F.when(F.octet_length(sa) <= F.octet_length(sb), sb.contains(sa)).otherwise(sa.contains(sb))
     ha, hb = F.hex(F.encode(a, "UTF-8")), F.hex(F.encode(b, "UTF-8"))
     common = F.aggregate(F.sequence(F.lit(1), F.greatest(short, F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(ha, 2 * i - 1, F.lit(2)) == F.substring(hb, 2 * i - 1, F.lit(2))), i).otherwise(n))
@@ -94,9 +98,13 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 def token_coverage(needle: Column, haystack: Column) -> Column:
     """Mean over the needle's tokens of the best similarity to a token of the haystack."""
-    best = F.transform(needle, lambda x: F.coalesce(F.array_max(F.transform(haystack, lambda y: token_similarity(x, y))), F.lit(0.0)))
-    total = F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
-    return F.when((F.size(needle) > 0) & (F.size(haystack) > 0), F.least(F.lit(1.0), total / F.greatest(F.size(needle), F.lit(1)))).otherwise(0.0)
+    def covered(pair: Column) -> Column:
+        best = F.transform(pair["needle"], lambda x: F.coalesce(F.array_max(F.transform(pair["haystack"], lambda y: token_similarity(x, y))), F.lit(0.0)))
+        total = F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
+        n = F.size(pair["needle"])
+        return F.when((n > 0) & (F.size(pair["haystack"]) > 0), F.least(F.lit(1.0), total / F.greatest(n, F.lit(1)))).otherwise(0.0)
+
+    return once(F.struct(needle.alias("needle"), haystack.alias("haystack")), covered)
 
 
 def phrase_coverage(phrase: Column, query: Column) -> Column:
@@ -123,10 +131,13 @@ def context_relevance(a: Column, b: Column) -> Column:
 def chunk_words(text: Column, words: int = 160, over: int = 30, most: int | None = None) -> Column:
     """Windows of words, each `over` words into the one before; the last ends with the text. With `most`, no more than the first so many."""
     step = words - (over if 0 <= over < words else 0)
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
-    n = F.when(F.size(parts) <= words, F.lit(1)).otherwise(F.ceil((F.size(parts) - words) / F.lit(step)).cast("int") + 1)
-    made = F.transform(F.sequence(F.lit(0), (n if most is None else F.least(n, F.lit(most))) - 1), lambda i: F.array_join(F.slice(parts, i * step + 1, F.lit(words)), " "))
-    return F.when(F.size(parts) > 0, made).otherwise(strings())
+
+    def cut_up(parts: Column) -> Column:
+        n = F.when(F.size(parts) <= words, F.lit(1)).otherwise(F.ceil((F.size(parts) - words) / F.lit(step)).cast("int") + 1)
+        made = F.transform(F.sequence(F.lit(0), (n if most is None else F.least(n, F.lit(most))) - 1), lambda i: F.array_join(F.slice(parts, i * step + 1, F.lit(words)), " "))
+        return F.when(F.size(parts) > 0, made).otherwise(strings())
+
+    return once(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != ""), cut_up)
 
 
 #: Entities that pages hold, & last.
@@ -275,18 +286,21 @@ def goal_anchors(title: Column) -> Column:
 
 def material_relevant(anchors: Column, text: Column) -> Column:
     """Is a text about the goal with these anchors? Numbers must occur as they are, with a word anchor if there is one; otherwise two words must, or the only one. Neighbouring words also count joined."""
-    words = research_words(text)
-    n = F.size(words)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.get(words, i - 1), F.get(words, i)))).otherwise(strings())
-    triples = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))).otherwise(strings())
     numbers, lexical = F.filter(anchors, lambda a: a.rlike("^[0-9]+$")), F.filter(anchors, lambda a: ~a.rlike("^[0-9]+$"))
-    exact = F.size(F.array_intersect(numbers, words))
-    near = F.size(F.array_intersect(lexical, F.concat(words, pairs, triples)))
-    return (
-        F.when(F.size(anchors) == 0, True)
-        .when(F.size(numbers) > 0, (exact > 0) & ((F.size(lexical) == 0) | (near > 0)))
-        .when(F.size(lexical) <= 1, near == F.size(lexical)).otherwise(near >= 2)
-    )
+
+    def met(words: Column) -> Column:
+        n = F.size(words)
+        pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.get(words, i - 1), F.get(words, i)))).otherwise(strings())
+        triples = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))).otherwise(strings())
+        exact = F.size(F.array_intersect(numbers, words))
+        near = F.size(F.array_intersect(lexical, F.concat(words, pairs, triples)))
+        return (
+            F.when(F.size(anchors) == 0, True)
+            .when(F.size(numbers) > 0, (exact > 0) & ((F.size(lexical) == 0) | (near > 0)))
+            .when(F.size(lexical) <= 1, near == F.size(lexical)).otherwise(near >= 2)
+        )
+
+    return once(research_words(text), met)
 
 
 def embedding_prompt(text: Column, profile: str, title: Column | None = None) -> Column:
@@ -313,12 +327,19 @@ def find_replace(text: Column, find: str, replace: str, regex: bool = False, cas
     return F.regexp_replace(text, f"(?iu){re.escape(find)}", replace.replace("\\", "\\\\").replace("$", "\\$"))
 
 
+def once_each(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The values whose key no earlier one has, in order."""
+    keyed = F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v")))
+    first = lambda rows: F.filter(rows, lambda x, i: (i == 0) | (x["k"] != F.get(rows, i - 1)["k"]))
+    kept = once(F.array_sort(keyed), first)
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"], x["v"]))), lambda x: x["v"])
+
+
 def distinct_folded(values: Column, without: Sequence[str] = ()) -> Column:
     """Trimmed values, each once without regard to case in its first spelling, in order, without blanks and those to be left out."""
     gone = F.array(*[F.lit(v.strip().lower()) for v in without]).cast("array<string>")
     kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: (v != "") & ~F.array_contains(gone, F.lower(v)))
-    low = F.transform(kept, F.lower)
-    return F.filter(kept, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+    return once_each(kept, F.lower)
 
 
 def valid_domain(domain: Column) -> Column:
@@ -360,10 +381,8 @@ def research_queries(title: Column, description: Column, site: Column, most: int
     canon = lambda t: F.regexp_replace(F.lower(F.trim(t)), r"[-_/.:]", "")
     bare = lambda c: F.transform(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda t: F.regexp_replace(t, _EDGE, ""))
     t = F.trim(F.coalesce(title, F.lit("")))
-    seen = F.transform(bare(F.lower(t)), canon)
-    words = F.filter(bare(description), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*QUERY_STOP) & ~F.lower(w).contains("wissensartikel") & ~F.array_contains(seen, canon(w)))
-    keys = F.transform(words, canon)
-    extras = F.slice(F.filter(words, lambda w, i: F.array_position(keys, canon(w)) == i + 1), 1, 4)
+    fit = lambda seen: F.filter(bare(description), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*QUERY_STOP) & ~F.lower(w).contains("wissensartikel") & ~F.array_contains(seen, canon(w)))
+    extras = F.slice(once_each(once(F.transform(bare(F.lower(t)), canon), fit), canon), 1, 4)
     longer = F.trim(F.concat_ws(" ", t, F.array_join(extras, " ")))
     parts = F.array(
         F.when(t != "", t), F.when((t != "") & site.isNotNull(), F.concat(t, F.lit(" site:"), site)), F.when((F.size(extras) > 0) & (F.lower(longer) != F.lower(t)), longer),
@@ -390,9 +409,7 @@ def statements(text: Column, most: int) -> Column:
     """array(struct(text, actionable)) of a draft's lines of 28 characters or more, list marks taken off, each once without regard to case."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^[#*\-0-9. )\t]+", ""), r"\s+", " ")))
     long = F.filter(lines, lambda x: F.length(x) >= 28)
-    low = F.transform(long, F.lower)
-    once = F.slice(F.filter(long, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
-    return F.transform(once, lambda x: F.struct(x.alias("text"), actionable(x).alias("actionable")))
+    return F.transform(F.slice(once_each(long, F.lower), 1, most), lambda x: F.struct(x.alias("text"), actionable(x).alias("actionable")))
 
 
 def any_time(text: Column) -> Column:
