@@ -42,18 +42,22 @@ def similar_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, token, similarity) of all pairs that are similar at all. terms (term) and vocabulary (token) are distinct words of three characters or more.
 
     Similar words are equal, or one or its stem begins or lies within the other; so the first three characters of one
-    are a run in the other, on which they are joined.
+    are a run in the other, on which they are joined. The terms are those of the stated queries; if they are few, no word
+    of the vocabulary is moved.
     """
-    equal = terms.join(vocabulary, F.col("term") == F.col("token")).select("term", "token", F.lit(1.0).alias("similarity"))
+    terms = _if_small(cut(terms.withColumn("term_stem", T.stem(F.col("term")))))
+    vocabulary = cut(vocabulary.withColumn("token_stem", T.stem(F.col("token"))))
+    equal = vocabulary.join(terms, F.col("term") == F.col("token")).select("term", "token", F.lit(1.0).alias("similarity"))
     long_terms, long_tokens = terms.where(F.octet_length("term") >= 4), vocabulary.where(F.octet_length("token") >= 4)
-    first, runs = (lambda c: F.substring(c, 1, 3)), (lambda c: F.explode(_grams(F.col(c))))
-    one = long_terms.select("term", first("term").alias("g")).join(long_tokens.select("token", runs("token").alias("g")), "g")
-    two = long_terms.select("term", runs("term").alias("g")).join(long_tokens.select("token", first("token").alias("g")), "g")
-    # Most pairs of a common run go by their first five bytes, before anything is computed for them.
+    first, runs = (lambda c: F.substring(c, 1, 3).alias("g")), (lambda c: F.explode(_grams(F.col(c))).alias("g"))
+    # Most pairs of a common run go by their first five bytes, before anything is computed for them. A pair that begins alike comes from `two` alone.
     head = lambda w: F.substring(F.col(w), F.lit(1), F.when(F.octet_length(w) == F.length(w), 5).otherwise(3))
-    close = (F.col("term") != F.col("token")) & (F.col("token").contains(head("term")) | F.col("term").contains(head("token")))
-    pairs = one.select("term", "token").where(close).union(two.select("term", "token").where(close)).distinct()
-    scored = pairs.select("term", "token", T.token_similarity(F.col("term"), F.col("token")).alias("similarity")).where("similarity > 0")
+    names = ("term", "token", "term_stem", "token_stem")
+    one = long_tokens.select("token", "token_stem", runs("token")).join(long_terms.select("term", "term_stem", first("term")), "g")
+    one = one.where(~F.col("token").startswith(F.substring("term", 1, 3)) & F.col("token").contains(head("term"))).select(*names)
+    two = long_tokens.select("token", "token_stem", first("token")).join(long_terms.select("term", "term_stem", runs("term")), "g")
+    two = two.where((F.col("term") != F.col("token")) & (F.col("token").contains(head("term")) | F.col("term").contains(head("token")))).select(*names)
+    scored = one.unionByName(two).select("term", "token", T.token_similarity(F.col("term"), F.col("token"), F.col("term_stem"), F.col("token_stem")).alias("similarity")).where("similarity > 0")
     return equal.unionByName(scored)
 
 
@@ -96,11 +100,12 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, categories: DataF
     parts = q.select("query_id", F.col("chunk").alias("part"), T.tokens(F.col("chunk")).alias("tokens"))
     q_text = queries.select("query_id", "text", head.alias("head"), T.token_list(F.col("text")).alias("terms"))
     q_head = q_text.select("query_id", T.token_list(F.col("head")).alias("terms"))
-    # Token sets are needed several times; taking texts apart costs more than reading them back.
-    words_of = cut(docs.select("id", "title", T.tokens(F.col("title")).alias("title_tokens"), T.tokens(F.concat_ws(" ", "title", "text")).alias("tokens")))
+    # Token sets are needed several times; taking texts apart costs more than reading them back. No token reaches across two chunks' words.
+    words_of = docs.select("id", "title", T.tokens(F.col("title")).alias("title_tokens"), F.transform(T.chunk_words(F.col("text"), words, over), T.tokens).alias("chunk_tokens"))
+    words_of = cut(words_of.withColumn("tokens", F.array_distinct(F.concat("title_tokens", F.flatten("chunk_tokens")))))
 
     # Chunks of documents against chunks of queries.
-    chunks = docs.select("id", F.posexplode(T.chunk_words(F.col("text"), words, over)).alias("chunk_no", "chunk")).select("id", "chunk_no", T.tokens(F.col("chunk")).alias("tokens"))
+    chunks = words_of.select("id", F.posexplode("chunk_tokens").alias("chunk_no", "tokens"))
     semantic = set_f1(parts, chunks, "id", "chunk_no").groupBy("query_id", "id").agg(F.max("value").alias("value"))
     # Titles.
     titled = words_of.where(F.trim(F.coalesce("title", F.lit(""))) != "").select("id", "title", F.col("title_tokens").alias("tokens"))
