@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
+from recallbase.functions import text as T
 
 Gate = tuple[str, Column]
 
@@ -108,27 +109,44 @@ def status_reply(relevance: Column, confidence: Column, known: Column, kind: Col
     return F.when(d == "accepted", F.when(kind == "maintenance", "reply_status_maintenance_accepted").otherwise("reply_status_incident_accepted")).otherwise(d), final
 
 
-_W, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
-_PEOPLE = "kolleg(?:en|innen)?|mitarbeiter(?:innen)?|benutzer|nutzer|personen"
 #: Signals in a ticket's text, in order; the first match of a code counts.
 SIGNALS = (
-    ("multiple_users_affected", r"(?:meine|unsere)\s+(?:kolleg(?:e|en|innen)|mitarbeiter(?:innen)?|teammitglieder)\s+und\s+ich"), ("multiple_users_affected", r"(?:kolleg(?:e|en|innen)|mitarbeiter(?:innen)?|benutzer|nutzer|personen)\s+und\s+ich"),
-    ("multiple_users_affected", rf"(?:mehrere|viele|alle|sämtliche)\s+(?:{_PEOPLE}|arbeitsplätze|rechner|pcs|geräte)"), ("multiple_users_affected", r"wir\s+alle"),
-    ("site_affected", r"(?:gesamter|ganzer|kompletter)\s+(?:standort|gebäude|liegenschaft|campus)"), ("organization_affected", r"(?:gesamte|ganze|komplette)\s+(?:organisation|verwaltung|behörde|firma|unternehmen)"),
-    ("workaround_available", r"(?:workaround|ausweichmöglichkeit|alternative(?:r|n)?\s+weg|ersatzlösung)"), ("workaround_available", r"(?:andere|weitere|alternative)\s+(?:drucker|geräte|systeme|anwendungen?)(?![0-9A-Za-z_]).{0,60}(?<![0-9A-Za-z_])(?:funktionier(?:t|en)|lauf(?:en|t)|geh(?:t|en))"),
-    ("no_workaround", r"(?:kein(?:e|en)?\s+(?:workaround|alternative|ausweichmöglichkeit)|ohne\s+ausweichmöglichkeit|überhaupt\s+nicht\s+weiterarbeiten)"), ("business_deadline", r"(?:frist|deadline|abgabetermin|termin)(?![0-9A-Za-z_]).{0,60}(?<![0-9A-Za-z_])(?:heute|morgen|bis\s+\d{1,2}[./-]\d{1,2}|dringend|läuft\s+ab)"),
-    ("security_incident_suspected", r"(?:phishing|ransomware|schadsoftware|malware|konto\s+übernommen|unbefugter\s+zugriff|datenabfluss)"), ("data_loss_possible", r"(?:datenverlust|daten\s+verloren|dateien\s+gelöscht|nicht\s+gespeichert|überschrieben)"),
+    ("multiple_users_affected", r"\b(?:meine|unsere)\s+(?:kolleg(?:e|en|innen)|mitarbeiter(?:innen)?|teammitglieder)\s+und\s+ich\b"),
+    ("multiple_users_affected", r"\b(?:kolleg(?:e|en|innen)|mitarbeiter(?:innen)?|benutzer|nutzer|personen)\s+und\s+ich\b"),
+    ("multiple_users_affected", r"\b(?:mehrere|viele|alle|sämtliche)\s+(?:kolleg(?:en|innen)?|mitarbeiter(?:innen)?|benutzer|nutzer|personen|arbeitsplätze|rechner|pcs|geräte)\b"),
+    ("multiple_users_affected", r"\bwir\s+alle\b"),
+    ("site_affected", r"\b(?:gesamter|ganzer|kompletter)\s+(?:standort|gebäude|liegenschaft|campus)\b"),
+    ("organization_affected", r"\b(?:gesamte|ganze|komplette)\s+(?:organisation|verwaltung|behörde|firma|unternehmen)\b"),
+    ("workaround_available", r"\b(?:workaround|ausweichmöglichkeit|alternative(?:r|n)?\s+weg|ersatzlösung)\b"),
+    ("workaround_available", r"\b(?:andere|weitere|alternative)\s+(?:drucker|geräte|systeme|anwendungen?)\b.{0,60}\b(?:funktionier(?:t|en)|lauf(?:en|t)|geh(?:t|en))\b"),
+    ("workaround_available", r"\b(?:büro|arbeitsplatz)[- ]?drucker\b.{0,50}\b(?:funktionier(?:t|en)|lauf(?:en|t)|geh(?:t|en)|noch\s+verfügbar)\b"),
+    ("no_workaround", r"\b(?:kein(?:e|en)?\s+(?:workaround|alternative|ausweichmöglichkeit)|ohne\s+ausweichmöglichkeit|überhaupt\s+nicht\s+weiterarbeiten)\b"),
+    ("business_deadline", r"\b(?:frist|deadline|abgabetermin|termin)\b.{0,60}\b(?:heute|morgen|bis\s+\d{1,2}[./-]\d{1,2}|dringend|läuft\s+ab)\b"),
+    ("security_incident_suspected", r"\b(?:phishing|ransomware|schadsoftware|malware|konto\s+übernommen|unbefugter\s+zugriff|datenabfluss)\b"),
+    ("data_loss_possible", r"\b(?:datenverlust|daten\s+verloren|dateien\s+gelöscht|nicht\s+gespeichert|überschrieben)\b"),
 )
+#: What the borders in SIGNALS mean, borders of ASCII words; Java's own look at all letters.
+_BORDER = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
 def signals(tickets: DataFrame) -> DataFrame:
-    """ticket_id, code, excerpt: the first rule of each code that a ticket's text matches, with 90 characters around."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?s)<[^>]*>", " "), r"\s+", " "))
-    found = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(code).alias("code"), F.regexp_extract(text, f"(?iu){_W}{pattern}{_E}", 0).alias("match")) for i, (code, pattern) in enumerate(SIGNALS)])
-    rows = tickets.select("ticket_id", text.alias("t"), F.explode(F.filter(found, lambda s: s["match"] != "")).alias("s"))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("ticket_id", "s.code").orderBy("s.n"))).where("_n = 1")
-    at = F.instr(F.col("t"), F.col("s.match"))
-    return first.select("ticket_id", "s.code", F.substring("t", F.greatest(at - 90, F.lit(1)), F.length("s.match") + 180).alias("excerpt"))
+    """ticket_id, code, excerpt: the first rule of each code that a ticket's subject and content (null counts as empty) match, with 90 characters around.
+
+    Both are read as one text without tags, entities and runs of white space.
+    """
+    text = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("content", F.lit("")))
+    text = F.regexp_replace(F.regexp_replace(text, r"<br ?/?>|</p>|</li>", "\n"), r"(?s)<[^>]*>", " ")
+    for entity, plain in T.ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    rows = tickets.select("ticket_id", text.alias("t"))
+    pattern = lambda p: "(?iu)" + p.replace(r"\b", _BORDER)
+    found = F.array(*[F.struct(F.lit(code).alias("code"), F.regexp_instr("t", F.lit(pattern(p))).alias("at"), F.length(F.regexp_extract("t", pattern(p), 0)).alias("size")) for code, p in SIGNALS])
+    met = F.filter(found, lambda s: s["at"] > 0)
+    first = T.once(met, lambda hits: F.filter(hits, lambda s, i: F.array_position(F.transform(hits, lambda x: x["code"]), s["code"]) == i + 1))  # as many as there are rules
+    left, end = F.greatest(F.col("s.at") - 90, F.lit(1)), F.col("s.at") + F.col("s.size") + 90
+    around = F.concat(F.when(left > 1, "…").otherwise(""), F.trim(F.substring("t", left, end - left)), F.when(end <= F.length("t"), "…").otherwise(""))
+    return rows.select("ticket_id", "t", F.explode(first).alias("s")).select("ticket_id", "s.code", around.alias("excerpt"))
 
 
 def publication_gate(evidence: Column, sources: Column, corroborations: Column, authoritative: Column, new: Column, least=(3, 2, 1, 1)) -> Column:

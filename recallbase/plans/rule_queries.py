@@ -82,9 +82,25 @@ def p13(spark, sf_dir):
     return g.select("id", F.col("n").alias("nodes"), X.risk_class(F.col("n"), F.col("c"), F.col("r"), F.col("s")).alias("risk"))
 
 
-@query("p09_ticket_signals")
+#: What the tickets of p09 say besides their own text, in German as the rules.
+SAYINGS = (
+    "Meine Kollegen und ich können nicht drucken.", "Mehrere Mitarbeiter warten.", "Wir alle sind betroffen.", "Der ganzer Standort ist ohne Netz.", "Die gesamte Verwaltung steht.", "Es gibt einen Workaround.",
+    "Andere Drucker im Flur funktionieren noch.", "Die Bürodrucker laufen noch.", "Es gibt keine Alternative.", "Die Frist endet heute.", "Verdacht auf Phishing.", "Dateien gelöscht!", "Ich kann nicht drucken.", "Antiphishing &amp; mehr",
+)
+
+
+@query("p09_ticket_signals", sql(r"""s AS (SELECT ticket_id, [""" + ", ".join(f"'{x}'" for x in SAYINGS) + r"""] AS say, coalesce(content, '') AS own FROM ticket),
+  j AS (SELECT ticket_id, say[ticket_id % 14 + 1] || chr(10) || '<p>' || say[ticket_id // 14 % 14 + 1] || '</p> ' || own AS raw FROM s),
+  t AS (SELECT ticket_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(raw, '<br ?/?>|</p>|</li>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM j),
+  m AS (""" + " UNION ALL ".join(f"SELECT ticket_id, t, {i} AS n, '{code}' AS code, regexp_extract(t, '(?i){p}') AS hit FROM t" for i, (code, p) in enumerate(R.SIGNALS)) + """),
+  f AS (SELECT *, strpos(t, hit) AS place, row_number() OVER (PARTITION BY ticket_id, code ORDER BY n) AS rn FROM m WHERE hit <> ''),
+  p AS (SELECT *, greatest(place - 90, 1) AS l, place + length(hit) + 90 AS e FROM f WHERE rn = 1)
+  SELECT ticket_id, code, CASE WHEN l > 1 THEN '…' ELSE '' END || trim(substring(t, l, e - l)) || CASE WHEN e <= length(t) THEN '…' ELSE '' END AS excerpt FROM p""", "ticket"))
 def p09(spark, sf_dir):
-    return R.signals(views.ticket(spark, sf_dir))
+    t, say = views.ticket(spark, sf_dir), F.array(*[F.lit(x) for x in SAYINGS])
+    at = lambda i: F.get(say, (i % 14).cast("int"))
+    content = F.concat(F.lit("<p>"), at(F.floor(F.col("ticket_id") / 14)), F.lit("</p> "), F.coalesce("content", F.lit("")))
+    return R.signals(t.select("ticket_id", at(F.col("ticket_id")).alias("subject"), content.alias("content")))
 
 
 @query("j09_interval_overlap", """SELECT o_orderkey AS id FROM orders WHERE coalesce(o_orderdate, o_orderdate + INTERVAL 10 DAY) <= TIMESTAMP '1995-03-20' AND coalesce(CASE WHEN o_custkey % 4 > 0 THEN o_orderdate + INTERVAL 10 DAY END, o_orderdate) >= TIMESTAMP '1995-03-01'""")
