@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where the setting is absent (tests), a folder is made for the session."""
+    """spark.checkpoint.dir; where the setting is absent, a folder is made for the session, but only when all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='recallbase-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -29,6 +29,19 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
 
 
+def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest finite values to 9 digits, the first columns among equals."""
+    near = np.round(sim, 9)
+    if near.shape[1] > k:
+        edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        above = near > edge
+        level = (near == edge) & np.isfinite(near)
+        keep = above | (level & (np.cumsum(level, 1) <= k - above.sum(1, keepdims=True)))
+    else:
+        keep = np.isfinite(near)
+    return np.nonzero(keep & np.isfinite(near))
+
+
 def neighbours(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, exclude_self: bool = True, within: str | None = None) -> DataFrame:
     """query_id, id, similarity, rank: for each query (query_id, vector) its k nearest rows of base (id, vector) by cosine, at least `least`.
 
@@ -52,10 +65,13 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0,
                 fine = np.array([v is not None and len(v) == q.shape[1] for v in lists], bool)
                 rows, v = rows[fine], np.array([v for v, ok in zip(lists, fine, strict=True) if ok], np.float64).reshape(-1, q.shape[1])
                 v_len = np.sqrt((v * v).sum(1))
-                rows, v, v_len = rows[v_len > 0], v[v_len > 0], v_len[v_len > 0]
-                if not len(rows):
+                v_class = np.array(batch.column(within).to_pylist(), object)[fine] if within else None
+                order = np.argsort(rows, kind="stable")  # by id, so that the first of equals is the one to keep
+                order = order[v_len[order] > 0]
+                if not len(order):
                     continue
-                v_class = np.array(batch.column(within).to_pylist(), object)[fine][np.sqrt((v * v).sum(1)) > 0] if within else None
+                rows, v, v_len = rows[order], v[order], v_len[order]
+                v_class = v_class[order] if within else None
                 for a in range(0, len(q), 512):
                     part = slice(a, a + 512)
                     with np.errstate(divide="ignore", invalid="ignore"):
@@ -65,10 +81,7 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0,
                         sim[names[part, None] == rows[None, :]] = -np.inf
                     if within:
                         sim[q_class[part, None] != v_class[None, :]] = -np.inf
-                    keep = min(2 * k, len(rows))
-                    top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
-                    who, place = np.nonzero(np.isfinite(np.take_along_axis(sim, top, 1)))
-                    at = top[who, place]
+                    who, at = _best(sim, k)
                     yield pa.RecordBatch.from_arrays([pa.array(names[part][who]), pa.array(rows[at].astype(np.int64)), pa.array(sim[who, at])], names=["query_id", "id", "similarity"])
 
         found.append(base.select("id", "vector", *extra).mapInArrow(scan, "query_id long, id long, similarity double"))
@@ -86,9 +99,12 @@ def search(queries: DataFrame, memories: DataFrame, k: int = 8, least: float = 0
     rows = memories.where(X.searchable(F.col("status")))
     if allowed is not None:
         rows = rows.where(allowed)
-    q = queries.select("query_id", F.col("vector").alias("q_vector"))
+    norm = lambda v: F.sqrt(X.dot(F.col(v), F.col(v)))  # noqa: E731  taken once a row, not once a pair
+    q = queries.select("query_id", F.col("vector").alias("q_vector"), norm("vector").alias("q_norm"))
+    rows = rows.withColumn("norm", norm("vector"))
     pairs = in_blocks(q, "query_id", lambda block: rows.join(block, F.size("vector") == F.size("q_vector")).where("id <> query_id"), QUERY_BLOCK)
-    pairs = pairs.withColumn("similarity", X.cosine(F.col("q_vector"), F.col("vector")))
+    fine = (F.col("norm") > 0) & (F.col("q_norm") > 0)
+    pairs = pairs.withColumn("similarity", F.when(fine, X.dot(F.col("q_vector"), F.col("vector")) / (F.col("q_norm") * F.col("norm"))).otherwise(-1.0))
     scored = pairs.where(F.col("similarity") >= least).select(
         "query_id", "id", "similarity", (0.75 + 0.25 * F.col("salience")).alias("salience_factor"), X.type_weight(F.col("memory_type")).alias("type_weight"), (0.85 + 0.15 * X.unset(F.col("confidence"), 1.0)).alias("confidence_factor"),
     )

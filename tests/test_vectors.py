@@ -64,6 +64,16 @@ def test_neighbours(spark, monkeypatch):
             assert got.get(i, []) == want
 
 
+def test_equal_neighbours_go_by_id(spark):
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(400).tolist()
+    df = spark.createDataFrame([(i + 1, [1.0, 2.0]) for i in ids] + [(900, [2.0, 1.0]), (901, [2.0, 4.0])], VEC).repartition(3)
+    got = V.neighbours(df.where("id = 900").selectExpr("id as query_id", "vector"), df, 5).orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 2, 3, 4, 5]
+    sim = np.array([[0.5, 0.9, 0.5, -np.inf, 0.5, 0.9 + 1e-12]])
+    assert V._best(sim, 4)[1].tolist() == [0, 1, 2, 5] and V._best(sim, 9)[1].tolist() == [0, 1, 2, 4, 5]
+
+
 def test_search_in_blocks_gives_the_same(spark, sf_dir, monkeypatch):
     from recallbase.plans import load
 
