@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from recallbase.llm import hnsw
+from recallbase.llm.common import shared_dir
 
 VEC = "vec_id long, embedding array<float>, label int, rank int, score double, ids string"
 
@@ -89,13 +90,35 @@ def test_odd_rows_and_few_candidates(spark):
 def test_index_holds_every_point(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD", 100)
     rng = np.random.default_rng(5)
-    df = spark.createDataFrame([(i, rng.normal(size=4).astype(np.float32).tolist(), 1, 2, 3.0, "x") for i in range(700)], VEC)
-    shards = [r.asDict() for r in hnsw.index(hnsw.distinct_points(hnsw.usable(df, "vec_id", "embedding"), 21)).collect()]
-    ids = np.concatenate([hnsw._load(r)[1] for r in shards])
-    assert sorted(ids.tolist()) == list(range(700))
-    for r in shards:
-        _, _, _, layers = hnsw._load(r)
-        assert len(layers[0][0]) == r["n"] and all((links < r["n"]).all() for _, links in layers)
+    df = spark.createDataFrame([(i, rng.normal(size=4 + i % 2).astype(np.float32).tolist(), 1, 2, 3.0, "x") for i in range(700)], VEC)
+    folder = shared_dir(spark)
+    rows = hnsw.index(hnsw.distinct_points(hnsw.usable(df, "vec_id", "embedding"), 21), folder).collect()
+    shards = [hnsw.load(open(r.path, "rb").read()) for r in rows]
+    assert sorted(np.concatenate([s[1] for s in shards]).tolist()) == list(range(700)) and len(rows) == 8 and {r.dim for r in rows} == {4, 5}
+    for r, (vectors, _, _, layers) in zip(rows, shards, strict=True):
+        assert len(layers[0][0]) == len(vectors) == r.n and all((links < r.n).all() and (links[:, 0] >= 0).all() for _, links in layers[:1])
+
+
+def test_dimensions_are_searched_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3 if i % 3 else 7).astype(np.float32).tolist()) for i in range(300)]
+    got = found(spark.createDataFrame([(i, v, 1, 2, 3.0, "x") for i, v in rows], VEC))
+    want = {}
+    for d in (3, 7):
+        want |= brute([r for r in rows if len(r[1]) == d], 20, 20)
+    assert set(got) == set(want) and recall(got, want) >= 0.99
+
+
+def test_recall_of_a_graph_grown_over_many_batches():
+    """Vectors without any clusters, the hardest case, over ten times the first batch."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(10_000, 48))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    layers = hnsw.build(v, rng.integers(-(2**63), 2**63 - 1, len(v)))
+    asked = v[::50]
+    rows, _ = hnsw.search(asked, v, layers)
+    best = np.argsort(-(asked @ v.T), axis=1)[:, :20]
+    assert np.mean([len(set(rows[i, :20].tolist()) & set(best[i].tolist())) / 20 for i in range(len(asked))]) >= 0.95
 
 
 @pytest.mark.parametrize("sigma", [0.3, 0.6, 1.0])
