@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def all_segmentations(raw):
     if not raw:
         yield []
-    for k in range(1, min(L.MAX_PIECE, len(raw)) + 1):
+    for k in range(1, len(raw) + 1):
         for rest in all_segmentations(raw[k:]):
             yield [raw[:k], *rest]
 
@@ -63,9 +64,42 @@ def test_piece_index_finds_pieces_and_nothing_else():
     index = L.PieceIndex(pieces)
     rng = random.Random(1)
     some = rng.sample(pieces, 2000) + [bytes(rng.randrange(256) for _ in range(rng.randint(1, 6))) for _ in range(2000)]
-    keys = np.array([int.from_bytes(p, "big") | len(p) << 56 for p in some], np.uint64)
     at = {p: i for i, p in enumerate(pieces)}
-    assert index.find(keys).tolist() == [at.get(p, len(pieces)) for p in some]
+    assert index.longest == max(map(len, pieces)) > 6
+    for p in some:
+        assert index.starts(np.frombuffer(p, np.uint8)[None])[0, :, 0].tolist() == [at.get(p[: k + 1], len(pieces)) for k in range(min(len(p), index.longest))]
+
+
+def test_long_words_are_summed_whole(tiny, monkeypatch):
+    """Taken apart or not, in stretches or not, the sum is that of the whole word."""
+    pieces, index, prob = tiny
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcz") for _ in range(n)) for n in (60, 300, 5000)] + ["ab" * 3000, "漢字かな" * 40]
+    whole = []
+    for w in words:
+        raw = b" " + w.encode()
+        whole.append(L._forward(index.starts(np.frombuffer(raw, np.uint8)[None]), prob)[-1, 0])
+    assert np.allclose(L.word_scores(words, index, prob), whole)
+    assert max(len(L._cuts(b" " + w.encode(), index)) for w in words) > 50 and len(L._cuts(b"abc" * 100, index)) == 1
+    monkeypatch.setattr(L, "CELLS", 64)
+    assert np.allclose(L.word_scores(words, index, prob), whole)
+
+
+def test_letters_are_those_of_unicode(spark, odd):
+    rows = spark.createDataFrame([(10_001, "² ½ ③ __ 12", "en"), (10_002, "漢", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.identify(rows.unionByName(odd.select("doc_id", "text", "lang")), VOCAB).collect()}
+    assert got[10_001] == "und" and got[10_002] == "en"
+
+
+def test_learns_from_repeated_ids_and_long_texts(spark):
+    """Rows that share one id, rows that are all equal, and texts beyond the sample's length."""
+    rng = random.Random(3)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    a, b = [i for i in range(100, 120) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    rows = [(a, text("abcde", 20), "x") for _ in range(3000)] + [(b, "same words here", "y")] * 3000 + [(i, text("vwxyz", 5000), "z") for i in range(40)]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCAB)
+    seen = {(r.doc_id if r.doc_id in (a, b) else 0, r.lang_pred) for r in got.select("doc_id", "lang_pred").distinct().collect()}
+    assert seen == {(a, "x"), (b, "y"), (0, "z")}
 
 
 def test_training_raises_the_likelihood():
