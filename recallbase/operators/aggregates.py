@@ -96,3 +96,18 @@ def goal_progress(evidence: Column, sources: Column, corroborations: Column, eva
     sat = lambda v, target: F.least(F.lit(1.0), v.cast("double") / target)
     quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (evaluation + 1) / 2))
     return F.least(F.lit(1.0), 0.55 * sat(evidence, 20) + 0.25 * sat(sources, 8) + 0.15 * sat(corroborations, 5) + 0.05 * quality)
+
+
+def reconciled_goals(goals: DataFrame, events: DataFrame) -> DataFrame:
+    """goal_id, progress, changed of all goals (goal_id, progress): progress counted anew from the trace (goal_id, type, memory_id, source_id), in one job; a goal without evidence has that of none."""
+    e = events.where(F.col("type").isin("evidence.learned", "evidence.corroborated"))
+    g = e.groupBy("goal_id").agg(F.count_distinct("memory_id").alias("_e"), F.count_distinct("source_id").alias("_s"), F.count_distinct(F.when(F.col("type") == "evidence.corroborated", F.struct("memory_id", "source_id"))).alias("_c"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    new = goal_progress(n("_e"), n("_s"), n("_c"), F.lit(0.0))
+    return goals.join(g, "goal_id", "left").select("goal_id", new.alias("progress"), (F.round(new, 9) != F.round("progress", 9)).alias("changed"))
+
+
+def search_totals(queries: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """key, total, fallback of each query: how many hits (key, n) it has, and whether it has none, so that a model is asked instead."""
+    total = F.coalesce("n", F.lit(0))
+    return queries.join(hits, key, "left").select(key, total.alias("total"), (total == 0).alias("fallback"))

@@ -339,7 +339,7 @@ def r31(spark, sf_dir):
 
 @query("r32_source_versions", """SELECT o_orderkey AS id, sha256(concat_ws(chr(31), o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR))) AS version, o_orderstatus = 'F' AS unchanged FROM orders""")
 def r32(spark, sf_dir):
-    """r03, r32, r33, r42, r56: a hash of the fields that a decision rests on, and whether they are still the same."""
+    """r32, r33, r56: a hash of the fields that a decision rests on, and whether they are still the same."""
     o = table(spark, sf_dir, "orders")
     fields = lambda status: F.sha2(F.concat_ws("\x1f", status, "o_orderpriority", c("o_custkey").cast("string")), 256)
     return o.select(c("o_orderkey").alias("id"), fields(c("o_orderstatus")).alias("version"), fields(c("o_orderstatus")).eqNullSafe(fields(F.lit("F"))).alias("unchanged"))
@@ -347,7 +347,7 @@ def r32(spark, sf_dir):
 
 @query("r34_feedback", "SELECT count(*) AS n, count(*) FILTER (event_id % 12 = user_id % 12) AS agreed, count(*) FILTER (event_id % 12 <> user_id % 12) AS corrected, round(avg(CASE WHEN event_id % 12 = user_id % 12 THEN 1e0 ELSE 0e0 END), 9) AS rate FROM events")
 def r34(spark, sf_dir):
-    """r34, r35, r47, r48, r53: what people chose against what was recommended."""
+    """What people chose against what was recommended."""
     ok = c("event_id") % 12 == c("user_id") % 12
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(ok).alias("agreed"), F.count_if(~ok).alias("corrected"), F.round(F.avg(ok.cast("double")), 9).alias("rate"))
 
