@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallbase.operators.shared import small
+from recallbase.operators.shared import first_rows, small
 
 TERMINAL = ("done", "completed", "failed", "error", "canceled")
 
@@ -51,7 +51,7 @@ def prunable(jobs: DataFrame, dependencies: DataFrame, before: Column, most: int
     old = free.where(F.col("created_at") < before).select("id", F.lit("retention").alias("reason"))
     left = free.where(~(F.col("created_at") < before))
     total = left.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("_excess"))
-    oldest = left.select("id", "created_at").orderBy("created_at", "id").limit(max(0, total.first()[0]))  # a sort with a bound, in parallel
+    oldest = first_rows(left.select("id", "created_at").withColumn("_at", F.unix_micros(F.col("created_at").cast("timestamp"))), max(0, total.first()[0]), "_at", "id")
     return old.unionByName(oldest.select("id", F.lit("cap").alias("reason")))
 
 

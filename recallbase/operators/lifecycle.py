@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
-from recallbase.operators.shared import cut
+from recallbase.operators.shared import cut, first_rows
 
 
 def with_defaults(new: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def touch(memories: DataFrame, touches: DataFrame, now: Column) -> DataFrame:
 def retention(memories: DataFrame, now: str, ttl_hours: float, least_age_days: float, least_utility: float, most: int) -> DataFrame:
     """id, action (`delete_ttl`, `archive`, `delete_cap`, `keep`), utility: expired working memories go, old useless ones are archived, then the least useful that aren't procedural go until `most` are left.
 
-    The cap is found from a sort with a bound.
+    The cap is found by counts over ranges of utility, so no task sorts all rows.
     """
     age = X.age_days(F.col("created_at"), now)
     utility = X.memory_utility(age, F.col("access_count"), F.col("salience"), F.col("confidence"), F.col("reward"))
@@ -138,7 +138,7 @@ def retention(memories: DataFrame, now: str, ttl_hours: float, least_age_days: f
     staged = rows.withColumn("action", F.when(ttl, "delete_ttl").when(archive, "archive").otherwise("keep"))
     left = staged.where("action <> 'delete_ttl'")
     need = max(0, left.count() - most)
-    drop = left.where("memory_type <> 'procedural'").orderBy("utility", "id").limit(need).select(F.col("id").alias("_id"))
+    drop = first_rows(left.where("memory_type <> 'procedural'"), need, "utility", "id").select(F.col("id").alias("_id"))
     return staged.join(drop, F.col("id") == F.col("_id"), "left").select("id", F.when(F.col("_id").isNotNull(), "delete_cap").otherwise(F.col("action")).alias("action"), "utility")
 
 

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ranges that a round of first_rows counts; rows that are sorted in the end.
+BUCKETS, SORTED = 1024, 100_000
+
+
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where the setting is absent, a folder is made for the session, but only when all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,3 +52,40 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def first_rows(rows: DataFrame, n: int, order: str, tie: str, by_tie: bool = False) -> DataFrame:
+    """The first n rows by (order, tie), however large n is: no sort of all rows and no task that gets them. Values of `order` must be numbers or times without nulls.
+
+    Each round counts the rows between two bounds in BUCKETS ranges and goes on in the one where the n-th row lies, until
+    that range holds SORTED rows or a single value; only these are ranked, by tie, of which the same holds. Rows that share
+    both can't be told apart, any of them will do. by_tie: order and tie have changed their places already.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    value = F.col(order).cast("double")
+    held = rows.withColumn("_v", value)
+    bounds = held.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n")).first()
+    if bounds.n <= n:
+        return rows
+    lo, hi, before, inside = bounds.lo, bounds.hi, 0, bounds.n
+    while inside > SORTED and hi > lo:
+        step = (hi - lo) / BUCKETS
+        bucket = F.least(F.floor((F.col("_v") - lo) / step), F.lit(BUCKETS - 1))
+        counts = {r.b: r for r in held.where((F.col("_v") >= lo) & (F.col("_v") <= hi)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()}  # BUCKETS rows at most
+        for b in sorted(counts):
+            if before + counts[b].n >= n:
+                break
+            before += counts[b].n
+        narrower = counts[b].lo, counts[b].hi
+        if narrower == (lo, hi):
+            break
+        (lo, hi), inside = narrower, counts[b].n
+    edge = held.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
+    if hi > lo or inside <= SORTED:
+        last = edge.orderBy(order, tie).limit(n - before)
+    elif by_tie:
+        last = edge.limit(n - before)
+    else:  # one value that very many rows share: on by the tie
+        last = first_rows(edge.drop("_v"), n - before, tie, order, by_tie=True)
+    return held.where(F.col("_v") < lo).drop("_v").unionByName(last.drop("_v"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("search_queries", "ops_queries", "life_queries", "rule_queries", "source_queries", "stream_queries", "scalar_queries", "state_queries", "research_queries", "decision_queries")
+MODULES: tuple[str, ...] = ("search_queries", "ops_queries", "life_queries", "rule_queries", "source_queries", "stream_queries", "scalar_queries", "state_queries", "research_queries", "decision_queries", "corpus_queries")
 
 
 def load():

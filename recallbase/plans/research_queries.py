@@ -13,6 +13,7 @@ from recallbase.operators import lifecycle as L
 from recallbase.operators import research as R
 from recallbase.plans import views
 from recallbase.plans.registry import query
+from recallbase.plans.rule_queries import _rendezvous_sql
 from recallbase.plans.views import sql
 from recallbase.session import table
 
@@ -112,9 +113,10 @@ def m24(spark, sf_dir):
     return L.reinforce(e, 0.0, 1e9).join(days, ["a", "b"]).select("a", "b", "days", F.round("weight", 6).alias("total"))
 
 
-@query("m25_rebalance_plan")
+@query("m25_rebalance_plan", sql("t AS (" + _rendezvous_sql("SELECT id FROM memory WHERE status <> 'archived'", {"local": 1.0, "east": 2.0, "west": 1.0}) + """), h AS (SELECT CASE WHEN id % 3 = 0 THEN 'east' ELSE 'local' END AS home, target FROM t)
+  SELECT home, target, count(*) AS memories, count(*) FILTER (home <> target) AS to_move FROM h GROUP BY home, target""", "memory"))
 def m25(spark, sf_dir):
-    """m25: memories per home and target shard, a dry run; a test holds the targets against plain code."""
+    """m25: memories per home and target shard, a dry run."""
     pick = H.rendezvous(["local", "east", "west"], [1.0, 2.0, 1.0])
     m = views.memory(spark, sf_dir).where("status <> 'archived'").select(F.when(c("id") % 3 == 0, "east").otherwise("local").alias("home"), pick(c("id").cast("string")).alias("target"))
     return m.groupBy("home", "target").agg(F.count("*").alias("memories"), F.count_if(c("home") != c("target")).alias("to_move"))

@@ -9,7 +9,7 @@ from recallbase.functions import exprs as X
 from recallbase.functions import text as T
 from recallbase.operators import rules as R
 from recallbase.operators.shared import small
-from recallbase.plans import views
+from recallbase.plans import hash_sql, views
 from recallbase.plans.registry import query
 from recallbase.plans.views import sql
 from recallbase.session import table
@@ -260,21 +260,28 @@ def w06(spark, sf_dir):
     return c.select("conv_id", "turn", "size")
 
 
-@query("c33_rendezvous_shard")
+def _rendezvous_sql(rows: str, weights: dict[str, float]) -> str:
+    """id and target of rows (id): the shard of the largest weight / -ln(u), the first among equals."""
+    parts = " UNION ALL ".join(f"SELECT id, {i} AS n, '{name}' AS shard, {weight} AS weight, CAST(id AS VARCHAR) || chr(0) || '{name}' AS k FROM ({rows})" for i, (name, weight) in enumerate(weights.items()))
+    return f"""WITH a AS ({parts}), b AS (SELECT *, {hash_sql.fnv1a("k")} AS h FROM a), s AS (SELECT *, weight / -ln({hash_sql.unit("h")}) AS score FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, n) AS rn FROM s)
+  SELECT id, shard AS target FROM r WHERE rn = 1"""
+
+
+@query("c33_rendezvous_shard", "SELECT id AS doc_id, target AS shard FROM (" + _rendezvous_sql("SELECT DISTINCT doc_id AS id FROM documents", {"alpha": 1.0, "beta": 1.0, "gamma": 2.0}) + ")")
 def c33(spark, sf_dir):
     from recallbase.functions.hashes import rendezvous
 
     return table(spark, sf_dir, "documents").select("doc_id", rendezvous(["alpha", "beta", "gamma"], [1.0, 1.0, 2.0])(F.col("doc_id").cast("string")).alias("shard"))
 
 
-@query("v11_hnsw_levels")
+@query("v11_hnsw_levels", f"WITH a AS (SELECT CAST(vec_id AS VARCHAR) AS k FROM embeddings), b AS (SELECT {hash_sql.fnv1a('k')} AS h FROM a) SELECT CAST(least(floor(-ln({hash_sql.unit('h')})), 32) AS INTEGER) AS level, count(*) AS n FROM b GROUP BY 1")
 def v11(spark, sf_dir):
     from recallbase.functions.hashes import hnsw_level
 
     return table(spark, sf_dir, "embeddings").select("vec_id", hnsw_level(F.col("vec_id").cast("string")).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("c34_fnv_ids")
+@query("c34_fnv_ids", f"WITH a AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k FROM documents) SELECT doc_id, printf('%016x', {hash_sql.fnv1a('k')}) AS h FROM a")
 def c34(spark, sf_dir):
     from recallbase.functions.hashes import fnv1a_hex
 

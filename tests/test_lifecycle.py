@@ -103,3 +103,20 @@ def test_reinforcement_event_by_event(spark):
         want[a] = (max(-1.0, min(1.0, w * 0.9 ** (day - at) + delta)), day, n + 1)
     got = {r.a: (r.weight, r.activations) for r in L.reinforce(spark.createDataFrame(events, "a int, b int, at_day int, delta double"), 0.1, 1.0).collect()}
     assert {a: w for a, (w, _) in got.items()} == pytest.approx({a: v[0] for a, v in want.items()}) and {a: n for a, (_, n) in got.items()} == {a: v[2] for a, v in want.items()}
+
+
+def test_first_rows_of_any_number(spark, monkeypatch):
+    from recallbase.operators import shared
+
+    monkeypatch.setattr(shared, "BUCKETS", 8)
+    monkeypatch.setattr(shared, "SORTED", 10)
+    rng = random.Random(6)
+    rows = [(i, rng.choice([0.0, 1.5, 1.5, rng.random() * 100, -3.25])) for i in range(800)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, v double")
+    want = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    for n in (0, 1, 9, 150, 333, 500, 799, 800, 5000):
+        got = shared.first_rows(df, n, "v", "id").collect()
+        assert sorted(r.id for r in got) == sorted(want[:n]), n
+    assert shared.first_rows(df.limit(0), 5, "v", "id").count() == 0
+    assert shared.first_rows(spark.range(500).selectExpr("7L AS id", "1.0D AS v"), 120, "v", "id").count() == 120
