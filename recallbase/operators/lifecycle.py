@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ def conflict_outcome(new_version: Column, old_version: Column, new_text: Column,
     )
 
 
+#: Nodes, and links, of a consolidation that one task finishes.
+TAIL = 200_000
 #: Scores are compared in billionths, a gap of this many or more decides.
 GAP = 150_000_000
 
@@ -172,11 +175,36 @@ def fold_log(log: DataFrame, key: str, revision: str, deleted: str, after: Colum
     return latest.where(~F.col(deleted))
 
 
+def _in_order(nodes: DataFrame, links: DataFrame, least: int, most: int) -> DataFrame:
+    """(cluster, id) by the plain loop over few nodes (id, rank, tried) and links (a, b, similarity)."""
+
+    def loop(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list] = {}
+        for a, b, s in zip(links["a"].tolist(), links["b"].tolist(), links["similarity"].tolist(), strict=True):
+            near.setdefault(a, []).append((-s, b))
+        there, used, made = set(nodes["id"].tolist()), set(), []
+        for seed in nodes[~nodes["tried"]].sort_values(["uses", "created_at", "id"])["id"].tolist():
+            if seed in used:
+                continue
+            free = [b for _, b in sorted(near.get(seed, [])) if b in there and b not in used]
+            members = [seed, *free[: most - 1]]
+            if len(members) >= least:
+                used.update(members)
+                made += [(seed, x) for x in members]
+        return pd.DataFrame(made, columns=["cluster", "id"])
+
+    kind = dict(nodes.dtypes)["id"]
+    one = F.lit(0).alias("_all")
+    rows = nodes.select(one, "id", "tried", F.col("rank.uses").alias("uses"), F.col("rank.created_at").alias("created_at"))
+    return rows.groupBy("_all").cogroup(links.select(one, "a", "b", "similarity").groupBy("_all")).applyInPandas(loop, f"cluster {kind}, id {kind}")
+
+
 def consolidate(memories: DataFrame, neighbours: DataFrame, least: int, most: int) -> DataFrame:
     """(cluster, id): seeds by access count, then age, then id; each takes its most similar unused neighbours (a, b, similarity) up to `most` in all; clusters under `least` are dropped and their members stay free.
 
     The greedy order only matters between seeds that are at most two links apart. So each round takes all seeds at once that
     come first among those, which gives the clusters of the plain order; a round is joins and minima, cut by a checkpoint.
+    What TAIL links or fewer are left of is finished in the plain order by one task.
     """
     rank = F.struct((-F.col("access_count")).alias("uses"), "created_at", "id")
     nodes = cut(memories.select("id", rank.alias("rank")).dropDuplicates(["id"]).withColumn("tried", F.lit(False)))
@@ -186,6 +214,8 @@ def consolidate(memories: DataFrame, neighbours: DataFrame, least: int, most: in
     found: list[DataFrame] = []
     nodes = cut(nodes.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi")) if least > 1 else nodes
     while nodes.where("not tried").limit(1).count():
+        if nodes.limit(TAIL + 1).count() <= TAIL and links.limit(TAIL + 1).count() <= TAIL:
+            return reduce(DataFrame.unionByName, [*found, _in_order(nodes, links, least, most)])
         waiting = nodes.where("not tried").select("id", "rank")
         near = links.join(waiting.select(F.col("id").alias("b"), "rank"), "b").groupBy(F.col("a").alias("id")).agg(F.min("rank").alias("near"))
         first = nodes.join(near, "id", "left").select("id", F.least(F.when(~F.col("tried"), F.col("rank")), "near").alias("first"))
@@ -201,4 +231,5 @@ def consolidate(memories: DataFrame, neighbours: DataFrame, least: int, most: in
         found.append(made)
         left = nodes.join(made.select("id"), "id", "left_anti").join(ready.withColumn("_now", F.lit(True)), "id", "left")
         nodes = cut(left.select("id", "rank", (F.col("tried") | F.coalesce("_now", F.lit(False))).alias("tried")))
+        links = cut(links.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi"))
     return reduce(DataFrame.unionByName, found) if found else memories.select(F.col("id").alias("cluster"), "id").limit(0)

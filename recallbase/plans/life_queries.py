@@ -209,5 +209,6 @@ def w08(spark, sf_dir):
 
 @query("w14_consolidation")
 def w14(spark, sf_dir):
-    edges = views.synapse(spark, sf_dir).where("weight >= 0.6").select("a", "b", F.col("weight").alias("similarity"))
-    return L.consolidate(views.memory(spark, sf_dir).where("memory_type = 'episodic'"), edges, 2, 6)
+    """All memories that a search may return, over all edges; a test compares with a plain loop."""
+    edges = views.synapse(spark, sf_dir).select("a", "b", F.col("weight").alias("similarity"))
+    return L.consolidate(views.memory(spark, sf_dir).where(X.searchable(F.col("status"))), edges, 2, 6)

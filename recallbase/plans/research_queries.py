@@ -52,10 +52,10 @@ def x25(spark, sf_dir):
     return R.fetch_order(s, F.lower("html").contains("the"), F.when(c("score") >= 0.9, 0.65).otherwise(0.50), 5).select("query_id", "id", "place")
 
 
-@query("r14_goal_keywords", r"""WITH w AS (SELECT conv_id, regexp_replace(unnest(regexp_split_to_array(translate(lower(substring(text, 1, 40)), '/-_', '   '), '\s+')), '^[.,:;()\[\]{}]+|[.,:;()\[\]{}]+$', '', 'g') AS w FROM conversations WHERE turn = 0)
+@query("r14_goal_keywords", r"""WITH w AS (SELECT conv_id, regexp_replace(unnest(regexp_split_to_array(translate(lower(text), '/-_', '   '), '\s+')), '^[.,:;()\[\]{}]+|[.,:;()\[\]{}]+$', '', 'g') AS w FROM conversations WHERE turn = 0)
   SELECT conv_id, CAST(count(DISTINCT w) AS INTEGER) AS n, min(w) AS first FROM w WHERE strlen(w) >= 3 GROUP BY conv_id""")
 def r14(spark, sf_dir):
-    k = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", R.goal_keywords(F.substring("text", 1, 40)).alias("k")).where(F.size("k") > 0)
+    k = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", R.goal_keywords(c("text")).alias("k")).where(F.size("k") > 0)
     return k.select("conv_id", F.size("k").alias("n"), F.element_at("k", 1).alias("first"))
 
 

@@ -116,11 +116,11 @@ def overlaps(start, end, low: str, high: str):
     return a.isNull() | ((a <= at(high)) & (b >= at(low)))
 
 
-@query("j05_category_mapping", """WITH o AS (SELECT source AS label, count(DISTINCT doc_id) AS n FROM documents GROUP BY source), m AS (SELECT 'src' || CAST(p_partkey AS VARCHAR) AS label, p_partkey AS category FROM part WHERE p_partkey BETWEEN 5 AND 40)
+@query("j05_category_mapping", """WITH o AS (SELECT source AS label, count(DISTINCT doc_id) AS n FROM documents GROUP BY source), m AS (SELECT 'src' || CAST(p_partkey AS VARCHAR) AS label, p_partkey AS category FROM part)
   SELECT coalesce(o.label, m.label) AS label, coalesce(n, 0) AS used, category, CASE WHEN n IS NULL THEN 'orphan' WHEN category IS NULL THEN 'unmapped' ELSE 'mapped' END AS state FROM o FULL JOIN m ON o.label = m.label""")
 def j05(spark, sf_dir):
     seen = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg(F.count_distinct("doc_id").alias("n"))
-    told = table(spark, sf_dir, "part").where("p_partkey BETWEEN 5 AND 40").select(F.concat(F.lit("src"), F.col("p_partkey").cast("string")).alias("label"), F.col("p_partkey").alias("category"))
+    told = table(spark, sf_dir, "part").select(F.concat(F.lit("src"), F.col("p_partkey").cast("string")).alias("label"), F.col("p_partkey").alias("category"))
     j = seen.join(told, "label", "full")
     return j.select("label", F.coalesce("n", F.lit(0)).alias("used"), "category", F.when(F.col("n").isNull(), "orphan").when(F.col("category").isNull(), "unmapped").otherwise("mapped").alias("state"))
 
@@ -206,11 +206,10 @@ def d08(spark, sf_dir):
     return found.where(~F.lit("licensed under the apache license, version 2.0").contains(F.col("token")) | (F.col("token") != "2.0"))
 
 
-@query("c06_word_chunks", r"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM documents), n AS (SELECT doc_id, w, least(24, CASE WHEN len(w) <= 160 THEN 1 ELSE CAST(ceil((len(w) - 160) / 130e0) AS INTEGER) + 1 END) AS n FROM p WHERE len(w) > 0),
+@query("c06_word_chunks", r"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM documents), n AS (SELECT doc_id, w, CASE WHEN len(w) <= 160 THEN 1 ELSE CAST(ceil((len(w) - 160) / 130e0) AS INTEGER) + 1 END AS n FROM p WHERE len(w) > 0),
   c AS (SELECT doc_id, unnest(list_transform(generate_series(0, n - 1), lambda i: array_to_string(w[i * 130 + 1 : i * 130 + 160], ' '))) AS chunk FROM n) SELECT doc_id, count(*) AS chunks, sum(length(chunk)) AS chars, min(md5(chunk)) AS least FROM c GROUP BY doc_id""")
 def c06(spark, sf_dir):
-    """The first 24 chunks of a text, as the SQL has it."""
-    c = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunk_words(F.col("text"), most=24)).alias("chunk"))
+    c = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunk_words(F.col("text"))).alias("chunk"))
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.min(F.md5("chunk")).alias("least"))
 
 

@@ -192,11 +192,11 @@ def m15(spark, sf_dir):
     return S.learn(d, most_chars=2000, refused=["src6"], trust={"src1": 0.9}, other_trust=0.7).select("id", "confidence")
 
 
-@query("m18_goal_upsert", """WITH g AS (SELECT conv_id AS id, lower(trim(regexp_replace(substring(text, 1, 12), '\\s+', ' ', 'g'))) AS f FROM conversations WHERE turn = 0), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) AS n FROM g)
+@query("m18_goal_upsert", """WITH g AS (SELECT conv_id AS id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS f FROM conversations WHERE turn = 0), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) AS n FROM g)
   SELECT id, 'active' AS status, CAST(50 AS INTEGER) AS priority FROM k WHERE n = 1""")
 def m18(spark, sf_dir):
     """m18, d10, r18, r19: defaults, and no second open goal of the same title."""
-    g = table(spark, sf_dir, "conversations").where("turn = 0").select(c("conv_id").alias("id"), F.substring("text", 1, 12).alias("title"))
+    g = table(spark, sf_dir, "conversations").where("turn = 0").select(c("conv_id").alias("id"), c("text").alias("title"))
     return S.open_goals(g).select("id", "status", "priority")
 
 
@@ -208,11 +208,11 @@ def m19(spark, sf_dir):
     return S.patch_counts(d, {"text": T.find_replace(c("text"), "the", "XX"), "source": F.when(c("source") == "src2", "src-two").otherwise(c("source"))})
 
 
-@query("m20_staging_save", """WITH d AS (SELECT conv_id % 40 AS key, conv_id AS id, turn, substring(text, 1, 30) AS title, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id DESC, turn DESC) AS n, count(*) OVER (PARTITION BY conv_id % 40) AS saves FROM conversations)
+@query("m20_staging_save", """WITH d AS (SELECT conv_id % 40 AS key, conv_id AS id, turn, text AS title, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id DESC, turn DESC) AS n, count(*) OVER (PARTITION BY conv_id % 40) AS saves FROM conversations)
   SELECT key, id, turn, title, saves FROM d WHERE n = 1""")
 def m20(spark, sf_dir):
     """m20, m21, w13: a draft per integration key; a later save replaces, it doesn't add."""
-    d = table(spark, sf_dir, "conversations").select((c("conv_id") % 40).alias("key"), c("conv_id").alias("id"), "turn", F.substring("text", 1, 30).alias("title"))
+    d = table(spark, sf_dir, "conversations").select((c("conv_id") % 40).alias("key"), c("conv_id").alias("id"), "turn", c("text").alias("title"))
     g = d.groupBy("key").agg(F.max_by(F.struct("id", "turn", "title"), F.struct("id", "turn")).alias("r"), F.count("*").alias("saves"))
     return g.select("key", "r.id", "r.turn", "r.title", "saves")
 

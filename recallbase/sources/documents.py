@@ -75,11 +75,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
 
 
-def char_chunks(text: str | None, size: int = 2400, over: int = 280, most: int = 2000) -> list[str]:
-    """Pieces of at most `size` characters, each `over` characters into the one before; a piece ends at the last sentence mark or white space of its last quarter, if there is one."""
+def char_chunks(text: str | None, size: int = 2400, over: int = 280, most: int | None = None) -> list[str]:
+    """Pieces of at most `size` characters, each `over` characters into the one before; a piece ends at the last sentence mark or white space of its last quarter, if there is one. With `most`, no more than the first so many."""
     text, out, at = tidy(text or ""), [], 0
     over = over if 0 <= over < size else size // 8 if over > 0 else 0
-    while at < len(text) and len(out) < most:
+    while at < len(text) and (most is None or len(out) < most):
         end = min(len(text), at + size)
         if end < len(text):
             end = next((i for i in range(end, at + size * 3 // 4, -1) if text[i - 1] in ".!?" or text[i - 1].isspace()), end)
@@ -92,7 +92,7 @@ def char_chunks(text: str | None, size: int = 2400, over: int = 280, most: int =
     return out
 
 
-def chunked(rows: DataFrame, key: str, size: int = 2400, over: int = 280, most: int = 2000) -> DataFrame:
+def chunked(rows: DataFrame, key: str, size: int = 2400, over: int = 280, most: int | None = None) -> DataFrame:
     """key, chunk (from 0) and text of each row's pieces."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
