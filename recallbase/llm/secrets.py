@@ -17,6 +17,8 @@ are kept. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,26 +35,55 @@ OPAQUE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9A-Z]*[a-z])(?=[0-9a-z]*[A-Z]
 KINDS = ("assign", "access", "hex", "opaque")
 #: Owners that make a value a copied example.
 COPIED = 3
+#: Numbers of a block of running results; code points of the pieces that stretches of a text are taken from.
+BLOCK, PIECE = 64, 256
 
 _SPAN = "array<struct<at:int,rank:int,kind:string,start:int,end:int,value:string>>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(numbers: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Before each of the numbers, 0 stepped with all earlier ones (step: a sum or a maximum), and at last with all of them.
+
+    An array grows by copying, so long ones are taken in blocks of BLOCK: first the blocks' own results, then those within.
+    """
+    kind, zero = "array<int>", F.array(F.lit(0)).cast("array<int>")
+    grown = lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))).cast(kind)
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), step))
+        within = lambda start: lambda block, i: F.slice(F.aggregate(block, F.array(F.element_at(start, i + 1)).cast(kind), grown), 1, F.size(block))
+        return _bound(F.aggregate(totals, zero, grown), lambda start: F.concat(F.flatten(F.transform(blocks, within(start))), F.array(F.element_at(start, -1)).cast(kind)))
+
+    def whole(items: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / F.lit(BLOCK))).cast("int")
+        return _bound(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))), of_blocks)
+
+    return _bound(numbers, whole)
+
+
 def _spans(text: Column, kind: str, pattern: str, value_group: int = 0, least: int = 0) -> Column:
     """Array of spans of the pattern's matches. Matches and gaps alternate, so their lengths give the places."""
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    parts = F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("match"), values.alias("value")), lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"), p["value"].alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    zipped = F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("match"), values.alias("value")), lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"), p["value"].alias("value")))
+
+    def placed(parts: Column) -> Column:
+        def spans(before: Column) -> Column:
+            def span(p: Column, i: Column) -> Column:
+                a = F.element_at(before, i + 1) + p["gap"]
+                kept = p["size"].isNotNull() & (F.length(p["value"]) >= least)
+                return F.when(kept, F.struct(a.alias("at"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), a.alias("start"), (a + p["size"]).alias("end"), p["value"].alias("value")))
+
+            return F.filter(F.transform(parts, span), lambda s: s.isNotNull()).cast(_SPAN)
 
-    def step(state: Column, p: Column) -> Column:
-        a = state["at"] + p["gap"]
-        b = a + F.coalesce(p["size"], F.lit(0))
-        span = F.struct(a.alias("at"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), p["value"].alias("value"))
-        kept = p["size"].isNotNull() & (F.length(p["value"]) >= least)
-        return F.struct(b.alias("at"), F.when(kept, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(_SPAN).alias("out"))
+        return _bound(_running(F.transform(parts, lambda p: p["gap"] + F.coalesce(p["size"], F.lit(0))), lambda a, b: a + b), spans)
 
-    found = F.aggregate(parts, start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _bound(zipped, placed)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -100,13 +131,23 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _masked(spans: Column, text: Column, mask: str) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each span, or run of overlapping spans, replaced. Stretches of it are taken from pieces of PIECE code points, not counted from its start."""
+
+    def cut_out(pieces: Column) -> Column:
+        def stretch(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+            return F.when(b > a, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), a % PIECE + 1, b - a)).otherwise("")
+
+        def joined(upto: Column) -> Column:
+            def part(s: Column, i: Column) -> Column:
+                at = F.element_at(upto, i + 1)
+                return F.when(s["start"] >= at, F.concat(stretch(at, s["start"]), F.lit(mask))).otherwise("")
+
+            return F.concat(F.array_join(F.transform(spans, part), ""), stretch(F.element_at(upto, -1), F.length(text)))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= state["at"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
+        return _bound(_running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), joined)
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), cut_out)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
