@@ -1,15 +1,19 @@
 """Sharding over fixed virtual slots, with a versioned map from slots to shards.
 
-A record's virtual slot is fixed by its doc_id: the first hexadecimal digits of the MD5 of the id as text. Bytes are
-aggregated per slot and the slots, largest first, each go to the shard with the fewest bytes so far (law `bytes`). The
+A record's virtual slot is fixed by its doc_id, text checksum, size and, among equals of all three, its number: the first
+hexadecimal digits of the MD5 of these as text. So neither an id nor a null that a third of all rows share, nor rows that
+are equal throughout, crowd a slot. Copies of a text under different ids are records like any other: the method deals
+records, it doesn't keep groups of equal texts together, and a large group is spread over all shards. Bytes are aggregated
+per slot and the slots, largest first, each go to the shard with the fewest bytes so far (law `bytes`). The
 map is a table of VSLOTS rows a version; rebalancing and growing edit the map, so only records of the slots that
 moved change their shard. Everything here is DataFrame functions; nothing but sums per slot is gathered.
 
 A record's place in its shard is gapless from 0. It is the number of records in the shard's earlier buckets (a bucket is
 a slot's share of further MD5 digits, 65,536 in all, so none is large) plus its rank in its own bucket.
 
-Nulls and ties: a null text has 0 bytes and the crc32 of an empty text; null doc_ids share one slot; rows that repeat a
-doc_id share its slot and are ranked by text checksum and size. Extra columns are ignored by `assign` and kept by
+Nulls and ties: a null text has 0 bytes and the crc32 of an empty text; a null doc_id counts as an empty one; rows that
+are equal in id, checksum and size are numbered and dealt one by one (`write_shards`, which moves whole records, puts them
+where the first is). Extra columns are ignored by `assign` and kept by
 `write_shards`. An empty table gives an empty map and no rows.
 """
 
@@ -20,18 +24,33 @@ from pyspark.sql import functions as F
 
 from recallbase.llm.common import cut
 
-#: Hexadecimal digits of the MD5 that make a slot (4096 slots) and a bucket within it.
-SLOT_DIGITS, BUCKET_DIGITS = 3, 4
-
-
-def _digits(key: Column, first: int, last: int) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), first, last - first + 1), 16, 10).cast("int")
+#: Hexadecimal digits of the MD5 that make a slot (4096 slots) and a bucket within it; equal rows that one task numbers.
+SLOT_DIGITS, BUCKET_DIGITS, RUN = 3, 4, 65_536
+_RECORD = ("doc_id", "size", "text_crc32")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, bucket of every row."""
+    """doc_id, size, text_crc32 of every row."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), _digits(F.col("doc_id"), 1, SLOT_DIGITS).alias("vslot"), _digits(F.col("doc_id"), 1, BUCKET_DIGITS).alias("bucket"))
+    return docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
+
+
+def _key(crc: Column, size: Column, copy: Column) -> Column:
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc, size, copy)
+
+
+def _slot(key: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, digits), 16, 10).cast("int")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of `sized` with copy (the number among equal rows, from 0), vslot and bucket. Equal rows are counted, and the count unrolled in many tasks."""
+    groups = cut(rows.groupBy(*_RECORD).agg(F.count("*").alias("n")))
+    once = groups.where("n = 1").select(*_RECORD, F.lit(0).cast("long").alias("copy"))
+    runs = groups.where("n > 1").select(*_RECORD, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("run")).repartition(*_RECORD, "run")
+    more = runs.select(*_RECORD, F.explode(F.sequence(F.col("run") * RUN, F.least("n", (F.col("run") + 1) * RUN) - 1)).alias("copy"))
+    key = _key(F.col("text_crc32"), F.col("size"), F.col("copy"))
+    return once.unionByName(more).select("*", _slot(key, SLOT_DIGITS).alias("vslot"), _slot(key, BUCKET_DIGITS).alias("bucket"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -97,18 +116,18 @@ def store_map(mapped: DataFrame, folder: str) -> None:
 
 
 def placed(rows: DataFrame, mapped: DataFrame) -> DataFrame:
-    """rows of `sized` with shard and slot, the place in the shard."""
+    """rows of `numbered` with shard and slot, the place in the shard."""
     chosen = F.broadcast(mapped.select("vslot", "shard"))  # at most 4096 rows
     counts = rows.groupBy("vslot", "bucket").agg(F.count("*").alias("n")).join(chosen, "vslot")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     base = F.broadcast(counts.select("bucket", "shard", before.alias("before")))  # at most 65,536 rows
-    own = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size")
+    own = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size", "copy")
     return rows.join(base, "bucket").withColumn("slot", F.col("before") + F.row_number().over(own) - 1)
 
 
 def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot of every row, under law `bytes` (grown_shard is null)."""
-    rows = sized(docs)
+    rows = numbered(sized(docs))
     mapped = cut(new_map(slot_bytes(rows), shards))
     return placed(rows, mapped).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
@@ -116,4 +135,6 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
 def write_shards(docs: DataFrame, mapped: DataFrame, folder: str) -> None:
     """Writes the records themselves, a folder a shard, each slot's records together."""
     chosen = F.broadcast(mapped.select(F.col("vslot").alias("_vslot"), F.col("shard").alias("_shard")))
-    docs.withColumn("_vslot", _digits(F.col("doc_id"), 1, SLOT_DIGITS)).join(chosen, "_vslot").repartition("_vslot").sortWithinPartitions("_shard", "_vslot").write.partitionBy("_shard").parquet(folder)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    key = _key(F.crc32(raw), F.octet_length(raw).cast("long") + 1, F.lit(0))
+    docs.withColumn("_vslot", _slot(key, SLOT_DIGITS)).join(chosen, "_vslot").repartition("_vslot").sortWithinPartitions("_shard", "_vslot").write.partitionBy("_shard").parquet(folder)

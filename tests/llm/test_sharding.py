@@ -39,6 +39,18 @@ def test_bytes_are_nearly_equal(many):
     assert len(sizes) == 16 and max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+def slotted(df):
+    return sharding.numbered(sharding.sized(df))
+
+
+def test_nulls_and_repeats_do_not_crowd_a_slot(spark, rng, monkeypatch):
+    """A third of all rows have no id, and as many are one row again and again."""
+    monkeypatch.setattr(sharding, "RUN", 100)
+    rows = [doc_row(i, words(rng, rng.randint(5, 20))) for i in range(2000)] + [doc_row(None, words(rng, rng.randint(5, 20))) for _ in range(2000)] + [doc_row(7, "the same row")] * 2000
+    sizes = check(rows, sharding.assign(spark.createDataFrame(rows, DOC), 16).collect(), 16)
+    assert len(sizes) == 16 and max(sizes.values()) <= 1.02 * min(sizes.values())
+
+
 def spread(mapped):
     sums = defaultdict(int)
     for r in mapped:
@@ -48,7 +60,7 @@ def spread(mapped):
 
 def test_growing_moves_a_share_to_the_new_shard_alone(many):
     _, df = many
-    one = sharding.new_map(sharding.slot_bytes(sharding.sized(df)), 8)
+    one = sharding.new_map(sharding.slot_bytes(slotted(df)), 8)
     two = sharding.grow(one, 8)
     a, b = {r.vslot: r for r in one.collect()}, {r.vslot: r for r in two.collect()}
     moved = [s for s in a if a[s].shard != b[s].shard]
@@ -59,9 +71,9 @@ def test_growing_moves_a_share_to_the_new_shard_alone(many):
 
 def test_rebalancing_moves_only_what_it_must(many, spark, rng):
     _, df = many
-    old = sharding.new_map(sharding.slot_bytes(sharding.sized(df)), 8)
+    old = sharding.new_map(sharding.slot_bytes(slotted(df)), 8)
     more = df.unionByName(spark.createDataFrame([doc_row(i, words(rng, 60)) for i in range(10_000, 11_500)], DOC))
-    slots = sharding.slot_bytes(sharding.sized(more))
+    slots = sharding.slot_bytes(slotted(more))
     a, b = {r.vslot: r.shard for r in old.collect()}, sharding.rebalance(old, slots, 8).collect()
     assert {r.vslot for r in b} == {r.vslot for r in slots.collect()} and {r.version for r in b} == {2}
     sums = spread(b)
@@ -71,7 +83,7 @@ def test_rebalancing_moves_only_what_it_must(many, spark, rng):
 
 def test_written_shards_and_versions(many, spark, tmp_path):
     rows, df = many
-    mapped = sharding.new_map(sharding.slot_bytes(sharding.sized(df)), 4).cache()
+    mapped = sharding.new_map(sharding.slot_bytes(slotted(df)), 4).cache()
     sharding.write_shards(df, mapped, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.count() == len(rows) and set(DOC.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", ")) <= set(back.columns)
