@@ -146,12 +146,10 @@ def retention(memories: DataFrame, now: str, ttl_hours: float, least_age_days: f
 
 
 def tiering(memories: DataFrame, budget: int, age_days: Column, most_days: float) -> DataFrame:
-    """id, cold: bodies that are too old, or beyond the byte budget counted from the latest access. Sums per day come first, so only the day on the edge is ordered row by row."""
-    rows = memories.select("id", "bytes", "accessed_at", (age_days > most_days).alias("old"), F.to_date("accessed_at").alias("day"))
-    days = rows.groupBy("day").agg(F.sum("bytes").alias("b"))
-    before = days.withColumn("before", F.sum("b").over(Window.orderBy(F.desc("day"))) - F.col("b")).select("day", "before")
-    run = F.col("before") + F.sum("bytes").over(Window.partitionBy("day").orderBy(F.desc("accessed_at"), "id"))
-    return rows.join(F.broadcast(before), "day").select("id", (F.col("old") | (run > budget)).alias("cold"))
+    """id, cold: bodies that are too old, or beyond the byte budget counted from the latest access; found by sums over ranges of time, so no task gets a day or more of them."""
+    rows = memories.select("id", "bytes", (age_days > most_days).alias("old"), (-F.unix_micros(F.col("accessed_at").cast("timestamp"))).alias("_at"))
+    hot = first_rows(rows, budget, "_at", "id", "bytes").select("id", F.lit(True).alias("_hot"))
+    return rows.join(hot, "id", "left").select("id", (F.col("old") | F.col("_hot").isNull()).alias("cold"))
 
 
 def revision_chain(outcomes: DataFrame) -> DataFrame:

@@ -122,3 +122,11 @@ def test_first_rows_of_any_number(spark, monkeypatch):
         assert sorted(r.id for r in got) == sorted(want[:n]), n
     assert shared.first_rows(df.limit(0), 5, "v", "id").count() == 0
     assert shared.first_rows(spark.range(500).selectExpr("7L AS id", "1.0D AS v"), 120, "v", "id").count() == 120
+    sized = spark.createDataFrame([(i, v, 1 + i % 7) for i, v in rows], "id long, v double, w long")
+    for budget in (0, 1, 50, 1500, 2390, 9999):
+        want, spent = set(), 0
+        for i, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+            spent += 1 + i % 7
+            if spent <= budget:
+                want.add(i)
+        assert {r.id for r in shared.first_rows(sized, budget, "v", "id", "w").collect()} == want
