@@ -79,6 +79,11 @@ def usage_totals(costs: DataFrame, now: str) -> DataFrame:
     return costs.agg(same("day").alias("daily"), same("month").alias("monthly"))
 
 
+def nearest_rank(rows: DataFrame, key: str, value: str, **shares: float) -> DataFrame:
+    """Percentiles per key that are values of the column: the one at rank ceil(share * n). Nulls don't count."""
+    return rows.groupBy(key).agg(*[F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)").alias(name) for name, share in shares.items()])
+
+
 def reciprocal_rank(ranked: DataFrame, k: int) -> DataFrame:
     """cases, recall_at_k, mrr over ranked (case_id, rank of the expected document, null if not found)."""
     hit = F.col("rank").isNotNull() & (F.col("rank") <= k)

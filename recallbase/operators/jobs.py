@@ -45,6 +45,12 @@ def dependency_state(jobs: DataFrame, dependencies: DataFrame) -> DataFrame:
     return joined.groupBy("id").agg(F.when(F.bool_or(bad), "failed").when(F.bool_and(F.col("status").isin("done", "completed")), "ready").otherwise("wait").alias("state"))
 
 
+def not_queued(rows: DataFrame, jobs: DataFrame, most: int) -> DataFrame:
+    """The `most` oldest rows (id, created_at) for which no job (id, status) is queued or under way; ties by id."""
+    busy = jobs.where(F.col("status").isin("queued", "claimed")).select("id").distinct()
+    return rows.join(busy, "id", "left_anti").orderBy("created_at", "id").limit(most)
+
+
 def prunable(jobs: DataFrame, dependencies: DataFrame, before: Column, most: int) -> DataFrame:
     """ids and reason of terminal jobs to drop: older than `before`, then the oldest above `most`; never one that another job depends on."""
     free = jobs.where(F.col("status").isin(*TERMINAL)).join(dependencies.select(F.col("depends_on").alias("id")).distinct(), "id", "left_anti")

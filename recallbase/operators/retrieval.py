@@ -1,7 +1,7 @@
 """Hybrid document search: chunk overlap, titles, fuzzy words, keywords and categories, weighed over what is available.
 
-Queries are a stated set and are taken whole. Nothing compares each query with each document: words are matched once, as
-words (similar_words), and documents meet queries through the words that they share, by equi-joins and counts.
+Queries are a stated set and are taken whole. Words are matched once, as words (similar_words), and documents meet queries
+through the words that they share, by equi-joins and counts; only distinct phrases and titles meet each query, in blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
 from recallbase.functions import text as T
-from recallbase.operators.shared import cut
+from recallbase.operators.shared import cut, in_blocks
 
 #: Most rows of a table of matches that is sent to all tasks; a larger one is joined by a shuffle.
 SMALL = 200_000
@@ -80,7 +80,7 @@ def set_f1(query_sets: DataFrame, sets: DataFrame, *keys: str) -> DataFrame:
 def phrases(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """(query_id, key, value): how much of a phrase a query covers, the best of each key. rows: (key, phrase). Distinct phrases meet the stated queries, each once."""
     distinct = rows.where("trim(phrase) <> ''").select("phrase").distinct()
-    met = distinct.join(_if_small(queries.select("query_id", "text"))).select("query_id", "phrase", T.phrase_coverage(F.col("phrase"), F.col("text")).alias("value")).where("value > 0")
+    met = in_blocks(queries.select("query_id", "text"), "query_id", distinct.join).select("query_id", "phrase", T.phrase_coverage(F.col("phrase"), F.col("text")).alias("value")).where("value > 0")
     return rows.join(met, "phrase").groupBy("query_id", key).agg(F.max("value").alias("value"))
 
 
@@ -116,7 +116,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, categories: DataF
     head_f1 = set_f1(q_head.select("query_id", F.lit("").alias("part"), F.array_distinct("terms").alias("tokens")), titled.select("id", "tokens"), "id")
     head_cover = coverage(q_head, title_tokens, matches, "id")
     normal = titled.select("title", T.normalized(F.col("title")).alias("t")).distinct()
-    within = normal.join(_if_small(q_text.select("query_id", T.normalized(F.col("head")).alias("h")))).where((F.col("t") == F.col("h")) | F.col("t").contains(F.col("h")) | F.col("h").contains(F.col("t")))
+    within = in_blocks(q_text.select("query_id", T.normalized(F.col("head")).alias("h")), "query_id", normal.join).where((F.col("t") == F.col("h")) | F.col("t").contains(F.col("h")) | F.col("h").contains(F.col("t")))
     named = titled.select("id", "title").join(within.select("query_id", "title"), "title").select("query_id", "id", F.lit(1.0).alias("value"))
     # The whole text, words alike.
     text_f1 = set_f1(q_text.select("query_id", F.lit("").alias("part"), F.array_distinct("terms").alias("tokens")), words_of.select("id", "tokens"), "id")

@@ -86,6 +86,14 @@ def corroborated_evidence(evidence: DataFrame, sources: DataFrame, most: int) ->
     return j.select("memory_id", "primary_id", "primary_score", F.coalesce("others", F.lit(0)).alias("others"), F.greatest("primary_score", F.coalesce("_best", F.lit(0.0))).alias("best"))
 
 
+def corroborations(evidence: DataFrame) -> DataFrame:
+    """corroborations, authoritative, origins (one row) of evidence (memory_id, source_id, origin, authoritative): distinct other origins of a memory than that of its least source; distinct authoritative sources; distinct origins."""
+    first = evidence.groupBy("memory_id").agg(F.min_by("origin", "source_id").alias("_first"))
+    pairs = evidence.select("memory_id", "origin").distinct().join(first, "memory_id").where(F.col("origin") != F.col("_first"))
+    rest = evidence.agg(F.count_distinct(F.when(F.col("authoritative"), F.col("source_id"))).alias("authoritative"), F.count_distinct("origin").alias("origins"))
+    return pairs.agg(F.count("*").alias("corroborations")).join(F.broadcast(rest))  # a row each
+
+
 def mapping_mismatches(docs: DataFrame, category: int, name: str) -> DataFrame:
     """docs (labels, categories) that are mapped to the category and have labels, none of which has the leaf of its name."""
     leaf = T.category_leaf(F.lit(name))

@@ -147,6 +147,17 @@ def event_metadata(metadata: Column, query: Column, hits: Column, most: int = 8)
     return F.map_from_entries(F.concat(kept, added))
 
 
+def feedback(rows: DataFrame, agreed: Column) -> DataFrame:
+    """n, agreed, corrected, rate (one row): how often people kept what was recommended. Rows without an answer (null) count in n alone."""
+    return rows.select(agreed.alias("_a")).agg(F.count("*").alias("n"), F.count_if("_a").alias("agreed"), F.count_if(~F.col("_a")).alias("corrected"), F.avg(F.col("_a").cast("double")).alias("rate"))
+
+
+def effective_category(tickets: DataFrame, categories: DataFrame) -> DataFrame:
+    """tickets (with category_id) with the name of their category (id, name), and a stand-in with its number where it has none."""
+    named = tickets.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id", "left")
+    return named.withColumn("category", F.coalesce("category", F.concat(F.lit("Kategorie #"), F.col("category_id").cast("string"))))
+
+
 def common_digest(rows: DataFrame, key: str) -> DataFrame:
     """key, digest, mismatch: the one digest that all nodes (key, digest) with one report, or a mismatch and no digest. Blank digests are passed over."""
     d = F.trim(F.coalesce("digest", F.lit("")))

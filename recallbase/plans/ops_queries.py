@@ -91,9 +91,7 @@ def a13(spark, sf_dir):
 
 @query("a16_nearest_rank_percentile", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def a16(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("_recallbase_events")
-    p = lambda x: f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)"
-    return spark.sql(f"SELECT event_type, {p(0.5)} AS p50, {p(0.95)} AS p95, {p(0.99)} AS p99 FROM _recallbase_events GROUP BY event_type")
+    return A.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", p50=0.5, p95=0.95, p99=0.99)
 
 
 @query("a17_quality_replay", """WITH s AS (SELECT item_id AS case_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)),

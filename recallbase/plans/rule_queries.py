@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
 from recallbase.functions import text as T
+from recallbase.operators import jobs as J
 from recallbase.operators import rules as R
+from recallbase.operators import tickets as K
 from recallbase.operators.shared import small
 from recallbase.plans import hash_sql, views
 from recallbase.plans.registry import query
@@ -119,22 +121,22 @@ def overlaps(start, end, low: str, high: str):
 @query("j05_category_mapping", """WITH o AS (SELECT source AS label, count(DISTINCT doc_id) AS n FROM documents GROUP BY source), m AS (SELECT 'src' || CAST(p_partkey AS VARCHAR) AS label, p_partkey AS category FROM part)
   SELECT coalesce(o.label, m.label) AS label, coalesce(n, 0) AS used, category, CASE WHEN n IS NULL THEN 'orphan' WHEN category IS NULL THEN 'unmapped' ELSE 'mapped' END AS state FROM o FULL JOIN m ON o.label = m.label""")
 def j05(spark, sf_dir):
-    seen = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg(F.count_distinct("doc_id").alias("n"))
-    told = table(spark, sf_dir, "part").select(F.concat(F.lit("src"), F.col("p_partkey").cast("string")).alias("label"), F.col("p_partkey").alias("category"))
-    j = seen.join(told, "label", "full")
-    return j.select("label", F.coalesce("n", F.lit(0)).alias("used"), "category", F.when(F.col("n").isNull(), "orphan").when(F.col("category").isNull(), "unmapped").otherwise("mapped").alias("state"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("source").alias("labels"))
+    label = F.concat(F.lit("src"), F.col("p_partkey").cast("string"))
+    told = table(spark, sf_dir, "part").select(label.alias("normalized"), label.alias("label"), F.array("p_partkey").alias("ids"))
+    return K.mapping_usage(docs, told).select("label", "used", F.get("ids", 0).alias("category"), "state")
 
 
 @query("j07_not_yet_queued", sql("""q AS (SELECT DISTINCT id % 500 AS m FROM job WHERE status IN ('queued', 'claimed') AND type = 'vector.relink') SELECT id, created_at FROM memory WHERE status = 'active' AND id NOT IN (SELECT m FROM q) ORDER BY created_at, id LIMIT 64""", "memory", "job"))
 def j07(spark, sf_dir):
-    busy = views.job(spark, sf_dir).where("status IN ('queued', 'claimed') AND type = 'vector.relink'").select(F.expr("id % 500").alias("id")).distinct()
-    return views.memory(spark, sf_dir).where("status = 'active'").join(busy, "id", "left_anti").select("id", "created_at").orderBy("created_at", "id").limit(64)
+    jobs = views.job(spark, sf_dir).where("type = 'vector.relink'").select(F.expr("id % 500").alias("id"), "status")
+    return J.not_queued(views.memory(spark, sf_dir).where("status = 'active'").select("id", "created_at"), jobs, 64)
 
 
 @query("j03_effective_category", """SELECT o_orderkey AS id, coalesce(n_name, 'Kategorie #' || CAST(o_custkey % 40 AS VARCHAR)) AS category FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40""")
 def j03(spark, sf_dir):
-    o, n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_custkey % 40").alias("c")), table(spark, sf_dir, "nation")
-    return o.join(n, F.col("c") == F.col("n_nationkey"), "left").select("id", F.coalesce("n_name", F.concat(F.lit("Kategorie #"), F.col("c").cast("string"))).alias("category"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_custkey % 40").alias("category_id"))
+    return K.effective_category(o, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).select("id", "category")
 
 
 @query("f08_research_relevance", sql(r"""w AS (SELECT id, regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+') AS w FROM kdoc), p AS (SELECT id, list_filter(w, lambda t: t <> '') AS w FROM w), b AS (SELECT id, w, list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || w[i + 1]), list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || w[i + 1] || w[i + 2])) AS n FROM p)

@@ -110,11 +110,7 @@ def a09(spark, sf_dir):
   SELECT count(DISTINCT (memory_id, source_id % 20)) FILTER (source_id % 20 <> first % 20) AS corroborations, count(DISTINCT source_id) FILTER (source_id % 5 = 0) AS authoritative, count(DISTINCT source_id % 20) AS origins FROM o""", "research_event"))
 def a19(spark, sf_dir):
     """a19, a20: distinct (memory, origin) other than the primary one; authoritative sources; origins."""
-    first = F.min("source_id").over(Window.partitionBy("memory_id"))
-    o = views.research_event(spark, sf_dir).select("memory_id", "source_id", first.alias("first")).withColumn("origin", c("source_id") % 20)
-    other = o.where("origin <> first % 20").select("memory_id", "origin").distinct().agg(F.count("*").alias("corroborations"))
-    rest = o.agg(F.count_distinct(F.when(c("source_id") % 5 == 0, c("source_id"))).alias("authoritative"), F.count_distinct("origin").alias("origins"))
-    return other.join(F.broadcast(rest))  # a row each
+    return S.corroborations(views.research_event(spark, sf_dir).select("memory_id", "source_id", (c("source_id") % 20).alias("origin"), (c("source_id") % 5 == 0).alias("authoritative")))
 
 
 @query("a22_blast_summary", sql("""WITH RECURSIVE b AS (SELECT a AS x, b AS y FROM synapse UNION ALL SELECT b, a FROM synapse), r AS (SELECT id, 0 AS d FROM memory WHERE id % 100 = 1 UNION SELECT b.y, r.d + 1 FROM r JOIN b ON b.x = r.id WHERE r.d < 2),
@@ -348,8 +344,9 @@ def r32(spark, sf_dir):
 @query("r34_feedback", "SELECT count(*) AS n, count(*) FILTER (event_id % 12 = user_id % 12) AS agreed, count(*) FILTER (event_id % 12 <> user_id % 12) AS corrected, round(avg(CASE WHEN event_id % 12 = user_id % 12 THEN 1e0 ELSE 0e0 END), 9) AS rate FROM events")
 def r34(spark, sf_dir):
     """What people chose against what was recommended."""
-    ok = c("event_id") % 12 == c("user_id") % 12
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(ok).alias("agreed"), F.count_if(~ok).alias("corrected"), F.round(F.avg(ok.cast("double")), 9).alias("rate"))
+    from recallbase.operators.tickets import feedback
+
+    return feedback(table(spark, sf_dir, "events"), c("event_id") % 12 == c("user_id") % 12).withColumn("rate", F.round("rate", 9))
 
 
 @query("x22_answer_reward", sql("""p AS (SELECT a.id, list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))) AS s FROM memory a JOIN memory b ON b.id = a.id + 1)
