@@ -147,9 +147,11 @@ def _counts(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[tuple[int, int
         lookups = {size: Lookup(k) for size, k in keys.items()}
         totals = {size: np.zeros(len(x.keys), np.int64) for size, x in lookups.items()}
         for batch in text_slices(batches, "text"):
-            words, _ = hashed_words(batch.column("text"))
+            words, begins = hashed_words(batch.column("text"))
             for size, lookup in lookups.items():
-                totals[size] += np.bincount(lookup.find(grams(words, size))[1], minlength=len(lookup.keys))
+                at, key = lookup.find(grams(words, size))
+                within = at + size <= begins[np.searchsorted(begins, at, side="right")]  # no n-gram across two documents
+                totals[size] += np.bincount(key[within], minlength=len(lookup.keys))
         for size, total in totals.items():
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), size, np.int32)), pa.array(lookups[size].keys[seen].view(np.int64)), pa.array(total[seen])], names=["size", "h", "n"])
