@@ -9,8 +9,8 @@ the records is located by file, offset and record.
 Levels are rows of one table (level, node, hash), so each step is a join of one level with the few nodes that differ.
 A node gathers FAN children at most. Files are ranges of PER_FILE page_ids.
 
-Nulls and ties: a null url or html counts as empty; null page_ids form a file of their own; rows that repeat a page_id
-are separate records, ordered by digest. Extra columns are ignored. An empty replica has no root; against it every record
+Nulls and ties: a null url or html counts as empty; null page_ids form NO_ID_FILES files of their own, dealt by digest, beyond those
+of all ids; rows that repeat a page_id are separate records, ordered by digest. Extra columns are ignored. An empty replica has no root; against it every record
 of the other is missing. Two empty replicas give no rows.
 """
 
@@ -21,21 +21,24 @@ from pyspark.sql import functions as F
 
 from recallbase.llm.common import cut
 
-#: Children of a node; page_ids of a file.
-FAN, PER_FILE = 16, 1024
+#: Children of a node; page_ids of a file; files of records without an id, and the first of them, beyond the file of any long.
+FAN, PER_FILE, NO_ID_FILES, NO_ID = 16, 1024, 256, 1 << 53
 
 
-def record_bytes(url: Column, payload: Column) -> Column:
-    """A WARC/1.1 resource record with the payload as its block."""
+def record_bytes(url: Column, payload: Column, date: str = "1970-01-01T00:00:00Z") -> Column:
+    """A WARC/1.1 resource record with the payload as its block. Its id is a UUID by the MD5 of url and payload; date: when the pages were taken."""
     url, payload = F.coalesce(url, F.lit("")), F.coalesce(payload, F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
+    name = F.regexp_replace(F.md5(F.concat(url, F.lit("\n"), payload).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head, payload, F.lit("\r\n\r\n"))
 
 
 def records(pages: DataFrame) -> DataFrame:
     """file, page_id, record, start, length, digest of every page. Only sizes and digests are shuffled."""
     raw = record_bytes(F.col("url"), F.col("html"))
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / F.lit(PER_FILE)), F.lit(-1)).cast("long").alias("file"), "page_id", F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
+    rows = pages.select("page_id", F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
+    file = F.when(F.col("page_id").isNull(), F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID_FILES))).otherwise(F.floor(F.col("page_id") / F.lit(PER_FILE)).cast("long"))
+    rows = rows.withColumn("file", file)
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     return rows.withColumn("record", F.row_number().over(order).cast("long") - 1).withColumn("start", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
 
@@ -87,8 +90,11 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
 
     status: `changed`, `missing` (in the second) or `extra` (only there); page_id, start and length are the first's where it has the record.
     """
-    one, two = cut(one), cut(two)
-    size = one.select("file", "record").union(two.select("file", "record")).agg(F.max("record"), F.max("file"), F.min("file")).first()
+    return _audit(cut(one), cut(two))
+
+
+def _audit(one: DataFrame, two: DataFrame) -> DataFrame:
+    size = one.select("file", "record").union(two.select("file", "record")).agg(F.max("record"), F.max(F.abs("file"))).first()
     if size[0] is None:
         return _report(one, two, one.select(F.col("file").alias("tree"), F.col("record").alias("node")))
     depths = _depth(size[0] + 1), _depth(size[1] + 2)
@@ -116,6 +122,6 @@ def _report(one: DataFrame, two: DataFrame, bad: DataFrame) -> DataFrame:
 def manifest(one: DataFrame, two: DataFrame) -> DataFrame:
     """Every record of the first replica with its place and digest, and what the audit against the second says: `ok`, `changed` or `missing`; and the second's `extra` records."""
     one, two = cut(one), cut(two)
-    found = audit(one, two)
+    found = _audit(one, two)
     same = one.join(found.select("file", "record"), ["file", "record"], "left_anti")
     return found.unionByName(same.select("file", "page_id", "record", "start", "length", "digest", F.col("digest").alias("other_digest"), F.lit("ok").alias("status")))

@@ -72,11 +72,15 @@ ORACLES: dict[str, str] = {
       WITH raw AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
       rec AS (
         SELECT page_id, CAST(floor(page_id / 1024) AS BIGINT) AS file,
-               'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
-               chr(13) || chr(10) || chr(13) || chr(10) AS gap, html,
+               'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' AS head,
+               '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS rest,
+               chr(13) || chr(10) || chr(13) || chr(10) AS gap, url, html,
                CASE WHEN page_id % {DAMAGED} = 0 THEN substring(html, 2) ELSE html END AS other FROM raw),
+      named AS (
+        SELECT *, regexp_replace(md5(url || chr(10) || html), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id_a,
+               regexp_replace(md5(url || chr(10) || other), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id_b FROM rec),
       whole AS (
-        SELECT page_id, file, head || CAST(strlen(html) AS VARCHAR) || gap || html || gap AS a, head || CAST(strlen(other) AS VARCHAR) || gap || other || gap AS b FROM rec),
+        SELECT page_id, file, head || id_a || rest || CAST(strlen(html) AS VARCHAR) || gap || html || gap AS a, head || id_b || rest || CAST(strlen(other) AS VARCHAR) || gap || other || gap AS b FROM named),
       placed AS (
         SELECT file, page_id, row_number() OVER w - 1 AS record, CAST(sum(strlen(a)) OVER w - strlen(a) AS BIGINT) AS start,
                strlen(a) AS length, sha256(a) AS digest, sha256(b) AS other_digest,

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 
 from recallbase.llm import fixity
 
@@ -13,8 +14,9 @@ def page(i, html="<p>x</p>", url="http://a/"):
 
 
 def record(r):
-    body = (r[2] or "").encode()
-    return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: " + (r[1] or "").encode() + b"\r\nContent-Type: text/html\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    body, url = (r[2] or "").encode(), (r[1] or "").encode()
+    name = str(uuid.UUID(hashlib.md5(url + b"\n" + body).hexdigest())).encode()
+    return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:" + name + b">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: " + url + b"\r\nContent-Type: text/html\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def test_offsets_and_digests(spark):
