@@ -1,48 +1,27 @@
-"""What several operators share: lineage cuts, shared folders, Arrow slices, word memos, connected components."""
+"""What several operators share: Arrow slices, word memos, folds; lineage cuts and connected components are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from recallbase.operators.graph import components
+from recallbase.operators.shared import cut, in_files, new_folder
+
+__all__ = ["Rows", "WordMemo", "components", "cut", "hashed_share", "in_files", "in_fold", "ragged", "segments", "shared_dir", "text_slices"]
+
 #: Bytes of text that Python looks at together. An Arrow batch can hold ten thousand long texts; words of all of them at once would not fit.
 SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. Where the setting is absent (tests), one is made and kept for the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='recallbase-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-#: Rows of numbers in a file of a checkpoint, at least, where their count is known.
-FILE_ROWS = 100_000
-
-
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, so that a lost executor costs a read and nothing is computed twice.
-
-    rows: about how many there are, where known; then small tables aren't spread over a file per shuffle partition.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return (df if rows is None else in_files(df, rows)).checkpoint(eager=True)
-
-
-def in_files(df: DataFrame, rows: int) -> DataFrame:
-    """df of about `rows` light rows in no more partitions than hold FILE_ROWS each, or than there are cores."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // FILE_ROWS))
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    return new_folder(spark, "corpus")
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -120,33 +99,3 @@ def in_fold(doc_id, folds: int):
 def hashed_share(*columns) -> Column:
     """A number from 0 to 1 by hash of the columns, to thin rows alike wherever they stand."""
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double")) / F.lit(float(1 << 53))
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, component) of every node in edges (a, b); component is the smallest id reachable.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014). Each is a min per node, combined before the
-    shuffle, and a join back, which AQE splits when a node is hot; nothing is gathered per node. Every round is cut by a
-    checkpoint. Self loops keep lone nodes. Empty edges give no rows.
-    """
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct())
-    size = e.count()  # no round makes more edges than there were
-    nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
-    e = e.where("a <> b")
-    seen = None
-    for _ in range(most_rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        e = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct(), size)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        if state[0] == state[2] and not e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
-            break
-        if state == seen:
-            raise RuntimeError("components did not settle")
-        seen = state
-    else:
-        raise RuntimeError(f"components need more than {most_rounds} rounds")
-    return nodes.join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
