@@ -86,6 +86,12 @@ def corroborated_evidence(evidence: DataFrame, sources: DataFrame, most: int) ->
     return j.select("memory_id", "primary_id", "primary_score", F.coalesce("others", F.lit(0)).alias("others"), F.greatest("primary_score", F.coalesce("_best", F.lit(0.0))).alias("best"))
 
 
+def authority_order(evidence: DataFrame) -> DataFrame:
+    """evidence (draft_id, id, best, confidence, created_at) with rank: the best authority first, then confidence, then the latest, then least id; nulls last."""
+    w = Window.partitionBy("draft_id").orderBy(F.col("best").desc_nulls_last(), F.col("confidence").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id")
+    return evidence.withColumn("rank", F.row_number().over(w))
+
+
 def corroborations(evidence: DataFrame) -> DataFrame:
     """corroborations, authoritative, origins (one row) of evidence (memory_id, source_id, origin, authoritative): distinct other origins of a memory than that of its least source; distinct authoritative sources; distinct origins."""
     first = evidence.groupBy("memory_id").agg(F.min_by("origin", "source_id").alias("_first"))

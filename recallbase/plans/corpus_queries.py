@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallbase.operators import corpus as C
+from recallbase.operators import state as S
+from recallbase.operators.shared import new_folder
 from recallbase.plans import views
 from recallbase.plans.registry import query
 from recallbase.plans.views import sql
 from recallbase.session import table
+from recallbase.sources import articles, documents, sinks
 
 c = F.col
 
@@ -69,3 +72,46 @@ def r41(spark, sf_dir):
     old = d.where("id % 5 <> 1").withColumn("text", F.when(i % 3 == 0, F.concat("text", F.lit("x"))).otherwise(c("text")))
     cache = old.select("id", C.article_hash().alias("hash"), F.size(T.chunk_words(c("text"))).alias("n")).select("id", "hash", F.when(i % 11 == 3, c("n") + 1).otherwise(c("n")).alias("chunk_vectors"))
     return C.index_plan(d.where("id % 7 <> 2"), cache).select("id", "chunks", "action")
+
+
+@query("s01_article_files", "SELECT count(*) AS articles, count(DISTINCT doc_id) AS ids, TRUE AS json, TRUE AS below FROM documents")
+def s01(spark, sf_dir):
+    """A folder of articles, written in a folder below it as well as in itself, is listed with all files below it."""
+    folder = new_folder(spark, "articles")
+    d = table(spark, sf_dir, "documents").select(c("doc_id").cast("string").alias("id"), F.substring("text", 1, 60).alias("title"), "text", "source")
+    sinks.write_articles(d.where("id % 2 = 0"), f"{folder}/top")
+    sinks.write_articles(d.where("id % 2 = 1"), f"{folder}/more/below")
+    rows = articles.scan(spark, folder)
+    return rows.agg(F.count("*").alias("articles"), F.count_distinct(F.get_json_object("raw", "$.id")).alias("ids"), F.bool_and(c("path").endswith(".json")).alias("json"), F.bool_or(c("path").contains("/more/below/")).alias("below"))
+
+
+@query("s16_docx_texts", r"SELECT doc_id, md5(trim(trim(regexp_replace(substring(text, 1, 200), '\s+', ' ', 'g')) || chr(10) || chr(10) || source || ' <&> ' || lang)) AS text FROM documents")
+def s16(spark, sf_dir):
+    """Archives of a word processor, of two paragraphs each, made and taken apart."""
+    import pandas as pd
+
+    def archives(batches):
+        import html
+        import io
+        import zipfile
+
+        for part in batches:
+            made = []
+            for title, tail in zip(part["title"], part["tail"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr("word/document.xml", "<w:document>" + "".join(f'<w:p><w:r><w:t xml:space="preserve">{html.escape(x, quote=False)}</w:t></w:r></w:p>' for x in (title, tail)) + "</w:document>")
+                made.append(held.getvalue())
+            yield pd.DataFrame({"name": part["name"], "content": made})
+
+    d = table(spark, sf_dir, "documents").select(F.concat(c("doc_id").cast("string"), F.lit(".docx")).alias("name"), F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ").alias("title"), F.concat("source", F.lit(" <&> "), "lang").alias("tail"))
+    found = documents.texts(d.mapInPandas(archives, "name string, content binary"))
+    return found.select(F.regexp_extract("name", r"^(-?\d+)", 1).cast("bigint").alias("doc_id"), F.md5("text").alias("text"))
+
+
+@query("w04_authority_order", sql("""e AS (SELECT run_id AS draft_id, seq AS id, CAST(source_id % 5 AS DOUBLE) / 10e0 AS best, CASE WHEN memory_id % 4 > 0 THEN CAST(memory_id % 4 AS DOUBLE) / 10e0 END AS confidence, created_at FROM research_event WHERE type LIKE 'evidence.%')
+  SELECT draft_id, id, row_number() OVER (PARTITION BY draft_id ORDER BY best DESC, confidence DESC NULLS LAST, created_at DESC, id) AS rank FROM e""", "research_event"))
+def w04(spark, sf_dir):
+    e = views.research_event(spark, sf_dir).where("type LIKE 'evidence.%'")
+    e = e.select(c("run_id").alias("draft_id"), c("seq").alias("id"), ((c("source_id") % 5).cast("double") / 10).alias("best"), F.when(c("memory_id") % 4 > 0, (c("memory_id") % 4).cast("double") / 10).alias("confidence"), "created_at")
+    return S.authority_order(e).select("draft_id", "id", c("rank").cast("long").alias("rank"))

@@ -68,6 +68,7 @@ _PRICE_SQL = "prices(model, input, cached, output, embedding, long_from, long_in
   c AS (SELECT model, category, CASE WHEN category = 'embedding' THEN input_tokens / 1e6 * re ELSE greatest(input_tokens - cached_tokens, 0) / 1e6 * ri + cached_tokens / 1e6 * CASE WHEN rc = 0 THEN ri ELSE rc END + output_tokens / 1e6 * ro END AS cost FROM r)
   SELECT model, category, count(*) AS n, round(sum(cost), 4) AS cost FROM c GROUP BY model, category""", "usage"))
 def a27(spark, sf_dir):
+    """a27, c31: rates by tier, long contexts and cached tokens at their own."""
     prices = spark.createDataFrame(_PRICES, "model string, input double, cached double, output double, embedding double, long_from long, long_input double, long_cached double, long_output double")
     return A.cost(views.usage(spark, sf_dir), prices).groupBy("model", "category").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
 
@@ -86,6 +87,7 @@ def a14(spark, sf_dir):
 
 @query("a13_http_metrics", sql(_hist_sql("method, route, code"), "http_request"))
 def a13(spark, sf_dir):
+    """a13, a15: sums and the p95 of a histogram per method, route and code."""
     return A.http_histogram(views.http_request(spark, sf_dir), "method", "route", "code").withColumn("avg_ms", F.round("avg_ms", 6))
 
 
