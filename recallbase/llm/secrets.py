@@ -159,7 +159,9 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     owners = ownership(cut(scan(docs)))
     sure = scan(docs.where(~text.rlike(OPAQUE)), whole=True).withColumn("live", F.array().cast(_SPAN))
     open_ = _with_live(cut(scan(docs.where(text.rlike(OPAQUE)), whole=True)), owners)
-    rows = sure.unionByName(open_).select("whole", _reported().alias("found"))
-    clean = F.when(F.size("found") > 0, _masked(F.col("found"), F.col("whole.text"), mask)).otherwise(F.col("whole.text"))
-    new = {"text": clean, "n_chars": F.when(F.size("found") > 0, F.length(clean).cast("long")).otherwise(F.col("whole.n_chars"))} if "n_chars" in docs.columns else {"text": clean}
+    rows = sure.unionByName(open_).select("whole", _reported().alias("found")).withColumn("hit", F.size("found") > 0)
+    rows = rows.withColumn("clean", F.when(F.col("hit"), _masked(F.col("found"), F.col("whole.text"), mask)).otherwise(F.col("whole.text")))  # computed once, used twice
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("hit"), F.length("clean").cast("long")).otherwise(F.col("whole.n_chars"))
     return rows.select(*[new.get(c, F.col("whole")[c]).alias(c) for c in docs.columns])
