@@ -122,15 +122,15 @@ def record_outcomes(runs: DataFrame, said: DataFrame) -> DataFrame:
     return rows.select("id", "run_id", "state", "decision", "confirmed", "category_id", "knowledge_id", "actor", F.when(c("state") == "recorded", "pending").alias("sync_status"), supersedes.alias("supersedes"))
 
 
-def outcome_memory(outcomes: DataFrame) -> DataFrame:
-    """id, text, tags, source, confidence, salience of the memory that a recorded outcome becomes. outcomes: (id, ticket_id, run_id, decision, input, confirmed, category_id, category_name, knowledge_id, supersedes)."""
+def outcome_memory(outcomes: DataFrame, system: str) -> DataFrame:
+    """id, text, tags, source, confidence, salience of the memory that a recorded outcome becomes; system: the lower-case name of the ticket system. outcomes: (id, ticket_id, run_id, decision, input, confirmed, category_id, category_name, knowledge_id, supersedes)."""
     c, s = F.col, (lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")))
     named, numbered = s("category_name") != "", F.coalesce(c("category_id") > 0, F.lit(False))
     category = F.when(named | numbered, F.concat(F.lit("\n\nCategory: "), s("category_name"), F.when(numbered, F.concat(F.lit(" (#"), s("category_id"), F.lit(")"))).otherwise(""))).otherwise("")
-    text = F.concat(F.lit("GLPI helpdesk outcome verified by a technician.\n\nProblem:\n"), s("input"), F.lit("\n\nVerified solution:\n"), s("confirmed"), category)
+    text = F.concat(F.lit(f"{system.upper()} helpdesk outcome verified by a technician.\n\nProblem:\n"), s("input"), F.lit("\n\nVerified solution:\n"), s("confirmed"), category)
     tag = lambda prefix, name, there=None: F.when(F.lit(True) if there is None else there, F.concat(F.lit(prefix), s(name)))
-    tags = F.array(F.lit("integration:glpi"), F.lit("validated:human"), tag("outcome:", "decision"), tag("ticket:", "ticket_id"), tag("run:", "run_id"), tag("category:", "category_id", numbered), tag("knowledge:", "knowledge_id", s("knowledge_id") != ""), tag("supersedes-outcome:", "supersedes", s("supersedes") != ""))
-    return outcomes.select("id", text.alias("text"), F.filter(tags, lambda x: x.isNotNull()).alias("tags"), F.concat(F.lit("glpi.outcome."), s("decision")).alias("source"), F.when(c("decision") == "corrected", 1.0).otherwise(0.99).alias("confidence"), F.lit(1.2).alias("salience"))
+    tags = F.array(F.lit(f"integration:{system}"), F.lit("validated:human"), tag("outcome:", "decision"), tag("ticket:", "ticket_id"), tag("run:", "run_id"), tag("category:", "category_id", numbered), tag("knowledge:", "knowledge_id", s("knowledge_id") != ""), tag("supersedes-outcome:", "supersedes", s("supersedes") != ""))
+    return outcomes.select("id", text.alias("text"), F.filter(tags, lambda x: x.isNotNull()).alias("tags"), F.concat(F.lit(f"{system}.outcome."), s("decision")).alias("source"), F.when(c("decision") == "corrected", 1.0).otherwise(0.99).alias("confidence"), F.lit(1.2).alias("salience"))
 
 
 def event_metadata(metadata: Column, query: Column, hits: Column, most: int = 8) -> Column:

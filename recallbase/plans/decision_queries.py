@@ -103,13 +103,13 @@ def r35(spark, sf_dir):
 
 
 @query("r48_outcome_memories", f"""WITH {_RUNS}, x AS (SELECT *, CASE WHEN state = 'recorded' THEN before_id END AS sup FROM p WHERE state = 'recorded')
-  SELECT id, 'glpi.outcome.' || decision AS source, CASE WHEN decision = 'corrected' THEN 1e0 ELSE 0.99e0 END AS confidence,
-    md5('GLPI helpdesk outcome verified by a technician.' || chr(10) || chr(10) || 'Problem:' || chr(10) || 'in' || chr(10) || chr(10) || 'Verified solution:' || chr(10) || confirmed || CASE WHEN category_id = 2 THEN '' ELSE chr(10) || chr(10) || 'Category: Printers' || CASE WHEN category_id > 0 THEN ' (#' || category_id || ')' ELSE '' END END) AS text_hash,
-    concat_ws(',', 'integration:glpi', 'validated:human', 'outcome:' || decision, 'ticket:' || run_id % 1000, 'run:' || run_id, CASE WHEN category_id > 0 AND category_id <> 2 THEN 'category:' || category_id END, CASE WHEN knowledge_id <> '' THEN 'knowledge:' || knowledge_id END, CASE WHEN sup IS NOT NULL THEN 'supersedes-outcome:' || sup END) AS tags FROM x""")
+  SELECT id, 'desk.outcome.' || decision AS source, CASE WHEN decision = 'corrected' THEN 1e0 ELSE 0.99e0 END AS confidence,
+    md5('DESK helpdesk outcome verified by a technician.' || chr(10) || chr(10) || 'Problem:' || chr(10) || 'in' || chr(10) || chr(10) || 'Verified solution:' || chr(10) || confirmed || CASE WHEN category_id = 2 THEN '' ELSE chr(10) || chr(10) || 'Category: Printers' || CASE WHEN category_id > 0 THEN ' (#' || category_id || ')' ELSE '' END END) AS text_hash,
+    concat_ws(',', 'integration:desk', 'validated:human', 'outcome:' || decision, 'ticket:' || run_id % 1000, 'run:' || run_id, CASE WHEN category_id > 0 AND category_id <> 2 THEN 'category:' || category_id END, CASE WHEN knowledge_id <> '' THEN 'knowledge:' || knowledge_id END, CASE WHEN sup IS NOT NULL THEN 'supersedes-outcome:' || sup END) AS tags FROM x""")
 def r48(spark, sf_dir):
     good = _outcomes(spark, sf_dir).where("state = 'recorded'")
     told = good.select("id", (c("run_id") % 1000).alias("ticket_id"), "run_id", "decision", F.lit("in").alias("input"), "confirmed", F.when(c("category_id") != 2, c("category_id")).alias("category_id"), F.when(c("category_id") != 2, "Printers").alias("category_name"), "knowledge_id", "supersedes")
-    return K.outcome_memory(told).select("id", "source", "confidence", F.md5("text").alias("text_hash"), F.array_join("tags", ",").alias("tags"))
+    return K.outcome_memory(told, "desk").select("id", "source", "confidence", F.md5("text").alias("text_hash"), F.array_join("tags", ",").alias("tags"))
 
 
 @query("r47_integration_events", """WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 3 > 0 THEN 'q ' || event_type ELSE ' ' END AS q, event_id % 11 AS n, value FROM events)
