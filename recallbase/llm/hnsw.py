@@ -250,7 +250,8 @@ def index(points: DataFrame, folder: str) -> DataFrame:
         files.move(draft, name)  # a task that runs again replaces its own file
         return pa.table({"dim": [dim], "shard": [shard], "n": [len(vectors)], "path": [name]}, pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("n", pa.int64()), ("path", pa.string())]))
 
-    return cut(dealt.groupBy("dim", "_shard").applyInArrow(make, "dim int, shard long, n long, path string"))
+    shards = sizes.agg(F.sum("_shards")).first()[0] or 1
+    return cut(dealt.repartition(2 * shards, "dim", "_shard").groupBy("dim", "_shard").applyInArrow(make, "dim int, shard long, n long, path string"))
 
 
 def _answers(who: np.ndarray, queries: np.ndarray, held: tuple, k: int) -> pa.RecordBatch:
