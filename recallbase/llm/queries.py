@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallbase.llm import decontaminate, fixity, hnsw, langid, packing, secrets, sharding, simhash, tokenfile, toxicity
+from recallbase.llm import decontaminate, fixity, hnsw, langid, packing, secrets, sharding, simhash, spelling, tokenfile, toxicity
 
 #: Pages whose replica op7 damages, so that the audit has something to find: every DAMAGED-th id.
 DAMAGED = 97
@@ -63,8 +63,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_files, op4_toxicity, op5_packing, op6_sharding, op7_fixity, op8_secrets, op9_hnsw, op10_simhash)
+    f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_files, op4_toxicity, op5_packing, op6_sharding, op7_fixity, op8_secrets, op9_hnsw, op10_simhash, op12_spelling)
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +92,35 @@ ORACLES: dict[str, str] = {
         FROM whole WINDOW w AS (PARTITION BY file ORDER BY page_id))
       SELECT file, page_id, record, start, CAST(length AS BIGINT) AS length, digest, other_digest,
              CASE WHEN digest = other_digest THEN 'ok' ELSE 'changed' END AS status FROM placed""",
+    # crc32 is linear: every byte adds, by exclusive or, what a table has for its value and its place from the end
+    "op12_spelling": """
+      WITH RECURSIVE
+      bits(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+      one AS MATERIALIZED (SELECT b, c FROM bits WHERE k = 8),
+      run AS MATERIALIZED (
+        SELECT doc_id, word, count(*) AS times, CAST(doc_id AS VARCHAR) || ':' || word AS said
+        FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS word FROM documents)
+        GROUP BY doc_id, word),
+      far AS (SELECT max(strlen(said)) AS n FROM run),
+      place(p, b, c) AS (SELECT 0, b, c FROM one UNION ALL SELECT p + 1, t.b, xor(o.c, t.c >> 8) FROM place t JOIN one o ON o.b = t.c & 255, far WHERE p + 1 < far.n),
+      byte AS (
+        SELECT said, strlen(said) - 1 - i AS p,
+               xor(16 * (instr('0123456789ABCDEF', substring(hex(encode(said)), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substring(hex(encode(said)), 2 * i + 2, 1)) - 1, CASE WHEN i < 4 THEN 255 ELSE 0 END) AS b
+        FROM (SELECT said, CAST(unnest(range(strlen(said))) AS INTEGER) AS i FROM run WHERE said IS NOT NULL)),
+      summed AS (SELECT said, xor(bit_xor(c), 4294967295) AS h FROM byte JOIN place USING (p, b) GROUP BY said),
+      slipped AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substring(word, 1, CAST(h % length(word) AS INTEGER)) || substring(word, CAST(h % length(word) AS INTEGER) + 2) ELSE word END AS word, times
+        FROM run LEFT JOIN summed USING (said)),
+      vocabulary AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+      cuts AS MATERIALIZED (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, CAST(unnest(range(length(word))) AS INTEGER) AS i FROM vocabulary)),
+      pair AS (
+        SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT word, rest FROM cuts WHERE rest IN (SELECT word FROM vocabulary)
+        UNION SELECT rest, word FROM cuts WHERE rest IN (SELECT word FROM vocabulary)),
+      near AS (SELECT p.word, count(*) AS n_near, arg_min(p.other, (-o.n, p.other)) AS best, max(o.n) AS best_n FROM pair p JOIN vocabulary o ON o.word = p.other GROUP BY p.word),
+      named AS MATERIALIZED (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+        FROM vocabulary LEFT JOIN near USING (word)),
+      steps(word, root, k) AS (SELECT word, word, 0 FROM named UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN named f ON f.word = s.root WHERE f.form IS NOT NULL)
+      SELECT word, form, root, n, n_near, form_n FROM named JOIN (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word) USING (word)""",
 }
