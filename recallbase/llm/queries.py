@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallbase.llm import decontaminate, fixity, hnsw, langid, packing, secrets, sharding, simhash, spelling, tokenfile, toxicity
+from recallbase.llm import decontaminate, fixity, hnsw, langid, packing, quality, secrets, sharding, simhash, spelling, tokenfile, toxicity
 
 #: Pages whose replica op7 damages, so that the audit has something to find: every DAMAGED-th id.
 DAMAGED = 97
@@ -67,8 +67,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_files, op4_toxicity, op5_packing, op6_sharding, op7_fixity, op8_secrets, op9_hnsw, op10_simhash, op12_spelling)
+    f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_files, op4_toxicity, op5_packing, op6_sharding, op7_fixity, op8_secrets, op9_hnsw, op10_simhash, op12_spelling, op13_quality)
 }
 
 ORACLES: dict[str, str] = {
@@ -123,4 +127,46 @@ ORACLES: dict[str, str] = {
         FROM vocabulary LEFT JOIN near USING (word)),
       steps(word, root, k) AS (SELECT word, word, 0 FROM named UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN named f ON f.word = s.root WHERE f.form IS NOT NULL)
       SELECT word, form, root, n, n_near, form_n FROM named JOIN (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word) USING (word)""",
+    "op13_quality": """
+      WITH RECURSIVE
+      doc AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+      word AS MATERIALIZED (SELECT id, unnest(words) AS w, unnest(range(len(words))) AS i FROM (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM doc)),
+      sized AS (SELECT id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars FROM word GROUP BY id),
+      windows AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS times FROM (SELECT id, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE c IS NOT NULL),
+      repeated AS (SELECT id, count(DISTINCT i + k) AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY id),
+      line AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT id, unnest(string_split(text, chr(10))) AS l FROM doc) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY id),
+      base AS MATERIALIZED (
+        SELECT id, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+               coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+               coalesce(n_words, 0) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed
+        FROM doc LEFT JOIN sized USING (id) LEFT JOIN repeated USING (id) LEFT JOIN line USING (id)),
+      rated AS MATERIALIZED (
+        SELECT id, lang, source, r.rate AS rate, r.v AS v, CASE WHEN r.v < 128 THEN r.v ELSE (r.v >> (length(bin(r.v)) - 7)) << (length(bin(r.v)) - 7) END AS value
+        FROM (SELECT id, lang, source, unnest([{'rate': 'word_size', 'v': 1000 * word_chars // n_words}, {'rate': 'symbols', 'v': 1000 * n_symbols // n_words}, {'rate': 'dup_lines', 'v': 1000 * n_dup_lines // n_lines}]) AS r
+              FROM base WHERE NOT base_failed)),
+      grouped AS (SELECT l AS level, CASE WHEN l > 0 THEN lang END AS lang, CASE WHEN l > 1 THEN source END AS source, rate, value FROM rated, (SELECT unnest([0, 1, 2]) AS l)),
+      ranked AS (
+        SELECT DISTINCT level, lang, source, rate, value, count(*) OVER (PARTITION BY level, lang, source, rate ORDER BY value) AS upto, count(*) OVER (PARTITION BY level, lang, source, rate) AS texts FROM grouped),
+      quartile AS (
+        SELECT level, lang, source, rate, max(texts) AS texts, min(value) FILTER (4 * upto >= texts) AS q1, min(value) FILTER (4 * upto >= 3 * texts) AS q3 FROM ranked GROUP BY level, lang, source, rate),
+      fence AS (
+        SELECT *, q1 - 3 * greatest(q3 - q1, CASE rate WHEN 'word_size' THEN 500 WHEN 'symbols' THEN 50 ELSE 200 END) AS lo,
+               q3 + 3 * greatest(q3 - q1, CASE rate WHEN 'word_size' THEN 500 WHEN 'symbols' THEN 50 ELSE 200 END) AS hi FROM quartile WHERE level = 0 OR texts >= 200),
+      held AS (
+        SELECT r.id, r.rate, r.v, arg_max(f.lo, f.level) AS lo, arg_max(f.hi, f.level) AS hi FROM rated r JOIN fence f
+          ON f.rate = r.rate AND (f.level < 1 OR f.lang IS NOT DISTINCT FROM r.lang) AND (f.level < 2 OR f.source IS NOT DISTINCT FROM r.source)
+        GROUP BY r.id, r.rate, r.v),
+      verdict AS (SELECT id, bool_and(v BETWEEN lo AND hi) AS inside FROM held GROUP BY id),
+      seen AS (SELECT DISTINCT lang, source FROM documents),
+      of_group AS (
+        SELECT s.lang, s.source, f.rate, arg_max(f.lo, f.level) AS lo, arg_max(f.hi, f.level) AS hi FROM seen s JOIN fence f
+          ON (f.level < 1 OR f.lang IS NOT DISTINCT FROM s.lang) AND (f.level < 2 OR f.source IS NOT DISTINCT FROM s.source) GROUP BY s.lang, s.source, f.rate),
+      wide AS (
+        SELECT lang, source, max(lo) FILTER (rate = 'word_size') AS lo_word_size, max(hi) FILTER (rate = 'word_size') AS hi_word_size, max(lo) FILTER (rate = 'symbols') AS lo_symbols,
+               max(hi) FILTER (rate = 'symbols') AS hi_symbols, max(lo) FILTER (rate = 'dup_lines') AS lo_dup_lines, max(hi) FILTER (rate = 'dup_lines') AS hi_dup_lines FROM of_group GROUP BY lang, source)
+      SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+             CASE WHEN NOT base_failed THEN 1000 * word_chars // n_words END AS word_size, CASE WHEN NOT base_failed THEN 1000 * n_symbols // n_words END AS symbols,
+             CASE WHEN NOT base_failed THEN 1000 * n_dup_lines // n_lines END AS dup_lines, lo_word_size, hi_word_size, lo_symbols, hi_symbols, lo_dup_lines, hi_dup_lines,
+             NOT base_failed AND coalesce(inside, false) AS kept
+      FROM base b LEFT JOIN verdict USING (id) LEFT JOIN wide w ON w.lang IS NOT DISTINCT FROM b.lang AND w.source IS NOT DISTINCT FROM b.source""",
 }
