@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallbase.llm import decontaminate, fixity, hnsw, langid, packing, quality, secrets, sharding, simhash, spelling, tokenfile, toxicity
+from recallbase.llm import decontaminate, fixity, hnsw, langid, negatives, packing, quality, secrets, sharding, simhash, spelling, tokenfile, toxicity
 
 #: Pages whose replica op7 damages, so that the audit has something to find: every DAMAGED-th id.
 DAMAGED = 97
@@ -63,6 +63,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has a wrong label, so that there are hard negatives of the same cluster."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
@@ -72,7 +78,7 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_files, op4_toxicity, op5_packing, op6_sharding, op7_fixity, op8_secrets, op9_hnsw, op10_simhash, op12_spelling, op13_quality)
+    f.__name__: f for f in (op1_decontaminate, op2_langid, op3_token_files, op4_toxicity, op5_packing, op6_sharding, op7_fixity, op8_secrets, op9_hnsw, op10_simhash, op11_negatives, op12_spelling, op13_quality)
 }
 
 ORACLES: dict[str, str] = {
@@ -96,6 +102,17 @@ ORACLES: dict[str, str] = {
         FROM whole WINDOW w AS (PARTITION BY file ORDER BY page_id))
       SELECT file, page_id, record, start, CAST(length AS BIGINT) AS length, digest, other_digest,
              CASE WHEN digest = other_digest THEN 'ok' ELSE 'changed' END AS status FROM placed""",
+    "op11_negatives": """
+      WITH row AS MATERIALIZED (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      scored AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+        FROM row a JOIN row r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id AND len(r.v) = len(a.v)),
+      positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+      SELECT anchor_id, positive_id, row_number() OVER o AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+      WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 10""",
     # crc32 is linear: every byte adds, by exclusive or, what a table has for its value and its place from the end
     "op12_spelling": """
       WITH RECURSIVE
