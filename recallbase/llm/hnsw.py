@@ -16,8 +16,10 @@ vectors are one point of the graph that carries its smallest ids, as many as a q
 of all rows share costs one point. Nothing but counts goes to the driver.
 
 Nulls and ties: null, empty, all-zero vectors and those with null or non-finite components take no part, neither do null
-ids; vectors of different dimensions have no inner product and are indexed and searched apart; equal scores go to the
-smaller id. Repeated ids are rows of their own; such a query is asked once, with its smallest vector, and leaves out
+ids; vectors of different dimensions have no inner product and are indexed and searched apart, and so are magnitudes
+that lie further apart than single precision bears: shards are of one dimension and one range of 2^SCALE lengths, and a graph sees
+vectors divided by the longest, queries divided by their own length. Where inner products leave the range of doubles, so that they are
+equal or infinite for many rows, a shard is read from end to end instead. Equal scores go to the smaller id. Repeated ids are rows of their own; such a query is asked once, with its smallest vector, and leaves out
 every row of its id. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -37,21 +39,24 @@ from recallbase.llm.common import cut, shared_dir
 
 #: Distinct vectors of a shard, about, and bytes of them at most; queries of a shard in one task, about; layer thinning.
 SHARD, SHARD_BYTES, RUN, FAN = 32_768, 64 << 20, 2048, 16
+#: Binary digits of the lengths in one index; exponents that a product of two lengths may have for the graph to be asked.
+SCALE, SAFE = 32, (-900, 1000)
 #: Links that a new point makes, those it keeps, the same of the second graph by angle; beams of insertion and search; points of a batch.
 LINKS, WIDTH, LINKS_ANGLE, WIDTH_ANGLE, GROW, BEAM, BATCH = 20, 40, 10, 20, 64, 192, 1024
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, vec (array of double), dim of the rows that take part."""
+    """vec_id, vec (array of double), dim, scale (the range of its largest component) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec_id is not null and vec is not null")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return rows.where(fine).withColumn("dim", F.size("vec"))
+    largest = F.array_max(F.transform("vec", F.abs))
+    return rows.where(fine).withColumn("dim", F.size("vec")).withColumn("scale", F.floor(F.log2(largest) / SCALE + 0.5).cast("int"))
 
 
 def distinct_points(rows: DataFrame, keep: int) -> DataFrame:
-    """vec, dim and the `keep` smallest vec_ids. The window is cut short before the shuffle, so a vector that many rows share stays small."""
+    """vec, dim, scale and the `keep` smallest vec_ids. The window is cut short before the shuffle, so a vector that many rows share stays small."""
     near = Window.partitionBy("vec").orderBy("vec_id")
-    return rows.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= keep).groupBy("vec", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return rows.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= keep).groupBy("vec", "dim", "scale").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
 def _thin(dots: np.ndarray, pair: np.ndarray, links: int) -> np.ndarray:
@@ -163,8 +168,19 @@ def _graph(v: np.ndarray, own: int, width: int) -> np.ndarray:
     return links[:, :width].copy()
 
 
+def scaled(vectors: np.ndarray, each: bool = False) -> np.ndarray:
+    """Vectors divided by the longest one's length, or each by its own, whatever their magnitude."""
+    whole = None if each else (0, 1)
+    if not vectors.size:
+        return vectors
+    out = vectors / np.abs(vectors).max(axis=1 if each else whole, keepdims=True)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / (norms if each else norms.max())
+
+
 def build(vectors: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Layers from the lowest up: (members, neighbours as rows of the shard, -1 for none)."""
+    alone, vectors = scaled(vectors, each=True), scaled(vectors)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     level = np.floor(-np.log((hashes.astype(np.uint64) >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54) / np.log(FAN)).astype(np.int64)
     alike = norms.max(initial=0.0) <= 1.001 * norms.min(initial=np.inf)
@@ -172,9 +188,9 @@ def build(vectors: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.
     for lv in range(int(level.max()) + 1 if len(level) else 0):
         members = np.flatnonzero(level >= lv).astype(np.int32)
         own = vectors[members]
-        links = _graph((own / norms.max()).astype(np.float32), LINKS, WIDTH)
+        links = _graph((own / max(norms[members].max(), 1e-30)).astype(np.float32), LINKS, WIDTH)
         if not alike:
-            angle = _graph((own / norms[members]).astype(np.float32), LINKS_ANGLE, WIDTH_ANGLE)
+            angle = _graph(alone[members].astype(np.float32), LINKS_ANGLE, WIDTH_ANGLE)
             links = np.concatenate([links, np.where((angle[:, :, None] == links[:, None, :]).any(2), -1, angle)], 1)
         layers.append((members, np.where(links >= 0, members[links], -1).astype(np.int32)))
     return layers
@@ -182,7 +198,7 @@ def build(vectors: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.
 
 def search(queries: np.ndarray, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """The beam of every query: greedy steps down the layers, then `walk` in the lowest one."""
-    q, v = queries.astype(np.float32), vectors.astype(np.float32)
+    q, v = scaled(queries, each=True).astype(np.float32), scaled(vectors).astype(np.float32)
     at = np.full(len(q), layers[-1][0][0])
     best = q @ v[at[0]] if len(q) else np.zeros(0, np.float32)
     for members, links in reversed(layers[1:]):
@@ -232,8 +248,8 @@ def index(points: DataFrame, folder: str) -> DataFrame:
     """A row per shard: dim, shard, n, path. The shards themselves are files in the folder; every point is in one."""
     held = cut(points.withColumn("_hash", F.xxhash64("vec")))
     most = F.least(F.lit(SHARD), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
-    sizes = held.groupBy("dim").agg(F.ceil(F.count("*") / most).cast("long").alias("_shards"))  # a row per length of vectors
-    dealt = held.join(F.broadcast(sizes), "dim").withColumn("_shard", F.pmod(F.xxhash64(F.col("_hash")), "_shards"))
+    sizes = held.groupBy("dim", "scale").agg(F.ceil(F.count("*") / most).cast("long").alias("_shards"))  # a row per length and range of vectors
+    dealt = held.join(F.broadcast(sizes), ["dim", "scale"]).withColumn("_shard", F.pmod(F.xxhash64(F.col("_hash")), "_shards"))
 
     def make(part: pa.Table) -> pa.Table:
         files, top = pafs.FileSystem.from_uri(folder)
@@ -242,8 +258,8 @@ def index(points: DataFrame, folder: str) -> DataFrame:
         vectors = values.reshape(len(lengths), -1)
         ids, counts = _lists(part["ids"])
         layers = build(vectors, part["_hash"].to_numpy())
-        dim, shard = part["dim"][0].as_py(), part["_shard"][0].as_py()
-        name, draft = f"{top}/{dim}-{shard}.graph", f"{top}/.{uuid.uuid4().hex}"
+        dim, scale, shard = (part[c][0].as_py() for c in ("dim", "scale", "_shard"))
+        name, draft = f"{top}/{dim}-{scale}-{shard}.graph", f"{top}/.{uuid.uuid4().hex}"
         files.create_dir(top, recursive=True)
         with files.open_output_stream(draft) as stream:
             store(stream, vectors, counts, ids, layers)
@@ -251,16 +267,27 @@ def index(points: DataFrame, folder: str) -> DataFrame:
         return pa.table({"dim": [dim], "shard": [shard], "n": [len(vectors)], "path": [name]}, pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("n", pa.int64()), ("path", pa.string())]))
 
     shards = sizes.agg(F.sum("_shards")).first()[0] or 1
-    return cut(dealt.repartition(2 * shards, "dim", "_shard").groupBy("dim", "_shard").applyInArrow(make, "dim int, shard long, n long, path string"))
+    return cut(dealt.repartition(2 * shards, "dim", "scale", "_shard").groupBy("dim", "scale", "_shard").applyInArrow(make, "dim int, shard long, n long, path string"))
 
 
 def _answers(who: np.ndarray, queries: np.ndarray, held: tuple, k: int) -> pa.RecordBatch:
     """The k best rows of a shard for each query, by exact scores."""
     own, ids, counts, layers = held
-    at, _ = search(queries, own, layers)
-    at = at[:, : 2 * k]
-    real = at >= 0
-    exact = np.where(real, np.einsum("qkd,qd->qk", own[np.maximum(at, 0)], queries), -np.inf)
+    size = np.frexp(np.abs(queries).max(1))[1] + np.frexp(np.abs(own).max())[1]
+    whole = (size < SAFE[0]) | (size > SAFE[1])
+    if whole.any() and not whole.all():
+        return pa.Table.from_batches([_answers(who[x], queries[x], held, k) for x in (whole, ~whole)]).combine_chunks().to_batches()[0]
+    if whole.all():
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            every = np.nan_to_num(queries @ own.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        first = ids[np.cumsum(counts) - counts]
+        at = np.stack([np.lexsort((first, -x))[: 2 * k] for x in every])
+        exact, real = np.take_along_axis(every, at, 1), np.ones(at.shape, bool)
+    else:
+        at, _ = search(queries, own, layers)
+        at = at[:, : 2 * k]
+        real = at >= 0
+        exact = np.where(real, np.einsum("qkd,qd->qk", own[np.maximum(at, 0)], queries), -np.inf)
     row, place = np.nonzero(real)
     point = at[row, place]
     each = counts[point]

@@ -148,3 +148,42 @@ def test_recall_over_shards_of_varied_norms(spark, monkeypatch):
     want = brute(rows, 20, 20)
     exact(got, rows)
     assert set(got) == set(want) and recall(got, want) >= 0.95
+
+
+def ids_found(got, want):
+    """Share of the wanted scores, each to a relative hair."""
+    hits = total = 0
+    for q, best in want.items():
+        edge = best[-1][1] - abs(best[-1][1]) * 1e-9
+        hits += sum(s >= edge for _, s in got.get(q, []))
+        total += len(best)
+    return hits / total
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1e-30, 1e22, 1e150])
+def test_any_magnitude(spark, scale):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(12, 16))
+    v = (centers[np.arange(1500) % 12] + rng.normal(size=(1500, 16)) * 0.6) * np.exp(0.5 * rng.normal(size=(1500, 1))) * scale
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50)
+    with np.errstate(under="ignore"):
+        want = brute(rows, 50, 20)
+    if scale == 1e-200:  # all inner products are zero in double precision
+        assert got == want
+    assert ids_found(got, want) >= 0.95
+    layers = hnsw.build(v, rng.integers(-(2**63), 2**63 - 1, len(v)))
+    at, _ = hnsw.search(v[::50], v, layers)
+    true = hnsw.scaled(v[::50], each=True) @ hnsw.scaled(v).T
+    assert np.mean([len({*a[:20].tolist()} & {*np.argsort(-t)[:20].tolist()}) for a, t in zip(at, true, strict=True)]) >= 19
+
+
+def test_mixed_magnitudes(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2400, 12)) * 10.0 ** rng.choice((-200, -160, -30, -3, 0, 4, 22, 150, 200), size=(2400, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20)
+    with np.errstate(all="ignore"):
+        want = brute(rows, 20, 20)
+        want = {q: [(i, s) for i, s in best if np.isfinite(s)] for q, best in want.items()}
+    assert ids_found(got, {q: best for q, best in want.items() if best}) >= 0.95
