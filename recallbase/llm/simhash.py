@@ -12,7 +12,8 @@ the shard's largest component are sent to all trees of the shard; inside the com
 
 Empty and null texts have fingerprint zero and are linked like any other. Repeated texts share a fingerprint and are
 one point here. Null doc_ids get a fingerprint and the component of its other documents, but are never its id. Extra
-columns are ignored.
+columns are ignored. `one_of_each` goes by rows, not by ids: rows are told apart by doc_id and text together, so an id that
+stands before several texts loses none of them, and of rows that have both in common one is left.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallbase.llm.common import components, cut, in_files, text_slices
@@ -49,15 +50,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, *keep: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns `keep`, of text, of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64)), *map(batch.column, keep)], names=["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(work, ", ".join(["doc_id long, fp long", *(f"{k} string" for k in keep)]))
 
 
 class BKTree:
@@ -206,11 +207,37 @@ def linked(points: DataFrame, radius: int = 4) -> DataFrame:
     return components(first.union(second)).select(F.col("id").alias("fp"), "component")
 
 
+def _components(found: DataFrame, radius: int, least: Column) -> DataFrame:
+    """fp, least, component of every fingerprint. least: what is kept of a fingerprint's rows."""
+    points = cut(found.groupBy("fp").agg(least.alias("least")), found.count())
+    return points.join(linked(points.select("fp"), radius), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs, one of each component: the one with the smallest doc_id (null comes last), then by checksum of its text.
+
+    Only ids and checksums are grouped; texts move once, to meet the keys of the rows that go.
+    """
+    none = F.concat(F.when(F.col("doc_id").isNull(), "x").otherwise("i"), F.when(F.col("text").isNull(), "x").otherwise("t"))
+    check = F.concat(none, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))  # i, for rows with an id, stands before x
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), check.alias("_check"))
+    key = ["_id", "_check"]
+    found = cut(fingerprints(docs.select("doc_id", "text", check.alias("_check")), shingle, "_check").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_check", "fp"))
+    first = F.min(F.struct(F.substring("_check", 1, 1).alias("none"), "_id", "_check"))
+    kept = _components(found, radius, first).groupBy("component").agg(F.min("least").alias("k")).select("k._id", "k._check")
+    keys = found.groupBy(*key).agg(F.count("*").alias("n"))
+    marked = cut(keys.join(kept.withColumn("_kept", F.lit(True)), key, "left"), found.count())
+    rest = keyed.join(marked.where("_kept is null").select(*key), key, "left_anti")
+    again = marked.where("_kept and n > 1").select(*key)
+    if not again.isEmpty():  # rows with id and text in common are combined where they are, before the shuffle
+        rest = rest.join(again, key, "left_anti").unionByName(rest.join(again, key, "left_semi").groupBy(*key).agg(F.first("_row").alias("_row")).select("_row", *key))
+    return rest.select("_row.*")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id that links reach, itself included) of every row."""
     found = cut(fingerprints(docs, shingle))
-    points = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")), found.count())
-    joined = points.join(linked(points.select("fp"), radius), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = _components(found, radius, F.min("doc_id"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(names, "component").select("fp", "component_id")
     rows = in_files(found.join(named, "fp"), found.count())

@@ -68,6 +68,43 @@ def test_stages(spark, corpus):
     assert ids["packing"] == ids["secrets"]
 
 
+def test_near_dedup_goes_by_rows(spark):
+    rng = random.Random(5)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, d), (None, d), (9, None), (8, ""), (None, None), (0, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "own") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string").repartition(3)
+    left = pipeline.near_dedup_stage(spark, docs, "")
+    assert left.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    linked = {r.doc_id for r in simhash.near_duplicates(docs).where("component_id = 0").collect()}  # whether c and its longer form are near
+    want = [(1, a), (5, b), (None, d), (8, ""), (0, c + " more")] + ([] if 7 in linked else [(7, c)])
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_dedup_against_groups(spark):
+    """Of each component exactly one row stays, whatever ids and texts repeat."""
+    rng = random.Random(6)
+    texts = [words(rng, 50) for _ in range(12)]
+    texts += [t + " x" for t in texts[:4]] + [t.replace(" ", "  ", 3) for t in texts[:4]] + [None, ""]
+    rows = [(rng.choice((None, *range(9))), rng.choice(texts), "en", "s", 1) for _ in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    left = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    prints = sorted({simhash.fingerprint(t) for t in texts})
+    group = {p: p for p in prints}
+    for _ in prints:
+        for p in prints:
+            for q in prints:
+                if (p ^ q).bit_count() <= 4:
+                    group[p] = group[q] = min(group[p], group[q])
+    of = {}
+    for i, t, *_ in rows:
+        of.setdefault(group[simhash.fingerprint(t)], []).append((i is None, i or 0, (i, t)))
+    assert len(left) == len(of)
+    for i, t in left:
+        mates = of.pop(group[simhash.fingerprint(t)])
+        assert (i is None, i or 0) == min(mates, key=lambda m: m[:2])[:2] and (i, t) in [m[2] for m in mates]
+
+
 def test_run_gives_the_last_stage(spark, corpus):
     out = pipeline.run(spark, corpus)
     assert {"doc_id", "piece", "sequence_id", "offset", "ids_crc32"} <= set(out.columns) and out.count() > 300
@@ -80,11 +117,11 @@ def test_stages_take_an_empty_table(spark, corpus):
         assert docs.count() == 0
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(entry.oracle_sql()) <= set(names)
 
@@ -94,5 +131,5 @@ def test_queries_run_over_whole_tables(name, spark, sf_dir):
     from recallbase.llm.queries import QUERIES
 
     rows = QUERIES[name](spark, sf_dir).count()
-    if name not in ("op1_decontaminate", "op5_packing", "op7_fixity", "op9_hnsw"):
+    if name not in ("op1_decontaminate", "op5_packing", "op7_fixity", "op9_hnsw", "op11_negatives", "op12_spelling"):
         assert rows == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
