@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recallbase.llm import decontaminate, packing, secrets, simhash, toxicity
-from recallbase.llm.common import cut, shared_dir
+from recallbase.llm.common import shared_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +15,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash group the document with the smallest doc_id. Rows of null doc_id can't be told apart and stay."""
-    gone = cut(simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each SimHash group, the one with the smallest doc_id. Rows count, not ids: different texts under one id don't go for each other, and of repeated rows one stays."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
