@@ -13,6 +13,7 @@ other row; equal lengths keep their order. Extra columns are ignored. An empty t
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -51,12 +52,22 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, w
 
 
 class Bins:
-    """Sequences of one chunk: items[b] lists (length, item) in ascending order, fill[b] their sum."""
+    """Sequences of one chunk: items[b] lists (length, item) in ascending order, fill[b] their sum.
+
+    Two indices answer a step without looking at the other bins. `tightest` finds the bin with the least room for a document.
+    `_partner` finds what to take back for a gift: a bin of room r that holds a document of length x is entered under r + x,
+    and it can swap x for a longer gift g if g <= r + x; the step raises the squared fill if r + x < g + size - fill of
+    the giver. So the least x in a range of r + x is asked for, of a tree of minima.
+    """
 
     def __init__(self, size: int):
         self.size, self.items, self.fill = size, [], []
         self.room: list[list[int]] = [[] for _ in range(size + 1)]
         self.open = 0  # bit r: room[r] names a bin that may have room r
+        self.free = 0  # room in all bins that aren't empty
+        self.version: list[int] = []  # entries of an older version are void
+        self.entries: list[list[tuple[int, int, int]]] = []
+        self.least: list[int] = []
 
     def _note(self, b: int) -> None:
         r = self.size - self.fill[b]
@@ -81,6 +92,7 @@ class Bins:
         return -1
 
     def put(self, b: int, x: tuple[int, int]) -> None:
+        self.free += (0 if self.items[b] else self.size) - x[0]
         bisect.insort(self.items[b], x)
         self.fill[b] += x[0]
         self._note(b)
@@ -88,6 +100,7 @@ class Bins:
     def take(self, b: int, x: tuple[int, int]) -> None:
         self.items[b].remove(x)
         self.fill[b] -= x[0]
+        self.free += x[0] - (0 if self.items[b] else self.size)
         self._note(b)
 
     def fit(self, lengths: np.ndarray) -> None:
@@ -101,22 +114,88 @@ class Bins:
                 self.fill.append(0)
             self.put(b, x)
 
+    def _enter(self, b: int) -> None:
+        """A new version of the bin in the index."""
+        self.version[b] += 1
+        r = self.size - self.fill[b]
+        for length in {x[0] for x in self.items[b]} if r else ():
+            heapq.heappush(self.entries[r + length], (length, b, self.version[b]))
+            self._lower(r + length, length)
+
+    def _lower(self, k: int, value: int) -> None:
+        at = k + len(self.least) // 2
+        while at and self.least[at] > value:
+            self.least[at] = value
+            at >>= 1
+
+    def _refresh(self, k: int) -> int:
+        """The least length under k that is still true; the tree is told."""
+        heap = self.entries[k]
+        while heap and self.version[heap[0][1]] != heap[0][2]:
+            heapq.heappop(heap)
+        value = heap[0][0] if heap else self.size + 1
+        at = k + len(self.least) // 2
+        if self.least[at] != value:
+            self.least[at] = value
+            at >>= 1
+            while at:
+                value = min(self.least[2 * at], self.least[2 * at + 1])
+                if self.least[at] == value:
+                    break
+                self.least[at] = value
+                at >>= 1
+        return self.least[k + len(self.least) // 2]
+
+    def _partner(self, total: int, giver: int) -> tuple[int, int] | None:
+        """(bin, length) of the shortest document to take for a gift of length `total`."""
+        half = len(self.least) // 2
+        lo, hi = total + half, min(total + self.size - self.fill[giver], 2 * self.size + 1) + half
+        nodes = []
+        while lo < hi:
+            if lo & 1:
+                nodes.append(lo)
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                nodes.append(hi)
+            lo, hi = lo >> 1, hi >> 1
+        while nodes:
+            at = min(nodes, key=self.least.__getitem__)
+            value = self.least[at]
+            if value >= total:
+                return None
+            while at < half:
+                at = 2 * at if self.least[2 * at] == value else 2 * at + 1
+            if self._refresh(at - half) == value:
+                return self.entries[at - half][0][1], value
+        return None
+
     def empty_least(self) -> None:
         """Works on the least filled bin until it is empty or no step helps, then on the next; ends when the room left elsewhere can't hold it."""
-        stuck: set[int] = set()
-        while True:
-            partly = [b for b, f in enumerate(self.fill) if 0 < f < self.size]
-            todo = [b for b in partly if b not in stuck]
-            if not todo:
+        n = len(self.items)
+        self.version, self.entries, self.least = [0] * n, [[] for _ in range(2 * self.size + 1)], [self.size + 1] * (2 << (2 * self.size + 1).bit_length())
+        todo = [(f, b) for b, f in enumerate(self.fill) if 0 < f < self.size]
+        heapq.heapify(todo)
+        for _, b in todo:
+            self._enter(b)
+        stuck = [False] * n
+        while todo:
+            fill, target = heapq.heappop(todo)
+            if stuck[target] or fill != self.fill[target] or not 0 < fill < self.size:
+                continue
+            if self.free - (self.size - fill) < fill:
                 return
-            target = min(todo, key=lambda b: (self.fill[b], b))
-            if sum(self.size - self.fill[b] for b in partly if b != target) < self.fill[target]:
-                return
-            by_room = sorted((b for b in partly if b != target), key=lambda b: self.fill[b])
-            while self.items[target] and self._step(target, by_room):
-                pass
+            self.version[target] += 1  # not its own partner
+            while self.items[target]:
+                b = self._step(target)
+                if b < 0:
+                    break
+                self._enter(b)
+                if not stuck[b]:
+                    heapq.heappush(todo, (self.fill[b], b))
             if self.items[target]:
-                stuck.add(target)
+                stuck[target] = True
+                self._enter(target)
 
     @staticmethod
     def _gifts(own: list[tuple[int, int]]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -132,27 +211,27 @@ class Bins:
                     told.add(a + b)
                     yield a + b, (kinds[a][0], kinds[b][-1])
 
-    def _step(self, target: int, others: list[int]) -> bool:
+    def _step(self, target: int) -> int:
+        """The bin that a document of the target was moved to or exchanged with, or -1."""
         own = self.items[target]
         for x in reversed(own):
             b = self.tightest(x[0], but=target)
             if b >= 0 and self.fill[b] + x[0] > self.fill[target]:
                 self.take(target, x)
                 self.put(b, x)
-                return True
-        able = [(b, self.size - self.fill[b], self.items[b]) for b in others if self.size > self.fill[b] >= self.fill[target]]
+                return b
         for total, given in self._gifts(own):
-            for b, gap, held in able:
-                k = bisect.bisect_left(held, (total - gap, -1))
-                if k < len(held) and held[k][0] < total:
-                    back = held[k]
-                    self.take(b, back)
-                    for x in given:
-                        self.take(target, x)
-                        self.put(b, x)
-                    self.put(target, back)
-                    return True
-        return False
+            found = self._partner(total, target)
+            if found:
+                b, length = found
+                back = self.items[b][bisect.bisect_left(self.items[b], (length, -1))]
+                self.take(b, back)
+                for x in given:
+                    self.take(target, x)
+                    self.put(b, x)
+                self.put(target, back)
+                return b
+        return -1
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -78,9 +79,9 @@ def test_every_step_raises_the_sum_of_squares():
     bins.fit(np.array([rng.randint(20, 60) for _ in range(80)]))
     step, sums = bins._step, [sum(f * f for f in bins.fill)]
 
-    def watched(target, others):
-        done = step(target, others)
-        if done:
+    def watched(target):
+        done = step(target)
+        if done >= 0:
             sums.append(sum(f * f for f in bins.fill))
             assert sums[-1] > sums[-2]
         return done
@@ -133,3 +134,35 @@ def test_pairs_of_many_documents_are_all_tried():
     totals = {total for total, _ in packing.Bins._gifts(own)}
     assert totals == {3, 50, 60, 6, 53, 63, 110}
     assert all(total == sum(x[0] for x in given) and len(set(given)) == len(given) for total, given in packing.Bins._gifts(own))
+
+
+def test_partners_are_those_that_a_look_at_all_bins_finds():
+    for seed in range(40):
+        rng = random.Random(seed)
+        bins = packing.Bins(40)
+        bins.fit(np.array([rng.randint(1, rng.choice((15, 25, 40))) for _ in range(30)]))
+        bins.empty_least()
+        live = [[x[0] for x in items] for items in bins.items if items]
+        assert bins.free == sum(40 - sum(x) for x in live)
+        bins.version, bins.entries, bins.least = [0] * len(bins.items), [[] for _ in range(81)], [41] * 256
+        for b, f in enumerate(bins.fill):
+            if 0 < f < 40:
+                bins._enter(b)
+        for t, own in enumerate(bins.items):
+            if own:
+                bins.version[t] += 1
+                for total in range(1, 41):
+                    able = [x for b, other in enumerate(bins.items) if b != t and 0 < bins.fill[b] < 40 for x, _ in other if x < total <= 40 - bins.fill[b] + x and bins.fill[b] + total - x > bins.fill[t]]
+                    found = bins._partner(total, t)
+                    assert (found[1] if found else None) == (min(able) if able else None)
+                bins._enter(t)
+
+
+@pytest.mark.parametrize(("shortest", "longest", "bins"), [(2049, 2700, 32_768), (1400, 2100, 16_384), (300, 2000, 9_300), (900, 1500, 9_900), (1, 4096, 16_600)])
+def test_a_full_chunk_of_hard_lengths(shortest, longest, bins):
+    """32,768 pieces, about half or a third of a sequence each, take seconds; stuck sequences aren't held against all others."""
+    lengths = np.random.default_rng(1).integers(shortest, longest + 1, packing.CHUNK)
+    began = time.perf_counter()
+    at, _ = packing.pack_lengths(lengths, 4096)
+    assert time.perf_counter() - began < 20
+    assert np.bincount(at, lengths).max() <= 4096 and at.max() + 1 <= bins
