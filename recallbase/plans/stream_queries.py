@@ -9,7 +9,7 @@ from recallbase.plans import views
 from recallbase.plans.registry import query
 from recallbase.plans.views import sql
 from recallbase.session import table
-from recallbase.streaming import queue, streams
+from recallbase.streaming import heap, queue, streams, timers
 
 _LATE = "2 days"
 _EDGE = "(SELECT max(ts) - INTERVAL 2 DAY FROM events)"
@@ -90,3 +90,90 @@ def t19(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.col("o_totalprice").alias("cost"))
     spent = F.round(F.sum("cost").over(Window.partitionBy("o_orderdate").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)), 2)
     return o.withColumn("spent", spent).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count_if(F.col("spent") <= 500000.0).alias("granted"), F.count_if(F.col("spent") > 500000.0).alias("refused"))
+
+
+#: Whole machine of t05's stream in SQL: `r` goes through a job's commands one by one, `fell` are the deadlines that passed before each.
+_TIMED = """WITH RECURSIVE
+  c AS (SELECT user_id AS job_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, 'w' || CAST(event_id % 2 AS VARCHAR) AS worker, epoch_us(ts) / 1e6 AS sec,
+        CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'done' ELSE 'error' END AS op FROM events),
+  r AS (
+    SELECT job_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, '' AS op, false AS accepted, 0e0 AS sec, '' AS status, CAST(NULL AS VARCHAR) AS worker, 0e0 AS until, CAST(0 AS INTEGER) AS attempts, 0e0 AS retry,
+           false AS expired, 0e0 AS ended, false AS due, 0e0 AS again FROM c GROUP BY job_id
+    UNION ALL
+    SELECT job_id, k, seq, op, accepted, sec,
+           CASE WHEN NOT accepted THEN s WHEN op = 'enqueue' THEN 'queued' WHEN op IN ('claim', 'heartbeat') THEN 'claimed' WHEN op = 'done' THEN 'done' WHEN attempts >= 3 THEN 'failed' ELSE 'retry_wait' END,
+           CASE WHEN NOT accepted THEN owner WHEN op IN ('claim', 'heartbeat') THEN worker END,
+           CASE WHEN NOT accepted THEN until WHEN op = 'claim' THEN sec + 7200e0 WHEN op = 'heartbeat' THEN CASE WHEN until - sec <= 3600e0 THEN sec + 7200e0 ELSE until END ELSE 0e0 END,
+           CASE WHEN NOT accepted OR op NOT IN ('enqueue', 'claim') THEN attempts WHEN op = 'claim' THEN attempts + 1 ELSE 0 END,
+           CASE WHEN NOT accepted THEN retry WHEN op = 'error' AND attempts < 3 THEN sec + least(3600e0, 600e0 * pow(2e0, least(greatest(attempts - 1, 0), 6))) WHEN op = 'heartbeat' THEN retry ELSE 0e0 END,
+           expired, ended, due, again
+    FROM (
+      SELECT *, CASE op WHEN 'enqueue' THEN s IN ('', 'done', 'failed', 'canceled') WHEN 'claim' THEN s = 'queued' ELSE s = 'claimed' AND owner = worker END AS accepted
+      FROM (
+        SELECT job_id, k, seq, op, worker, sec, attempts, expired, ended, again, s1 = 'retry_wait' AND sec >= again AS due, CASE WHEN s1 = 'retry_wait' AND sec >= again THEN 'queued' ELSE s1 END AS s,
+               CASE WHEN s1 = 'claimed' THEN owner END AS owner, CASE WHEN s1 = 'claimed' THEN until ELSE 0e0 END AS until, CASE WHEN s1 = 'retry_wait' AND sec >= again THEN 0e0 ELSE again END AS retry
+        FROM (
+          SELECT r.job_id, c.k, c.seq, c.op, c.worker, c.sec, r.attempts, r.worker AS owner, r.until, r.until AS ended, r.status = 'claimed' AND c.sec >= r.until AS expired,
+                 CASE WHEN r.status = 'claimed' AND c.sec >= r.until THEN CASE WHEN r.attempts >= 3 THEN 'failed' ELSE 'retry_wait' END ELSE r.status END AS s1,
+                 CASE WHEN r.status = 'claimed' AND c.sec >= r.until AND r.attempts < 3 THEN r.until + least(3600e0, 600e0 * pow(2e0, least(greatest(r.attempts - 1, 0), 6))) ELSE r.retry END AS again
+          FROM r JOIN c ON c.job_id = r.job_id AND c.k = r.k + 1)))),
+  done AS MATERIALIZED (SELECT *, lag(attempts) OVER (PARTITION BY job_id ORDER BY k) AS held, max(k) OVER (PARTITION BY job_id) = k AS last FROM r),
+  edge AS (SELECT (max(epoch_us(ts)) - 172800000000) / 1e6 AS w FROM events),
+  tail AS (
+    SELECT job_id, attempts, status = 'claimed' AND until < w AS expired, until AS ended, CASE WHEN status = 'claimed' THEN until + least(3600e0, 600e0 * pow(2e0, least(greatest(attempts - 1, 0), 6))) ELSE retry END AS again,
+           status = 'retry_wait' OR (status = 'claimed' AND until < w AND attempts < 3) AS waits, w FROM done, edge WHERE last)
+  SELECT job_id, seq, op, accepted, status, attempts, sec AS "at" FROM done WHERE k > 0
+  UNION ALL SELECT job_id, NULL, 'lease.expired', true, CASE WHEN held >= 3 THEN 'failed' ELSE 'retry_wait' END, held, ended FROM done WHERE expired
+  UNION ALL SELECT job_id, NULL, 'retry.due', true, 'queued', held, again FROM done WHERE due
+  UNION ALL SELECT job_id, NULL, 'lease.expired', true, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'retry_wait' END, attempts, ended FROM tail WHERE expired
+  UNION ALL SELECT job_id, NULL, 'retry.due', true, 'queued', attempts, again FROM tail WHERE waits AND again < w"""
+
+
+@query("t05_timed_queue", _TIMED)
+def t05(spark, sf_dir):
+    """Also t06, r20: leases that run out and retries that fall due by timers, results of leases that ran out refused."""
+    rows = commands(streams.table_stream(spark, f"{sf_dir}/events.parquet")).withColumnRenamed("at", "seconds")
+    rows = streams.event_time(rows.withColumn("ts", F.timestamp_seconds("seconds")), "ts", _LATE)
+    with streams.rocksdb(spark):
+        return streams.drain(timers.timed_transitions(rows, lease=7200.0, base=600.0), "timed")
+
+
+@query("t17_maintenance_ticks", f"""WITH e AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) AS micros FROM events),
+  g AS (SELECT *, CASE WHEN micros - lag(micros) OVER w <= 43200000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY key ORDER BY micros, seq)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY micros, seq ROWS UNBOUNDED PRECEDING) AS s FROM g),
+  b AS (SELECT key, s, min(micros) AS first, max(micros) AS last FROM s GROUP BY key, s),
+  t AS (SELECT key, s, last, first + 10800000000 * unnest(generate_series(1, (last + 43200000000 - first) // 10800000000)) AS due FROM b)
+  SELECT t.key, t.due, max(s.seq) AS after FROM t JOIN s ON s.key = t.key AND s.s = t.s AND s.micros < t.due
+  WHERE t.due <= t.last OR t.due < epoch_us({_EDGE}) OR EXISTS (SELECT 1 FROM b WHERE b.key = t.key AND b.s = t.s + 1) GROUP BY t.key, t.due""")
+def t17(spark, sf_dir):
+    """Also t10: work that is due every three hours while a key is alive, by timers; twelve silent hours end it."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros("at").alias("micros"), "at")
+    hour = 3_600_000_000
+    with streams.rocksdb(spark):
+        return streams.drain(timers.periodic(rows, 3 * hour, 12 * hour), "ticks")
+
+
+@query("t09_priority_queue", """WITH RECURSIVE
+  c AS (SELECT user_id % 40 AS queue, event_id AS seq, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS k, CASE event_type WHEN 'signup' THEN 'take' WHEN 'error' THEN 'done' ELSE 'offer' END AS op,
+        event_id * 7 % 23 AS item, CASE event_type WHEN 'purchase' THEN 80 WHEN 'click' THEN 20 ELSE 10 END AS priority FROM events),
+  r AS (
+    SELECT queue, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, '' AS op, '' AS answer, CAST(NULL AS BIGINT) AS item, CAST([] AS STRUCT(rank INTEGER, number BIGINT, item BIGINT)[]) AS heap, CAST([] AS BIGINT[]) AS pending FROM c GROUP BY queue
+    UNION ALL
+    SELECT queue, k, seq, op, answer, CASE answer WHEN 'taken' THEN best.item WHEN 'empty' THEN NULL ELSE item END,
+           CASE answer WHEN 'ok' THEN list_append(heap, {'rank': CAST(-priority AS INTEGER), 'number': seq, 'item': item}) WHEN 'taken' THEN list_filter(heap, lambda x: x.number <> best.number) ELSE heap END,
+           CASE answer WHEN 'ok' THEN list_append(pending, item) WHEN 'done' THEN list_filter(pending, lambda x: x <> item) ELSE pending END
+    FROM (
+      SELECT c.*, r.heap, r.pending, list_sort(r.heap)[1] AS best,
+             CASE WHEN c.op = 'offer' THEN CASE WHEN list_contains(r.pending, c.item) THEN 'duplicate' WHEN len(r.heap) >= 8 THEN 'full' ELSE 'ok' END WHEN c.op = 'take' THEN CASE WHEN len(r.heap) > 0 THEN 'taken' ELSE 'empty' END
+                  WHEN list_contains(r.pending, c.item) AND len(list_filter(r.heap, lambda x: x.item = c.item)) = 0 THEN 'done' ELSE 'unknown' END AS answer
+      FROM r JOIN c ON c.queue = r.queue AND c.k = r.k + 1))
+  SELECT queue, seq, op, answer, item, CAST(len(heap) AS INTEGER) AS waiting FROM r WHERE k > 0""")
+def t09(spark, sf_dir):
+    """Bounded heaps as keyed state: duplicates and full queues are refused, highest priority first, oldest first within it."""
+    t = F.col("event_type")
+    op = F.when(t == "signup", "take").when(t == "error", "done").otherwise("offer")
+    rows = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(
+        (F.col("user_id") % 40).alias("queue"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") * 7 % 23).alias("item"), F.when(t == "purchase", 80).when(t == "click", 20).otherwise(10).alias("priority")
+    )
+    with streams.rocksdb(spark):
+        return streams.drain(heap.answers(rows, limit=8), "heap")

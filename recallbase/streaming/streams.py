@@ -5,7 +5,8 @@ Every stream has a watermark, so its state is bounded by the event time it spans
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, as timers and maps of state need it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def event_time(rows: DataFrame, column: str, late: str) -> DataFrame:
     """rows with `at` as a timestamp and a watermark on it. Rows without a time are left out, as no window can hold them."""
     return rows.withColumn("at", F.col(column).cast("timestamp")).where("at is not null").withWatermark("at", late)
