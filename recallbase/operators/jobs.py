@@ -61,13 +61,6 @@ def prunable(jobs: DataFrame, dependencies: DataFrame, before: Column, most: int
     return old.unionByName(oldest.select("id", F.lit("cap").alias("reason")))
 
 
-def reserve_budget(requests: DataFrame, limit: float) -> DataFrame:
-    """Running cost per day in order of time, and whether each request still fits the limit when all before it are granted."""
-    day = F.date_trunc("day", F.col("created_at"))
-    spent = F.sum("cost").over(Window.partitionBy(day).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("spent", spent).withColumn("granted", F.col("spent") <= limit)
-
-
 def retried(jobs: DataFrame) -> DataFrame:
     """Failed and canceled jobs back in the queue with no attempts."""
     again = F.col("status").isin("failed", "canceled")

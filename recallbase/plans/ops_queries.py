@@ -9,6 +9,7 @@ from recallbase.functions import exprs as X
 from recallbase.functions import text as T
 from recallbase.operators import aggregates as A
 from recallbase.operators import jobs as J
+from recallbase.operators.budget import reserve
 from recallbase.operators.shared import in_blocks
 from recallbase.plans import views
 from recallbase.plans.registry import query
@@ -180,11 +181,17 @@ def t08(spark, sf_dir):
     return views.job(spark, sf_dir).groupBy("worker").agg(F.count_if(held).alias("in_flight"), F.when(F.max("created_at") < F.lit("1998-08-01 00:00:00").cast("timestamp_ntz"), "stale").otherwise("online").alias("state"))
 
 
-@query("t19_budget_reservation", sql("""c AS (SELECT id, created_at, CAST(input_tokens AS DOUBLE) AS cost FROM usage WHERE model = 'model-NO'), r AS (SELECT id, sum(cost) OVER (PARTITION BY date_trunc('day', created_at) ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS spent FROM c)
-  SELECT id, spent, spent <= 200000e0 AS granted FROM r""", "usage"))
+@query("t19_budget_reservation", "WITH RECURSIVE " + sql("""c AS (SELECT id, input_tokens AS cost, date_trunc('day', created_at) AS day, date_trunc('month', created_at) AS month, row_number() OVER (PARTITION BY date_trunc('month', created_at) ORDER BY created_at, id, input_tokens) AS k FROM usage WHERE model = 'model-NO'),
+  r AS (
+    SELECT month, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS day, CAST(0 AS HUGEINT) AS of_day, CAST(0 AS HUGEINT) AS of_month, false AS granted FROM c GROUP BY month
+    UNION ALL
+    SELECT month, k, id, day, spent + CASE WHEN fits THEN cost ELSE 0 END, of_month + CASE WHEN fits THEN cost ELSE 0 END, fits
+    FROM (SELECT c.*, r.of_month, CASE WHEN r.day = c.day THEN r.of_day ELSE 0 END AS spent, c.cost <= 0 OR (CASE WHEN r.day = c.day THEN r.of_day ELSE 0 END + c.cost <= 120000 AND r.of_month + c.cost <= 2000000) AS fits FROM r JOIN c ON c.month = r.month AND c.k = r.k + 1))
+  SELECT id, granted FROM r WHERE k > 0""", "usage")[5:])
 def t19(spark, sf_dir):
-    u = views.usage(spark, sf_dir).where("model = 'model-NO'").select("id", "created_at", F.col("input_tokens").cast("double").alias("cost"))
-    return J.reserve_budget(u, 200_000.0).select("id", "spent", "granted")
+    """Requests in order under a daily and a monthly budget; a refused one uses nothing."""
+    u = views.usage(spark, sf_dir).where("model = 'model-NO'").select("id", F.col("created_at").alias("at"), F.col("input_tokens").alias("cost"))
+    return reserve(u, 120_000, 2_000_000)
 
 
 @query("w02_latest_run_per_key", sql("""r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, seq DESC) AS n FROM research_event WHERE type <> 'source.rejected') SELECT run_id, seq, type, created_at FROM r WHERE n = 1""", "research_event"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recallbase.operators.budget import reserve
 from recallbase.operators.shared import new_folder
 from recallbase.plans import views
 from recallbase.plans.registry import query
@@ -82,14 +83,15 @@ def t20(spark, sf_dir):
     return m.where((F.col("memory_type") == "working") & (age >= 600 * 3_600_000_000)).select("id")
 
 
-@query("t19_reservations", """WITH o AS (SELECT o_orderkey AS id, o_orderdate, o_totalprice AS cost FROM orders), s AS (SELECT id, o_orderdate, round(sum(cost) OVER (PARTITION BY o_orderdate ORDER BY id), 2) AS spent FROM o)
-  SELECT CAST(o_orderdate AS DATE) AS day, count(*) FILTER (spent <= 500000e0) AS granted, count(*) FILTER (spent > 500000e0) AS refused FROM s GROUP BY 1""")
+@query("t19_reservations", """WITH RECURSIVE o AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(round(o_totalprice * 100) AS BIGINT) AS cost, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS k FROM orders),
+  r AS (SELECT day, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS spent, false AS granted FROM o GROUP BY day
+    UNION ALL SELECT o.day, o.k, r.spent + CASE WHEN r.spent + o.cost <= 50000000 THEN o.cost ELSE 0 END, r.spent + o.cost <= 50000000 FROM r JOIN o ON o.day = r.day AND o.k = r.k + 1)
+  SELECT day, count(*) FILTER (granted) AS granted, count(*) FILTER (NOT granted) AS refused FROM r WHERE k > 0 GROUP BY day""")
 def t19(spark, sf_dir):
-    from pyspark.sql import Window
-
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.col("o_totalprice").alias("cost"))
-    spent = F.round(F.sum("cost").over(Window.partitionBy("o_orderdate").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)), 2)
-    return o.withColumn("spent", spent).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count_if(F.col("spent") <= 500000.0).alias("granted"), F.count_if(F.col("spent") > 500000.0).alias("refused"))
+    """Orders as requests under a daily budget in cents."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cost"))
+    told = reserve(o, 50_000_000).join(o, "id")
+    return told.groupBy(F.to_date("at").alias("day")).agg(F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("refused"))
 
 
 #: Whole machine of t05's stream in SQL: `r` goes through a job's commands one by one, `fell` are the deadlines that passed before each.
