@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
+from recallbase.operators.graph import components
 from recallbase.operators.shared import cut, first_rows
 
 
@@ -42,8 +43,8 @@ def conflict_outcome(new_version: Column, old_version: Column, new_text: Column,
     )
 
 
-#: Nodes, and links, of a consolidation that one task finishes.
-TAIL = 200_000
+#: Nodes of a component that is finished in the plain order, and links for each node of it; rounds before components are looked for again.
+MATES, MATE_LINKS, ROUNDS = 2_000, 20, 3
 #: Scores are compared in billionths, a gap of this many or more decides.
 GAP = 150_000_000
 
@@ -174,7 +175,7 @@ def fold_log(log: DataFrame, key: str, revision: str, deleted: str, after: Colum
 
 
 def _in_order(nodes: DataFrame, links: DataFrame, least: int, most: int) -> DataFrame:
-    """(cluster, id) by the plain loop over few nodes (id, rank, tried) and links (a, b, similarity)."""
+    """(cluster, id) by the plain loop over nodes (bundle, id, rank, tried) and links (bundle, a, b, similarity), each bundle for itself."""
 
     def loop(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list] = {}
@@ -192,9 +193,21 @@ def _in_order(nodes: DataFrame, links: DataFrame, least: int, most: int) -> Data
         return pd.DataFrame(made, columns=["cluster", "id"])
 
     kind = dict(nodes.dtypes)["id"]
-    one = F.lit(0).alias("_all")
-    rows = nodes.select(one, "id", "tried", F.col("rank.uses").alias("uses"), F.col("rank.created_at").alias("created_at"))
-    return rows.groupBy("_all").cogroup(links.select(one, "a", "b", "similarity").groupBy("_all")).applyInPandas(loop, f"cluster {kind}, id {kind}")
+    rows = nodes.select("bundle", "id", "tried", F.col("rank.uses").alias("uses"), F.col("rank.created_at").alias("created_at"))
+    return rows.groupBy("bundle").cogroup(links.select("bundle", "a", "b", "similarity").groupBy("bundle")).applyInPandas(loop, f"cluster {kind}, id {kind}")
+
+
+def _small_components(nodes: DataFrame, links: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cluster, id) of the components of MATES nodes or fewer; nodes and links of the others."""
+    of = cut(nodes.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    sizes = of.groupBy("component").agg(F.count("*").alias("n")).join(links.join(of.select(F.col("id").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("links")), "component", "left")
+    few = sizes.where((F.col("n") <= MATES) & (F.coalesce("links", F.lit(0)) <= MATES * MATE_LINKS))
+    total = few.agg(F.sum("n")).first()[0] or 0
+    bundled = of.join(few.select("component"), "component").select("id", F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // MATES)))).alias("bundle"))
+    placed = cut(nodes.join(bundled, "id", "left"))
+    met = cut(links.join(placed.select(F.col("id").alias("a"), "bundle"), "a"))
+    done = cut(_in_order(placed.where("bundle is not null"), met.where("bundle is not null"), least, most))
+    return done, placed.where("bundle is null").drop("bundle"), met.where("bundle is null").select("a", "b", "similarity")
 
 
 def consolidate(memories: DataFrame, neighbours: DataFrame, least: int, most: int) -> DataFrame:
@@ -202,7 +215,8 @@ def consolidate(memories: DataFrame, neighbours: DataFrame, least: int, most: in
 
     The greedy order only matters between seeds that are at most two links apart. So each round takes all seeds at once that
     come first among those, which gives the clusters of the plain order; a round is joins and minima, cut by a checkpoint.
-    What TAIL links or fewer are left of is finished in the plain order by one task.
+    Clusters never cross components, so a component of MATES nodes or fewer is done with in the plain order instead, some of
+    them together in a group of about MATES nodes. Larger ones take rounds, in which they fall apart, and are looked at again.
     """
     rank = F.struct((-F.col("access_count")).alias("uses"), "created_at", "id")
     nodes = cut(memories.select("id", rank.alias("rank")).dropDuplicates(["id"]).withColumn("tried", F.lit(False)))
@@ -211,9 +225,14 @@ def consolidate(memories: DataFrame, neighbours: DataFrame, least: int, most: in
     links = cut(both.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi"))
     found: list[DataFrame] = []
     nodes = cut(nodes.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi")) if least > 1 else nodes
+    rounds = 0
     while nodes.where("not tried").limit(1).count():
-        if nodes.limit(TAIL + 1).count() <= TAIL and links.limit(TAIL + 1).count() <= TAIL:
-            return reduce(DataFrame.unionByName, [*found, _in_order(nodes, links, least, most)])
+        if rounds % ROUNDS == 0:
+            done, nodes, links = _small_components(nodes, links, least, most)
+            found.append(done)
+            if nodes.isEmpty():
+                break
+        rounds += 1
         waiting = nodes.where("not tried").select("id", "rank")
         near = links.join(waiting.select(F.col("id").alias("b"), "rank"), "b").groupBy(F.col("a").alias("id")).agg(F.min("rank").alias("near"))
         first = nodes.join(near, "id", "left").select("id", F.least(F.when(~F.col("tried"), F.col("rank")), "near").alias("first"))

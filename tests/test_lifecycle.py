@@ -79,10 +79,10 @@ def greedy(nodes, links, least, most):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tail", [0, 60, 200_000])
-@pytest.mark.parametrize(("least", "most", "seed"), [(2, 4, 1), (3, 3, 2), (1, 5, 3)])
-def test_consolidation_is_the_greedy_one(spark, monkeypatch, least, most, seed, tail):
-    monkeypatch.setattr(L, "TAIL", tail)
+@pytest.mark.parametrize(("least", "most", "seed", "mates"), [(2, 4, 1, 1), (3, 3, 2, 6), (1, 5, 3, 6), (1, 5, 3, 2000)])
+def test_consolidation_is_the_greedy_one(spark, monkeypatch, least, most, seed, mates):
+    """One giant component and small ones, finished in groups or taken apart in rounds."""
+    monkeypatch.setattr(L, "MATES", mates)
     rng = random.Random(seed)
     nodes = {i: (rng.randrange(6), DAY + datetime.timedelta(hours=rng.randrange(9))) for i in range(70)}
     links = [(rng.randrange(72), rng.randrange(72), round(rng.random(), 1)) for _ in range(110)] + [(5, 5, 0.9)]
