@@ -1,6 +1,6 @@
 """Inverted file with product quantisation: coarse cells, codes of residuals, search by lookup tables, exact scores at the end.
 
-The codebooks are fitted in numpy on a bounded sample (SAMPLE vectors, those of the smallest hash of their id). Encoding and
+The codebooks are fitted to all vectors by rounds of partial sums (operators/clustering). Encoding and
 search are partition-wise over Arrow batches; the index is a table partitioned by cell, of which a search opens the cells
 that its queries probe.
 """
@@ -16,36 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recallbase.operators import clustering
+from recallbase.operators.clustering import nearest as assign
+from recallbase.operators.shared import cut
 from recallbase.operators.vectors import QUERY_BLOCK, _blocks
 
-SAMPLE = 4096
-
-
-def kmeans(samples: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Centres by Lloyd's rounds from farthest-point seeds, the first sample first. Ties go to the lowest index, an empty cluster keeps its centre."""
-    x = samples.astype(np.float64)
-    k = min(k, len(x))
-    picked, far = [0], ((x - x[0]) ** 2).sum(1)
-    while len(picked) < k:
-        picked.append(int(far.argmax()))
-        far = np.minimum(far, ((x - x[picked[-1]]) ** 2).sum(1))
-    centers, before = x[picked].copy(), None
-    for _ in range(rounds):
-        own = assign(x, centers)
-        sums, n = np.zeros_like(centers), np.bincount(own, minlength=k)
-        np.add.at(sums, own, x)
-        centers[n > 0] = sums[n > 0] / n[n > 0, None]
-        if before is not None and (own == before).all():
-            break
-        before = own
-    return centers.astype(np.float32)
-
-
-def assign(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """The nearest centre of each row by squared distance."""
-    x, c = x.astype(np.float64), centers.astype(np.float64)
-    return ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]).argmin(1)
-
 
 def bounds(dim: int, parts: int) -> list[tuple[int, int]]:
     """Ranges of the sub-vectors; the first dim % parts are one longer."""
@@ -83,15 +58,22 @@ class Codebooks:
 
 
 def train(vectors: DataFrame, cells: int = 64, parts: int = 8, codes: int = 64, rounds: int = 8) -> Codebooks:
-    """Codebooks from a sample of vectors (id, vector)."""
-    fine = vectors.where(F.size("vector") > 0)
-    share = min(1.0, 2.0 * SAMPLE / max(1, fine.count()))
-    order = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53)
-    few = fine.select("id", "vector", order.alias("_o")).where(F.col("_o") <= share).orderBy("_o", "id").limit(SAMPLE).collect()
-    x = unit(np.array([r.vector for r in few], np.float64))
-    coarse = kmeans(x, cells, rounds)
-    rest = x - coarse[assign(x, coarse)]
-    return Codebooks(coarse, [kmeans(rest[:, a:b], min(codes, 256), rounds) for a, b in bounds(x.shape[1], parts)])
+    """Codebooks of all vectors (id, vector) of the commonest dimension (the smaller of equals): cells first, then codes of what the cells leave, all parts in the same rounds."""
+    fine = vectors.where((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))).select("id", "vector", F.size("vector").alias("_dim"))
+    dim = fine.groupBy("_dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_dim").first()
+    if dim is None:
+        raise ValueError("no vectors to train on")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    rows = cut(fine.where(F.col("_dim") == dim[0]).select(F.col("id").cast("long").alias("id"), F.when(length > 0, F.transform("vector", lambda x: x / length)).otherwise(F.col("vector").cast("array<double>")).alias("vector")))
+    (coarse,) = clustering.lloyd(rows, clustering.seeds(rows, cells), rounds)
+    ranges = bounds(dim[0], parts)
+
+    def rests(x: np.ndarray) -> list[np.ndarray]:
+        rest = x - coarse[assign(x, coarse)]
+        return [rest[:, a:b] for a, b in ranges]
+
+    books = clustering.lloyd(rows, clustering.seeds(rows, min(codes, 256), rests), rounds, rests)
+    return Codebooks(coarse.astype(np.float32), [b.astype(np.float32) for b in books])
 
 
 def encode(vectors: DataFrame, model: Codebooks) -> DataFrame:
@@ -108,6 +90,23 @@ def encode(vectors: DataFrame, model: Codebooks) -> DataFrame:
     return vectors.where(F.size("vector") == model.coarse.shape[1]).select("id", "vector").mapInArrow(work, "id long, cell int, codes binary")
 
 
+def errors(vectors: DataFrame, model: Codebooks) -> DataFrame:
+    """id, cell, coarse_error (squared distance of the unit vector to its cell) and error (to its cell and codes)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(np.array(batch.column("vector").to_pylist(), np.float64))
+                cell, codes = m.encode(x)
+                rest = x - m.coarse[cell]
+                left = rest - np.concatenate([book[codes[:, i]] for i, book in enumerate(m.books)], 1)
+                yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(cell.astype(np.int32)), pa.array((rest**2).sum(1)), pa.array((left**2).sum(1))], names=["id", "cell", "coarse_error", "error"])
+
+    return vectors.where(F.size("vector") == model.coarse.shape[1]).select("id", "vector").mapInArrow(work, "id long, cell int, coarse_error double, error double")
+
+
 def write_index(vectors: DataFrame, model: Codebooks, folder: str) -> None:
     """The index as a table, a folder per cell."""
     encode(vectors, model).write.mode("overwrite").partitionBy("cell").parquet(folder)

@@ -389,6 +389,33 @@ def v25(spark, sf_dir):
     return V.recall(found, V.neighbours(q, e, 10), 10)
 
 
+@query("v12_kmeans_round", """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+  s AS (SELECT row_number() OVER (ORDER BY id) - 1 AS center, v AS c FROM e ORDER BY id LIMIT 12),
+  near AS (SELECT e.id, e.v, arg_min(s.center, (list_dot_product(s.c, s.c) - 2 * list_dot_product(e.v, s.c), s.center)) AS center FROM e JOIN s ON true GROUP BY e.id, e.v),
+  each AS (SELECT center, unnest(range(len(v))) AS place, unnest(v) AS x FROM near)
+  SELECT CAST(center AS INTEGER) AS center, CAST(place AS INTEGER) AS place, count(*) AS n, round(avg(x), 6) AS x FROM each GROUP BY center, place""")
+def v12(spark, sf_dir):
+    """A Lloyd round over all vectors from given seeds, the twelve of the smallest ids; centres without rows are left out."""
+    import numpy as np
+
+    from recallbase.operators import clustering
+
+    e = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector"))
+    first = np.array([r.vector for r in e.orderBy("id").limit(12).collect()], np.float64)
+    (centers,), (n,) = clustering.lloyd_round(e, [first])
+    rows = [(i, k, int(n[i]), float(centers[i, k])) for i in range(len(centers)) if n[i] for k in range(centers.shape[1])]
+    return spark.createDataFrame(rows, "center int, place int, n long, x double").withColumn("x", F.round("x", 6))
+
+
+@query("v13_codebooks")
+def v13(spark, sf_dir):
+    """v12 to v14: codebooks of all vectors, and what each vector's cell and codes leave of it. A test holds the error against the plain loop's."""
+    from recallbase.operators import quantized as Q
+
+    e = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector"))
+    return Q.errors(e, Q.train(e, cells=16, parts=8, codes=32)).select("id", "cell", "coarse_error", "error")
+
+
 @query("x01_hybrid_search")
 def x01(spark, sf_dir):
     """x01 to x09, x11, x12: benchmark items as queries against all documents; a test compares with plain code."""

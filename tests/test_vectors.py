@@ -4,19 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
+from recallbase.operators import clustering
 from recallbase.operators import quantized as Q
 from recallbase.operators import vectors as V
 
 VEC = "id long, vector array<float>"
 
 
-def plain_kmeans(x, k, rounds):
-    x = x.astype(np.float64)
-    centers = [x[0]]
-    while len(centers) < min(k, len(x)):
-        d = np.min([((x - c) ** 2).sum(1) for c in centers], axis=0)
-        centers.append(x[int(d.argmax())])
-    centers = np.array(centers)
+def plain_kmeans(x, centers, rounds):
+    x, centers = x.astype(np.float64), centers.astype(np.float64).copy()
     for _ in range(rounds):
         own = np.array([int(((v - centers) ** 2).sum(1).argmin()) for v in x])
         for j in range(len(centers)):
@@ -25,14 +21,47 @@ def plain_kmeans(x, k, rounds):
     return centers
 
 
-def test_kmeans():
+def farthest(x, k):
+    """Seeds one by one, each the row farthest from those before."""
+    centers = [x[0]]
+    while len(centers) < k:
+        d = np.min([((x - c) ** 2).sum(1) for c in centers], axis=0)
+        centers.append(x[int(d.argmax())])
+    return np.array(centers)
+
+
+def error(x, centers):
+    return clustering.distances(x, centers).min(1).sum()
+
+
+def test_rounds_over_all_rows_are_the_plain_loop(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(200, 5)).astype(np.float32)
-    assert np.allclose(Q.kmeans(x, 7, 6), plain_kmeans(x, 7, 6), atol=1e-5)
-    assert len(Q.kmeans(x[:3], 7, 6)) == 3
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    start = x[:7].copy()
+    start[6] = 100.0  # gets no row and stays
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
+    (got,) = clustering.lloyd(df.repartition(5), [start], 4)
+    assert np.allclose(got, plain_kmeans(x, start, 4), atol=1e-8) and (got[6] == 100).all()
+    (other,) = clustering.lloyd(df.repartition(3, "id"), [start], 4)
+    assert np.array_equal(got, other)  # however rows lie
+    pair = clustering.lloyd(df, [start[:6, :2], start[:5, 2:]], 3, lambda t: [t[:, :2], t[:, 2:]])
+    assert np.allclose(pair[0], plain_kmeans(x[:, :2], start[:6, :2], 3), atol=1e-8) and np.allclose(pair[1], plain_kmeans(x[:, 2:], start[:5, 2:], 3), atol=1e-8)
     assert Q.bounds(10, 4) == [(0, 3), (3, 6), (6, 8), (8, 10)]
 
 
+def test_seeds_find_the_clusters(spark):
+    rng = np.random.default_rng(3)
+    centers = 4 * rng.normal(size=(9, 5))
+    x = centers[rng.choice(9, 900, p=[0.6] + [0.05] * 8)] + 0.1 * rng.normal(size=(900, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    (start,) = clustering.seeds(df.repartition(4), 9)
+    assert len(start) == 9 and sorted(clustering.nearest(start, centers)) == list(range(9))
+    assert np.array_equal(start, clustering.seeds(df.repartition(7), 9)[0])
+    assert len(clustering.seeds(df.limit(3), 9)[0]) == 3 and len(clustering.seeds(df.where("id < 1").union(df.where("id < 1")), 4)[0]) == 1
+    (got,) = clustering.lloyd(df, [start], 8)
+    assert error(x, got) <= 1.05 * error(x, plain_kmeans(x, farthest(x, 9), 8))
+
+
 def test_quantised_candidates_hold_the_neighbours(spark, tmp_path):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(20, 16))

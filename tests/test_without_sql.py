@@ -12,7 +12,7 @@ from recallbase.plans import load, views
 from recallbase.sources import documents
 
 REGISTRY = load()
-CHECKED = {"v23_vector_fingerprint", "c07_char_chunks", "s15_document_texts", "t01_queue_transitions", "w14_consolidation", "x01_hybrid_search", "v25_quantised_search", "v26_synthetic_vectors"}
+CHECKED = {"v23_vector_fingerprint", "c07_char_chunks", "s15_document_texts", "t01_queue_transitions", "w14_consolidation", "x01_hybrid_search", "v13_codebooks", "v25_quantised_search", "v26_synthetic_vectors"}
 
 
 def test_all_are_here():
@@ -100,6 +100,17 @@ def test_quantised_recall(spark, sf_dir):
     assert r.recall >= 0.9
 
 
+def test_codebooks_leave_no_more_than_a_plain_loop(spark, sf_dir):
+    """The error of all vectors against k-means one row after the other from farthest seeds."""
+    from tests.test_vectors import error, farthest, plain_kmeans
+
+    got = rows("v13_codebooks", spark, sf_dir)
+    x = np.array([r.embedding for r in read(spark, sf_dir, "embeddings", "embedding")], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coarse = error(x, plain_kmeans(x, farthest(x, 16), 8))
+    assert len(got) == len(x) and sum(r.coarse_error for r in got) <= 1.1 * coarse and sum(r.error for r in got) < 0.7 * sum(r.coarse_error for r in got)
+
+
 def test_hybrid_ranks(spark, sf_dir):
     """Each query's ranks are gapless and its scores the weighted means of the parts that are there."""
     from recallbase.operators.retrieval import Weights
