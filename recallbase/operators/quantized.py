@@ -113,7 +113,13 @@ def write_index(vectors: DataFrame, model: Codebooks, folder: str) -> None:
 
 
 def search(spark: SparkSession, folder: str, model: Codebooks, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """query_id, id, estimate, rank: the k best by estimated inner product with unit queries, from the cells nearest to each query. Ties: least id."""
+    """query_id, id, estimate, rank: the k best by estimated inner product with unit queries, from the cells of a written index nearest to each query. Ties: least id."""
+    return search_rows(spark.read.parquet(folder).select("id", "cell", "codes"), model, queries, k, probes)
+
+
+def search_rows(rows: DataFrame, model: Codebooks, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """As `search`, in rows (id, cell, codes)."""
+    spark = rows.sparkSession
     found, keep = [], max(2 * k, 32)
     for ids, raw in _blocks(queries, QUERY_BLOCK):
         q = unit(raw)
@@ -139,7 +145,9 @@ def search(spark: SparkSession, folder: str, model: Codebooks, queries: DataFram
                         top = np.lexsort((own[rows], -s))[:keep]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), names[i])), pa.array(own[rows][top]), pa.array(s[top])], names=["query_id", "id", "estimate"])
 
-        index = spark.read.parquet(folder).where(F.col("cell").isin(cells)).select("id", "cell", "codes")
+        index = rows.where(F.col("cell").isin(cells)).select("id", "cell", "codes")
         found.append(index.mapInArrow(scan, "query_id long, id long, estimate double"))
+    if not found:
+        return spark.createDataFrame([], "query_id long, id long, estimate double, rank int")
     best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "id")
     return reduce(DataFrame.union, found).where("id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -416,6 +416,66 @@ def v13(spark, sf_dir):
     return Q.errors(e, Q.train(e, cells=16, parts=8, codes=32)).select("id", "cell", "coarse_error", "error")
 
 
+def _changes(e):
+    """Two batches of changes: the first replaces, deletes and puts in, the second deletes and brings some back, one id twice."""
+    turned = F.transform("vector", lambda x: -x)
+    one = e.where("id % 7 = 0").select(F.lit(1).alias("seq"), "id", turned.alias("vector")).unionByName(e.where("id % 11 = 3").select(F.lit(2).alias("seq"), "id", F.lit(None).cast("array<float>").alias("vector")))
+    one = one.unionByName(e.where("id % 13 = 5").select(F.lit(3).alias("seq"), (c("id") + 1_000_000).alias("id"), F.reverse("vector").alias("vector")))
+    two = e.where("id % 5 = 4").select(F.lit(4).alias("seq"), "id", F.lit(None).cast("array<float>").alias("vector")).unionByName(e.where("id % 77 = 14").select(F.lit(5).alias("seq"), "id", F.slice("vector", 1, 8).alias("vector")))
+    return one, two.unionByName(e.where("id % 35 = 14").select(F.lit(6).alias("seq"), "id", "vector"))
+
+
+def changed_index(spark, sf_dir):
+    """(vectors, index, codebooks): the index of all embeddings after both batches of changes, the first applied twice."""
+    from recallbase.operators import quantized as Q
+    from recallbase.operators import segments
+    from recallbase.operators.shared import new_folder
+
+    e = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector"))
+    model = Q.train(e, cells=32, parts=8, codes=32, rounds=3)
+    one, two = _changes(e)
+    index = segments.create(e, model, new_folder(spark, "index"))
+    for changes, name in ((one, "one"), (one, "one"), (two, "two")):
+        index = segments.apply(index, changes, model, name)
+    return e, index, model
+
+
+_LIVE = """WITH e AS (SELECT vec_id AS id, len(embedding) AS dim FROM embeddings),
+  c AS (SELECT 1 AS segment, 1 AS seq, id, dim FROM e WHERE id % 7 = 0 UNION ALL SELECT 1, 2, id, NULL FROM e WHERE id % 11 = 3 UNION ALL SELECT 1, 3, id + 1000000, dim FROM e WHERE id % 13 = 5
+        UNION ALL SELECT 2, 4, id, NULL FROM e WHERE id % 5 = 4 UNION ALL SELECT 2, 5, id, 8 FROM e WHERE id % 77 = 14 UNION ALL SELECT 2, 6, id, dim FROM e WHERE id % 35 = 14 UNION ALL SELECT 0, 0, id, dim FROM e),
+  last AS (SELECT id, segment, dim FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
+
+
+@query("r25_index_delta", _LIVE + " SELECT id, CAST(segment AS INTEGER) AS segment, CAST(dim AS INTEGER) AS dim FROM last WHERE dim IS NOT NULL")
+def r25(spark, sf_dir):
+    """r24, r25: what counts in a stored index after inserts, replacements and deletions, and the segment it stands in."""
+    from recallbase.operators import segments
+
+    _, index, _ = changed_index(spark, sf_dir)
+    return segments.live(spark, index).select("id", "segment", "dim")
+
+
+@query("r26_index_counts", _LIVE + """, i AS (SELECT dim, count(*) AS indexed FROM last WHERE dim IS NOT NULL GROUP BY dim), x AS (SELECT dim, count(DISTINCT id) AS expected FROM e GROUP BY dim)
+  SELECT CAST(coalesce(i.dim, x.dim) AS INTEGER) AS dim, coalesce(indexed, 0) AS indexed, coalesce(expected, 0) AS expected, coalesce(indexed, 0) = coalesce(expected, 0) AS consistent FROM i FULL JOIN x ON i.dim = x.dim""")
+def r26(spark, sf_dir):
+    """The compacted index held against the table it was made of, by dimension."""
+    from recallbase.operators import segments
+    from recallbase.operators.shared import new_folder
+
+    e, index, _ = changed_index(spark, sf_dir)
+    return segments.consistency(spark, segments.compact(spark, index, new_folder(spark, "compact")), e)
+
+
+@query("v09_changed_index_search")
+def v09(spark, sf_dir):
+    """v09, v10: search over a base, deltas and tombstones. A test holds it against a fresh build and against exact neighbours."""
+    from recallbase.operators import segments
+
+    e, index, model = changed_index(spark, sf_dir)
+    q = e.where("id % 50 = 0").select(c("id").alias("query_id"), "vector")
+    return segments.search(spark, index, model, q, 10, 24)
+
+
 @query("x01_hybrid_search")
 def x01(spark, sf_dir):
     """x01 to x09, x11, x12: benchmark items as queries against all documents; a test compares with plain code."""

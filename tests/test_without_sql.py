@@ -12,7 +12,7 @@ from recallbase.plans import load, views
 from recallbase.sources import documents
 
 REGISTRY = load()
-CHECKED = {"v23_vector_fingerprint", "c07_char_chunks", "s15_document_texts", "t01_queue_transitions", "w14_consolidation", "x01_hybrid_search", "v13_codebooks", "v25_quantised_search", "v26_synthetic_vectors"}
+CHECKED = {"v23_vector_fingerprint", "c07_char_chunks", "s15_document_texts", "t01_queue_transitions", "w14_consolidation", "x01_hybrid_search", "v09_changed_index_search", "v13_codebooks", "v25_quantised_search", "v26_synthetic_vectors"}
 
 
 def test_all_are_here():
@@ -111,6 +111,31 @@ def test_codebooks_leave_no_more_than_a_plain_loop(spark, sf_dir):
     assert len(got) == len(x) and sum(r.coarse_error for r in got) <= 1.1 * coarse and sum(r.error for r in got) < 0.7 * sum(r.coarse_error for r in got)
 
 
+def test_a_changed_index_answers_as_a_fresh_one(spark, sf_dir, tmp_path):
+    from recallbase.operators import segments
+    from recallbase.plans.state_queries import changed_index
+
+    got = {(r.query_id, r.id): (r["rank"], round(r.similarity, 9)) for r in rows("v09_changed_index_search", spark, sf_dir)}
+    e, index, model = changed_index(spark, sf_dir)
+    q = e.where("id % 50 = 0").selectExpr("id AS query_id", "vector")
+    now = segments.live(spark, index).cache()
+    ask = lambda i: {(r.query_id, r.id): (r["rank"], round(r.similarity, 9)) for r in segments.search(spark, i, model, q, 10, 24).collect()}
+    assert got == ask(segments.create(now.select("id", "vector"), model, f"{tmp_path}/fresh")) == ask(segments.compact(spark, index, f"{tmp_path}/compact"))
+    at = {r.id: np.array(r.vector) for r in now.collect()}
+    ids = np.array([i for i, v in at.items() if len(v) == 64])
+    x = np.stack([at[i] / np.linalg.norm(at[i]) for i in ids])
+    hits = total = 0
+    for r in q.collect():
+        v = np.array(r.vector, np.float64)
+        s = x @ v / np.linalg.norm(v)
+        edge = np.sort(s[ids != r.query_id])[-10]
+        hits += sum(sim >= edge - 1e-8 for (query, _), (_, sim) in got.items() if query == r.query_id)
+        total += 10
+    assert hits >= 0.9 * total
+    assert segments.apply(index, e.selectExpr("1 AS seq", "id", "vector"), model, "two") is index  # a batch counts once
+    assert not segments.needs_compaction(spark, index, 0.9) and segments.needs_compaction(spark, index, 0.1)
+
+
 def test_hybrid_ranks(spark, sf_dir):
     """Each query's ranks are gapless and its scores the weighted means of the parts that are there."""
     from recallbase.operators.retrieval import Weights
