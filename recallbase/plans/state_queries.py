@@ -183,11 +183,41 @@ def m14(spark, sf_dir):
 @query("m15_learn", sql("""n AS (SELECT doc_id AS id, text, source, n_chars FROM documents WHERE length(trim(text)) BETWEEN 1 AND 2000 AND source <> 'src6'), d AS (SELECT *, row_number() OVER (PARTITION BY sha256(lower(trim(text))) ORDER BY id) AS k FROM n)
   SELECT id, least(greatest((0.2e0 + CAST(n_chars % 80 AS DOUBLE) / 100e0) * CASE WHEN source = 'src1' THEN 0.9e0 ELSE 0.7e0 END, 0e0), 1e0) AS confidence FROM d WHERE k = 1""", "memory"))
 def m15(spark, sf_dir):
-    """m15, m16, m17: policy gates, confidence by trust, one of each text; repeats corroborate the first."""
+    """m15, m16: policy gates, confidence by trust, one of each text; repeats corroborate the first."""
     d = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text", "source", (F.lit(0.2) + (c("n_chars") % 80).cast("double") / 100).alias("base"))
     return S.learn(d, most_chars=2000, refused=["src6"], trust={"src1": 0.9}, other_trust=0.7).select("id", "confidence")
 
 
+@query("m17_source_ingest", """WITH RECURSIVE
+  e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, 'src' || CAST(label AS VARCHAR) AS source FROM embeddings),
+  store AS (SELECT * FROM e WHERE id % 4 = 0),
+  chunk AS (SELECT id AS pos, id, v, source, id % 17 <> 3 AS allowed FROM e WHERE id % 4 = 1 UNION ALL
+    SELECT 1000000 + id * 10 + step, 1000000 + id * 10 + step, list_transform(v, lambda x, i: x + CASE WHEN i = 1 + id % 60 + step THEN 0.1e0 * step ELSE 0e0 END), 'src' || CAST((id + step) % 3 AS VARCHAR), true FROM e, (SELECT unnest([1, 2, 3]) AS step) WHERE id % 4 < 3),
+  c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM chunk WHERE allowed),
+  stored AS MATERIALIZED (SELECT c.pos, s.id AS match, round(list_cosine_similarity(c.v, s.v), 9) AS similarity FROM c JOIN store s ON round(list_cosine_similarity(c.v, s.v), 9) >= 0.93),
+  pair AS MATERIALIZED (SELECT b.pos, a.id AS match, a.pos AS place, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM c a JOIN c b ON a.pos < b.pos AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.93),
+  told AS MATERIALIZED (SELECT c.k, c.pos, c.pos IN (SELECT pos FROM stored) AS there, coalesce(n.near, []) AS near FROM c LEFT JOIN (SELECT pos, list(place) AS near FROM pair GROUP BY pos) n USING (pos)),
+  r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS pos, false AS fresh, CAST([] AS BIGINT[]) AS news
+    UNION ALL SELECT t.k, t.pos, NOT t.there AND NOT list_has_any(r.news, t.near), CASE WHEN NOT t.there AND NOT list_has_any(r.news, t.near) THEN list_append(r.news, t.pos) ELSE r.news END FROM r JOIN told t ON t.k = r.k + 1),
+  fresh AS MATERIALIZED (SELECT pos FROM r WHERE fresh),
+  best AS (SELECT pos, match, similarity FROM (SELECT * FROM stored UNION ALL SELECT pos, match, similarity FROM pair WHERE place IN (SELECT pos FROM fresh)) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY similarity DESC, match) = 1),
+  duplicate AS MATERIALIZED (SELECT c.pos, c.id, c.source, b.match, b.similarity, coalesce(s.source, f.source) AS own FROM c JOIN best b USING (pos) LEFT JOIN store s ON s.id = b.match LEFT JOIN c f ON f.id = b.match WHERE c.pos NOT IN (SELECT pos FROM fresh)),
+  firsts AS (SELECT min(pos) AS pos FROM duplicate WHERE source <> own GROUP BY match, source)
+  SELECT c.pos, c.id, CASE WHEN d.pos IS NULL THEN 'new' ELSE 'duplicate' END AS outcome, d.match, d.similarity, c.pos IN (SELECT pos FROM firsts) AS corroborated FROM c LEFT JOIN duplicate d USING (pos)
+  UNION ALL SELECT pos, id, 'skipped', NULL, NULL, false FROM chunk WHERE NOT allowed""")
+def m17(spark, sf_dir):
+    """Chunks of sources against a store and one another, in order: embeddings, and three variants of most of them."""
+    from recallbase.operators.ingest import ingest
+
+    e = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), c("embedding").cast("array<double>").alias("v"), F.concat(F.lit("src"), c("label").cast("string")).alias("source"))
+    own = e.where("id % 4 = 1").select(c("id").alias("pos"), "id", c("v").alias("vector"), "source", (c("id") % 17 != 3).alias("allowed"))
+    step = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("step")
+    varied = e.where("id % 4 < 3").select("id", "v", step).withColumn("pos", 1_000_000 + c("id") * 10 + c("step"))
+    moved = F.transform("v", lambda x, i: x + F.when(i == c("id") % 60 + c("step"), 0.1 * c("step")).otherwise(0.0))
+    more = varied.select("pos", moved.alias("vector"), F.concat(F.lit("src"), ((c("id") + c("step")) % 3).cast("string")).alias("source"), F.lit(True).alias("allowed")).withColumn("id", c("pos"))
+    return ingest(own.unionByName(more), e.where("id % 4 = 0").select("id", c("v").alias("vector"), "source"))
+
+
 @query("m18_goal_upsert", """WITH g AS (SELECT conv_id AS id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS f FROM conversations WHERE turn = 0), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) AS n FROM g)
   SELECT id, 'active' AS status, CAST(50 AS INTEGER) AS priority FROM k WHERE n = 1""")
 def m18(spark, sf_dir):
