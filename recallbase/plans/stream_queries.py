@@ -133,7 +133,7 @@ _TIMED = """WITH RECURSIVE
 
 @query("t05_timed_queue", _TIMED)
 def t05(spark, sf_dir):
-    """Also t06, r20: leases that run out and retries that fall due by timers, results of leases that ran out refused."""
+    """Also r20: leases that run out and retries that fall due by timers, results of leases that ran out refused."""
     rows = commands(streams.table_stream(spark, f"{sf_dir}/events.parquet")).withColumnRenamed("at", "seconds")
     rows = streams.event_time(rows.withColumn("ts", F.timestamp_seconds("seconds")), "ts", _LATE)
     with streams.rocksdb(spark):
@@ -179,3 +179,41 @@ def t09(spark, sf_dir):
     )
     with streams.rocksdb(spark):
         return streams.drain(heap.answers(rows, limit=8), "heap")
+
+
+@query("s20_incremental_feed", """WITH r AS (SELECT page_id AS seq, page_id AS id, CAST(url AS VARCHAR) AS body FROM pages UNION ALL SELECT 1000000000 + page_id, page_id, url || '?v=2' FROM pages WHERE page_id % 5 = 0
+  UNION ALL SELECT 2000000000 + page_id, page_id, NULL FROM pages WHERE page_id % 9 = 4 UNION ALL SELECT 3000000000 + page_id, 500000000 + page_id, url FROM pages WHERE page_id % 7 = 1)
+  SELECT id, seq, md5(body) AS body FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) WHERE body IS NOT NULL""")
+def s20(spark, sf_dir):
+    """A knowledge base synchronised twice by offset, with records changed, deleted and added between."""
+    from recallbase.sources import feed
+
+    p, folder = table(spark, sf_dir, "pages"), new_folder(spark, "feed")
+    of = lambda rows, first, ids, body: rows.select((F.lit(first) + F.col("page_id")).alias("seq"), (F.lit(ids) + F.col("page_id")).alias("id"), body.alias("body"))
+    feed.publish(of(p, 0, 0, F.col("url")), f"{folder}/pages")
+    streams.merge_latest(feed.read_stream(spark, f"{folder}/pages"), f"{folder}/sync", "id", "seq")
+    feed.publish(of(p.where("page_id % 5 = 0"), 1_000_000_000, 0, F.concat("url", F.lit("?v=2"))), f"{folder}/pages")
+    feed.publish(of(p.where("page_id % 9 = 4"), 2_000_000_000, 0, F.lit(None).cast("string")), f"{folder}/pages")
+    feed.publish(of(p.where("page_id % 7 = 1"), 3_000_000_000, 500_000_000, F.col("url")), f"{folder}/pages")
+    state = streams.merge_latest(feed.read_stream(spark, f"{folder}/pages"), f"{folder}/sync", "id", "seq")
+    return state.where("body is not null").select("id", "seq", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query("t06_fenced_results", sql("""j AS (SELECT id, CASE WHEN status IN ('queued', 'claimed') THEN 'claimed' ELSE status END AS status, id * 7 % 1009 AS token FROM job),
+  r AS (SELECT id AS seq, id, CASE WHEN id % 3 = 0 THEN id * 7 % 1009 ELSE id * 7 % 1009 + 1 END AS token, id % 10 <> 0 AS ok FROM job WHERE id % 4 <> 1 UNION ALL SELECT 1000000000 + id, id, id * 7 % 1009, true FROM job WHERE id % 5 < 3),
+  m AS (SELECT r.*, j.status = 'claimed' AND r.token = j.token AS fits FROM r JOIN j USING (id)),
+  e AS (SELECT id, min(seq) FILTER (fits) AS accepted_seq, arg_min(ok, seq) FILTER (fits) AS ok, count(*) AS n FROM m GROUP BY id)
+  SELECT j.id, CASE WHEN accepted_seq IS NULL THEN status WHEN ok THEN 'done' ELSE 'failed' END AS status, CASE WHEN accepted_seq IS NOT NULL THEN 'r' || CAST(accepted_seq AS VARCHAR) END AS result, accepted_seq,
+         coalesce(n, 0) - CASE WHEN accepted_seq IS NULL THEN 0 ELSE 1 END AS refused FROM j LEFT JOIN e USING (id)""", "job"))
+def t06(spark, sf_dir):
+    """Results with right, stale and repeated tokens, in four batches; a second one for a job may come batches after the first."""
+    from recallbase.streaming import fenced
+
+    j = views.job(spark, sf_dir).select("id", F.when(F.col("status").isin("queued", "claimed"), "claimed").otherwise(F.col("status")).alias("status"), (F.col("id") * 7 % 1009).alias("token"))
+    first = j.where("id % 4 <> 1").select(F.col("id").alias("seq"), "id", F.when(F.col("id") % 3 == 0, F.col("token")).otherwise(F.col("token") + 1).alias("token"), (F.col("id") % 10 != 0).alias("ok"))
+    again = j.where("id % 5 < 3").select((F.lit(1_000_000_000) + F.col("id")).alias("seq"), "id", "token", F.lit(True).alias("ok"))
+    folder = new_folder(spark, "fenced")
+    for part in (first, again):  # two files each, the later ones after the others
+        part.withColumn("result", F.concat(F.lit("r"), F.col("seq").cast("string"))).repartition(2).write.mode("append").parquet(f"{folder}/results")
+    jobs = j.withColumn("result", F.lit(None).cast("string")).withColumn("accepted_seq", F.lit(None).cast("long")).withColumn("refused", F.lit(0).cast("long"))
+    return fenced.apply_results(streams.table_stream(spark, f"{folder}/results", files_per_batch=1), jobs, folder).select("id", "status", "result", "accepted_seq", "refused")

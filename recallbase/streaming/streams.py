@@ -82,10 +82,16 @@ def append_batches(stream: DataFrame, folder: str) -> None:
     each_batch(stream, f"{folder}/offsets", work)
 
 
+def last_version(spark: SparkSession, folder: str) -> int | None:
+    """The number of the last version of a state that was written whole, None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state-*/_SUCCESS")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max((int(f.getPath().getParent().getName().removeprefix("state-")) for f in there), default=None)
+
+
 def merge_latest(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
     """State of the latest row per key over all batches: a version of the state per batch, read from the one before and written beside it."""
     spark, schema = stream.sparkSession, stream.schema
-    done: list[int] = []
 
     def work(batch: DataFrame, number: int) -> None:
         rows = batch
@@ -93,7 +99,7 @@ def merge_latest(stream: DataFrame, folder: str, key: str, order: str) -> DataFr
             rows = spark.read.schema(schema).parquet(f"{folder}/state-{number - 1}").unionByName(batch)
         newest = rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*schema.names), F.col(order)).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{folder}/state-{number}")
-        done.append(number)
 
     each_batch(stream, f"{folder}/offsets", work)
-    return spark.read.schema(schema).parquet(f"{folder}/state-{done[-1]}") if done else spark.createDataFrame([], schema)
+    last = last_version(spark, folder)
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{folder}/state-{last}")
