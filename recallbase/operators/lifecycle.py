@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
 from recallbase.operators.graph import components
-from recallbase.operators.shared import cut, first_rows
+from recallbase.operators.shared import cut, first_rows, small
 
 
 def with_defaults(new: DataFrame) -> DataFrame:
@@ -45,8 +46,24 @@ def conflict_outcome(new_version: Column, old_version: Column, new_text: Column,
 
 #: Nodes of a component that is finished in the plain order, and links for each node of it; rounds before components are looked for again.
 MATES, MATE_LINKS, ROUNDS = 2_000, 20, 3
-#: Scores are compared in billionths, a gap of this many or more decides.
-GAP = 150_000_000
+#: Scores are compared in billionths, a gap of this many or more decides. Scores that a window takes together.
+GAP, RANGE = 150_000_000, 1_000_000
+
+
+def at_least(points: DataFrame, keys: list[str], asked: DataFrame, first: Column, fold: Callable[[str], Column]) -> DataFrame:
+    """*keys, at, found: for every (keys, at) that is asked for, the fold over the points (keys, score) of the same keys with a score of at least `at`.
+
+    `first` folds points, `fold` folds what came of that; both must be free in their order. Points are folded by score before
+    anything else, then within ranges of RANGE scores, then over ranges. So a window holds a range's scores or a key's
+    ranges, never a key's points.
+    """
+    once = points.groupBy(*keys, F.col("score").alias("at")).agg(first.alias("v"))
+    both = cut(once.withColumn("_ask", F.lit(0)).unionByName(asked.select(*keys, "at").distinct().withColumn("_ask", F.lit(1)), allowMissingColumns=True).withColumn("_range", F.floor(F.col("at") / RANGE)))
+    above = both.groupBy(*keys, "_range").agg(fold("v").alias("v")).withColumn("_above", fold("v").over(Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))).drop("v")
+    inside = both.withColumn("_in", fold("v").over(Window.partitionBy(*keys, "_range").orderBy(F.desc("at"), "_ask").rowsBetween(Window.unboundedPreceding, 0))).where("_ask = 1")
+    met = inside.join(above, [*keys, "_range"])
+    ends = met.select(*keys, "at", F.explode(F.array("_in", "_above")).alias("v"))
+    return cut(ends.groupBy(*keys, "at").agg(fold("v").alias("found")))
 
 
 def resolve_conflicts(memories: DataFrame) -> DataFrame:
@@ -54,23 +71,32 @@ def resolve_conflicts(memories: DataFrame) -> DataFrame:
 
     A row that meets a newer version is superseded, whatever came before, so only a key's newest version needs a look. There
     the last later row of the same text, or of a score that isn't 0.15 lower, decides a row's status; that row comes from
-    running maxima over the key's scores. A row without such a later one is decided by the rows before it; each of these
+    maxima over texts and over ranges of scores, so a key that holds most rows is spread over tasks. A row without such a later one is decided by the rows before it; each of these
     rows scores 0.15 less than the one before, so a key has a handful. Archived rows keep their status and are met by nobody.
     Rows without a key are left out.
     """
     score = X.knowledge_score(F.col("confidence"), F.col("reward"), F.col("salience"))
     rows = memories.select("id", F.lower(F.trim("truth_key")).alias("key"), "version", "created_at", "status", F.sha2(F.lower(F.trim("text")), 256).alias("text_hash"), F.round(score * 1e9).cast("long").alias("score")).where("key <> ''")
-    live = rows.where("status <> 'archived'").withColumn("newest", F.max("version").over(Window.partitionBy("key")))
-    own = Window.partitionBy("key").orderBy("score")
-    me = F.struct("n", "text_hash", "score")
-    top = live.where("version = newest").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("created_at", "id")))
-    top = top.withColumn("last", F.greatest(F.max(me).over(own.rangeBetween(1 - GAP, Window.unboundedFollowing)), F.max(me).over(Window.partitionBy("key", "text_hash"))))
-    alike = F.count("*").over(Window.partitionBy("key", "text_hash").orderBy("score").rangeBetween(1 - GAP, GAP - 1))
-    top = top.withColumn("contested", F.count("*").over(own.rangeBetween(1 - GAP, GAP - 1)) > alike)
+    live = cut(rows.where("status <> 'archived'"))
+    live = live.join(live.groupBy("key").agg(F.max("version").alias("newest")), "key")
+    top = cut(live.where("version = newest").withColumn("n", F.struct("created_at", "id")).select("id", "key", "n", "text_hash", "score", "status"))
+    points = top.select("key", "text_hash", "score", F.struct("n", "text_hash", "score").alias("me"))
+    by_score = at_least(points, ["key"], points.select("key", (F.col("score") + 1 - GAP).alias("at")), F.max("me"), F.max)
+    by_text = points.groupBy("key", "text_hash").agg(F.max("me").alias("last_text"))
+    near = {}
+    for name, keys in (("near", ["key"]), ("alike", ["key", "text_hash"])):
+        ends = points.select(*keys, (F.col("score") + 1 - GAP).alias("at")).unionByName(points.select(*keys, (F.col("score") + GAP).alias("at")))
+        near[name] = (keys, at_least(points, keys, ends, F.count("*"), F.sum))
+    top = top.withColumn("at", F.col("score") + 1 - GAP).join(by_score.withColumnRenamed("found", "last_score"), ["key", "at"], "left").join(by_text, ["key", "text_hash"], "left")
+    for name, (keys, counts) in near.items():
+        for side, at in (("_from", F.col("score") + 1 - GAP), ("_upto", F.col("score") + GAP)):
+            top = top.withColumn("at", at).join(counts.withColumnRenamed("found", name + side), [*keys, "at"], "left")
+    within = lambda name: F.coalesce(name + "_from", F.lit(0)) - F.coalesce(name + "_upto", F.lit(0))
+    top = cut(top.select("id", "key", "n", "text_hash", "score", "status", F.greatest("last_score", "last_text").alias("last"), (within("near") > within("alike")).alias("contested")))
     by_later = F.when((F.col("last.text_hash") == F.col("text_hash")) | (F.col("last.score") - F.col("score") >= GAP), "superseded").otherwise("conflicted")
     survivors = top.where("last.n = n").select("id", "key", "n", "text_hash", "score")
     before = top.select("key", F.col("n").alias("n_j"), F.col("text_hash").alias("text_j"), F.col("score").alias("score_j"))
-    met = survivors.join(before, "key").where((F.col("n_j") < F.col("n")) & (F.col("text_j") != F.col("text_hash")) & (F.col("score") - F.col("score_j") < GAP))
+    met = before.join(small(survivors), "key").where((F.col("n_j") < F.col("n")) & (F.col("text_j") != F.col("text_hash")) & (F.col("score") - F.col("score_j") < GAP))
     by_before = met.groupBy("id").agg(F.max_by(F.when(F.col("score") - F.col("score_j") > -GAP, "conflicted").otherwise("superseded"), F.col("n_j")).alias("by_before"))
     decided = top.join(by_before, "id", "left").select(
         "id", F.when(F.col("last.n") > F.col("n"), by_later).otherwise(F.coalesce("by_before", "status")).alias("new_status"), F.when(F.col("contested"), F.concat(F.lit("conflict:"), "key")).alias("conflict_group"),

@@ -130,3 +130,27 @@ def test_first_rows_of_any_number(spark, monkeypatch):
             if spent <= budget:
                 want.add(i)
         assert {r.id for r in shared.first_rows(sized, budget, "v", "id", "w").collect()} == want
+
+
+def test_folds_over_scores_at_least_as_high(spark, monkeypatch):
+    """However scores fall into ranges; a key with most rows included."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "RANGE", 7)
+    rng = random.Random(8)
+    points = [(rng.choice("aaaab"), rng.randrange(-20, 60), i) for i in range(400)]
+    asked = [(k, at) for k in "abc" for at in range(-25, 70, 3)]
+    p, q = spark.createDataFrame(points, "k string, score long, i long"), spark.createDataFrame(asked, "k string, at long")
+    got = {(r.k, r.at): r.found for r in L.at_least(p, ["k"], q, F.count("*"), F.sum).collect()}
+    most = {(r.k, r.at): r.found for r in L.at_least(p, ["k"], q, F.max("i"), F.max).collect()}
+    for k, at in asked:
+        high = [i for key, s, i in points if key == k and s >= at]
+        assert (got.get((k, at)) or 0) == len(high) and most.get((k, at)) == max(high, default=None)
+
+
+def test_a_key_with_half_of_all_rows(spark):
+    """One key, one version: the same result as by the plain loop, and no window of a key's rows in the plan."""
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 2 else f"k{i}", 1, DAY + datetime.timedelta(minutes=rng.randrange(5000)), "active", rng.choice(["a", "b", f"t{i}"]), rng.random(), rng.uniform(-1, 1), rng.uniform(0.1, 2)) for i in range(700)]
+    got = L.resolve_conflicts(spark.createDataFrame(rows, MEMORY))
+    assert {r.id: r.new_status for r in got.collect()} == {i: s for i, (s, _) in replay(rows).items()}
