@@ -38,6 +38,19 @@ def _grams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), lambda i: F.substring(word, i, F.lit(3))))
 
 
+def contained_words(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, name) of all words (word) of three characters or more that lie within a name (name); both are distinct.
+
+    A word is looked for through the one of its runs of three characters that the fewest names have, so that common runs, which many
+    names share, are joined for such words alone that have no other.
+    """
+    held = cut(names.where(F.length("name") >= 3).select("name", F.explode(_grams(F.col("name"))).alias("g")))
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = words.select("word", F.explode(_grams(F.col("word"))).alias("g")).join(often, "g", "left")
+    rarest = rarest.groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("word", F.col("r.g").alias("g"))
+    return held.join(rarest, "g").where(F.col("name").contains(F.col("word"))).select("word", "name")
+
+
 def similar_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, token, similarity) of all pairs that are similar at all. terms (term) and vocabulary (token) are distinct words of three characters or more.
 

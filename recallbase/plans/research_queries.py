@@ -20,15 +20,36 @@ from recallbase.session import table
 c = F.col
 
 
-@query("s14_resource_kinds", """SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'document' ELSE 'page' END AS kind FROM pages""")
+_KIND = """CASE WHEN regexp_matches(lower(regexp_extract(uri, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '\\.({})$') OR kind IN ({}) THEN 'document' ELSE 'page' END""".format("|".join(x[1:] for x in R.DOCUMENT_SUFFIXES), ", ".join(f"'{x}'" for x in R.DOCUMENT_TYPES))
+
+
+@query("s14_resource_kinds", f"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '/([0-9]+)', '/\\1.PDF') WHEN page_id % 3 = 1 THEN regexp_replace(url, '\\?', '.csv?') ELSE url END AS uri, CASE WHEN page_id % 7 = 0 THEN 'text/markdown' ELSE 'text/html' END AS kind FROM pages)
+  SELECT page_id, {_KIND} AS kind FROM u""")
 def s14(spark, sf_dir):
-    k = c("page_id") % 4
-    host = F.lit("https://example.org/a")
-    uri = F.when(k == 0, F.concat(host, F.lit("/Guide.PDF?x=1"))).when(k == 2, F.concat(host, F.lit("/pdf"))).otherwise(host)
-    kind = F.when(k == 1, "text/CSV; charset=utf-8").otherwise("text/html")
+    """Addresses of pages, a third with an ending behind their number, a third with one before the query they may have; every seventh is said to be Markdown."""
+    k = c("page_id") % 3
+    uri = F.when(k == 0, F.regexp_replace("url", "^(.*?)/([0-9]+)", "$1/$2.PDF")).when(k == 1, F.regexp_replace("url", r"^([^?]*)\?", "$1.csv?")).otherwise(c("url"))
+    kind = F.when(c("page_id") % 7 == 0, "text/Markdown; charset=utf-8").otherwise("text/html")
     return table(spark, sf_dir, "pages").select("page_id", R.resource_kind(uri, kind).alias("kind"))
 
 
+@query("s13_meta_search", """WITH h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages), q AS (SELECT DISTINCT host FROM h WHERE page_id % 50 = 0),
+  r AS (SELECT host, url, page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS place FROM h WHERE host IN (SELECT host FROM q))
+  SELECT host AS query, CAST(place AS INTEGER) AS place, url, 'page ' || CAST(page_id AS VARCHAR) AS title, round(1e0 / CAST(place AS DOUBLE), 9) AS score FROM r WHERE place <= 10""")
+def s13(spark, sf_dir):
+    """Recorded answers of a meta-search for stated queries, the hosts of every fiftieth page: ten results each."""
+    from recallbase.operators.shared import new_folder
+    from recallbase.sources import websearch
+
+    h = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host"))
+    asked = [r.host for r in h.where("page_id % 50 = 0").select("host").distinct().orderBy("host").collect()]  # the stated queries
+    w = Window.partitionBy("host").orderBy("page_id")
+    found = h.withColumn("place", F.row_number().over(w)).where("place <= 12").select(c("host").alias("query"), "place", F.concat(F.lit("page "), c("page_id").cast("string")).alias("title"), "url", (1 / c("place")).alias("score"))
+    folder = new_folder(spark, "answers")
+    websearch.record(found, folder)
+    return websearch.search(spark, folder, asked, most=10).select("query", "place", "url", "title", F.round("score", 9).alias("score"))
+
+
 @query("s19_context_assembly", """WITH t AS (SELECT user_id AS ticket_id, 'change' AS kind, event_id AS id, value AS relevance FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, 'incident', event_id, value FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, 'issue', event_id, value FROM events WHERE event_type = 'click'),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticket_id, kind ORDER BY relevance DESC, id) AS INTEGER) AS rank FROM t) SELECT ticket_id, kind, id, rank FROM r WHERE rank <= 10""")
 def s19(spark, sf_dir):
@@ -133,10 +154,24 @@ def v06(spark, sf_dir):
     return V.neighbours(q, m.where("source = 'src3'"), 128, -1.0).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("c08_page_texts", r"""SELECT page_id, length(html) > 0 AS there FROM pages""")
+def _plain(html: str) -> str:
+    """SQL for the text of a page, as T.html_to_text has it."""
+    out = html
+    for pattern, by in ((r"(?is)<script\b[^>]*>.*?</script>", " "), (r"(?is)<style\b[^>]*>.*?</style>", " "), (r"(?s)<!--.*?-->", " "), (r"</p>|</h[1-3]>", "\n\n"), (r"</div>|</li>|<br ?/?>", "\n"), (r"<[^>]*>", " ")):
+        made = " || ".join("chr(10)" if ch == "\n" else f"'{ch}'" for ch in by)
+        out = f"regexp_replace({out}, '{pattern}', {made}, 'g')"
+    for entity, plain in T.ENTITIES.items():
+        made = plain.replace("'", "''")
+        out = f"replace({out}, '{entity}', '{made}')"
+    lines = f"array_to_string(list_transform(string_split(replace({out}, chr(13), ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10))"
+    return f"regexp_replace(regexp_replace({lines}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("c08_page_texts", f"SELECT page_id, length(t) AS length, md5(t) AS text FROM (SELECT page_id, {_plain('html')} AS t FROM pages)")
 def c08(spark, sf_dir):
-    """c08, c09, r50: pages as text; a test compares the texts with a parser."""
-    return table(spark, sf_dir, "pages").select("page_id", (F.length(T.html_to_text(F.col("html"))) > 0).alias("there"))
+    """c08, c09, r50: the whole texts of pages, as checksums; a test compares the texts with a parser, too."""
+    t = table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.length("t").cast("long").alias("length"), F.md5(F.col("t").cast("binary")).alias("text"))
 
 
 @query("a12_pending_by_kind", sql("SELECT type, count(*) FILTER (status NOT IN ('done', 'completed', 'failed', 'error', 'canceled')) AS pending, min(created_at) FILTER (status = 'queued') AS oldest FROM job GROUP BY type", "job"))

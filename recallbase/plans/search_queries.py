@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recallbase.functions import exprs as X
 from recallbase.functions import text as T
 from recallbase.operators import vectors as V
+from recallbase.operators.retrieval import contained_words
 from recallbase.operators.shared import in_blocks
 from recallbase.plans import views
 from recallbase.plans.registry import query
@@ -229,7 +230,7 @@ def x15(spark, sf_dir):
     words = views.ticket(spark, sf_dir).select("ticket_id", F.explode(F.filter(T.research_words(F.col("content")), lambda t: F.length(t) >= 3)).alias("word"))
     cats = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("category_id"))
     per = words.groupBy("ticket_id", "word").agg(F.count("*").alias("n"))
-    met = in_blocks(cats, "category_id", lambda block: per.join(block, F.col("name").contains(F.col("word"))))
-    score = met.groupBy("ticket_id", "category_id").agg(F.sum("n").alias("score"))
+    met = contained_words(per.select("word").distinct(), cats.select("name")).join(cats, "name")
+    score = per.join(met, "word").groupBy("ticket_id", "category_id").agg(F.sum("n").alias("score"))
     w = Window.partitionBy("ticket_id").orderBy(F.desc("score"), "category_id")
     return score.withColumn("rank", F.row_number().over(w)).where("rank <= 5")

@@ -51,10 +51,16 @@ def s03(spark, sf_dir):
     return rows.select("doc_id", F.array_join(F.transform("c.ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join("c.labels", ",").alias("labels"), F.array_join("c.unmapped", ",").alias("unmapped"))
 
 
-@query("s04_category_map", "SELECT * FROM (VALUES ('netzwerk', 4), ('netzwerk', 9), ('drucker', 12), ('netzwerk > wlan', 5)) t(label, id)")
+@query("s04_category_map", """SELECT DISTINCT p_partkey, lower(p_name) AS label, unnest(CASE p_partkey % 3 WHEN 0 THEN [p_partkey] ELSE [p_partkey, p_size] END) AS id FROM part WHERE p_partkey > 0""")
 def s04(spark, sf_dir):
-    m = spark.range(1).select(F.explode(_mapping()).alias("label", "ids"))
-    return m.select("label", F.explode("ids").alias("id"))
+    """A map for each part, flat or below `mappings`, ids as number, text or array."""
+    k = F.col("p_partkey")
+    both = F.concat_ws(",", k.cast("string"), F.col("p_size").cast("string"))
+    ids = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit("["), both, F.lit(", -1, 0]"))).otherwise(F.concat(F.lit('"'), both, F.lit('"')))
+    flat = F.concat(F.lit('{"  '), F.upper("p_name"), F.lit('": '), ids, F.lit("}"))
+    raw = F.when(k % 2 == 0, F.concat(F.lit('{"mappings": '), flat, F.lit("}"))).otherwise(flat)
+    m = table(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey", F.explode(articles.category_map(raw)).alias("label", "ids"))
+    return m.select("p_partkey", "label", F.explode("ids").alias("id"))
 
 
 @query("s05_article_records", "SELECT 'doc-' || doc_id AS id, md5(lower(concat_ws(' ', 'doc-' || doc_id, substring(text, 1, 60), text, source))) AS blob FROM documents")
