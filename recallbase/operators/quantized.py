@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from recallbase.operators import clustering
 from recallbase.operators.clustering import nearest as assign
 from recallbase.operators.shared import cut
-from recallbase.operators.vectors import QUERY_BLOCK, _blocks
+from recallbase.operators.vectors import STRETCH, by_dim, query_blocks, query_files
 
 
 def bounds(dim: int, parts: int) -> list[tuple[int, int]]:
@@ -118,36 +117,60 @@ def search(spark: SparkSession, folder: str, model: Codebooks, queries: DataFram
 
 
 def search_rows(rows: DataFrame, model: Codebooks, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """As `search`, in rows (id, cell, codes)."""
-    spark = rows.sparkSession
-    found, keep = [], max(2 * k, 32)
-    for ids, raw in _blocks(queries, QUERY_BLOCK):
-        q = unit(raw)
-        c = model.coarse.astype(np.float64)
-        far = (c**2).sum(1)[None, :] - 2 * q @ c.T
-        near = np.argsort(far, axis=1, kind="stable")[:, :probes]
-        shared = spark.sparkContext.broadcast((ids, q @ c.T, np.stack([model.tables(x) for x in q]), near))
-        cells = sorted({int(x) for x in near.ravel()})
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, base, tables, near = shared.value
-            asked: dict[int, np.ndarray] = {}
-            for batch in batches:
-                own = batch.column("id").to_numpy()
-                cell = batch.column("cell").to_numpy()
-                codes = np.array([np.frombuffer(x, np.uint8) for x in batch.column("codes").to_pylist()]).reshape(batch.num_rows, -1)
-                for part in np.unique(cell).tolist():
-                    rows = np.flatnonzero(cell == part)
-                    if part not in asked:
-                        asked[part] = np.flatnonzero((near == part).any(1))
-                    for i in asked[part].tolist():
-                        s = base[i, part] + tables[i][np.arange(codes.shape[1])[None, :], codes[rows]].sum(1)
-                        top = np.lexsort((own[rows], -s))[:keep]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), names[i])), pa.array(own[rows][top]), pa.array(s[top])], names=["query_id", "id", "estimate"])
-
-        index = rows.where(F.col("cell").isin(cells)).select("id", "cell", "codes")
-        found.append(index.mapInArrow(scan, "query_id long, id long, estimate double"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, id long, estimate double, rank int")
+    """As `search`, in rows (id, cell, codes). Queries are files that every task reads against a stretch of its rows; only cells that a query probes are opened."""
+    keep = max(2 * k, 32)
+    folder = query_files(queries)
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # cells and codes are fixed numbers
+
+    def near(q: np.ndarray) -> np.ndarray:
+        """The cells that each unit query probes."""
+        c = shared.value.coarse.astype(np.float64)
+        return np.argsort((c**2).sum(1)[None, :] - 2 * q @ c.T, axis=1, kind="stable")[:, :probes]
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query_id, unit vector) of the model's dimension, block by block."""
+        for block in query_blocks(folder):
+            for at, v, length in by_dim(block["vector"]):
+                if v.shape[1] == shared.value.coarse.shape[1]:
+                    yield block["query_id"].to_numpy()[at], v / length[:, None]
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, v, length in by_dim(batch.column("vector")):
+                if v.shape[1] == shared.value.coarse.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(near(v / length[:, None])).astype(np.int32))], names=["cell"])
+
+    def scan(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        m, own, cell = shared.value, part["id"].to_numpy(), part["cell"].to_numpy()
+        codes = np.array([np.frombuffer(x, np.uint8) for x in part["codes"].to_pylist()]).reshape(part.num_rows, -1)
+        places = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
+        for names, q in blocks():
+            base, probes_of = q @ m.coarse.astype(np.float64).T, near(q)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i in np.flatnonzero(np.isin(probes_of, list(places)).any(1)).tolist():
+                table = m.tables(q[i])
+                for c in probes_of[i].tolist():
+                    if c in places:
+                        at = places[c]
+                        s = base[i, c] + table[np.arange(codes.shape[1])[None, :], codes[at]].sum(1)
+                        top = np.lexsort((own[at], -s))[:keep]
+                        out.append((np.full(len(top), names[i]), own[at][top], s[top]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "id", "estimate"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= STRETCH:
+                yield from scan(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from scan(pa.Table.from_batches(held))
+
+    cells = [r.cell for r in rows.sparkSession.read.parquet(folder).mapInArrow(probed, "cell int").distinct().collect()]  # as many as the model has, at most
+    index = rows.where(F.col("cell").isin(cells)).select(F.col("id").cast("long").alias("id"), "cell", "codes")
     best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "id")
-    return reduce(DataFrame.union, found).where("id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = index.mapInArrow(work, "query_id long, id long, estimate double").where("id <> query_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -7,31 +7,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallbase.functions import exprs as X
-from recallbase.operators.shared import in_blocks
+from recallbase.operators.shared import cut, new_folder
 
-#: Most query vectors that are sent to all rows at once.
-QUERY_BLOCK = 4096
+#: Query vectors that meet rows at once, and rows that they meet.
+QUERY_BLOCK, STRETCH = 4096, 65_536
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated queries (query_id, vector), in blocks of bounded size, by id."""
-    held: list = []
-    for row in queries.select("query_id", "vector").where("vector is not null").orderBy("query_id").toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
-            held = []
-    if held:
-        yield np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
-
-
-def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k largest finite values to 9 digits, the first columns among equals."""
-    near = np.round(sim, 9)
+def _best(sim: np.ndarray, k: int, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest finite values to so many digits, the first columns among equals."""
+    near = np.round(sim, digits)
     if near.shape[1] > k:
         edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
         above = near > edge
@@ -42,74 +33,111 @@ def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep & np.isfinite(near))
 
 
-def neighbours(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, exclude_self: bool = True, within: str | None = None) -> DataFrame:
-    """query_id, id, similarity, rank: for each query (query_id, vector) its k nearest rows of base (id, vector) by cosine, at least `least`.
-
-    Queries are a stated set that meets all rows in blocks; a task keeps k candidates a query and block of rows, so a
-    shuffle carries those alone. Ties go to the smaller id. `within` names a column of both sides that must agree.
-    Null vectors and such of zero length or another dimension find nothing and aren't found.
-    """
-    extra = [within] if within else []
-    kinds = {r[0]: r[1] for r in queries.select("query_id", *extra).collect()} if within else {}  # as many as the stated queries
-    found = []
-    for ids, vectors in _blocks(queries, QUERY_BLOCK):
-        lengths = np.sqrt((vectors * vectors).sum(1))
-        classes = np.array([kinds[i] for i in ids.tolist()], object) if within else None
-        shared = base.sparkSession.sparkContext.broadcast((ids, vectors, lengths, classes))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q, q_len, q_class = shared.value
-            for batch in batches:
-                rows = batch.column("id").to_numpy(zero_copy_only=False)
-                lists = batch.column("vector").to_pylist()
-                fine = np.array([v is not None and len(v) == q.shape[1] for v in lists], bool)
-                rows, v = rows[fine], np.array([v for v, ok in zip(lists, fine, strict=True) if ok], np.float64).reshape(-1, q.shape[1])
-                v_len = np.sqrt((v * v).sum(1))
-                v_class = np.array(batch.column(within).to_pylist(), object)[fine] if within else None
-                order = np.argsort(rows, kind="stable")  # by id, so that the first of equals is the one to keep
-                order = order[v_len[order] > 0]
-                if not len(order):
+def query_files(queries: DataFrame, *extra: str, size: int | None = None) -> str:
+    """A new folder with the stated queries (query_id, vector, *extra) in files of about `size`. Null vectors and such of zero length are left out."""
+    folder = new_folder(queries.sparkSession, "queries")
+    rows = cut(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), *extra).where("query_id is not null and vector is not null"))
+    files = max(1, -(-rows.count() // (size or QUERY_BLOCK)))
+    rows.repartition(files, F.xxhash64("query_id")).sortWithinPartitions("query_id").write.parquet(folder)
+    return folder
+
+
+def query_blocks(folder: str) -> Iterator[pa.Table]:
+    """The blocks of query_files, one at a time."""
+    files, top = pafs.FileSystem.from_uri(folder)
+    for name in sorted(f.path for f in files.get_file_info(pafs.FileSelector(top)) if f.base_name.endswith(".parquet")):
+        with files.open_input_file(name) as stream:
+            block = pq.ParquetFile(stream).read()
+        if block.num_rows:
+            yield block
+
+
+def by_dim(lists: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, vectors, lengths) of the vectors of each dimension, without null ones and those of zero length."""
+    joined = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(joined), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == dim)
+        v = joined.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+        length = np.sqrt((v * v).sum(1))
+        fine = length > 0  # not of those with null components
+        yield at[fine], v[fine], length[fine]
+
+
+def scan_nearest(folder: str, base: DataFrame, k: int, least: float, exclude_self: bool, within: str | None, factors: tuple[str, ...], digits: int) -> DataFrame:
+    """query_id, id, similarity, *factors, score of the k best rows in every stretch of STRETCH rows of base, where they lie, for each query of the files. score is the similarity times the factors."""
+    extra = (within,) if within else ()
+
+    def answers(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = rows["id"].to_numpy()
+        weights = [rows[f].to_numpy() for f in factors]
+        classes = np.array(rows[within].to_pylist(), object) if within else None
+        own = {}
+        for at, v, length in by_dim(rows["vector"]):
+            order = np.argsort(ids[at], kind="stable")  # by id, so that the first of equals is the one to keep
+            own[v.shape[1]] = at[order], v[order], length[order]
+        for block in query_blocks(folder):
+            names = block["query_id"].to_numpy()
+            asked = np.array(block[within].to_pylist(), object) if within else None
+            for place, q, q_len in by_dim(block["vector"]):
+                if q.shape[1] not in own:
                     continue
-                rows, v, v_len = rows[order], v[order], v_len[order]
-                v_class = v_class[order] if within else None
-                for a in range(0, len(q), 512):
-                    part = slice(a, a + 512)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sim = (q[part] @ v.T) / (q_len[part, None] * v_len[None, :])
-                    sim[~(sim >= least)] = -np.inf
+                at, v, length = own[q.shape[1]]
+                for a in range(0, len(q), 256):
+                    part = place[a : a + 256]
+                    sim = (q[a : a + 256] @ v.T) / (q_len[a : a + 256, None] * length[None, :])
+                    score = sim
+                    for w in weights:
+                        score = score * w[at][None, :]
+                    score = np.where(sim >= least, score, -np.inf)
                     if exclude_self:
-                        sim[names[part, None] == rows[None, :]] = -np.inf
+                        score[names[part, None] == ids[at][None, :]] = -np.inf
                     if within:
-                        sim[q_class[part, None] != v_class[None, :]] = -np.inf
-                    who, at = _best(sim, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[part][who]), pa.array(rows[at].astype(np.int64)), pa.array(sim[who, at])], names=["query_id", "id", "similarity"])
+                        score[asked[part, None] != classes[at][None, :]] = -np.inf
+                    who, best = _best(score, k, digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[part][who]), pa.array(ids[at][best]), pa.array(sim[who, best]), *(pa.array(w[at][best]) for w in weights), pa.array(score[who, best])], names=["query_id", "id", "similarity", *factors, "score"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= STRETCH:
+                yield from answers(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from answers(pa.Table.from_batches(held))
 
-        found.append(base.select("id", "vector", *extra).mapInArrow(scan, "query_id long, id long, similarity double"))
-    if not found:
-        return base.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+    rows = base.where("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *[F.col(f).cast("double").alias(f) for f in factors], *extra)
+    return rows.mapInArrow(work, ", ".join(["query_id long, id long, similarity double", *(f"{f} double" for f in factors), "score double"]))
+
+
+def neighbours(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, exclude_self: bool = True, within: str | None = None) -> DataFrame:
+    """query_id, id, similarity, rank: for each query (query_id, vector) its k nearest rows of base (id, vector) by cosine, at least `least`.
+
+    Queries are a stated set. They are written to files of QUERY_BLOCK each, which every task reads one after the other against a
+    stretch of its own rows, so rows of base don't move, no query passes the driver, and the plan is the same for any number of queries. A
+    stretch keeps k candidates a query; a shuffle carries those alone. Ties, to 9 digits, go to the smaller id. `within` names a column of both sides that
+    must agree. Null vectors and such of zero length or another dimension find nothing and aren't found.
+    """
+    folder = query_files(queries, *([within] if within else []))
+    found = scan_nearest(folder, base, k, least, exclude_self, within, (), 9).drop("score")
     best = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
-    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def search(queries: DataFrame, memories: DataFrame, k: int = 8, least: float = 0.35, allowed: Column | None = None) -> DataFrame:
     """Explainable search: query_id, id, similarity, the factors, score, rank, candidate_source, for searchable memories of the query's dimension.
 
-    queries (query_id, vector) is a stated set, which meets the memories in blocks; `allowed` narrows the memories before the ranking.
+    queries (query_id, vector) is a stated set, which meets the memories as in `neighbours`; `allowed` narrows the memories before the ranking. Ties, to 12 digits, go to the smaller id.
     """
     rows = memories.where(X.searchable(F.col("status")))
     if allowed is not None:
         rows = rows.where(allowed)
-    norm = lambda v: F.sqrt(X.dot(F.col(v), F.col(v)))  # noqa: E731  taken once a row, not once a pair
-    q = queries.select("query_id", F.col("vector").alias("q_vector"), norm("vector").alias("q_norm"))
-    rows = rows.withColumn("norm", norm("vector"))
-    pairs = in_blocks(q, "query_id", lambda block: rows.join(block, F.size("vector") == F.size("q_vector")).where("id <> query_id"), QUERY_BLOCK)
-    fine = (F.col("norm") > 0) & (F.col("q_norm") > 0)
-    pairs = pairs.withColumn("similarity", F.when(fine, X.dot(F.col("q_vector"), F.col("vector")) / (F.col("q_norm") * F.col("norm"))).otherwise(-1.0))
-    scored = pairs.where(F.col("similarity") >= least).select(
-        "query_id", "id", "similarity", (0.75 + 0.25 * F.col("salience")).alias("salience_factor"), X.type_weight(F.col("memory_type")).alias("type_weight"), (0.85 + 0.15 * X.unset(F.col("confidence"), 1.0)).alias("confidence_factor"),
-    )
-    scored = scored.withColumn("score", F.col("similarity") * F.col("salience_factor") * F.col("type_weight") * F.col("confidence_factor"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    rows = rows.select("id", "vector", (0.75 + 0.25 * F.col("salience")).alias("salience_factor"), X.type_weight(F.col("memory_type")).alias("type_weight"), (0.85 + 0.15 * X.unset(F.col("confidence"), 1.0)).alias("confidence_factor"))
+    folder = query_files(queries)
+    scored = scan_nearest(folder, rows, k, least, True, None, ("salience_factor", "type_weight", "confidence_factor"), 12)
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("candidate_source", F.lit("scan"))
 
 
