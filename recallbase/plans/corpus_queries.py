@@ -85,7 +85,7 @@ def s01(spark, sf_dir):
     return rows.agg(F.count("*").alias("articles"), F.count_distinct(F.get_json_object("raw", "$.id")).alias("ids"), F.bool_and(c("path").endswith(".json")).alias("json"), F.bool_or(c("path").contains("/more/below/")).alias("below"))
 
 
-@query("s16_docx_texts", r"SELECT doc_id, md5(trim(trim(regexp_replace(substring(text, 1, 200), '\s+', ' ', 'g')) || chr(10) || chr(10) || source || ' <&> ' || lang)) AS text FROM documents")
+@query("s16_docx_texts", r"SELECT doc_id, md5(trim(trim(regexp_replace(text, '\s+', ' ', 'g')) || chr(10) || chr(10) || source || ' <&> ' || lang)) AS text FROM documents")
 def s16(spark, sf_dir):
     """Archives of a word processor, of two paragraphs each, made and taken apart."""
     import pandas as pd
@@ -104,7 +104,7 @@ def s16(spark, sf_dir):
                 made.append(held.getvalue())
             yield pd.DataFrame({"name": part["name"], "content": made})
 
-    d = table(spark, sf_dir, "documents").select(F.concat(c("doc_id").cast("string"), F.lit(".docx")).alias("name"), F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ").alias("title"), F.concat("source", F.lit(" <&> "), "lang").alias("tail"))
+    d = table(spark, sf_dir, "documents").select(F.concat(c("doc_id").cast("string"), F.lit(".docx")).alias("name"), F.regexp_replace("text", r"\s+", " ").alias("title"), F.concat("source", F.lit(" <&> "), "lang").alias("tail"))
     found = documents.texts(d.mapInPandas(archives, "name string, content binary"))
     return found.select(F.regexp_extract("name", r"^(-?\d+)", 1).cast("bigint").alias("doc_id"), F.md5("text").alias("text"))
 

@@ -20,12 +20,12 @@ from recallbase.sources import articles
 c = F.col
 SETTINGS = K.Settings(most=4, floor=0.3, gap=0.25, category_confidence=0.4, reply_confidence=0.35, evidence=0.4, sources=("src0", "src1", "SRC2 ", "src3"), reply_sources=("src0", "src1", "src2"))
 
-_HITS = """hit AS (SELECT o_orderkey AS ticket_id, o_orderkey * 10 + s AS id, 'src' || ((o_custkey + s) % 6) AS source, CAST((o_orderkey * 13 + s * 37) % 100 AS DOUBLE) / 100e0 AS score, (o_custkey + s) % 4 AS cat, (o_orderkey + s) % 5 > 0 AS approved
+_HITS = """hit AS MATERIALIZED (SELECT o_orderkey AS ticket_id, o_orderkey * 10 + s AS id, 'src' || ((o_custkey + s) % 6) AS source, CAST((o_orderkey * 13 + s * 37) % 100 AS DOUBLE) / 100e0 AS score, (o_custkey + s) % 4 AS cat, (o_orderkey + s) % 5 > 0 AS approved
     FROM orders, generate_series(1, 7) g(s)),
   answer AS (SELECT o_orderkey AS ticket_id, o_custkey % 6 AS wanted, CAST(o_orderkey % 11 AS DOUBLE) / 10e0 AS cat_conf, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey * 10 + 1 + o_custkey % 8 END AS reply_id, o_custkey % 7 > 0 AS reply_allowed, CAST(o_custkey % 10 AS DOUBLE) / 10e0 AS reply_conf FROM orders WHERE o_orderkey % 10 > 0),
   ticket AS (SELECT o_orderkey AS ticket_id, o_orderstatus <> 'P' AS open, o_custkey % 3 AS category_id FROM orders),
-  ok AS (SELECT *, row_number() OVER w AS rank, greatest(0.3e0, max(score) OVER (PARTITION BY ticket_id) - 0.25e0) AS cutoff, max(score) OVER (PARTITION BY ticket_id) AS best FROM hit WHERE source IN ('src0', 'src1', 'src2', 'src3') WINDOW w AS (PARTITION BY ticket_id ORDER BY score DESC, id)),
-  cand AS (SELECT *, best >= 0.3e0 AND score >= cutoff AND rank <= 4 AS sent FROM ok)"""
+  ok AS MATERIALIZED (SELECT *, row_number() OVER w AS rank, greatest(0.3e0, max(score) OVER (PARTITION BY ticket_id) - 0.25e0) AS cutoff, max(score) OVER (PARTITION BY ticket_id) AS best FROM hit WHERE source IN ('src0', 'src1', 'src2', 'src3') WINDOW w AS (PARTITION BY ticket_id ORDER BY score DESC, id)),
+  cand AS MATERIALIZED (SELECT *, best >= 0.3e0 AND score >= cutoff AND rank <= 4 AS sent FROM ok)"""
 _WHY = "CASE WHEN sent THEN 'sent_to_ai' WHEN score < 0.3e0 THEN 'below_retrieval_floor' WHEN score < cutoff THEN 'outside_candidate_gap' WHEN rank > 4 THEN 'max_candidates_reached' ELSE 'not_selected' END"
 
 

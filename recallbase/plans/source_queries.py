@@ -235,7 +235,7 @@ def k09(spark, sf_dir):
     return sinks.read_text(spark, folder).select(F.col("value").alias("line"))
 
 
-@query("k11_article_json", "SELECT doc_id AS key, sha256('{\"id\":' || to_json('doc-' || doc_id) || ',\"title\":' || to_json(upper(lang)) || ',\"auto_reply\":' || to_json(n_chars % 2 = 0) || ',\"source\":' || to_json(source) || '}') AS json_sha FROM documents")
+@query("k11_article_json", "SELECT doc_id AS key, sha256('{\"id\":' || to_json('doc-' || doc_id) || ',\"title\":' || to_json(upper(lang)) || ',\"text\":' || to_json(text) || ',\"auto_reply\":' || to_json(n_chars % 2 = 0) || ',\"source\":' || to_json(source) || '}') AS json_sha FROM documents")
 def k11(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select("doc_id", F.col("source"), (F.col("n_chars") % 2 == 0).alias("auto_reply"), F.upper("lang").alias("title"), F.concat(F.lit("doc-"), "doc_id").alias("id"))
+    a = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source"), (F.col("n_chars") % 2 == 0).alias("auto_reply"), F.upper("lang").alias("title"), F.concat(F.lit("doc-"), "doc_id").alias("id"))
     return a.select(F.col("doc_id").alias("key"), F.sha2(sinks.article_json(a.drop("doc_id")), 256).alias("json_sha"))
