@@ -10,7 +10,7 @@ from recallbase.functions import text as T
 from recallbase.operators import aggregates as A
 from recallbase.operators import jobs as J
 from recallbase.operators.budget import reserve
-from recallbase.operators.shared import in_blocks
+from recallbase.operators.shared import in_blocks, small
 from recallbase.plans import views
 from recallbase.plans.registry import query
 from recallbase.plans.views import sql
@@ -236,9 +236,11 @@ def l09(spark, sf_dir):
     return views.research_event(spark, sf_dir).where("goal_id = 3").groupBy("run_id").agg(F.count("*").alias("events"), F.min("created_at").alias("started")).orderBy(F.desc("started"), "run_id").limit(10)
 
 
-@query("a21_conflict_groups", sql("SELECT truth_key, count(*) AS n, array_to_string(list_sort(list(CAST(id AS VARCHAR))), ',') AS ids FROM memory WHERE status = 'conflicted' GROUP BY truth_key", "memory"))
+@query("a21_conflict_groups", sql("SELECT truth_key, id, count(*) OVER (PARTITION BY truth_key) AS n FROM memory WHERE status = 'conflicted'", "memory"))
 def a21(spark, sf_dir):
-    return views.memory(spark, sf_dir).where("status = 'conflicted'").groupBy("truth_key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("ids"))
+    """Every memory of a conflict with the size of its group, however large that is."""
+    m = views.memory(spark, sf_dir).where("status = 'conflicted'").select("truth_key", "id")
+    return m.join(small(m.groupBy("truth_key").agg(F.count("*").alias("n"))), "truth_key")
 
 
 @query("a25_tombstone_ratio", sql("SELECT count(*) FILTER (status <> 'archived') AS live, count(*) FILTER (status = 'archived') AS tombstones, round(count(*) FILTER (status = 'archived') / CAST(nullif(count(*), 0) AS DOUBLE), 9) AS ratio FROM memory", "memory"))

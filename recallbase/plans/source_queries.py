@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recallbase.operators.shared import new_folder
@@ -147,13 +148,15 @@ def c07(spark, sf_dir):
 
 
 @query("s17_status_pages", """WITH b AS (SELECT user_id, event_id, ts, event_id % 5 AS st, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S') DESC, event_id) AS n FROM events),
-  m AS (SELECT 'page ' || user_id % 3 AS page, 'monitor' AS kind, user_id AS monitor_id, 'group / m' || user_id AS name, CASE st WHEN 0 THEN 'down' WHEN 1 THEN 'up' WHEN 2 THEN 'pending' WHEN 3 THEN 'maintenance' ELSE 'unknown' END AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM b WHERE n = 1)
-  SELECT * FROM m WHERE status <> 'up' UNION ALL SELECT 'page 1', 'pinned_incident', NULL, 'outage', 'incident', NULL UNION ALL SELECT 'page ' || i, 'maintenance', i, 'window', 'maintenance', NULL FROM (VALUES (0), (2)) t(i)""")
+  m AS (SELECT 'page ' || user_id // 8 AS page, 'monitor' AS kind, user_id AS monitor_id, 'group / m' || user_id AS name, CASE st WHEN 0 THEN 'down' WHEN 1 THEN 'up' WHEN 2 THEN 'pending' WHEN 3 THEN 'maintenance' ELSE 'unknown' END AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM b WHERE n = 1)
+  SELECT * FROM m WHERE status <> 'up' UNION ALL SELECT DISTINCT 'page 1', 'pinned_incident', CAST(NULL AS BIGINT), 'outage', 'incident', NULL FROM events WHERE user_id // 8 = 1 UNION ALL SELECT DISTINCT 'page ' || user_id // 8, 'maintenance', user_id // 8, 'window', 'maintenance', NULL FROM events WHERE user_id // 8 <> 1""")
 def s17(spark, sf_dir):
-    """Pages as JSON, with a beat per event: every monitor's latest beat counts, the earlier in the list among equals."""
+    """Pages as JSON, of eight monitors each with their last hundred beats, as such a service sends them: every monitor's latest beat counts, the earlier in the list among equals."""
     beat = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), (F.col("event_id") % 5).alias("status"), F.lit("m").alias("msg"))
-    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", beat.alias("beat")))), lambda x: x["beat"]).alias("beats"))
-    page = F.col("user_id") % 3
+    latest = Window.partitionBy("user_id").orderBy(F.desc(F.date_trunc("second", "ts")), "event_id")
+    kept = table(spark, sf_dir, "events").withColumn("_n", F.row_number().over(latest)).where("_n <= 100")
+    own = kept.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", beat.alias("beat")))), lambda x: x["beat"]).alias("beats"))
+    page = F.floor(F.col("user_id") / 8)
     monitor = F.struct(F.col("user_id").alias("id"), F.concat(F.lit(" m"), "user_id").alias("name"))
     made = own.groupBy(page.alias("slug")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("user_id").cast("string"), "beats"))).alias("beats"), F.collect_list(monitor).alias("monitors"))
     incident = F.struct((F.col("slug") == 1).alias("pin"), F.lit("outage").alias("title"), F.lit("text").alias("content"))
