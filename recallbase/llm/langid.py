@@ -19,6 +19,7 @@ once. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -239,11 +240,16 @@ def fit(docs: DataFrame, pieces: list[bytes], fold_of: int = 4, held_fold: int =
     few = few.groupBy("lang", "_order").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))  # equal rows become one before they move
     near = Window.partitionBy("lang").orderBy("_order", "text")
     few = few.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= SAMPLE)
-    counts: dict[str, Counter] = {}
-    for r in few.select("lang", "text").toLocalIterator():
-        counts.setdefault(r.lang, Counter()).update(r.text.lower().split())
-    counts = {k: v for k, v in counts.items() if v}
-    return train(counts, pieces) if counts else None
+
+    def learn(part: pa.Table) -> pa.Table:
+        counts: dict[str, Counter] = {}
+        for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist(), strict=True):
+            counts.setdefault(lang, Counter()).update(text.lower().split())
+        counts = {k: v for k, v in sorted(counts.items()) if v}
+        return pa.table({"model": [pickle.dumps(train(counts, pieces))] if counts else pa.array([], pa.binary())})
+
+    made = few.select("lang", "text").groupBy().applyInArrow(learn, "model binary").first()  # the sample in one task, the model to the driver
+    return pickle.loads(made.model) if made else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
