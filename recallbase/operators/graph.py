@@ -112,3 +112,47 @@ def top_edges(edges: DataFrame, per_node: int) -> DataFrame:
     """The heaviest edges of every node, from its own end."""
     w = Window.partitionBy("a").orderBy(F.desc("weight"), "b")
     return adjacency(edges, "weight").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_node)
+
+
+def memory_graph(memories: DataFrame, synapses: DataFrame, most: int = 320) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a display graph without texts or vectors: the `most` memories of highest priority and what links them.
+
+    memories: id, memory_type, status, priority, created_at, supersedes and consolidated_from (arrays of ids, perhaps null);
+    the later created of equal priority comes first, then the smaller id. Edges lie between kept nodes alone: synapses (a, b,
+    weight), a memory to those that it supersedes, and those that were consolidated to the one they went into.
+    """
+    if not 1 <= most <= 10_000:
+        raise ValueError("1 to 10000 nodes")
+    kept = cut(memories.orderBy(F.desc("priority"), F.desc("created_at"), "id").limit(most), 0)
+    ids = F.broadcast(kept.select("id"))  # `most` rows
+    both = lambda rows: rows.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    linked = both(synapses.select(F.col("a").alias("from"), F.col("b").alias("to"), F.lit("synapse").alias("kind"), F.col("weight").cast("double").alias("weight")))
+    newer = both(kept.select(F.col("id").alias("from"), F.explode("supersedes").alias("to"), F.lit("supersedes").alias("kind"), F.lit(1.0).alias("weight")))
+    merged = both(kept.select(F.explode("consolidated_from").alias("from"), F.col("id").alias("to"), F.lit("consolidated_into").alias("kind"), F.lit(1.0).alias("weight")))
+    nodes = kept.select("id", F.concat(F.lit("memory_"), "memory_type").alias("kind"), F.coalesce("status", F.lit("active")).alias("status"), "priority")
+    return nodes, linked.unionByName(newer).unionByName(merged).select("from", "to", "kind", "weight")
+
+
+def learning_lineage(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of outcomes (id, ticket_id, decision, supersedes, memory_id): a ticket to its outcomes, an outcome to the one it replaces, if that is there, and to the memory it was learned as."""
+    ticket, own = F.concat(F.lit("ticket:"), F.col("ticket_id").cast("string")), F.concat(F.lit("outcome:"), F.col("id").cast("string"))
+    replaced = outcomes.join(outcomes.select(F.col("id").alias("supersedes")), "supersedes", "left_semi")
+    learned = outcomes.where("memory_id is not null")
+    memory = F.concat(F.lit("memory:"), F.col("memory_id").cast("string"))
+    node = lambda rows, key, kind, label: rows.select(key.alias("id"), F.lit(kind).alias("kind"), label.alias("label"))
+    edge = lambda rows, a, b, kind: rows.select(a.alias("from"), b.alias("to"), F.lit(kind).alias("kind"))
+    return lineage([
+        (node(outcomes, ticket, "ticket", F.concat(F.lit("Ticket #"), F.col("ticket_id").cast("string"))), edge(outcomes, ticket, own, "has_outcome")),
+        (node(outcomes, own, "outcome", F.col("decision")), edge(replaced, own, F.concat(F.lit("outcome:"), F.col("supersedes").cast("string")), "supersedes")),
+        (node(learned, memory, "memory", memory), edge(learned, own, memory, "learned_as")),
+    ])
+
+
+def topology(services: DataFrame, links: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of services (id, kind) and their links (from, to, kind): a service is online or has a problem by its latest check (id, at, ok, latency), and is configured where there is none. Links to unknown services are left out."""
+    last = checks.groupBy("id").agg(F.max_by(F.struct("ok", "latency"), F.struct("at", "ok")).alias("c"))
+    state = F.when(F.col("c").isNull(), "configured").when(F.col("c.ok"), "online").otherwise("problem")
+    nodes = services.join(last, "id", "left").select("id", "kind", state.alias("status"), F.col("c.latency").alias("latency"))
+    ids = services.select("id")
+    known = links.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    return nodes, known.select(F.concat("from", F.lit("->"), "to", F.lit(":"), "kind").alias("id"), "from", "to", "kind")

@@ -283,7 +283,7 @@ def g02(spark, sf_dir):
 @query("g10_ticket_lineage", """WITH e AS (SELECT event_id, user_id, event_type FROM events) SELECT 'ticket:' || user_id AS "from", 'run:' || event_id AS "to", 'analysed_by' AS kind FROM e
   UNION SELECT 'run:' || event_id, 'category:' || event_id % 12, 'recommended_category' FROM e UNION SELECT 'run:' || event_id, 'knowledge:' || event_id % 500, 'retrieved' FROM e WHERE event_type = 'view'""")
 def g10(spark, sf_dir):
-    """g10, g11, g13, g14: typed edges of several projections of runs."""
+    """Typed edges of several projections of runs."""
     e = table(spark, sf_dir, "events")
     name = lambda kind, col: F.concat(F.lit(f"{kind}:"), col.cast("string"))
     node = lambda kind, col: e.select(name(kind, col).alias("id"), F.lit(kind).alias("kind"), F.lit(kind).alias("label"))
@@ -419,6 +419,53 @@ def v25(spark, sf_dir):
     return V.recall(found, V.neighbours(q, e, 10), 10)
 
 
+_SHOWN = """m AS (SELECT id, memory_type, status, created_at, salience + 0.5e0 * confidence + 0.01e0 * access_count + CASE WHEN status = 'active' THEN 0.5e0 ELSE 0e0 END AS priority FROM memory),
+  kept AS (SELECT * FROM m ORDER BY round(priority, 9) DESC, created_at DESC, id LIMIT 120)"""
+
+
+def _shown(spark, sf_dir):
+    m = views.memory(spark, sf_dir)
+    i = c("id")
+    priority = F.round(X.display_priority(c("salience"), c("confidence"), c("access_count"), c("status") == "active", F.lit(False), F.lit(False)), 9)
+    rows = m.select("id", "memory_type", "status", "created_at", priority.alias("priority"), F.when(i % 3 == 0, F.array(i - 1, i - 2, i - 9)).alias("supersedes"), F.when(i % 5 == 1, F.array(i + 1, i + 4)).alias("consolidated_from"))
+    return G.memory_graph(rows, views.synapse(spark, sf_dir), 120)
+
+
+@query("g13_memory_graph", sql(_SHOWN + """, e AS (SELECT a AS "from", b AS "to", 'synapse' AS kind, weight FROM synapse UNION ALL SELECT id, id - unnest([1, 2, 9]), 'supersedes', 1e0 FROM kept WHERE id % 3 = 0 UNION ALL SELECT id + unnest([1, 4]), id, 'consolidated_into', 1e0 FROM kept WHERE id % 5 = 1)
+  SELECT "from", "to", kind, weight FROM e WHERE "from" IN (SELECT id FROM kept) AND "to" IN (SELECT id FROM kept)""", "memory", "synapse"))
+def g13(spark, sf_dir):
+    """What links the 120 memories of highest priority."""
+    return _shown(spark, sf_dir)[1]
+
+
+@query("g13_memory_nodes", sql(_SHOWN + """ SELECT id, 'memory_' || memory_type AS kind, status, round(priority, 9) AS priority FROM kept""", "memory"))
+def g13_nodes(spark, sf_dir):
+    """The nodes of g13, without texts and vectors."""
+    return _shown(spark, sf_dir)[0]
+
+
+@query("g11_learning_lineage", """WITH o AS (SELECT event_id AS id, user_id AS ticket_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS supersedes, CASE WHEN event_id % 4 > 0 THEN event_id % 300 END AS memory_id FROM events WHERE event_type = 'purchase')
+  SELECT 'ticket:' || ticket_id AS "from", 'outcome:' || id AS "to", 'has_outcome' AS kind FROM o UNION ALL SELECT 'outcome:' || id, 'outcome:' || supersedes, 'supersedes' FROM o WHERE supersedes IS NOT NULL UNION ALL SELECT 'outcome:' || id, 'memory:' || memory_id, 'learned_as' FROM o WHERE memory_id IS NOT NULL""")
+def g11(spark, sf_dir):
+    """Outcomes of tickets, each in place of the one before."""
+    from recallbase.operators import lifecycle as L
+
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(c("event_id").alias("id"), c("user_id").alias("run_id"), c("ts").alias("at"), c("event_id").cast("string").alias("decision"))
+    o = L.revision_chain(e).select("id", c("run_id").alias("ticket_id"), "decision", "supersedes", F.when(c("id") % 4 > 0, c("id") % 300).alias("memory_id"))
+    return G.learning_lineage(o)[1]
+
+
+@query("g14_runtime_topology", """WITH s AS (SELECT s_suppkey AS id, 'n' || s_nationkey AS kind FROM supplier), k AS (SELECT user_id AS id, event_type <> 'error' AS ok, value AS latency FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type <> 'error' DESC) = 1)
+  SELECT 'service ' || s.id AS id, kind, CASE WHEN k.id IS NULL THEN 'configured' WHEN ok THEN 'online' ELSE 'problem' END AS status, latency FROM s LEFT JOIN k ON k.id = s.id""")
+def g14(spark, sf_dir):
+    """Suppliers as services, the latest event of the user of the same number as their last check."""
+    service = lambda col: F.concat(F.lit("service "), col.cast("string"))
+    s = table(spark, sf_dir, "supplier").select(service(c("s_suppkey")).alias("id"), F.concat(F.lit("n"), c("s_nationkey").cast("string")).alias("kind"), c("s_suppkey").alias("n"))
+    links = s.select(c("id").alias("from"), service(c("n") + 1).alias("to"), F.lit("calls").alias("kind"))
+    checks = table(spark, sf_dir, "events").select(service(c("user_id")).alias("id"), c("ts").alias("at"), (c("event_type") != "error").alias("ok"), c("value").alias("latency"))
+    return G.topology(s.drop("n"), links, checks)[0]
+
+
 @query("v12_kmeans_round", """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
   s AS (SELECT row_number() OVER (ORDER BY id) - 1 AS center, v AS c FROM e ORDER BY id LIMIT 12),
   near AS (SELECT e.id, e.v, arg_min(s.center, (list_dot_product(s.c, s.c) - 2 * list_dot_product(e.v, s.c), s.center)) AS center FROM e JOIN s ON true GROUP BY e.id, e.v),
