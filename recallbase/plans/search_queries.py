@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recallbase.functions import exprs as X
 from recallbase.functions import text as T
 from recallbase.operators import vectors as V
-from recallbase.operators.retrieval import contained_words
+from recallbase.operators.retrieval import contained_words, coverage, phrases, similar_words
 from recallbase.operators.shared import in_blocks
 from recallbase.plans import views
 from recallbase.plans.registry import query
@@ -234,3 +234,84 @@ def x15(spark, sf_dir):
     score = per.join(met, "word").groupBy("ticket_id", "category_id").agg(F.sum("n").alias("score"))
     w = Window.partitionBy("ticket_id").orderBy(F.desc("score"), "category_id")
     return score.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+
+
+def _stem_sql(word: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({word}, '{x}') AND strlen({word}) - {len(x)} >= 5 THEN substring({word}, 1, length({word}) - {len(x)})" for x in T.SUFFIXES) + f" ELSE {word} END"
+
+
+#: SQL for the similarity of the tokens a and b with stems sa and sb, as T.token_similarity has it.
+_SIMILAR = """CASE WHEN a = b THEN 1e0 WHEN strlen(a) < 4 OR strlen(b) < 4 THEN 0e0
+  WHEN least(strlen(a), strlen(b)) >= 5 AND CASE WHEN strlen(a) <= strlen(b) THEN contains(b, a) ELSE contains(a, b) END THEN least(1e0, 0.75e0 + 0.25e0 * (CAST(least(strlen(a), strlen(b)) AS DOUBLE) / greatest(strlen(a), strlen(b))))
+  WHEN sa = sb AND strlen(sa) >= 5 THEN 0.95e0
+  WHEN least(strlen(sa), strlen(sb)) >= 5 AND CASE WHEN strlen(sa) <= strlen(sb) THEN contains(sb, sa) ELSE contains(sa, sb) END THEN 0.90e0
+  WHEN common >= 5 AND CAST(common AS DOUBLE) / least(strlen(a), strlen(b)) >= 0.70e0 THEN least(1e0, CAST(common AS DOUBLE) / greatest(strlen(a), strlen(b))) ELSE 0e0 END"""
+_COMMON = "len(list_filter(range(1, least(strlen(a), strlen(b)) + 1), lambda i: substring(hex(encode(a)), 1, 2 * i) = substring(hex(encode(b)), 1, 2 * i)))"
+
+
+def _pairs_sql(terms: str, words: str) -> str:
+    """CTEs up to `sim` (a, b, s): similarities above 0 of the words of two tables of one column w each."""
+    return f"""ta AS (SELECT w AS a, {_stem_sql('w')} AS sa FROM (SELECT DISTINCT w FROM {terms})), tb AS (SELECT w AS b, {_stem_sql('w')} AS sb FROM (SELECT DISTINCT w FROM {words})),
+  near AS MATERIALIZED (SELECT *, {_COMMON} AS common FROM ta JOIN tb ON substring(a, 1, 3) = substring(b, 1, 3) OR contains(a, substring(b, 1, 3)) OR contains(b, substring(a, 1, 3))),
+  sim AS MATERIALIZED (SELECT a, b, s FROM (SELECT a, b, {_SIMILAR} AS s FROM near) WHERE s > 0)"""
+
+
+_ASKED = f"asked AS (SELECT item_id AS query_id, text, {_tok('text')} AS q FROM benchmark WHERE item_id % 50 = 0)"
+_TITLED = f"titled AS (SELECT doc_id AS id, title, {_tok('title')} AS t FROM (SELECT doc_id, substring(text, 1, 60) AS title FROM documents))"
+
+
+def _asked(spark, sf_dir):
+    """The stated queries, every fiftieth benchmark item."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _titled(spark, sf_dir):
+    """Documents with their first sixty characters as the title that the table lacks."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"))
+
+
+@query("x09_token_similarity", f"""WITH {_ASKED}, d AS (SELECT {_tok('text')} AS t FROM documents), qw AS (SELECT unnest(q) AS w FROM asked), dw AS (SELECT unnest(t) AS w FROM d),
+  {_pairs_sql("qw", "dw")} SELECT a AS term, b AS token, round(s, 9) AS similarity FROM sim WHERE length(a) >= 3 AND length(b) >= 3""")
+def x09(spark, sf_dir):
+    """All similar pairs of a word of a stated query and a word of the documents."""
+    words = lambda rows, name: rows.select(F.explode(T.tokens(F.col("text"))).alias(name)).where(F.length(name) >= 3).distinct()
+    found = similar_words(words(_asked(spark, sf_dir), "term"), words(spark.read.parquet(f"{sf_dir}/documents.parquet"), "token"))
+    return found.select("term", "token", F.round("similarity", 9).alias("similarity"))
+
+
+@query("x08_token_coverage", f"""WITH {_ASKED}, {_TITLED}, qw AS (SELECT query_id, unnest(q) AS w FROM asked), tw AS (SELECT DISTINCT id, unnest(t) AS w FROM titled),
+  {_pairs_sql("qw", "tw")}, n AS (SELECT query_id, len(q) AS n FROM asked), k AS (SELECT query_id, w, count(*) AS times FROM qw GROUP BY ALL),
+  best AS (SELECT k.query_id, k.times, tw.id, k.w, max(s) AS best FROM k JOIN sim ON sim.a = k.w JOIN tw ON tw.w = sim.b GROUP BY ALL)
+  SELECT query_id, id, round(least(1e0, sum(best * times) / any_value(n)), 9) AS value FROM best JOIN n USING (query_id) GROUP BY query_id, id""")
+def x08(spark, sf_dir):
+    """How far titles cover the words of stated queries, through the similar words that both have."""
+    q = _asked(spark, sf_dir).select("query_id", T.token_list(F.col("text")).alias("terms"))
+    t = _titled(spark, sf_dir).select("id", F.explode(T.tokens(F.col("title"))).alias("token"))
+    matches = similar_words(q.select(F.explode("terms").alias("term")).distinct(), t.select("token").distinct())
+    return coverage(q, t, matches, "id").select("query_id", "id", F.round("value", 9).alias("value"))
+
+
+@query("x07_phrase_coverage", f"""WITH {_ASKED}, ph AS (SELECT p_brand AS key, p_name AS phrase, {_tok('p_name')} AS t FROM part WHERE trim(p_name) <> '' UNION ALL SELECT 'label ' || item_id % 3, substring(text, 5, 40), {_tok('substring(text, 5, 40)')} FROM benchmark),
+  u AS (SELECT DISTINCT phrase, t FROM ph), qw AS (SELECT query_id, unnest(q) AS w FROM asked), pw AS (SELECT phrase, unnest(t) AS w FROM u),
+  {_pairs_sql("pw", "qw")}, best AS (SELECT query_id, phrase, i, coalesce(max(s), 0) AS best FROM asked, (SELECT phrase, unnest(t) AS w, unnest(range(len(t))) AS i FROM u) x LEFT JOIN sim ON sim.a = x.w AND list_contains(asked.q, sim.b) GROUP BY ALL),
+  cover AS (SELECT query_id, phrase, least(1e0, sum(best) / count(*)) AS value FROM best GROUP BY ALL),
+  v AS (SELECT query_id, phrase, CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0e0 WHEN contains(array_to_string(q, ' '), array_to_string(t, ' ')) THEN 1e0 ELSE coalesce(value, 0e0) END AS value FROM asked CROSS JOIN u LEFT JOIN cover USING (query_id, phrase))
+  SELECT query_id, key, round(max(value), 9) AS value FROM v JOIN ph USING (phrase) WHERE value > 0 GROUP BY query_id, key""")
+def x07(spark, sf_dir):
+    """x05, x06: the best coverage of a key's phrases (keywords, or names and hints of a category) by each stated query."""
+    b, p = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = p.select(F.col("p_brand").alias("key"), F.col("p_name").alias("phrase")).unionByName(b.select(F.concat(F.lit("label "), (F.col("item_id") % 3).cast("string")).alias("key"), F.substring("text", 5, 40).alias("phrase")))
+    return phrases(_asked(spark, sf_dir), rows, "key").select("query_id", "key", F.round("value", 9).alias("value"))
+
+
+@query("x03_title_similarity", f"""WITH {_ASKED}, {_TITLED}, qw AS (SELECT query_id, unnest(q) AS w FROM asked), tw AS (SELECT DISTINCT id, unnest(t) AS w FROM titled),
+  {_pairs_sql("qw", "tw")}, k AS (SELECT query_id, w, count(*) AS times FROM qw GROUP BY ALL),
+  best AS (SELECT k.query_id, k.times, tw.id, k.w, max(s) AS best FROM k JOIN sim ON sim.a = k.w JOIN tw ON tw.w = sim.b GROUP BY ALL), cover AS (SELECT query_id, id, sum(best * times) AS total FROM best GROUP BY ALL),
+  v AS (SELECT query_id, id, CASE WHEN trim(text) = '' OR trim(title) = '' THEN 0e0 WHEN array_to_string(q, ' ') = array_to_string(t, ' ') OR contains(array_to_string(t, ' '), array_to_string(q, ' ')) OR contains(array_to_string(q, ' '), array_to_string(t, ' ')) THEN 1e0
+    ELSE greatest(CASE WHEN len(q) > 0 AND len(t) > 0 THEN least(1e0, coalesce(total, 0) / len(q)) ELSE 0e0 END,
+      coalesce(2e0 * len(list_intersect(list_distinct(q), list_distinct(t))) / nullif(len(list_distinct(q)) + len(list_distinct(t)), 0), 0e0)) END AS value FROM asked CROSS JOIN titled LEFT JOIN cover USING (query_id, id))
+  SELECT query_id, id, round(value, 9) AS value FROM v WHERE round(value, 9) >= 0.2e0""")
+def x03(spark, sf_dir):
+    """Titles like the stated queries, each against all."""
+    met = in_blocks(_asked(spark, sf_dir), "query_id", _titled(spark, sf_dir).join)
+    return met.select("query_id", "id", F.round(T.title_similarity(F.col("text"), F.col("title")), 9).alias("value")).where("value >= 0.2")
