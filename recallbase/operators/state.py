@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from recallbase.functions import text as T
 
 
-def insert_all(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """old and new together. A key that is there already, or twice among the new rows, refuses the whole batch."""
-    twice = new.groupBy(key).count().where("count > 1").select(key)
-    taken = new.join(old.select(key), key, "left_semi").select(key)
+def insert_all(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
+    """old and new together. A key (by default id) that is there already, or twice among the new rows, refuses the whole batch."""
+    names = list(key or ("id",))
+    twice = new.groupBy(*names).count().where("count > 1").select(*names)
+    taken = new.join(old.select(*names), names, "left_semi").select(*names)
     if twice.union(taken).limit(1).count():
-        raise ValueError(f"duplicate {key} in the batch")
+        raise ValueError(f"duplicate {', '.join(names)} in the batch")
     return old.unionByName(new)
 
 
