@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from recallbase.operators import retrieval as H
 from recallbase.operators import state as S
 from recallbase.plans import load
 
@@ -27,3 +28,11 @@ def test_batch_by_several_keys(spark):
     for bad in (rows((0, 1), (1, 2)), rows((1, 2), (1, 2))):
         with pytest.raises(ValueError):
             S.insert_all(rows((0, 1)), bad, "batch", "id")
+
+
+def test_similar_words_are_paired_once(spark):
+    """A word that holds the term's beginning further in, while the term holds the word's."""
+    words = lambda name, *w: spark.createDataFrame([(x,) for x in w], f"{name} string")
+    found = H.similar_words(words("term", "abcdexyz", "erinnern"), words("token", "xyzabcdexyz", "abcdexyzabcde", "abcdexyz", "nernerinnern"))
+    pairs = [(r.term, r.token) for r in found.collect()]
+    assert sorted(pairs) == sorted([("abcdexyz", "xyzabcdexyz"), ("abcdexyz", "abcdexyzabcde"), ("abcdexyz", "abcdexyz"), ("erinnern", "nernerinnern")])
