@@ -20,6 +20,9 @@ from recallbase.operators.clustering import nearest as assign
 from recallbase.operators.shared import cut
 from recallbase.operators.vectors import STRETCH, by_dim, query_blocks, query_files
 
+#: Queries whose candidates a task holds at once.
+TOLD = 64
+
 
 def bounds(dim: int, parts: int) -> list[tuple[int, int]]:
     """Ranges of the sub-vectors; the first dim % parts are one longer."""
@@ -117,8 +120,7 @@ def search(spark: SparkSession, folder: str, model: Codebooks, queries: DataFram
 
 
 def search_rows(rows: DataFrame, model: Codebooks, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """As `search`, in rows (id, cell, codes). Queries are files that every task reads against a stretch of its rows; only cells that a query probes are opened."""
-    keep = max(2 * k, 32)
+    """As `search`, in rows (id, cell, codes). Queries are files that every task reads against a stretch of its rows; only cells that a query probes are opened. A stretch keeps k candidates a query over all its cells, and hands them on for TOLD queries at a time."""
     folder = query_files(queries)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # cells and codes are fixed numbers
 
@@ -145,17 +147,26 @@ def search_rows(rows: DataFrame, model: Codebooks, queries: DataFrame, k: int, p
         codes = np.array([np.frombuffer(x, np.uint8) for x in part["codes"].to_pylist()]).reshape(part.num_rows, -1)
         places = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
         for names, q in blocks():
-            base, probes_of = q @ m.coarse.astype(np.float64).T, near(q)
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for i in np.flatnonzero(np.isin(probes_of, list(places)).any(1)).tolist():
-                table = m.tables(q[i])
-                for c in probes_of[i].tolist():
-                    if c in places:
-                        at = places[c]
-                        s = base[i, c] + table[np.arange(codes.shape[1])[None, :], codes[at]].sum(1)
-                        top = np.lexsort((own[at], -s))[:keep]
-                        out.append((np.full(len(top), names[i]), own[at][top], s[top]))
-            if out:
+            probes_of = near(q)
+            base = q @ m.coarse.astype(np.float64).T
+            asked = np.flatnonzero(np.isin(probes_of, list(places)).any(1)).tolist()
+            for a in range(0, len(asked), TOLD):
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for i in asked[a : a + TOLD]:
+                    table, ids, estimates = m.tables(q[i]), [], []
+                    for c in probes_of[i].tolist():
+                        if c in places:
+                            at = places[c]
+                            ids.append(own[at])
+                            estimates.append(base[i, c] + table[np.arange(codes.shape[1])[None, :], codes[at]].sum(1))
+                    ids, s = np.concatenate(ids), np.concatenate(estimates)
+                    other = ids != names[i]
+                    ids, s = ids[other], s[other]
+                    if len(s) > k:
+                        least = -np.partition(-s, k - 1)[k - 1]
+                        ids, s = ids[s >= least], s[s >= least]
+                    top = np.lexsort((ids, -s))[:k]
+                    out.append((np.full(len(top), names[i]), ids[top], s[top]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "id", "estimate"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,5 +183,5 @@ def search_rows(rows: DataFrame, model: Codebooks, queries: DataFrame, k: int, p
     cells = [r.cell for r in rows.sparkSession.read.parquet(folder).mapInArrow(probed, "cell int").distinct().collect()]  # as many as the model has, at most
     index = rows.where(F.col("cell").isin(cells)).select(F.col("id").cast("long").alias("id"), "cell", "codes")
     best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "id")
-    found = index.mapInArrow(work, "query_id long, id long, estimate double").where("id <> query_id")
+    found = index.mapInArrow(work, "query_id long, id long, estimate double")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

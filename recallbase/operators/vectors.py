@@ -16,21 +16,29 @@ from pyspark.sql import functions as F
 from recallbase.functions import exprs as X
 from recallbase.operators.shared import cut, new_folder
 
-#: Query vectors that meet rows at once, and rows that they meet.
-QUERY_BLOCK, STRETCH = 4096, 65_536
+#: Query vectors in a file, rows that they meet at once, and similarities that a task holds at once.
+QUERY_BLOCK, STRETCH, CELLS = 4096, 65_536, 2_000_000
 
 
 def _best(sim: np.ndarray, k: int, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k largest finite values to so many digits, the first columns among equals."""
-    near = np.round(sim, digits)
-    if near.shape[1] > k:
-        edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
-        above = near > edge
-        level = (near == edge) & np.isfinite(near)
-        keep = above | (level & (np.cumsum(level, 1) <= k - above.sum(1, keepdims=True)))
-    else:
-        keep = np.isfinite(near)
-    return np.nonzero(keep & np.isfinite(near))
+    """(row, column) of each row's k largest finite values to so many digits, the first columns among equals.
+
+    Only what comes within rounding of a row's k-th value is rounded and sorted.
+    """
+    if not sim.shape[1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if sim.shape[1] <= k:
+        return np.nonzero(np.isfinite(sim))
+    edge = sim.max(1) if k == 1 else np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+    row, column = np.nonzero(sim >= np.where(np.isfinite(edge), edge - 10.0**-digits - 1e-12 * np.abs(edge), -np.finfo(np.float64).max)[:, None])
+    near = np.round(sim[row, column], digits)
+    order = np.lexsort((column, -near, row))
+    order = order[np.isfinite(near[order])]
+    row, column = row[order], column[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, column = row[first], column[first]
+    order = np.lexsort((column, row))
+    return row[order], column[order]
 
 
 def query_files(queries: DataFrame, *extra: str, size: int | None = None) -> str:
@@ -83,13 +91,15 @@ def scan_nearest(folder: str, base: DataFrame, k: int, least: float, exclude_sel
                 if q.shape[1] not in own:
                     continue
                 at, v, length = own[q.shape[1]]
-                for a in range(0, len(q), 256):
-                    part = place[a : a + 256]
-                    sim = (q[a : a + 256] @ v.T) / (q_len[a : a + 256, None] * length[None, :])
+                step = max(1, CELLS // max(1, len(v)))
+                for a in range(0, len(q), step):
+                    part = place[a : a + step]
+                    sim = (q[a : a + step] @ v.T) / (q_len[a : a + step, None] * length[None, :])
                     score = sim
                     for w in weights:
                         score = score * w[at][None, :]
-                    score = np.where(sim >= least, score, -np.inf)
+                    fine = sim >= least
+                    score = np.where(fine & np.isfinite(score) if weights else fine, score, -np.inf)
                     if exclude_self:
                         score[names[part, None] == ids[at][None, :]] = -np.inf
                     if within:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recallbase.operators import quantized as Q
 from recallbase.operators import retrieval as H
 from recallbase.operators import state as S
+from recallbase.operators import vectors as V
 from recallbase.plans import load
 
 
@@ -36,3 +39,38 @@ def test_similar_words_are_paired_once(spark):
     found = H.similar_words(words("term", "abcdexyz", "erinnern"), words("token", "xyzabcdexyz", "abcdexyzabcde", "abcdexyz", "nernerinnern"))
     pairs = [(r.term, r.token) for r in found.collect()]
     assert sorted(pairs) == sorted([("abcdexyz", "xyzabcdexyz"), ("abcdexyz", "abcdexyzabcde"), ("abcdexyz", "abcdexyz"), ("erinnern", "nernerinnern")])
+
+
+def test_candidates_beside_a_repeated_id(spark, monkeypatch):
+    """The quantised search gives k others however often a query's own id stands among the rows, for any number of queries at once."""
+    monkeypatch.setattr(Q, "TOLD", 3)
+    model = Q.Codebooks(np.eye(2, dtype=np.float32), [np.array([[0.0], [0.5]], np.float32)] * 2)
+    near, far = bytes([1, 0]), bytes([0, 0])
+    rows = [(i, 0, near) for i in range(8) for _ in range(90)] + [(100, 0, far), (101, 1, near)]
+    queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(8)], "query_id long, vector array<double>")
+    found = Q.search_rows(spark.createDataFrame(rows[-2:] + rows[:90], "id long, cell int, codes binary"), model, queries.where("query_id = 0"), 1, 2)
+    assert [(r.query_id, r.id, r.estimate, r["rank"]) for r in found.collect()] == [(0, 100, 1.0, 1)]
+    found = Q.search_rows(spark.createDataFrame(rows, "id long, cell int, codes binary"), model, queries, 91, 2)
+    assert sorted((r.query_id, r.id) for r in found.where("rank = 91").collect()) == [(0, 2)] + [(1, 2)] + [(i, 1) for i in range(2, 8)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_best_is_the_plain_choice(k):
+    rng = np.random.default_rng(k)
+    sim = np.round(rng.normal(size=(30, 25)), 1) + rng.choice([0, 2e-10, -2e-10], size=(30, 25))
+    sim[rng.random(sim.shape) < 0.3] = -np.inf
+    sim[0] = -np.inf
+    who, best = V._best(sim, k)
+    want = [(i, j) for i in range(30) for j in sorted(sorted(np.flatnonzero(np.isfinite(sim[i])), key=lambda j: (-np.round(sim[i, j], 9), j))[:k])]
+    assert list(zip(who.tolist(), best.tolist(), strict=True)) == want
+
+
+def test_few_similarities_at_once(spark, monkeypatch):
+    """However few similarities a task holds at once, the neighbours are the same."""
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-2, 3, (60, 4)))], "id long, vector array<double>").repartition(3)
+    asked = rows.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    told = lambda: sorted((r.query_id, r.id, r["rank"]) for r in V.neighbours(asked, rows, 4).collect())
+    want = told()
+    monkeypatch.setattr(V, "CELLS", 7)
+    assert told() == want
