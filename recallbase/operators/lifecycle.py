@@ -165,7 +165,7 @@ def retention(memories: DataFrame, now: str, ttl_hours: float, least_age_days: f
     rows = memories.select("id", "memory_type", "status", age.alias("age"), utility.alias("utility"))
     ttl = (F.col("memory_type") == "working") & (F.col("age") * 24 >= ttl_hours)
     archive = (F.col("age") >= least_age_days) & (F.col("utility") < least_utility) & (F.col("status") != "archived")
-    staged = rows.withColumn("action", F.when(ttl, "delete_ttl").when(archive, "archive").otherwise("keep"))
+    staged = cut(rows.withColumn("action", F.when(ttl, "delete_ttl").when(archive, "archive").otherwise("keep")))  # each round reads it
     left = staged.where("action <> 'delete_ttl'")
     need = max(0, left.count() - most)
     drop = first_rows(left.where("memory_type <> 'procedural'"), need, "utility", "id").select(F.col("id").alias("_id"))
@@ -174,7 +174,7 @@ def retention(memories: DataFrame, now: str, ttl_hours: float, least_age_days: f
 
 def tiering(memories: DataFrame, budget: int, age_days: Column, most_days: float) -> DataFrame:
     """id, cold: bodies that are too old, or beyond the byte budget counted from the latest access; found by sums over ranges of time, so no task gets a day or more of them."""
-    rows = memories.select("id", "bytes", (age_days > most_days).alias("old"), (-F.unix_micros(F.col("accessed_at").cast("timestamp"))).alias("_at"))
+    rows = cut(memories.select("id", "bytes", (age_days > most_days).alias("old"), (-F.unix_micros(F.col("accessed_at").cast("timestamp"))).alias("_at")))  # each round reads it
     hot = first_rows(rows, budget, "_at", "id", "bytes").select("id", F.lit(True).alias("_hot"))
     return rows.join(hot, "id", "left").select("id", (F.col("old") | F.col("_hot").isNull()).alias("cold"))
 

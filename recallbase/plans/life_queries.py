@@ -77,7 +77,7 @@ def m11(spark, sf_dir):
 
 @query("m23_tiering", sql(f"""r AS (SELECT id, length(text) AS bytes, created_at, {_AGE} > 40 AS old, sum(length(text)) OVER (ORDER BY CAST(created_at AS DATE) DESC, created_at DESC, id) AS run FROM memory) SELECT id, old OR run > 500000 AS cold FROM r""", "memory"))
 def m23(spark, sf_dir):
-    m = views.memory(spark, sf_dir).select("id", F.length("text").cast("long").alias("bytes"), F.col("created_at").alias("accessed_at"))
+    m = views.memory(spark, sf_dir, "CAST(length(text) AS BIGINT)").select("id", F.col("text").alias("bytes"), F.col("created_at").alias("accessed_at"))
     return L.tiering(m, 500_000, X.age_days(F.col("accessed_at"), _NOW), 40)
 
 

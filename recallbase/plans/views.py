@@ -18,9 +18,10 @@ def _pick(number, *names: str):
     return out
 
 
-def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A memory per embedding, with its document's text and its event's time."""
+def memory(spark: SparkSession, sf_dir: str, body: str = "text") -> DataFrame:
+    """A memory per embedding, with its document's text, or what `body` makes of it before the joins, and its event's time."""
     e, d, v = (table(spark, sf_dir, n) for n in ("embeddings", "documents", "events"))
+    d = d.select("doc_id", "n_chars", "source", "lang", F.expr(body).alias("text"))
     rows = e.join(d, e.vec_id == d.doc_id).join(v.select("event_id", "ts"), e.vec_id == F.col("event_id"))
     n, i = F.col("n_chars"), F.col("vec_id")
     return rows.select(

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recallbase.operators import lifecycle as L
 from recallbase.operators import quantized as Q
 from recallbase.operators import retrieval as H
 from recallbase.operators import state as S
@@ -74,3 +75,16 @@ def test_few_similarities_at_once(spark, monkeypatch):
     want = told()
     monkeypatch.setattr(V, "CELLS", 7)
     assert told() == want
+
+
+def test_tiering_takes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    rows = spark.createDataFrame([(i, 10, i % 7) for i in range(50)], "id long, n long, day long").coalesce(1)
+    rows = rows.select("id", F.udf(count, "long")("n").alias("bytes"), F.timestamp_seconds(F.col("day") * 86_400).alias("accessed_at"))
+    cold = L.tiering(rows, 200, F.lit(1.0), 40).where("cold").count()
+    assert cold == 30 and seen.value == 50
