@@ -14,6 +14,7 @@ from recallbase.operators import state as S
 from recallbase.operators import vectors as V
 from recallbase.plans import load
 from recallbase.sources import documents
+from recallbase.streaming import heap, streams
 
 
 def test_batch_whose_ids_are_taken(spark, sf_dir, tmp_path):
@@ -100,3 +101,17 @@ def test_few_files_at_once(spark, monkeypatch):
     files = spark.createDataFrame([(f"{i}.txt", bytearray(b"a  b")) for i in range(5)] + [("x.json", bytearray(b"{")), ("y.txt", None), (None, bytearray(b"z"))], "name string, content binary").coalesce(1)
     got = documents.texts(files).collect()
     assert [r.text for r in got] == ["a b"] * 5 + [None] * 3 and [r.error is None for r in got] == [True] * 5 + [False] * 3
+
+
+def test_answers_of_a_queue_in_parts(spark, tmp_path, monkeypatch):
+    """Commands of one micro-batch are answered in order, a few at a time."""
+    monkeypatch.setattr(heap, "TOLD", 3)
+    rows = [(1, i, ("offer", "offer", "take", "done")[i % 4], None if i % 4 == 2 else i % 5, i % 3) for i in range(40)]
+    spark.createDataFrame(rows[::-1], "queue long, seq long, op string, item long, priority int").repartition(2).write.parquet(f"{tmp_path}/in")
+    with streams.rocksdb(spark):
+        got = streams.drain(heap.answers(streams.table_stream(spark, f"{tmp_path}/in"), limit=4), "heap").orderBy("seq").collect()
+    held, pending, numbered, want = [], set(), 0, []
+    for _, _, op, item, priority in rows:
+        answer, item, numbered = heap.command(held, pending, numbered, op, item, priority, 4)
+        want.append((answer, item, len(held)))
+    assert [(r.answer, r.item, r.waiting) for r in got] == want
