@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from recallbase.functions import text as T
 from recallbase.operators import lifecycle as L
 from recallbase.operators import quantized as Q
 from recallbase.operators import retrieval as H
@@ -115,3 +116,13 @@ def test_answers_of_a_queue_in_parts(spark, tmp_path, monkeypatch):
         answer, item, numbered = heap.command(held, pending, numbered, op, item, priority, 4)
         want.append((answer, item, len(held)))
     assert [(r.answer, r.item, r.waiting) for r in got] == want
+
+
+def test_titles_through_words_are_titles_by_pairs(spark):
+    """Values equal those of comparing each pair; blank ones aren't there, titles without words are within every query."""
+    texts = ["Zugang Passwort zurücksetzen", "die Drucker druckt nicht", "", None, "der die das", "Passwörter Zugänge", "Druckern im Netzwerk Netzwerke", "  ", "abcdexyz", "xyzabcdexyz ab"]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    d = spark.createDataFrame(list(enumerate(reversed(texts))), "id long, title string")
+    told = lambda rows: sorted((r.query_id, r.id, round(r.value, 9)) for r in rows.collect() if r.value > 0)
+    found = H.title_similarities(q, d)
+    assert told(found) == told(q.crossJoin(d).select("query_id", "id", T.title_similarity(F.col("text"), F.col("title")).alias("value")))
