@@ -126,3 +126,17 @@ def test_titles_through_words_are_titles_by_pairs(spark):
     told = lambda rows: sorted((r.query_id, r.id, round(r.value, 9)) for r in rows.collect() if r.value > 0)
     found = H.title_similarities(q, d)
     assert told(found) == told(q.crossJoin(d).select("query_id", "id", T.title_similarity(F.col("text"), F.col("title")).alias("value")))
+
+
+def test_words_like_no_query_are_not_written(spark, monkeypatch):
+    """Hybrid search writes down words of documents only where they are like a word of a query, however long the texts are."""
+    written, cut = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df, rows=None: written.append(cut(df, rows)) or written[-1])
+    texts = ["drucker am netzwerk " + " ".join(f"xx{i}yy{j}" for j in range(500)) for i in range(6)]
+    docs = spark.createDataFrame([(i, "Drucker", t, ["netz"], [0]) for i, t in enumerate(texts)], "id int, title string, text string, keywords array<string>, categories array<int>")
+    asked = spark.createDataFrame([(0, "Drucker\nNetzwerk druckt")], "query_id int, text string")
+    for most in (H.HASHED, 0):
+        monkeypatch.setattr(H, "HASHED", most)
+        assert H.hybrid_search(asked, docs, 9).count() == 6
+    of_docs = [df for df in written if "id" in df.columns]
+    assert of_docs and all(r.token in ("drucker", "netzwerk") for df in of_docs for r in df.select("token").distinct().collect())
