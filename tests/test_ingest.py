@@ -56,3 +56,26 @@ def test_nothing_to_ingest(spark):
     assert ingest(none, spark.createDataFrame([(1, [1.0], "s")], "id long, vector array<double>, source string")).count() == 0
     one = spark.createDataFrame([(1, 1, [1.0, 0.0], "s", True, 1)], SCHEMA)
     assert [r.outcome for r in ingest(one, spark.createDataFrame([], "id long, vector array<double>, source string")).collect()] == ["new"]
+
+
+def test_many_new_chunks_take_one_round(spark, monkeypatch):
+    """Chunks of short vectors are settled in larger blocks, each tile against those before it, and what is close to the threshold in double precision."""
+    from recallbase.operators import ingest as I
+
+    rng, rounds, settle = np.random.default_rng(9), [], I._settle
+    monkeypatch.setattr(I, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    v = rng.normal(size=(5000, 64))
+    turned = lambda x, c: c * x / np.linalg.norm(x) + (1 - c * c) ** 0.5 * np.roll(np.eye(64)[0], 5)
+    v[:, 5] = 0.0
+    near = [turned(v[i], c) for i, c in ((0, 0.93 - 2e-9), (1, 0.93 + 2e-9))]
+    df = spark.createDataFrame([(i, i, x.tolist(), "s", True, 0) for i, x in enumerate([*v, *near])], SCHEMA).repartition(4)
+    got = {r.pos: (r.outcome, r.match) for r in I.ingest(df, spark.createDataFrame([], "id long, vector array<double>, source string")).collect()}
+    assert len(rounds) == 2 and all(got[i] == ("new", None) for i in range(5000))
+    assert got[5000] == ("new", None) and got[5001] == ("duplicate", 1)
+    units = np.stack([x / np.linalg.norm(x) for x in rng.normal(size=(8, 4))])[rng.integers(8, size=60)] + 0.2 * rng.normal(size=(60, 4))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    held: list[int] = []
+    for i, x in enumerate(units):
+        if not any(round(float(x @ units[j]), 9) >= 0.93 for j in held):
+            held.append(i)
+    assert I.first_of_each(units, 0.93, tile=7).tolist() == I.first_of_each(units, 0.93).tolist() == held
